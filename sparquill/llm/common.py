@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Byte table: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and in whatever lambdas ``use`` has it.
+
+    A column of an inner select does not do for that: the optimizer may move its expression into a lambda, where it is
+    computed for each element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, ``spark.checkpoint.dir``; where none is set (tests) a temporary one."""
     sc = spark.sparkContext

@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Patterns of the base kinds, in order.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,18 +47,18 @@ NEAR, LEAST, AROUND = 0.3, 0.5, 40
 CHUNK = 64
 
 
-def prefix_folds(df: DataFrame, items: str, out: str, zero: Column, add: Callable[[Column, Column], Column]) -> DataFrame:
-    """``df`` with ``out``: for each i from 0 to the size of array ``items``, the fold of the first i items.
+def prefix_folds(items: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each i from 0 to the size of a non-empty array, the fold of its first i items.
 
     Chunks of ``CHUNK`` items are folded first and the chunks' results next, so a long array does not cost its square.
     """
-    chunks = F.sequence(F.lit(0), F.floor(F.size(items) / CHUNK).cast("int"))
     fold = lambda xs: F.aggregate(xs, zero, add)
-    df = df.withColumn("__sums", F.when(F.size(items) > 0, F.transform(chunks, lambda k: fold(F.slice(items, k * CHUNK + 1, F.lit(CHUNK))))))
-    df = df.withColumn("__whole", F.when(F.size(items) > 0, F.transform(chunks, lambda k: fold(F.slice("__sums", F.lit(1), k)))))
-    step = lambda i: F.aggregate(F.slice(items, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK), F.get("__whole", F.floor(i / CHUNK).cast("int")), add)
-    none = F.array(zero)
-    return df.withColumn(out, F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.size(items)), step)).otherwise(none)).drop("__sums", "__whole")
+    chunk = lambda i: F.floor(i / CHUNK).cast("int")
+    chunks = F.sequence(F.lit(0), chunk(F.size(items)))
+    sums = F.transform(chunks, lambda k: fold(F.slice(items, k * CHUNK + 1, F.lit(CHUNK))))
+    step = lambda whole: lambda i: F.aggregate(F.slice(items, chunk(i) * CHUNK + 1, i % CHUNK), F.get(whole, chunk(i)), add)
+    every = F.sequence(F.lit(0), F.size(items))
+    return let(sums, lambda s: let(F.transform(chunks, lambda k: fold(F.slice(s, F.lit(1), k))), lambda whole: F.transform(every, step(whole))))
 
 
 def luhn(digits: Column) -> Column:
@@ -100,16 +102,34 @@ def confirmed(kind: str, found: Column) -> Column:
     return (n >= 8) & (n <= 12)
 
 
-def _span(kind: str, number: int, gaps: str, ends: str) -> Callable[[Column, Column], Column]:
-    """The span of match m, the i-th of its kind, given the gaps between matches and the ends of matches."""
+NONE = "array<struct<start:int,number:int,end:int,kind:string,score:double>>"
+
+
+def _spans(kind: str, text: Column) -> Column:
+    """The spans of a kind in a text, in order."""
+    pattern, number = (PATTERNS | ADDED)[kind], KINDS.index(kind)
+
+    def span(gaps: Column, ends: Column) -> Callable[[Column, Column], Column]:
+        def of(m: Column, i: Column) -> Column:
+            near = F.concat_ws(" ", F.substring(F.get(gaps, i), -AROUND, AROUND), F.substring(F.get(gaps, i + 1), 1, AROUND))
+            score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), NEAR).otherwise(0.0)
+            sure = F.when(confirmed(kind, m), F.least(F.lit(1.0), score)).otherwise(0.0)
+            return F.struct((F.get(ends, i + 1) - F.length(m)).alias("start"), F.lit(number).alias("number"), F.get(ends, i + 1).alias("end"), F.lit(kind).alias("kind"), sure.alias("score"))
 
-    def span(m: Column, i: Column) -> Column:
-        end = F.get(ends, i + 1)
-        near = F.concat_ws(" ", F.substring(F.get(gaps, i), -AROUND, AROUND), F.substring(F.get(gaps, i + 1), 1, AROUND))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), NEAR).otherwise(0.0)
-        return F.struct((end - F.length(m)).alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(kind).alias("kind"), F.when(confirmed(kind, m), F.least(F.lit(1.0), score)).otherwise(0.0).alias("score"))
+        return of
 
-    return span
+    def placed(found: Column) -> Callable[[Column], Column]:
+        def of(gaps: Column) -> Column:
+            sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+            ends = lambda z: prefix_folds(z, F.lit(0), lambda a, x: a + x)
+            return let(sizes, lambda z: let(ends(z), lambda e: F.filter(F.transform(found, span(gaps, e)), lambda s: s["score"] >= LEAST)))
+
+        return of
+
+    none = F.array().cast(NONE)
+    rough = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, F.lit(True))
+    matched = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), placed(m))).otherwise(none))
+    return F.when(rough, matched).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -117,27 +137,11 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text is empty.
     """
-    df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
-    lists = []
-    for number, kind in enumerate(KINDS):
-        pattern = (PATTERNS | ADDED)[kind]
-        found, gaps, sizes, ends, own = (f"__{x}_{kind}" for x in ("found", "gaps", "sizes", "ends", "own"))
-        rough = {"email": F.col("__t").contains("@"), "phone": F.col("__t").contains("+")}.get(kind, F.lit(True))
-        df = df.withColumn(found, F.when(rough, F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        some = F.size(found) > 0
-        df = df.withColumn(gaps, F.when(some, F.split("__t", pattern, -1)))
-        df = df.withColumn(sizes, F.when(some, F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))).otherwise(F.array().cast("array<int>")))
-        df = prefix_folds(df, sizes, ends, F.lit(0), lambda a, x: a + x)
-
-        empty = F.array().cast("array<struct<start:int,number:int,end:int,kind:string,score:double>>")
-        df = df.withColumn(own, F.when(some, F.filter(F.transform(found, _span(kind, number, gaps, ends)), lambda s: s["score"] >= LEAST)).otherwise(empty)).drop(found, gaps, sizes, ends)
-        lists.append(own)
-    base = F.concat(*lists[: len(PATTERNS)])
-    df = df.withColumn("__base", base)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    outside = lambda base: lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     # what the method adds stands outside the base spans
-    extra = [F.filter(x, lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))) for x in lists[len(PATTERNS) :]]
-    df = df.withColumn("__spans", F.array_sort(F.concat("__base", *extra)))
-    return df.drop("__t", "__base", *lists)
+    both = lambda base: F.concat(base, *(F.filter(_spans(k, text), outside(base)) for k in ADDED))
+    return docs.withColumn("__spans", F.array_sort(let(F.concat(*(_spans(k, text) for k in PATTERNS)), both)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,12 +167,17 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """``docs`` with each span replaced by its kind in brackets (overlapping spans by the first one's), and the length of the
     text renewed where ``length_col`` is among the columns. Texts without spans stay as they are, null included."""
     df = with_spans(docs, text_col)
-    df = df.withColumn("__ends", F.transform("__spans", lambda s: s["end"]))
-    df = prefix_folds(df, "__ends", "__reach", F.lit(0), lambda a, x: F.greatest(a, x))
-    piece = lambda s, i: F.when(s["start"] >= F.get("__reach", i), F.concat(F.substring(F.col(text_col), F.get("__reach", i) + 1, s["start"] - F.get("__reach", i)), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-    tail = F.substring(F.col(text_col), F.element_at("__reach", -1) + 1, F.length(text_col))
-    done = F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(F.concat(F.array_join(F.transform("__spans", piece), ""), tail))
-    df = df.withColumn(text_col, done)
+    text, spans = F.col(text_col), F.col("__spans")
+
+    def masked(reach: Column) -> Column:
+        """The text before and between the spans, and marks; reach: how far the spans before each one go."""
+        piece = lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(F.substring(text, F.get(reach, i) + 1, s["start"] - F.get(reach, i)), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    ends = F.transform(spans, lambda s: s["end"])
+    done = let(ends, lambda e: let(prefix_folds(e, F.lit(0), lambda a, x: F.greatest(a, x)), masked))
+    none = F.size(spans) == 0
+    out = {text_col: F.when(none, text).otherwise(done)}
     if length_col in docs.columns:
-        df = df.withColumn(length_col, F.when(F.size("__spans") == 0, F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
-    return df.select(*docs.columns)
+        out[length_col] = F.when(none, F.col(length_col)).otherwise(F.length(done).cast(docs.schema[length_col].dataType))
+    return df.withColumns(out).select(*docs.columns)

@@ -6,7 +6,6 @@ from zlib import crc32
 
 import pytest
 import xxhash
-from pyspark.sql import types as T
 
 from sparquill.llm import decontaminate, license_scan, lm_score, media, packing, pii, quality, simhash
 from sparquill.llm.queries import queries, tokenizer_path
@@ -300,7 +299,7 @@ def test_redact(spark, docs):
 
 
 def brute_licenses(text):
-    w = [x for x in license_scan.__dict__["re"].split(license_scan.SPLIT, (text or "").lower()) if x] if "re" in license_scan.__dict__ else [x for x in re.split(license_scan.SPLIT, (text or "").lower()) if x]
+    w = [x for x in re.split(license_scan.SPLIT, (text or "").lower()) if x]
     shingles = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     out = set()
     for name, t in license_scan.TEMPLATES:
@@ -382,10 +381,10 @@ def test_lm_score(spark, docs, empty):
 
 
 def test_lm_score_learns(spark):
-    lines = ["the cat sat on the mat and the dog lay on the rug"] * 400
+    lines = ["the cat sat on the mat and the dog lay on the rug"] * 4000
     docs = spark.createDataFrame(list(enumerate([*lines, "mat rug the the on on sat lay dog cat and the"])), "doc_id long, text string")
     got = {r.doc_id: r.pll_mean for r in lm_score.lm_score(docs).collect()}
-    assert got[0] > got[400] + 0.5
+    assert got[0] > got[4000] + 0.5
 
 
 # media -------------------------------------------------------------------------------------------------------------
@@ -445,4 +444,3 @@ def test_shots():
 
 def test_every_query_is_registered():
     assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 11)]
-    assert isinstance(T.LongType(), T.DataType)
