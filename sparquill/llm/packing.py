@@ -13,7 +13,10 @@ from counts by task and size, added up over the tasks, so no task ever holds all
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +29,7 @@ from .common import byte_rows, checkpointed
 
 CAPACITY = 4096
 END = 1  # the id after each document
-KNOWN = 300_000  # cached words of a worker
+KNOWN = 400_000  # cached words of a worker
 SHORT = 48  # bytes of the longest cached word
 
 
@@ -95,38 +98,84 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
+#: Words of ASCII and Latin-1 letters: the tokenizer's normaliser changes nothing in them but case.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The tokenizer's own cut of a word, for such words.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Bytes that byte-level vocabularies show as letters from U+0100 on, in order, as they are no visible Latin-1 letters.
+UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+SHOWN = {b: 256 + i for i, b in enumerate(UNSEEN)}
+
+
 class _Ids:
-    """Token ids of texts, word by word: white space parts words, and no token spans it."""
+    """Token ids of texts, word by word: white space parts words, and no token spans it.
+
+    Words seen before are looked up: known has the number of each, and the ids of number i are those of flat from
+    starts[i] to starts[i + 1]. Plain words go to the tokenizer's model directly, others through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.parts: dict[str, list[int]] = {}
+        self.flat, self.starts = array("i"), array("q", [0])
+
+    def part(self, part: str) -> list[int]:
+        """Ids of a part of a plain word."""
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            if len(part) <= SHORT:
+                self.parts[part] = ids
+        return ids
+
+    def coded(self, word: bytes) -> list[int]:
+        if word.isalpha():
+            return self.part(word.lower().decode())
+        text = word.decode("utf-8", "replace")
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return [i for part in PARTS.findall(text.lower()) for i in self.part(part)]
 
     def of(self, texts: list) -> list[np.ndarray]:
-        if len(self.known) > KNOWN:
+        """The ids of each text, and the end's id."""
+        if len(self.known) > KNOWN or len(self.flat) > 8 * KNOWN:
             self.clear()
-        words = [(t or b"").split() for t in texts]
-        new = sorted(set().union(*words) - self.known.keys(), key=len)
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        known, ids = self.known, self.ids
-        before = len(ids)
-        for w, e in zip(new, coded, strict=True):
-            known[w] = len(ids)
-            ids.append(np.array(e.ids, np.int32))
-        end = np.array([END], np.int32)
-        out = [np.concatenate([*map(ids.__getitem__, map(known.__getitem__, ws)), end]) for ws in words]
-        for w in reversed(new):  # long words come last and are not kept
-            if len(w) <= SHORT:
-                break
-            del known[w]
-            ids.pop()
-        assert len(ids) >= before
+        known, flat, starts = self.known, self.flat, self.starts
+        get, long = known.get, []
+        numbers, sizes = [], []
+        for text in texts:
+            words = (text or b"").split()
+            own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            for i in np.flatnonzero(own < 0).tolist():
+                word = words[i]
+                if (number := get(word, -1)) < 0:
+                    number = known[word] = len(starts) - 1
+                    flat.extend(self.coded(word))
+                    starts.append(len(flat))
+                    if len(word) > SHORT:
+                        long.append(word)
+                own[i] = number
+            numbers.append(own)
+            sizes.append(len(own))
+        ids, edge = np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.frombuffer(starts, np.int64)
+        every = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        n = edge[every + 1] - edge[every]
+        ends = np.cumsum(n)
+        place = np.arange(int(n.sum())) + np.repeat(edge[every] - (ends - n), n)
+        joined = ids[place]
+        at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+        out = [np.append(joined[a:b], np.int32(END)) for a, b in zip(at, at[1:], strict=False)]
+        del ids, edge  # the arrays may grow again
+        for word in long:  # their ids stay in flat until the next clearing, but the keys would hold whole texts
+            del known[word]
         return out
 
 
