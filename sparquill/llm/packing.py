@@ -29,7 +29,7 @@ from .common import byte_rows, checkpointed
 
 CAPACITY = 4096
 END = 1  # the id after each document
-KNOWN = 400_000  # cached words of a worker
+KNOWN = 350_000  # cached words of a worker
 SHORT = 48  # bytes of the longest cached word
 
 
@@ -123,46 +123,48 @@ class _Ids:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.long: list[bytes] = []
         self.flat, self.starts = array("i"), array("q", [0])
 
-    def part(self, part: str) -> list[int]:
-        """Ids of a part of a plain word."""
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            if len(part) <= SHORT:
-                self.parts[part] = ids
-        return ids
-
-    def coded(self, word: bytes) -> list[int]:
+    def add(self, word: bytes) -> int:
+        """The number of a new word, which it gets with its ids."""
+        text = ""
         if word.isalpha():
-            return self.part(word.lower().decode())
-        text = word.decode("utf-8", "replace")
-        if not PLAIN.fullmatch(text) or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return [i for part in PARTS.findall(text.lower()) for i in self.part(part)]
+            parts = [word.lower()]
+        else:
+            text = word.decode("utf-8", "replace")
+            plain = PLAIN.fullmatch(text) and "<|" not in text
+            parts = [p.encode() for p in PARTS.findall(text.lower())] if plain else []
+        flat, starts = self.flat, self.starts
+        if parts == [word]:
+            shown = word.decode() if word.isascii() else word.decode("latin-1").translate(SHOWN)
+            flat.extend([t.id for t in self.model.tokenize(shown)])
+        elif parts:  # a part is a word of its own
+            numbers = [self.known[p] if p in self.known else self.add(p) for p in parts]
+            for i in numbers:
+                flat.extend(flat[starts[i] : starts[i + 1]])
+        else:
+            flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        number = self.known[word] = len(starts) - 1
+        starts.append(len(flat))
+        if len(word) > SHORT:
+            self.long.append(word)
+        return number
 
     def of(self, texts: list) -> list[np.ndarray]:
         """The ids of each text, and the end's id."""
         if len(self.known) > KNOWN or len(self.flat) > 8 * KNOWN:
             self.clear()
         known, flat, starts = self.known, self.flat, self.starts
-        get, long = known.get, []
+        get = known.get
         numbers, sizes = [], []
         for text in texts:
             words = (text or b"").split()
             own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             for i in np.flatnonzero(own < 0).tolist():
                 word = words[i]
-                if (number := get(word, -1)) < 0:
-                    number = known[word] = len(starts) - 1
-                    flat.extend(self.coded(word))
-                    starts.append(len(flat))
-                    if len(word) > SHORT:
-                        long.append(word)
-                own[i] = number
+                number = get(word, -1)
+                own[i] = number if number >= 0 else self.add(word)
             numbers.append(own)
             sizes.append(len(own))
         ids, edge = np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.frombuffer(starts, np.int64)
@@ -174,8 +176,9 @@ class _Ids:
         at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
         out = [np.append(joined[a:b], np.int32(END)) for a, b in zip(at, at[1:], strict=False)]
         del ids, edge  # the arrays may grow again
-        for word in long:  # their ids stay in flat until the next clearing, but the keys would hold whole texts
+        for word in self.long:  # their ids stay in flat until the next clearing, but the keys would hold whole texts
             del known[word]
+        self.long.clear()
         return out
 
 
