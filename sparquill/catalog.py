@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import scoring_plans
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ()
+MODULES = (scoring_plans,)
 
 
 def queries() -> dict[str, Query]:
