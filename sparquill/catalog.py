@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import scoring_plans
+from .plans import ranking_plans, scoring_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scoring_plans,)
+MODULES = (scoring_plans, ranking_plans)
 
 
 def queries() -> dict[str, Query]:

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import suppress
 
 QUERY = ["scene", "query"]
-BEST = Window.partitionBy(*QUERY).orderBy(F.desc("score"), "pos")
-ALL = Window.partitionBy(*QUERY)
+
+
+def best_first() -> WindowSpec:
+    """A query's candidates by score, ties by position."""
+    return Window.partitionBy(*QUERY).orderBy(F.desc("score"), "pos")
+
+
+def of_query() -> WindowSpec:
+    return Window.partitionBy(*QUERY)
 
 
 def ranked(cand: DataFrame) -> DataFrame:
     """``cand`` with rank (from 0) by score, ties by position."""
-    return cand.withColumn("rank", F.row_number().over(BEST) - 1)
+    return cand.withColumn("rank", F.row_number().over(best_first()) - 1)
 
 
 def gaps(cand: DataFrame) -> DataFrame:
     """The first candidate of each query and the gap of its score to the second; infinite where there is none."""
-    nxt = F.lead("score").over(BEST)
+    nxt = F.lead("score").over(best_first())
     return ranked(cand.withColumn("gap", F.coalesce(F.col("score") - nxt, F.lit(float("inf"))))).where("rank = 0").drop("rank")
 
 
 def pool(cand: DataFrame, top_k: int, gap: float, margin: float, limit: int = 1) -> DataFrame:
     """Candidates that a query brings: the first ``top_k`` where its gap is under ``gap``, else ``limit``; those below the
     best score by more than ``margin`` only if they are the first."""
-    first = F.first("score").over(BEST.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    second = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(ALL)
+    first = F.first("score").over(best_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    second = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(of_query())
     rows = ranked(cand).withColumns({"best": first, "ambiguous": F.coalesce(first - second < gap, F.lit(False))})
     most = F.when(F.col("ambiguous"), top_k).otherwise(limit)
     return rows.where((F.col("rank") < most) & ((F.col("rank") == 0) | (F.col("score") >= F.col("best") - margin))).drop("best")
