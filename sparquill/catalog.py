@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ranking_plans, scoring_plans
+from .plans import analysis_plans, geometry_plans, ranking_plans, scoring_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scoring_plans, ranking_plans)
+MODULES = (scoring_plans, ranking_plans, geometry_plans, analysis_plans)
 
 
 def queries() -> dict[str, Query]:
