@@ -19,15 +19,16 @@ def grouped_auc(rows: DataFrame, keys: list[str], score: str, positive: str) ->
     per = rows.groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
     below = F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = per.withColumn("wins", F.col("p") * (below + F.col("q") / 2.0))
-    return wins.groupBy(*keys).agg((F.sum("wins") / (F.sum("p") * F.sum("q"))).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    return wins.groupBy(*keys).agg((F.sum("wins") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
 def wasserstein(rows: DataFrame, keys: list[str], value: str, first: str) -> DataFrame:
-    """Distance of the distributions of a value where ``first`` holds and where not: the area between their step functions."""
+    """Distance of the distributions of a value where ``first`` holds and where not: the area between their step functions; null if one is empty."""
     per = rows.groupBy(*keys, value).agg(F.count_if(first).alias("a"), F.count_if(~F.col(first)).alias("b"))
     w, every = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    return per.withColumn("area", gap * (F.lead(value).over(w) - F.col(value))).groupBy(*keys).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("distance"))
+    share = lambda c: F.try_divide(F.sum(c).over(w), F.sum(c).over(every))
+    gap = F.abs(share("a") - share("b"))
+    return per.withColumn("area", gap * (F.lead(value).over(w) - F.col(value))).groupBy(*keys).agg(F.when((F.sum("a") > 0) & (F.sum("b") > 0), F.coalesce(F.sum("area"), F.lit(0.0))).alias("distance"))
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -67,3 +68,30 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
         every = every.unionByName(p)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 1000) -> DataFrame:
+    """Exact quantiles of a value for each group, linear between ranks; a column for each name of ``probs``. Nulls are left out.
+
+    Approximate quantiles a little below and above each wanted one bound its value. Rows below the bounds are only counted;
+    rows between them, about one in 250, are counted by value and ranked. So no buffer holds a group's values.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    names = sorted(probs)
+    edge = 2.0 / accuracy
+    sides = [min(1.0, max(0.0, probs[n] + e)) for n in names for e in (-edge, edge)]
+    bounds = own.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", sides, accuracy).alias("q"))
+    side = lambda i, far: F.when(F.col("n") < 4 * accuracy, float(far)).otherwise(F.get("q", F.lit(i)))  # noqa: E731  small groups are ranked whole
+    wanted = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(probs[n])).alias("p"), side(2 * i, "-inf").alias("lo"), side(2 * i + 1, "inf").alias("hi")) for i, n in enumerate(names))))
+    marked = own.join(bounds, keys) if keys else own.crossJoin(F.broadcast(bounds))  # without keys the bounds are one row
+    marked = marked.select(*keys, "v", "n", wanted.alias("w")).where("v <= w.hi")
+    counted = marked.groupBy(*keys, "n", "w", F.when(F.col("v") >= F.col("w.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*keys, "w.name").orderBy(F.col("v").asc_nulls_first())
+    upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.col("w.p") * (F.col("n") - 1)
+    ranked = counted.withColumns({"upto": upto, "below": F.floor(at), "part": at - F.floor(at)}).where("v IS NOT NULL")
+    first = F.min(F.when(F.col("upto") > F.col("below"), F.col("v")))
+    second = F.min(F.when(F.col("upto") > F.least(F.col("below") + 1, F.col("n") - 1), F.col("v")))
+    out = ranked.groupBy(*keys, F.col("w.name").alias("name"), "part").agg(first.alias("a"), second.alias("b"))
+    found = out.select(*keys, "name", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("x"))
+    return found.groupBy(*keys).pivot("name", names).agg(F.first("x"))

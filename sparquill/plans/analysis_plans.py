@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import binomial_tail, bucket, format_cell, parse_cell
-from ..operators.analysis import grouped_auc, wasserstein
+from ..operators.analysis import exact_quantiles, grouped_auc, wasserstein
 from ..operators.ranking import QUERY
 from ..operators.scoring import scene_scores
 from ..sources.tables import CAND, DEC, candidates, decisions, load
@@ -21,7 +21,8 @@ def a10(spark, sf):
 def a11(spark, sf):
     e = load(spark, sf, "lineitem")
     long = e.unpivot([], [F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], "field", "v")
-    return long.groupBy("field").agg(*(R(F.percentile("v", p)).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))))
+    q = exact_quantiles(long, ["field"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return q.select("field", *(R(F.col(n)).alias(n) for n in ("p10", "p50", "p90")))
 
 
 def a25(spark, sf):

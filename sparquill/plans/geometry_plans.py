@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import binomial_tail, boxes_overlap, distance, dot, likelihood, mean_centred, shear, singular_values, surprise, trimmed_mean, valid_transform
-from ..operators.analysis import nearest_vectors
+from ..operators.analysis import exact_quantiles, nearest_vectors
 from ..operators.geometry import affine_fit, assigned, capped, grouped, nearest_invariants, normalised, quads, similarity_fit, theil_sen, three_point_affine, triangles
 from ..operators.ranking import QUERY
 from ..operators.scoring import range_pairs
@@ -268,7 +268,9 @@ def k17(spark, sf):
 
 def k18(spark, sf):
     e = load(spark, sf, "embeddings").select("label", F.explode("embedding").alias("p")).select("label", F.col("p").cast("double").alias("p"))
-    return e.groupBy("label").agg(R(F.percentile("p", 0.5)).alias("background"), R(F.percentile("p", 0.999)).alias("p999"), F.count_if(F.col("p") > 0.3).alias("stars"))
+    q = exact_quantiles(e, ["label"], "p", {"background": 0.5, "p999": 0.999})
+    stars = e.groupBy("label").agg(F.count_if(F.col("p") > 0.3).alias("stars"))
+    return stars.join(q, "label").select("label", R(F.col("background")).alias("background"), R(F.col("p999")).alias("p999"), "stars")
 
 
 def k20(spark, sf):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, clip, distance, distance_reward
+from ..operators.analysis import exact_quantiles
 from ..operators.scoring import failure_category, greedy_recovery, scene_scores, two_class_f1, weighted
 from ..sources.tables import DEC, PTS, decisions, load, points
 
@@ -78,8 +79,9 @@ CATEGORY = f"""CASE WHEN NOT present AND NOT predicted THEN 'correct_absent' WHE
 def a8(spark, sf):
     d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
     rows = decisions(spark, sf).withColumns({"d": d, "category": failure_category(F.col("present"), F.col("predicted"), d, d < 24)})
-    q = [R(F.percentile("d", p)).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("scene").alias("scenes"), *q, R(F.avg((F.col("d") <= 12).cast("double"))).alias("rate12"))
+    q = exact_quantiles(rows, ["category"], "d", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    n = rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("scene").alias("scenes"), R(F.avg((F.col("d") <= 12).cast("double"))).alias("rate12"))
+    return n.join(q, "category").select("category", "n", "scenes", *(R(F.col(c)).alias(c) for c in ("p10", "p50", "p90")), "rate12")
 
 
 def a9(spark, sf):
@@ -95,7 +97,8 @@ def a23(spark, sf):
 
 
 def a24(spark, sf):
-    return decisions(spark, sf).groupBy("present").agg(R(F.median("x")).alias("median_x"), *(R(F.percentile("x", p)).alias(n) for n, p in (("p10", 0.1), ("p90", 0.9)))).select(F.col("present").cast("int").alias("present"), "median_x", "p10", "p90")
+    q = exact_quantiles(decisions(spark, sf), ["present"], "x", {"median_x": 0.5, "p10": 0.1, "p90": 0.9})
+    return q.select(F.col("present").cast("int").alias("present"), *(R(F.col(c)).alias(c) for c in ("median_x", "p10", "p90")))
 
 
 def a27(spark, sf):
@@ -144,8 +147,9 @@ def p13(spark, sf):
 def a12(spark, sf):
     """Whether each language's median length lies outside the tenth to ninetieth percentile of the other tables' lengths."""
     d = load(spark, sf, "documents")
-    ref = load(spark, sf, "pages").agg(F.percentile(F.length("html"), 0.1).alias("lo"), F.percentile(F.length("html"), 0.9).alias("hi"))
-    return d.groupBy("lang").agg(F.percentile("n_chars", 0.5).alias("mid")).crossJoin(F.broadcast(ref)).select("lang", R(F.col("mid")).alias("mid"), ((F.col("mid") < F.col("lo")) | (F.col("mid") > F.col("hi"))).cast("int").alias("outside"))
+    ref = exact_quantiles(load(spark, sf, "pages").select(F.length("html").alias("n")), [], "n", {"lo": 0.1, "hi": 0.9})
+    mid = exact_quantiles(d, ["lang"], "n_chars", {"mid": 0.5})
+    return mid.crossJoin(F.broadcast(ref)).select("lang", R(F.col("mid")).alias("mid"), ((F.col("mid") < F.col("lo")) | (F.col("mid") > F.col("hi"))).cast("int").alias("outside"))
 
 
 def a14_clip(spark, sf):
