@@ -28,6 +28,8 @@ def test_blocks():
     assert core("<article><p>cut in the mid") == "cut in the mid" and core("<article><p>cut <b cla") == "cut"
     assert core("<ARTICLE CLASS='story'>A</ARTICLE>") == "A" and core("<div role=main><p>m</div><p>n") == "m"
     assert [text_of(x) for x in (None, "", " \n", "a < b", "<>", "<p></p>")] == ["", "", "", "a < b", "<>", ""]
+    assert core('<div class="has-sidebar"><article class="post no-comments"><header class="entry-header"><h1 class="banner">T</h1></header><div class="comments">no</div><p>x</article></div>') == "T\nx"
+    assert core("<article>" + '<a "' * 20_000) == "" and core("<article>x" + "</b>" * 50_000 + "<i>" * 50_000 + "y") == "xy"
     assert core("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
 
 
