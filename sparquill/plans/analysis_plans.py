@@ -89,11 +89,12 @@ def s6(spark, sf):
 
 def wide(spark, sf):
     """The submission: a row a scene, ``patch_NN`` columns padded with -1, and the class."""
-    d = load(spark, sf, "nation").join(load(spark, sf, "customer").where("c_custkey % 10 = 0"), F.col("n_nationkey") == F.col("c_nationkey"))
-    k = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("c_custkey"))
+    c = load(spark, sf, "customer").select((F.col("c_custkey") / 8).cast("long").alias("id"), (F.col("c_custkey") % 8 + 1).alias("k"), F.col("c_custkey").alias("c"))
     names = [f"patch_{i:02}" for i in range(1, 9)]
-    rows = d.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("patch_"), F.lpad(k.cast("string"), 2, "0")).alias("patch"), format_cell((F.col("c_custkey") % 3000).cast("double"), (F.col("c_custkey") * 7 % 3000).cast("double"), F.col("c_custkey") % 2).alias("cell"))
-    return load(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("constellation")).join(rows.groupBy("id").pivot("patch", names).agg(F.first("cell")), "id", "left").select("id", *(F.coalesce(n, F.lit("-1")).alias(n) for n in names), "constellation")
+    rows = c.select("id", F.concat(F.lit("patch_"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("patch"), format_cell((F.col("c") % 3000).cast("double"), (F.col("c") * 7 % 3000).cast("double"), F.col("c") % 2).alias("cell"))
+    made = rows.groupBy("id").pivot("patch", names).agg(F.first("cell"))
+    name = load(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("constellation"))
+    return made.join(name, F.col("id") % 25 == F.col("nation")).select("id", *(F.coalesce(n, F.lit("-1")).alias(n) for n in names), "constellation")
 
 
 def s5(spark, sf):
@@ -168,8 +169,8 @@ def j17(spark, sf):
 
 
 CELL = "CASE WHEN {x} IS NULL THEN '-1' ELSE '(' || printf('%.3f', {x}) || ', ' || printf('%.3f', {y}) || ', ' || {m} || ')' END"
-WIDE = "k AS (SELECT n_nationkey AS id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS k, CAST(c_custkey % 3000 AS DOUBLE) AS x, CAST(c_custkey * 7 % 3000 AS DOUBLE) AS y, c_custkey % 2 AS m FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0)"
-WIDE_SQL = f"WITH {WIDE} SELECT n_nationkey AS id, " + ", ".join(f"coalesce(max(CASE WHEN k = {i} THEN {CELL.format(x='x', y='y', m='m')} END), '-1') AS patch_{i:02}" for i in range(1, 9)) + ", n_name AS constellation FROM nation LEFT JOIN k ON n_nationkey = id GROUP BY n_nationkey, n_name"
+WIDE = "k AS (SELECT c_custkey // 8 AS id, c_custkey % 8 + 1 AS k, CAST(c_custkey % 3000 AS DOUBLE) AS x, CAST(c_custkey * 7 % 3000 AS DOUBLE) AS y, c_custkey % 2 AS m FROM customer)"
+WIDE_SQL = f"WITH {WIDE} SELECT id, " + ", ".join(f"coalesce(max(CASE WHEN k = {i} THEN {CELL.format(x='x', y='y', m='m')} END), '-1') AS patch_{i:02}" for i in range(1, 9)) + ", any_value(n_name) AS constellation FROM k JOIN nation ON id % 25 = n_nationkey GROUP BY id"
 GATED = f"{CAND}, g AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, coalesce(score - lead(score) OVER w, 1e9) AS gap FROM cand WINDOW w AS (PARTITION BY scene, query ORDER BY score DESC, pos)) WHERE k = 1)"
 LD = "d AS (SELECT lang, n_chars, quality FROM documents JOIN labels USING (doc_id))"
 QUERIES = {
@@ -184,10 +185,10 @@ QUERIES = {
     "a36_accuracy_by_size": (a36, f"WITH {SCENES} SELECT CASE WHEN n <= 15 THEN 'small' WHEN n <= 20 THEN 'mid' ELSE 'large' END AS size, count(*) AS scenes, round(avg(identification), 6) AS identification FROM sc GROUP BY 1"),
     "a37_policy_report": (a37, f"WITH {CAND}, m AS (SELECT scene, query, avg(score) AS v FROM cand GROUP BY ALL) SELECT b.query AS policy, round(avg(b.v - a.v), 6) AS delta, count(*) FILTER (b.v > a.v) AS improved, count(*) FILTER (b.v < a.v) AS regressed FROM m a JOIN m b ON a.scene = b.scene AND a.query = 'click' AND b.query IN ('error', 'purchase', 'signup', 'view') GROUP BY b.query"),
     "wasserstein": (wass, f"WITH {LD}, p AS (SELECT lang, CAST(n_chars AS DOUBLE) AS v, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality <> 1) AS b FROM d GROUP BY ALL), f AS (SELECT lang, abs(sum(a) OVER w / sum(a) OVER e - sum(b) OVER w / sum(b) OVER e) * (lead(v) OVER w - v) AS area, sum(a) OVER e AS ta, sum(b) OVER e AS tb FROM p WINDOW w AS (PARTITION BY lang ORDER BY v), e AS (PARTITION BY lang)) SELECT lang, round(sum(area), 4) AS distance FROM f WHERE ta > 0 AND tb > 0 GROUP BY lang"),
-    "s5_read_truth": (s5, f"WITH {WIDE} SELECT id, CAST(k AS INT) AS query, x, y, CAST(m AS INT) AS member FROM k WHERE k <= 8"),
+    "s5_read_truth": (s5, f"WITH {WIDE} SELECT id, CAST(k AS INT) AS query, x, y, CAST(m AS INT) AS member FROM k"),
     "s6_parse_cell": (s6, f"WITH {CAND} SELECT id, {CELL.format(x='(CASE WHEN id % 10 > 0 THEN x END)', y='y', m='(id % 2)')} AS cell, CASE WHEN id % 10 > 0 THEN x END AS x, CASE WHEN id % 10 > 0 THEN y END AS y, CASE WHEN id % 10 > 0 THEN CAST(id % 2 AS INT) END AS member FROM cand"),
     "s7_submission": (wide, WIDE_SQL),
-    "s8_validate": (s8, f"WITH {WIDE} SELECT count(*) AS cells, count(*) FILTER (x NOT BETWEEN 0 AND 2999) AS x_out, count(*) FILTER (y NOT BETWEEN 0 AND 2999) AS y_out, count(*) FILTER (m NOT IN (0, 1)) AS bad_member, count(DISTINCT id) AS scenes FROM k WHERE k <= 8"),
+    "s8_validate": (s8, f"WITH {WIDE} SELECT count(*) AS cells, count(*) FILTER (x NOT BETWEEN 0 AND 2999) AS x_out, count(*) FILTER (y NOT BETWEEN 0 AND 2999) AS y_out, count(*) FILTER (m NOT IN (0, 1)) AS bad_member, count(DISTINCT id) AS scenes FROM k"),
     "s9_diff": (s9, f"WITH {CAND}, a AS (SELECT scene, id, x AS ax, id % 2 AS am FROM cand WHERE id % 4 <> 1), b AS (SELECT scene, id, x + id % 5 * 0.25 AS bx, id % 3 % 2 AS bm FROM cand WHERE id % 4 <> 2) SELECT scene, count(*) FILTER (ax IS NULL) AS appeared, count(*) FILTER (bx IS NULL) AS vanished, count(*) FILTER (abs(ax - bx) > 0.5) AS moved, count(*) FILTER (am <> bm) AS membership, round(median(abs(ax - bx)), 6) AS median_move FROM a FULL JOIN b USING (scene, id) GROUP BY scene"),
     "s10_json_rows": (s10, "SELECT event_id, CAST(json_object('event_id', event_id, 'user_id', user_id, 'event_type', event_type) AS VARCHAR) AS json FROM events"),
     "s11_json_scan": (s11, "SELECT event_type, count(CAST(props->>'k' AS INT)) AS n, CAST(sum(CAST(props->>'k' AS INT)) AS BIGINT) AS total, max(CAST(props->>'k' AS INT)) AS most FROM events GROUP BY event_type"),

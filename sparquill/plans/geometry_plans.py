@@ -88,7 +88,11 @@ def j15(spark, sf):
     return scenes.crossJoin(F.broadcast(classes)).select("scene", "name", "n")
 
 
-def tri(spark, sf, cap=14):
+#: Points of a scene that make triangles and quads, and triangles to compare: the budgets of seed generation.
+BUDGET, QUAD_BUDGET, COMPARED = 56, 20, 12
+
+
+def tri(spark, sf, cap=BUDGET):
     return triangles(capped(points(spark, sf), cap, "id"))
 
 
@@ -96,7 +100,7 @@ def g1(spark, sf):
     return tri(spark, sf).select("scene", "id0", "id1", "id2", R(F.col("u")).alias("u"), R(F.col("v")).alias("v"))
 
 
-CAPPED = f"{PTS}, cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) AS k FROM pts) WHERE k <= 14)"
+CAPPED = f"{PTS}, cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) AS k FROM pts) WHERE k <= {BUDGET})"
 TRI = f"""{CAPPED}, t AS (SELECT a.scene, abs((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) AS area, list_sort([{{'d': sqrt((b.x-c.x)**2+(b.y-c.y)**2), 'i': 0, 'id': a.id}},
  {{'d': sqrt((c.x-a.x)**2+(c.y-a.y)**2), 'i': 1, 'id': b.id}}, {{'d': sqrt((a.x-b.x)**2+(a.y-b.y)**2), 'i': 2, 'id': c.id}}]) AS e
  FROM cp a JOIN cp b ON a.scene = b.scene AND a.id < b.id JOIN cp c ON b.scene = c.scene AND b.id < c.id),
@@ -104,7 +108,7 @@ TRI = f"""{CAPPED}, t AS (SELECT a.scene, abs((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x
 
 
 def g2(spark, sf):
-    q = quads(capped(points(spark, sf), 9, "id"))
+    q = quads(capped(points(spark, sf), QUAD_BUDGET, "id"))
     return q.select("scene", *(f"id{i}" for i in range(4)), *(R(F.col(f"q{i}")).alias(f"q{i}") for i in range(4)))
 
 
@@ -112,7 +116,7 @@ def area_sql(p, q, r):
     return f"(({q}.x-{p}.x)*({r}.y-{p}.y)-({q}.y-{p}.y)*({r}.x-{p}.x))"
 
 
-G2_SQL = f"""WITH {CAPPED.replace('k <= 14', 'k <= 9')}, f AS (SELECT a.scene, a.id AS ia, b.id AS ib, c.id AS ic, d.id AS id, [{area_sql('b','c','d')}, -{area_sql('a','c','d')}, {area_sql('a','b','d')}, -{area_sql('a','b','c')}] AS s
+G2_SQL = f"""WITH {CAPPED.replace(f'k <= {BUDGET}', f'k <= {QUAD_BUDGET}')}, f AS (SELECT a.scene, a.id AS ia, b.id AS ib, c.id AS ic, d.id AS id, [{area_sql('b','c','d')}, -{area_sql('a','c','d')}, {area_sql('a','b','d')}, -{area_sql('a','b','c')}] AS s
  FROM cp a JOIN cp b ON a.scene = b.scene AND a.id < b.id JOIN cp c ON b.scene = c.scene AND b.id < c.id JOIN cp d ON c.scene = d.scene AND c.id < d.id),
  g AS (SELECT *, list_sum(list_transform(s, lambda x: abs(x))) AS total, list_filter(s, lambda x: abs(x) = list_max(list_transform(s, lambda y: abs(y))))[1] AS big FROM f),
  h AS (SELECT scene, list_sort([{{'q': s[1]*sign(big)/total, 'id': ia}}, {{'q': s[2]*sign(big)/total, 'id': ib}}, {{'q': s[3]*sign(big)/total, 'id': ic}}, {{'q': s[4]*sign(big)/total, 'id': id}}]) AS q FROM g WHERE total > 0)
@@ -121,11 +125,10 @@ SELECT scene, {', '.join(f'q[{i+1}].id AS id{i}, round(q[{i+1}].q, 6) AS q{i}' f
 
 
 def j5(spark, sf):
-    """The three scene triangles nearest to each template triangle in the plane of their ratios."""
-    t = tri(spark, sf, 9).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2"))
-    a = t.where("scene = 0").select(F.col("order").alias("a_order"), F.col("u").alias("a_u"), F.col("v").alias("a_v"))
-    b = t.where("scene <> 0").select(F.col("order").alias("b_order"), F.col("u").alias("b_u"), F.col("v").alias("b_v"))
-    return nearest_invariants(a, b, 0.1, 3, F.lit(True)).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
+    """The three triangles of other scenes nearest to each triangle in the plane of their ratios."""
+    t = tri(spark, sf, COMPARED).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2"))
+    side = lambda k: t.select(*(F.col(c).alias(f"{k}_{c}") for c in ("order", "scene", "u", "v")))
+    return nearest_invariants(side("a"), side("b"), 0.1, 3, F.col("a_scene") != F.col("b_scene")).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
 
 
 def pairs(spark, sf):
@@ -191,10 +194,7 @@ def a17(spark, sf):
 
 
 def a21(spark, sf):
-    p = points(spark, sf)
-    w = Window.partitionBy("scene").orderBy("id")
-    few = p.withColumn("k", F.row_number().over(w)).where("k <= 40")
-    return theil_sen(few, ["scene"]).select("scene", "n", R(F.col("slope")).alias("slope"), R(F.col("intercept"), 4).alias("intercept"))
+    return theil_sen(points(spark, sf), ["scene"]).select("scene", "n", R(F.col("slope")).alias("slope"), R(F.col("intercept"), 4).alias("intercept"))
 
 
 def g3(spark, sf):
@@ -282,10 +282,11 @@ def k20(spark, sf):
 
 
 def p16(spark, sf):
-    p = points(spark, sf).where("id < 60")
-    s = lambda a: p.select(*(F.col(c).alias(f"{a}{c}") for c in ("scene", "id", "x", "y")))
-    box = lambda a: (F.col(f"{a}x"), F.col(f"{a}y"), F.col(f"{a}x") + 300, F.col(f"{a}y") + 300)
-    return s("a").join(s("b"), F.col("ascene") == F.col("bscene")).where("aid < bid").where(boxes_overlap(box("a"), box("b"))).select("aid", "bid")
+    """Pairs of a scene's boxes of 300 pixels that overlap: their corners are nearer than the diagonal."""
+    p = points(spark, sf)
+    near = range_pairs(p, p, ["scene"], 425.0).where("l_id < r_id")
+    box = lambda a: (F.col(f"{a}_x"), F.col(f"{a}_y"), F.col(f"{a}_x") + 300, F.col(f"{a}_y") + 300)
+    return near.where(boxes_overlap(box("l"), box("r"))).select(F.col("l_id").alias("aid"), F.col("r_id").alias("bid"))
 
 
 def regions(spark, sf):
@@ -302,7 +303,7 @@ NEAR = "abs(a.x-b.x) <= {r} AND abs(a.y-b.y) <= {r} AND " + DIST + " {op} {r}"
 QUERIES = {
     "j1_nearest_vectors": (j1, "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, rank, id, round(score, 6) AS score FROM k WHERE rank <= 5"),
     "j4_assignment": (j4, J4_SQL),
-    "j5_triangle_neighbours": (j5, f"WITH {TRI.replace('k <= 14', 'k <= 9')}, o AS (SELECT *, concat_ws('-', scene, id0, id1, id2) AS o FROM tri), m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.u-b.u)**2+(a.v-b.v)**2) AS d FROM o a JOIN o b ON a.scene = 0 AND b.scene <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < 0.1) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 3"),
+    "j5_triangle_neighbours": (j5, f"WITH {TRI.replace(f'k <= {BUDGET}', f'k <= {COMPARED}')}, o AS (SELECT *, concat_ws('-', scene, id0, id1, id2) AS o FROM tri), m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.u-b.u)**2+(a.v-b.v)**2) AS d FROM o a JOIN o b ON a.scene <> b.scene), k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < 0.1) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 3"),
     "j8_anchor_groups": (j8, J8_SQL),
     "j9_eligible": (j9, f"WITH {PTS} SELECT DISTINCT a.scene, a.id FROM pts a JOIN pts b ON a.scene = b.scene AND a.id % 5 <> 0 AND b.id % 5 = 0 AND " + NEAR.format(r=80, op="<=")),
     "j10_membership": (j10, f"WITH {PTS} SELECT a.scene, a.id, CAST(EXISTS (SELECT 1 FROM pts b WHERE a.scene = b.scene AND b.id % 5 = 0 AND {DIST} < 18) AS INT) AS member FROM pts a WHERE a.id % 5 <> 0"),
@@ -319,7 +320,7 @@ QUERIES = {
     "a16_binomial_score": (a16, A16_SQL),
     "a17_k22_likelihood": (a17, f"WITH {CAND}, r AS (SELECT scene, query, list_sort(list(x / 100)) AS r FROM cand GROUP BY ALL) SELECT scene, query, round(list_sum(list_transform(r, lambda q: ln(24.0*24.0/(2*8.0*8.0)) - q*q/(2*8.0*8.0))) - 0.5*len(r), 5) AS score, round(list_avg(r[1:greatest(1, CAST(floor(len(r)*0.8) AS INT))]), 6) AS trimmed FROM r"),
     "a19_p8_transform_checks": (p8, P8_SQL),
-    "a21_theil_sen": (a21, f"WITH {PTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) AS k FROM pts) WHERE k <= 40), s AS (SELECT a.scene, median((b.y-a.y)/(b.x-a.x)) AS slope FROM f a JOIN f b ON a.scene = b.scene AND a.id < b.id AND a.x <> b.x GROUP BY a.scene) SELECT f.scene, count(*) AS n, round(any_value(slope), 6) AS slope, round(median(y - slope*x), 4) AS intercept FROM f JOIN s ON f.scene = s.scene GROUP BY f.scene HAVING count(*) >= 6"),
+    "a21_theil_sen": (a21, f"WITH {PTS}, f AS (SELECT * FROM pts), s AS (SELECT a.scene, median((b.y-a.y)/(b.x-a.x)) AS slope FROM f a JOIN f b ON a.scene = b.scene AND a.id < b.id AND a.x <> b.x GROUP BY a.scene) SELECT f.scene, count(*) AS n, round(any_value(slope), 6) AS slope, round(median(y - slope*x), 4) AS intercept FROM f JOIN s ON f.scene = s.scene GROUP BY f.scene HAVING count(*) >= 6"),
     "g3_normalised": (g3, f"WITH {PTS} SELECT scene, id, round((x - avg(x) OVER w) / greatest(1e-6, max(x) OVER w - min(x) OVER w), 6) AS nx, round((y - avg(y) OVER w) / greatest(1e-6, max(y) OVER w - min(y) OVER w), 6) AS ny FROM pts WINDOW w AS (PARTITION BY scene)"),
     "g4_residuals": (g4, f"WITH {PAIRS}, {SUMS.format(src='pr')}, {FIT} SELECT pr.scene, id, round(sqrt((a*sx+b*sy+mu-a*mx-b*my-tx)**2 + (c*sx+d*sy+mv-c*mx-d*my-ty)**2), 4) AS residual FROM pr JOIN ft ON pr.scene = ft.scene"),
     "g7_relocation": (g7, J8_SQL.replace("SELECT scene, id, anchor FROM go WHERE id IS NOT NULL", "SELECT g.scene, anchor, count(*) AS members, round(any_value(p.x), 4) AS x, round(any_value(p.y), 4) AS y FROM go g JOIN pts p ON g.anchor = p.id WHERE g.id IS NOT NULL GROUP BY g.scene, anchor")),
@@ -331,6 +332,6 @@ QUERIES = {
     "k17_patch_statistics": (k17, "WITH p AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS p FROM embeddings) SELECT vec_id, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(max(p), 6) AS max, round(avg(CASE WHEN p > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS saturated FROM p GROUP BY vec_id"),
     "k18_scene_statistics": (k18, "WITH p AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS p FROM embeddings) SELECT label, round(quantile_cont(p, 0.5), 6) AS background, round(quantile_cont(p, 0.999), 6) AS p999, count(*) FILTER (p > 0.3) AS stars FROM p GROUP BY label"),
     "k20_masked_ncc": (k20, f"WITH {VEC}, f AS (SELECT label, arg_min(v, vec_id) AS w FROM ev GROUP BY label), m AS (SELECT vec_id, v, w, v[1:16] AS a, w[1:16] AS b FROM ev JOIN f USING (label)) SELECT vec_id, round(list_sum(list_transform(list_zip({UNIT.format('v')}, {UNIT.format('w')}), lambda z: z[1]*z[2])), 6) AS ncc, round(list_sum(list_transform(list_zip({UNIT.format('a')}, {UNIT.format('b')}), lambda z: z[1]*z[2])), 6) AS masked FROM m"),
-    "p16_box_overlap": (p16, f"WITH {PTS} SELECT a.id AS aid, b.id AS bid FROM pts a JOIN pts b ON a.scene = b.scene AND a.id < b.id AND a.id < 60 AND b.id < 60 AND a.x < b.x + 300 AND b.x < a.x + 300 AND a.y < b.y + 300 AND b.y < a.y + 300"),
+    "p16_box_overlap": (p16, f"WITH {PTS} SELECT a.id AS aid, b.id AS bid FROM pts a JOIN pts b ON a.scene = b.scene AND a.id < b.id AND a.x < b.x + 300 AND b.x < a.x + 300 AND a.y < b.y + 300 AND b.y < a.y + 300"),
     "source_regions": (regions, "SELECT s_suppkey AS image, CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(c * 1000 + 96 AS INT) AS x0, CAST(r * 1000 + 96 AS INT) AS y0, ['development', 'calibration', 'confirmation'][(s_suppkey + r + c) % 3 + 1] AS split FROM supplier, range(3) a(r), range(3) b(c)"),
 }
