@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import anchors, distance, greedy_pairs
+from ..functions.columns import anchors, distance, greedy_pairs, once
 from .scoring import range_pairs
 
 
@@ -21,16 +21,28 @@ def capped(points: DataFrame, cap: int, by: str, descending: bool = False) -> Da
     return points.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).drop("k")
 
 
+def combinations(points: DataFrame, k: int) -> DataFrame:
+    """All k of a scene's points in order of id, as columns aid, ax, ay, bid, ... A scene's capped points come together once, as an
+    array, and index rows are made from it; nothing is joined."""
+    packed = points.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
+    rows = packed.withColumn("n", F.size("p")).where(F.col("n") >= k)
+    for i in range(k):
+        first = F.lit(0) if not i else F.col(f"i{i - 1}") + 1
+        rows = rows.select("scene", "p", "n", *(f"i{j}" for j in range(i)), F.explode(F.sequence(first, F.col("n") - (k - i))).alias(f"i{i}"))
+    return rows.select("scene", *(F.get("p", F.col(f"i{i}"))[c].alias(f"{'abcd'[i]}{c}") for i in range(k) for c in ("id", "x", "y")))
+
+
 def triangles(points: DataFrame) -> DataFrame:
     """(scene, ids, u, v): triangles with the vertices in the order of the opposite edges, and the ratios of the two shorter edges
     to the longest. Degenerate ones are left out: a shortest edge up to 1e-5, or an area's double up to .02 of the longest
     edge's square. Points must be capped: a scene of n makes n^3/6 of them."""
-    s = lambda a: points.select("scene", *(F.col(c).alias(f"{a}{c}") for c in ("id", "x", "y")))
-    three = s("a").join(s("b"), "scene").where("aid < bid").join(s("c"), "scene").where("bid < cid")
+    three = combinations(points, 3)
     d = lambda p, q: distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"{q}x"), F.col(f"{q}y"))
     edges = F.array_sort(F.array(*(F.struct(d(p, q).alias("d"), F.lit(i).alias("i"), F.col(f"{o}id").alias("id")) for i, (o, p, q) in enumerate(("abc", "bca", "cab")))))
     cross = F.abs((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax")))
-    made = three.select("scene", edges.alias("e"), cross.alias("cross")).where((F.col("e")[0]["d"] > 1e-5) & (F.col("cross") > 0.02 * F.col("e")[2]["d"] * F.col("e")[2]["d"]))
+    # as a generated column the edges are computed once; a filter on a plain one would be pushed down with its expression
+    made = three.select("scene", F.explode(F.array(F.struct(edges.alias("e"), cross.alias("cross")))).alias("m")).select("scene", "m.e", "m.cross")
+    made = made.where((F.col("e")[0]["d"] > 1e-5) & (F.col("cross") > 0.02 * F.col("e")[2]["d"] * F.col("e")[2]["d"]))
     longest = F.col("e")[2]["d"]
     return made.select("scene", *(F.col("e")[i]["id"].alias(f"id{i}") for i in range(3)), (F.col("e")[0]["d"] / longest).alias("u"), (F.col("e")[1]["d"] / longest).alias("v"))
 
@@ -38,20 +50,18 @@ def triangles(points: DataFrame) -> DataFrame:
 def quads(points: DataFrame) -> DataFrame:
     """(scene, ids, q): four points with the sorted shares of the areas that each three of them span, signs alternating so
     that an affine map keeps them, fixed by the largest. Degenerate ones are left out: a share up to .015 or two shares within .002."""
-    s = lambda a: points.select("scene", *(F.col(c).alias(f"{a}{c}") for c in ("id", "x", "y")))
-    four = s("a").join(s("b"), "scene").where("aid < bid").join(s("c"), "scene").where("bid < cid").join(s("d"), "scene").where("cid < did")
+    four = combinations(points, 4)
 
     def area(p: str, q: str, r: str) -> Column:
         g = F.col
         return (g(f"{q}x") - g(f"{p}x")) * (g(f"{r}y") - g(f"{p}y")) - (g(f"{q}y") - g(f"{p}y")) * (g(f"{r}x") - g(f"{p}x"))
 
     signed = [area("b", "c", "d"), -area("a", "c", "d"), area("a", "b", "d"), -area("a", "b", "c")]
-    rows = four.withColumns({f"s{i}": a for i, a in enumerate(signed)})
-    total = sum((F.abs(f"s{i}") for i in range(4)), F.lit(0.0))
-    largest = F.greatest(*(F.abs(f"s{i}") for i in range(4)))
-    sign = F.coalesce(*(F.when(F.abs(f"s{i}") == largest, F.signum(f"s{i}")) for i in range(4)))
-    shares = F.array_sort(F.array(*(F.struct((F.col(f"s{i}") * sign / total).alias("q"), F.col(f"{p}id").alias("id")) for i, p in enumerate("abcd"))))
-    rows = rows.where(total > 0).select("scene", shares.alias("q"))
+    ids = F.array(*(F.col(f"{p}id") for p in "abcd"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + F.abs(x))
+    sign = lambda v: F.signum(F.get(F.array_sort(F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("o"), i.alias("i"), x.alias("x")))), F.lit(0))["x"])
+    shares = lambda v: once(F.struct(total(v).alias("t"), sign(v).alias("g")), lambda m: F.transform(v, lambda x, i: F.struct((x * m["g"] / F.nullif(m["t"], F.lit(0.0))).alias("q"), F.get(ids, i).alias("id"))))
+    rows = four.select("scene", F.explode(F.array(F.array_sort(once(F.array(*signed), shares)))).alias("q")).where(F.get("q", F.lit(0))["q"].isNotNull())
     least = F.array_min(F.transform("q", lambda x: F.abs(x["q"])))
     gap = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("q", i + 1)["q"] - F.get("q", i)["q"]))
     return rows.where((least > 0.015) & (gap > 0.002)).select("scene", *(F.col("q")[i]["id"].alias(f"id{i}") for i in range(4)), *(F.col("q")[i]["q"].alias(f"q{i}") for i in range(4)))
