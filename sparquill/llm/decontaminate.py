@@ -229,6 +229,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows in which a benchmark window occurs."""
+    """``docs`` without the rows in which a benchmark window occurs.
+
+    ``docs`` is read twice and its rows are told by their places, so it must give the same rows in the same order again, as a
+    table does. All columns are kept.
+    """
     bad = matches(docs, benchmark).where("n_hit > 0").select("__place")
     return docs.withColumn("__place", F.monotonically_increasing_id()).join(checkpointed(bad), "__place", "left_anti").drop("__place")

@@ -123,7 +123,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, ties by place."""
+    """``docs`` with one row of each component: that of the smallest id, null ids last, ties by place.
+
+    ``docs`` is read twice and its rows are told by their places, so it must give the same rows in the same order again, as a
+    table does. All columns are kept.
+    """
     placed = docs.withColumn("__place", F.monotonically_increasing_id())
     fps = checkpointed(fingerprints(placed.select("__place", F.col(id_col).alias("__id"), text_col), ["__place", "__id"], text_col))
     roots = component_of(fps.select("__id", "fp"), "__id").select("fp", "root")
