@@ -112,7 +112,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col:
     return kept.mapInArrow(give, f"ids array<{kind}>, n_words array<int>, starts binary, terms binary, sizes binary, positions binary")
 
 
-def intersect(rows: np.ndarray, lengths: np.ndarray, terms: np.ndarray, sizes: np.ndarray, positions: np.ndarray, n_terms: int, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def intersect(rows: np.ndarray, terms: np.ndarray, sizes: np.ndarray, positions: np.ndarray, n_terms: int, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(window, position of its first word, whether exact) of the matches in one segment."""
     count = np.zeros(n_terms + 1, np.int64)
     count[terms] = sizes
@@ -166,7 +166,7 @@ def search(index: DataFrame, block: Block, id_col: str, slop: int = SLOP) -> Dat
                 hit = np.zeros(int(starts[-1]) + int(n[-1]) + GAP + 1, np.int32)
                 exact_of: dict[int, set] = {}
                 near_of: dict[int, set] = {}
-                for window, at, exact in intersect(q.rows, q.lengths, terms, sizes, positions, len(q.terms), slop):
+                for window, at, exact in intersect(q.rows, terms, sizes, positions, len(q.terms), slop):
                     doc = np.searchsorted(starts, at + slop, "right") - 1
                     np.add.at(hit, at[exact], 1)
                     np.add.at(hit, at[exact] + q.lengths[window[exact]], -1)

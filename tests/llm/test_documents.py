@@ -367,7 +367,7 @@ def test_lm_score(spark, docs, empty):
     # each token's probabilities are normalised, and the sum over a document is what its tokens give one by one
     kind, inside = lm_score.vocabulary(lm_score.corpus_counts(docs))
     assert np.allclose(np.bincount(kind, weights=np.exp(inside)), 1, atol=1e-4)
-    net = lm_score._Net(lm_score.train(docs, kind, lm_score.initial_weights(kind, inside)))
+    net = lm_score._Net(lm_score.train(docs, kind, lm_score.initial_weights()))
     words = lm_score._words(TEXTS[8].encode())
     line = [lm_score.CLASSES] * 2 + kind[words].tolist() + [lm_score.CLASSES] * 2
     total = 0.0
