@@ -29,7 +29,7 @@ from .common import byte_rows, checkpointed
 
 CAPACITY = 4096
 END = 1  # the id after each document
-KNOWN = 300_000  # cached words of a worker
+KNOWN = 350_000  # cached words of a worker
 SHORT = 48  # bytes of the longest cached word
 
 
@@ -131,6 +131,8 @@ class _Ids:
         text = ""
         if word.isalpha():
             parts = [word.lower()]
+        elif word[:-1].isalpha() and word[-1] in b".,;:!?":  # as the cut below would have it
+            parts = [word[:-1].lower(), word[-1:]]
         else:
             text = word.decode("utf-8", "replace")
             plain = PLAIN.fullmatch(text) and "<|" not in text
