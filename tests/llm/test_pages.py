@@ -42,7 +42,7 @@ def test_driver_pages(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", p.html, re.S)
         parts = re.split(r"</?(?:h1|p|ul|li|div)\b[^>]*>", inner[1]) if inner else []
         want = [" ".join(html.unescape(re.sub(r"<[^>]*(?:>|\Z)", lambda m: " " if m[0].startswith("<br") else "", x)).split()) for x in parts]
-        assert got[p.page_id] == "\n".join(x for x in want if x)
+        assert got[p.page_id] == "\n\n".join(x for x in want if x)
 
 
 def brute_repeats(streams, length, pages):
