@@ -153,8 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.record_batch([part.column(0), part.column(1), pa.array(split(cols.astype(np.int32)), pa.binary()), pa.array(split(values.astype(np.float32)), pa.binary())], names=["__id", "__quality", "cols", "vals"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = chosen.select("__id", F.col("__quality").cast("int").alias("__quality"), "__text").mapInArrow(give, f"__id {kind}, __quality int, cols binary, vals binary").collect()
-    found.sort(key=lambda r: (str(r[0]), bytes(r.vals)))
+    made = chosen.select("__id", F.col("__quality").cast("int").alias("__quality"), "__text").mapInArrow(give, f"__id {kind}, __quality int, cols binary, vals binary")
+    # an id may be on very many rows: one of them is learnt from, so at most ``sample`` rows come here
+    single = made.groupBy("__id", "__quality").agg(F.min(F.struct("vals", "cols")).alias("one"))
+    found = single.select("__id", "__quality", "one.vals", "one.cols").collect()
+    found.sort(key=lambda r: str(r[0]))
     pairs = [(np.frombuffer(r.cols, np.int32).astype(np.int64), np.frombuffer(r.vals, np.float32).astype(np.float64)) for r in found]
     return fit(pairs, np.array([float(r[1] > 0) for r in found]))
 
@@ -178,7 +181,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row a document: id, held_out, score, predicted (1 from a score of 0.3).
 
     A null or empty text is scored by its statistics alone. Null and repeated labels: nulls are not learnt from, the
-    larger of several counts. Without labels every score is 0.5. Repeated rows are scored each; a null id is not held out.
+    larger of several counts. Without labels every score is 0.5. Repeated rows are scored each, but of the rows of one id
+    only that of the least feature bytes is learnt from; a null id is not held out.
     """
     scored = score(docs, train(docs, labels, id_col, text_col), [id_col], text_col)
     held = F.coalesce(fold(id_col) == 0, F.lit(False))

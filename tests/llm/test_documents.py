@@ -345,6 +345,14 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, odd).columns == docs.columns
 
 
+def test_quality_learns_one_row_of_an_id(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: sizes.append((len(rows), len(labels))))
+    docs = spark.createDataFrame([(4, f"text {i % 3}") for i in range(50)] + [(9, "other"), (9, None)], "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(4, 1), (9, 0), (9, 0)], "doc_id long, quality int"))
+    assert sizes == [(sum(crc32(str(d).encode()) % 5 != 0 for d in (4, 9)),) * 2]
+
+
 def test_quality_pairs_identity():
     import numpy as np
 
