@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +31,7 @@ CAPACITY = 4096
 END = 1  # the id after each document
 KNOWN = 350_000  # cached words of a worker
 SHORT = 48  # bytes of the longest cached word
+BEYOND = bytes(range(0xC4, 0x100))  # bytes of UTF-8 from U+0100 on
 
 
 class Capacities:
@@ -111,14 +112,21 @@ class _Ids:
     """Token ids of texts, word by word: white space parts words, and no token spans it.
 
     Words seen before are looked up: known has the number of each, and the ids of number i are those of flat from
-    starts[i] to starts[i + 1]. Plain words go to the tokenizer's model directly, others through the whole tokenizer.
+    starts[i] to starts[i + 1]. Plain words are cut here, and the new parts of a text go to the tokenizer's model in one
+    call, which ends each part with a token that ends words. Others go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        model = self.tokenizer.model
+        self.bare = Tokenizer(model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(model.end_of_word_suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -126,32 +134,60 @@ class _Ids:
         self.long: list[bytes] = []
         self.flat, self.starts = array("i"), array("q", [0])
 
-    def add(self, word: bytes) -> int:
-        """The number of a new word, which it gets with its ids."""
-        text = ""
-        if word.isalpha():
-            parts = [word.lower()]
-        elif word[:-1].isalpha() and word[-1] in b".,;:!?":  # as the cut below would have it
-            parts = [word[:-1].lower(), word[-1:]]
-        else:
-            text = word.decode("utf-8", "replace")
-            plain = PLAIN.fullmatch(text) and "<|" not in text
-            parts = [p.encode() for p in PARTS.findall(text.lower())] if plain else []
-        flat, starts = self.flat, self.starts
-        if parts == [word]:
-            shown = word.decode() if word.isascii() else word.decode("latin-1").translate(SHOWN)
-            flat.extend([t.id for t in self.model.tokenize(shown)])
-        elif parts:  # a part is a word of its own
-            numbers = [self.known[p] if p in self.known else self.add(p) for p in parts]
-            for i in numbers:
+    @staticmethod
+    def lowered(text: bytes) -> bytes:
+        """The text with A-Z lower-cased where that cannot change its ids: without letters beyond Latin-1, which might join an
+        accent to a small letter only, and without marks of special tokens."""
+        return text if b"<|" in text or len(text.translate(None, BEYOND)) < len(text) else text.lower()
+
+    @staticmethod
+    def cut(word: bytes) -> list[bytes]:
+        """The parts of a plain word as the tokenizer cuts it; none for others."""
+        text = word.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(text) and "<|" not in text
+        return [p.encode() for p in PARTS.findall(text.lower())] if plain else []
+
+    def add(self, words: set[bytes]) -> None:
+        """Give new words their numbers and ids."""
+        known, flat, starts = self.known, self.flat, self.starts
+        new: dict[bytes, None] = {}
+        several: list[tuple[bytes, list[bytes]]] = []
+        for word in words:
+            if word.isalpha():
+                low = word.lower()
+                parts = [low]
+            elif word[:-1].isalpha() and word[-1] in b".,;:!?":  # as the cut would have it
+                low = word[:-1].lower()
+                parts = [low, word[-1:]]
+            else:
+                low = None
+                parts = self.cut(word)
+            for part in parts:
+                if part not in known:
+                    new[part] = None
+            if low != word and parts != [word]:
+                several.append((word, parts))
+        if new:
+            shown = " ".join([p.decode() if p.isascii() else p.decode("latin-1").translate(SHOWN) for p in new])
+            ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the model did not end each part once")
+            known.update(zip(new, count(len(starts) - 1), strict=False))
+            starts.frombytes((len(flat) + ends).astype(np.int64).tobytes())
+            flat.frombytes(ids.tobytes())
+        for word, parts in several:
+            if len(parts) == 1:
+                known[word] = known[parts[0]]
+                continue
+            for part in parts:
+                i = known[part]
                 flat.extend(flat[starts[i] : starts[i + 1]])
-        else:
-            flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        number = self.known[word] = len(starts) - 1
-        starts.append(len(flat))
-        if len(word) > SHORT:
-            self.long.append(word)
-        return number
+            if not parts:
+                flat.extend(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            known[word] = len(starts) - 1
+            starts.append(len(flat))
+        self.long += [w for own in (new, words) for w in own if len(w) > SHORT]
 
     def of(self, texts: list) -> list[np.ndarray]:
         """The ids of each text, and the end's id."""
@@ -161,12 +197,12 @@ class _Ids:
         get = known.get
         numbers, sizes = [], []
         for text in texts:
-            words = (text or b"").split()
+            words = self.lowered(text or b"").split()
             own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            for i in np.flatnonzero(own < 0).tolist():
-                word = words[i]
-                number = get(word, -1)
-                own[i] = number if number >= 0 else self.add(word)
+            if len(missing := np.flatnonzero(own < 0)):
+                unseen = [words[i] for i in missing.tolist()]
+                self.add(set(unseen))
+                own[missing] = [known[word] for word in unseen]
             numbers.append(own)
             sizes.append(len(own))
         ids, edge = np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.frombuffer(starts, np.int64)
@@ -179,7 +215,7 @@ class _Ids:
         out = [np.append(joined[a:b], np.int32(END)) for a, b in zip(at, at[1:], strict=False)]
         del ids, edge  # the arrays may grow again
         for word in self.long:  # their ids stay in flat until the next clearing, but the keys would hold whole texts
-            del known[word]
+            known.pop(word, None)
         self.long.clear()
         return out
 
