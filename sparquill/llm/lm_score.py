@@ -8,11 +8,13 @@ Vocabulary. Words are hashed to ``BUCKETS`` buckets whose counts are taken over
 frequent buckets are classes of their own, the others share the remaining classes. The network gives
 P(class | both sides); within a class the corpus counts give P(bucket | class).
 
-Training is data-parallel. Every task starts from the same weights, visits all its documents once and
-predicts each position whose hash picks it as masked (one in ``MASK``), with AdaGrad. The tasks' weights
-are averaged by the number of positions: they leave a task as blocks of ``BLOCK`` numbers, one row a block,
-which Spark sums by block with partial aggregation. So the driver receives one set of weights of fixed size
-whatever the input, and no task meets more than one block's rows at a time.
+Training is data-parallel, in rounds. The documents' buckets are dealt to shards of about ``SHARD`` tokens, however the
+input is partitioned, and each shard's documents to ``ROUNDS`` slots. The network starts from the corpus frequencies of the
+classes. In a round every shard starts from the same weights and AdaGrad state, visits the documents of one slot and predicts
+each position whose hash picks it as masked (one in ``MASK``); weights and state are then averaged by the number of positions.
+They leave a task as blocks of ``BLOCK`` numbers, one row a block, which Spark sums by block with partial aggregation. So the
+driver receives one set of weights of fixed size a round whatever the input, and no task meets more than one block's rows at a
+time. ``passes`` repeats the rounds; a small corpus gets more passes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, byte_rows
+from .common import WORDS, byte_rows, checkpointed
 
 BUCKETS = 1 << 16
 CLASSES = 128
@@ -35,6 +37,9 @@ OFFSETS = (-2, -1, 1, 2)
 MASK = 8
 BLOCK = 128
 BATCH = 1024
+SHARD = 1 << 21  # tokens of a shard
+ROUNDS = 8  # averages in a pass
+ENOUGH = 1 << 24  # tokens to visit before one pass does
 RATE = 0.08
 SHAPES = ((len(OFFSETS), CLASSES + 1, DIM), (DIM, CLASSES), (CLASSES,))
 SIZE = sum(int(np.prod(s)) for s in SHAPES)
@@ -61,11 +66,17 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each bucket, log P(bucket | class)), from at most ``BUCKETS`` rows of counts."""
+def tally(counts: DataFrame) -> np.ndarray:
+    """Occurrences of each bucket, from at most ``BUCKETS`` rows of counts."""
     n = np.zeros(BUCKETS)
     for r in counts.collect():
         n[r.bucket] = r.n
+    return n
+
+
+def vocabulary(counts: DataFrame | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each bucket, log P(bucket | class))."""
+    n = counts if isinstance(counts, np.ndarray) else tally(counts)
     order = np.lexsort((np.arange(BUCKETS), -n))
     kind = np.empty(BUCKETS, np.int16)
     kind[order[:OWN]] = np.arange(OWN)
@@ -91,8 +102,11 @@ def initial_weights() -> np.ndarray:
 
 def _stream(texts: list, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all tokens with two boundary marks about each document; places of the tokens; buckets."""
+    return _joined([_words(t) for t in texts], kind)
+
+
+def _joined(own: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.full(2, CLASSES, np.int16)
-    own = [_words(t) for t in texts]
     parts = [edge]
     for w in own:
         parts += (kind[w], edge)
@@ -101,11 +115,11 @@ def _stream(texts: list, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class _Net:
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, flat: np.ndarray, squares: np.ndarray | None = None) -> None:
         self.flat = flat.astype(np.float32).copy()
         self.inside, self.out, self.bias = _unpack(self.flat)
         self.seen = 0
-        self.squares = np.full(SIZE, 1e-3, np.float32)
+        self.squares = np.full(SIZE, 1e-3, np.float32) if squares is None else squares.astype(np.float32).copy()
 
     def hidden(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = self.inside[0][classes[at + OFFSETS[0]]]
@@ -141,29 +155,59 @@ class _Net:
         self.seen += len(at)
 
 
-def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """The weights averaged over all tasks' passes over all documents."""
+def shards(docs: DataFrame, text_col: str, tokens: int, shard: int) -> DataFrame:
+    """(words, slot): each document's buckets, dealt evenly to shards of about ``shard`` tokens, a partition each."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in byte_rows(batches):
+            yield pa.record_batch([pa.array([_words(t).astype("<u4").tobytes() for t in texts], pa.binary())], names=["words"])
+
+    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(encode, "words binary").where("length(words) > 0")
+    dealt = rows.repartition(max(1, -(-tokens // shard)))
+    return checkpointed(dealt.withColumn("slot", F.monotonically_increasing_id() % ROUNDS))
+
+
+def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int | None = None) -> np.ndarray:
+    """The weights after ``passes`` over all documents, averaged over the shards after each round. ``n``: the buckets' counts.
+
+    To the biases of ``start`` the classes' log frequencies are added first.
+    """
+    n = tally(corpus_counts(docs, text_col)) if n is None else n
+    tokens = int(n.sum())
+    if not tokens:
+        return start
+    whole = np.bincount(kind, weights=n + 0.5, minlength=CLASSES)
+    start = start.copy()
+    _unpack(start)[2][:] += np.log(whole / whole.sum())
+    passes = passes or min(4, max(1, -(-ENOUGH // tokens)))
+    dealt, cut = shards(docs, text_col, tokens, shard), -(-SIZE // BLOCK) * BLOCK
+    flat, squares = start, None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _Net(start)
-        for _, texts in byte_rows(batches, rows=256):
-            classes, at, buckets = _stream(texts, kind)
+        at_start = shared.value
+        net = _Net(*at_start[:2])
+        for _, rows in byte_rows(batches, rows=256):
+            classes, at, buckets = _joined([np.frombuffer(r, "<u4") for r in rows], at_start[2])
             picked = at[((at.astype(np.uint32) * np.uint32(2654435761) + buckets * np.uint32(40503)) >> np.uint32(16)) % MASK == 0]
             for i in range(0, len(picked), BATCH):
                 net.learn(classes, picked[i : i + BATCH])
         if net.seen:
-            blocks = np.zeros(-(-SIZE // BLOCK) * BLOCK, np.float64)
-            blocks[:SIZE] = net.flat.astype(np.float64) * net.seen
-            blocks = blocks.reshape(-1, BLOCK)
+            blocks = np.zeros((2, cut), np.float64)
+            blocks[0, :SIZE], blocks[1, :SIZE] = net.flat, net.squares
+            blocks = (blocks * net.seen).reshape(-1, BLOCK)
             cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), net.seen, np.int64))]
             yield pa.record_batch(cols + [pa.array(blocks[:, i].astype(np.float32)) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
 
     schema = "block int, n long, " + ", ".join(f"v{i} float" for i in range(BLOCK))
-    parts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(fit, schema)
-    rows = parts.groupBy("block").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(BLOCK))).orderBy("block").collect()
-    if not rows:
-        return start
-    return np.round(np.concatenate([np.array(r[2:]) / r.n for r in rows])[:SIZE], 5).astype(np.float32)
+    for turn in range(passes * ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast((flat, squares, kind))
+        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("words").mapInArrow(fit, schema)
+        rows = parts.groupBy("block").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(BLOCK))).orderBy("block").toArrow()
+        shared.unpersist()
+        if rows.num_rows:
+            mean = np.stack([rows.column(f"v{i}").to_numpy() for i in range(BLOCK)], axis=1) / rows.column("n").to_numpy()[:, None]
+            flat, squares = (part[:SIZE].astype(np.float32) for part in mean.reshape(2, cut))
+    return np.round(flat, 5)
 
 
 def score(docs: DataFrame, weights: np.ndarray, kind: np.ndarray, inside: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,6 +239,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A null or empty text, or one without words, has n_tokens 0, pll 0 and a null pll_mean. Repeated rows are
     scored each. Over an empty table nothing is learnt and nothing returned. Other columns are not read.
     """
-    kind, inside = vocabulary(corpus_counts(docs, text_col))
-    weights = train(docs, kind, initial_weights(), text_col)
+    n = tally(corpus_counts(docs, text_col))
+    kind, inside = vocabulary(n)
+    weights = train(docs, kind, initial_weights(), text_col, n)
     return score(docs, weights, kind, inside, id_col, text_col)

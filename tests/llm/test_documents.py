@@ -395,6 +395,25 @@ def test_lm_score_learns(spark):
     assert got[0] > got[4000] + 0.5
 
 
+def test_lm_score_beats_the_unigram_on_held_out_documents(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    seen, held = docs.where("doc_id % 10 <> 0"), [r.text.encode() for r in docs.where("doc_id % 10 = 0").collect()]
+    counts = lm_score.corpus_counts(seen)
+    kind, _ = lm_score.vocabulary(counts)
+    n = np.zeros(lm_score.BUCKETS)
+    for r in counts.collect():
+        n[r.bucket] = r.n
+    share = np.bincount(kind, weights=n + 0.5)
+    classes, at, _ = lm_score._stream(held, kind)
+    unigram = np.log(share / share.sum())[classes[at]].mean()
+    for parts in (1, 64):
+        net = lm_score._Net(lm_score.train(seen.repartition(parts), kind, lm_score.initial_weights()))
+        got = np.concatenate([net.log_probs(classes, at[i : i + 4096]) for i in range(0, len(at), 4096)]).mean()
+        assert got > unigram + 0.02, parts
+
+
 # media -------------------------------------------------------------------------------------------------------------
 
 
