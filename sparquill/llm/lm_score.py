@@ -4,14 +4,15 @@ A bidirectional window network, trained here in numpy, predicts each token of a
 tokens on either side. The sum of the conditional log-probabilities, the pseudo-log-likelihood, is the
 document's score.
 
-Vocabulary. Words are hashed to ``BUCKETS`` buckets whose counts are taken over *all* documents. The most
-frequent buckets are classes of their own, the others share the remaining classes. The network gives
-P(class | both sides); within a class the corpus counts give P(bucket | class).
+Vocabulary. Words are hashed to ``BUCKETS`` buckets whose counts are taken over *all* documents. The most frequent ``OWN``
+buckets are classes of their own, the others share the remaining classes. In each shared class the most frequent buckets, as
+many as the corpus supports (``members``), are words of their own as input and as output; the rest of a class is one unit, in
+which the corpus counts give P(bucket | unit). The network gives P(class | both sides) and P(unit | class, both sides).
 
 Training is data-parallel, in rounds. The documents' buckets are dealt to shards of about ``SHARD`` tokens, however the
 input is partitioned, and each shard's documents to ``ROUNDS`` slots. The network starts from the corpus frequencies of the
 classes. In a round every shard starts from the same weights and AdaGrad state, visits the documents of one slot and predicts
-each position whose hash picks it as masked (one in ``MASK``); weights and state are then averaged by the number of positions.
+each position; weights and state are then averaged by the number of positions.
 They leave a task as blocks of ``BLOCK`` numbers, one row a block, which Spark sums by block with partial aggregation. So the
 driver receives one set of weights of fixed size a round whatever the input, and no task meets more than one block's rows at a
 time. ``passes`` repeats the rounds; a small corpus gets more passes.
@@ -29,20 +30,41 @@ from pyspark.sql import functions as F
 
 from .common import WORDS, byte_rows, checkpointed
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 CLASSES = 128
 OWN = 88  # classes of a single bucket
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
-MASK = 8
+SHARED = CLASSES - OWN
+MEMBERS = 100  # most words of their own in a shared class
+PER_MEMBER = 40_000  # tokens of the corpus for each; none below five times as many
 BLOCK = 128
-BATCH = 1024
+BATCH = 4096
 SHARD = 1 << 21  # tokens of a shard
 ROUNDS = 8  # averages in a pass
-ENOUGH = 1 << 24  # tokens to visit before one pass does
+ENOUGH = 1 << 22  # tokens to visit before one pass does
 RATE = 0.08
-SHAPES = ((len(OFFSETS), CLASSES + 1, DIM), (DIM, CLASSES), (CLASSES,))
-SIZE = sum(int(np.prod(s)) for s in SHAPES)
+
+
+def shapes(m: int) -> tuple:
+    """Shapes of the weights with ``m`` words of their own in a shared class: inputs by unit, classes, words of a class."""
+    words = ((SHARED, DIM, m + 1), (SHARED, m + 1)) if m else ()
+    return ((len(OFFSETS), CLASSES + 1 + SHARED * m, DIM), (DIM, CLASSES), (CLASSES,), *words)
+
+
+def size(m: int) -> int:
+    return sum(int(np.prod(s)) for s in shapes(m))
+
+
+def class_of(m: int) -> np.ndarray:
+    """Class of each unit: the classes (of a shared one the rest of it), the boundary mark, the words of the shared classes in turn."""
+    return np.concatenate([np.arange(CLASSES + 1), OWN + np.arange(SHARED * m) % SHARED])
+
+
+def members(n: np.ndarray) -> int:
+    """Words of their own in a shared class: they grow with the corpus, and each occurs 20 times at least."""
+    tokens = int(n.sum())
+    return 0 if tokens < 5 * PER_MEMBER else min(MEMBERS, tokens // PER_MEMBER, max(0, int((n >= 20).sum()) - OWN) // SHARED)
 
 
 def _words(text: bytes | None) -> np.ndarray:
@@ -69,26 +91,28 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def tally(counts: DataFrame) -> np.ndarray:
     """Occurrences of each bucket, from at most ``BUCKETS`` rows of counts."""
     n = np.zeros(BUCKETS)
-    for r in counts.collect():
-        n[r.bucket] = r.n
+    rows = counts.toArrow()
+    n[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return n
 
 
 def vocabulary(counts: DataFrame | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each bucket, log P(bucket | class))."""
+    """(unit of each bucket, log P(bucket | unit))."""
     n = counts if isinstance(counts, np.ndarray) else tally(counts)
     order = np.lexsort((np.arange(BUCKETS), -n))
+    own = SHARED * members(n)
     kind = np.empty(BUCKETS, np.int16)
     kind[order[:OWN]] = np.arange(OWN)
-    kind[order[OWN:]] = OWN + order[OWN:] % (CLASSES - OWN)
-    smooth = n + 0.5
+    kind[order[OWN:]] = OWN + order[OWN:] % SHARED
+    kind[order[OWN : OWN + own]] = CLASSES + 1 + np.arange(own)
+    smooth = n + max(1e-6, min(0.5, n.sum() / (8 * BUCKETS)))
     whole = np.bincount(kind, weights=smooth, minlength=CLASSES)
     return kind, np.log(smooth / whole[kind]).astype(np.float32)
 
 
-def _unpack(flat: np.ndarray) -> list[np.ndarray]:
+def _unpack(flat: np.ndarray, m: int = 0) -> list[np.ndarray]:
     out, at = [], 0
-    for shape in SHAPES:
+    for shape in shapes(m):
         n = int(np.prod(shape))
         out.append(flat[at : at + n].reshape(shape))
         at += n
@@ -97,11 +121,26 @@ def _unpack(flat: np.ndarray) -> list[np.ndarray]:
 
 def initial_weights() -> np.ndarray:
     rng = np.random.default_rng(20)
-    return (rng.standard_normal(SIZE) * 0.1).astype(np.float32)
+    return (rng.standard_normal(size(0)) * 0.1).astype(np.float32)
+
+
+def from_frequencies(start: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``start`` with log frequencies added to its biases, and with weights for the words that ``kind`` has besides the classes."""
+    m = max(0, int(kind.max()) - CLASSES) // SHARED
+    units = np.bincount(kind, weights=n, minlength=CLASSES + 1 + SHARED * m) + 0.5
+    flat = np.zeros(size(m), np.float32)
+    new, old = _unpack(flat, m), _unpack(start)
+    new[0][:] = np.random.default_rng(21).standard_normal(new[0].shape) * 0.1
+    new[0][:, : CLASSES + 1] = old[0]
+    whole = np.bincount(class_of(m), weights=units)[:CLASSES]
+    new[1][:], new[2][:] = old[1], old[2] + np.log(whole / whole.sum())
+    if m:
+        new[4][:] = np.log(np.column_stack([units[CLASSES + 1 :].reshape(m, SHARED).T, units[OWN:CLASSES]]) / whole[OWN:, None])
+    return flat
 
 
 def _stream(texts: list, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens with two boundary marks about each document; places of the tokens; buckets."""
+    """Units of all tokens with two boundary marks about each document; places of the tokens; buckets."""
     return _joined([_words(t) for t in texts], kind)
 
 
@@ -111,15 +150,30 @@ def _joined(own: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.nda
     for w in own:
         parts += (kind[w], edge)
     classes = np.concatenate(parts)
-    return classes, np.flatnonzero(classes < CLASSES), np.concatenate(own) if own else np.empty(0, np.uint32)
+    return classes, np.flatnonzero(classes != CLASSES), np.concatenate(own) if own else np.empty(0, np.uint32)
 
 
 class _Net:
     def __init__(self, flat: np.ndarray, squares: np.ndarray | None = None) -> None:
         self.flat = flat.astype(np.float32).copy()
-        self.inside, self.out, self.bias = _unpack(self.flat)
+        self.m = 0 if len(flat) == size(0) else 1 + (len(flat) - size(1)) // (size(2) - size(1))
+        self.inside, self.out, self.bias, *self.words = _unpack(self.flat, self.m)
+        self.class_of = class_of(self.m)
         self.seen = 0
-        self.squares = np.full(SIZE, 1e-3, np.float32) if squares is None else squares.astype(np.float32).copy()
+        self.squares = np.full(len(flat), 1e-3, np.float32) if squares is None else squares.astype(np.float32).copy()
+
+    def shared(self, units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of a shared class, places of its units, their members' numbers); the rest of a class is its last member."""
+        if not self.m:
+            return
+        own = self.class_of[units] - OWN
+        order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[order], np.arange(SHARED + 1))
+        for c in range(SHARED):
+            if edges[c] < edges[c + 1]:
+                rows = order[edges[c] : edges[c + 1]]
+                u = units[rows].astype(np.int64)
+                yield c, rows, np.where(u < CLASSES, self.m, (u - CLASSES - 1) // SHARED)
 
     def hidden(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = self.inside[0][classes[at + OFFSETS[0]]]
@@ -128,33 +182,48 @@ class _Net:
         return np.tanh(h, out=h)
 
     def log_probs(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        logits = self.hidden(classes, at) @ self.out
-        logits += self.bias
-        own = logits[np.arange(len(at)), classes[at]]
-        return own - np.log(np.exp(np.clip(logits, -60, 60, out=logits), out=logits).sum(axis=1))
+        h = self.hidden(classes, at)
+        got = _log_softmax(h @ self.out + self.bias, self.class_of[classes[at]])
+        for c, rows, member in self.shared(classes[at]):
+            got[rows] += _log_softmax(h[rows] @ self.words[0][c] + self.words[1][c], member)
+        return got
 
     def learn(self, classes: np.ndarray, at: np.ndarray) -> None:
         h = self.hidden(classes, at)
-        p = h @ self.out + self.bias
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), classes[at]] -= 1
-        p /= len(at)
-        grad = np.empty(SIZE, np.float32)
-        g_in, g_out, g_bias = _unpack(grad)
+        p = _softmax_grad(h @ self.out + self.bias, self.class_of[classes[at]], len(at))
+        grad = np.zeros(len(self.flat), np.float32)
+        g_in, g_out, g_bias, *g_words = _unpack(grad, self.m)
         g_out[:] = h.T @ p
         g_bias[:] = p.sum(axis=0)
-        back = (p @ self.out.T) * (1 - h * h)
+        back = p @ self.out.T
+        for c, rows, member in self.shared(classes[at]):
+            q = _softmax_grad(h[rows] @ self.words[0][c] + self.words[1][c], member, len(at))
+            g_words[0][c] = h[rows].T @ q
+            g_words[1][c] = q.sum(axis=0)
+            back[rows] += q @ self.words[0][c].T
+        back *= 1 - h * h
         for g, o in zip(g_in, OFFSETS, strict=True):
-            near = np.zeros((len(at), CLASSES + 1), np.float32)
-            near[np.arange(len(at)), classes[at + o]] = 1
-            g[:] = near.T @ back
+            cells = classes[at + o].astype(np.int64)[:, None] * DIM + np.arange(DIM)
+            g[:] = np.bincount(cells.ravel(), weights=back.ravel(), minlength=g.size).reshape(g.shape)
         self.squares += grad * grad
         self.flat -= RATE * grad / np.sqrt(self.squares)
         self.seen += len(at)
 
 
+def _log_softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    got = logits[np.arange(len(own)), own]
+    return got - np.log(np.exp(np.clip(logits, -60, 60, out=logits), out=logits).sum(axis=1))
+
+
+def _softmax_grad(p: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(own)), own] -= 1
+    p /= n
+    return p
+
+
 def shards(docs: DataFrame, text_col: str, tokens: int, shard: int) -> DataFrame:
     """(words, slot): each document's buckets, dealt evenly to shards of about ``shard`` tokens, a partition each."""
 
@@ -170,30 +239,28 @@ def shards(docs: DataFrame, text_col: str, tokens: int, shard: int) -> DataFrame
 def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int | None = None) -> np.ndarray:
     """The weights after ``passes`` over all documents, averaged over the shards after each round. ``n``: the buckets' counts.
 
-    To the biases of ``start`` the classes' log frequencies are added first.
+    ``start`` goes through ``from_frequencies`` first.
     """
     n = tally(corpus_counts(docs, text_col)) if n is None else n
     tokens = int(n.sum())
     if not tokens:
         return start
-    whole = np.bincount(kind, weights=n + 0.5, minlength=CLASSES)
-    start = start.copy()
-    _unpack(start)[2][:] += np.log(whole / whole.sum())
+    start = from_frequencies(start, kind, n)
     passes = passes or min(4, max(1, -(-ENOUGH // tokens)))
-    dealt, cut = shards(docs, text_col, tokens, shard), -(-SIZE // BLOCK) * BLOCK
+    dealt, cut = shards(docs, text_col, tokens, shard), -(-len(start) // BLOCK) * BLOCK
     flat, squares = start, None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_start = shared.value
         net = _Net(*at_start[:2])
         for _, rows in byte_rows(batches, rows=256):
-            classes, at, buckets = _joined([np.frombuffer(r, "<u4") for r in rows], at_start[2])
-            picked = at[((at.astype(np.uint32) * np.uint32(2654435761) + buckets * np.uint32(40503)) >> np.uint32(16)) % MASK == 0]
-            for i in range(0, len(picked), BATCH):
-                net.learn(classes, picked[i : i + BATCH])
+            classes, at, _ = _joined([np.frombuffer(r, "<u4") for r in rows], at_start[2])
+            at = np.random.default_rng(len(at)).permutation(at)
+            for i in range(0, len(at), BATCH):
+                net.learn(classes, at[i : i + BATCH])
         if net.seen:
             blocks = np.zeros((2, cut), np.float64)
-            blocks[0, :SIZE], blocks[1, :SIZE] = net.flat, net.squares
+            blocks[0, : len(start)], blocks[1, : len(start)] = net.flat, net.squares
             blocks = (blocks * net.seen).reshape(-1, BLOCK)
             cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), net.seen, np.int64))]
             yield pa.record_batch(cols + [pa.array(blocks[:, i].astype(np.float32)) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
@@ -206,7 +273,7 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
         shared.unpersist()
         if rows.num_rows:
             mean = np.stack([rows.column(f"v{i}").to_numpy() for i in range(BLOCK)], axis=1) / rows.column("n").to_numpy()[:, None]
-            flat, squares = (part[:SIZE].astype(np.float32) for part in mean.reshape(2, cut))
+            flat, squares = (part[: len(start)].astype(np.float32) for part in mean.reshape(2, cut))
     return np.round(flat, 5)
 
 

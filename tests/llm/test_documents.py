@@ -414,6 +414,29 @@ def test_lm_score_beats_the_unigram_on_held_out_documents(spark):
         assert got > unigram + 0.02, parts
 
 
+def test_lm_score_tells_rare_words_of_a_class_by_their_neighbours(spark):
+    import random
+
+    rng = random.Random(3)
+    left, right = [f"left{i}" for i in range(200)], [f"right{i}" for i in range(200)]
+    texts = [" ".join(w for _ in range(30) for i in [rng.randrange(200)] for w in ("a", left[i % 2 * 100 + i // 2], f"mid{i % 2}", right[i])) for _ in range(2500)]
+    n = np_counts(texts)
+    kind, _ = lm_score.vocabulary(n)
+    words = lm_score._words(" ".join(left + right).encode())
+    assert len(set(kind[words].tolist())) > 250  # units of their own, not 40 classes
+    # mid0 or mid1 tells which half the word on its left is from: the swapped texts have the same words in the wrong halves
+    swapped = [t.replace("mid0", "midx").replace("mid1", "mid0").replace("midx", "mid1") for t in texts[:200]]
+    docs = spark.createDataFrame(list(enumerate(texts + swapped)), "doc_id long, text string")
+    got = {r.doc_id: r.pll_mean for r in lm_score.lm_score(docs).collect()}
+    assert sum(got[i] > got[2500 + i] + 0.1 for i in range(200)) > 190
+
+
+def np_counts(texts):
+    import numpy as np
+
+    return np.bincount(np.concatenate([lm_score._words(t.encode()) for t in texts]), minlength=lm_score.BUCKETS).astype(float)
+
+
 # media -------------------------------------------------------------------------------------------------------------
 
 
