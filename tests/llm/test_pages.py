@@ -85,6 +85,14 @@ def test_unmarked_pages_lose_what_hosts_repeat(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_repeats_are_counted_over_the_whole_host(spark):
+    menu = " ".join(f"menu{i}" for i in range(12))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", f"<body><p>{menu}</p><p>{own(i)}</p></body>") for i in range(12)], "page_id long, url string, html string")
+    for group in (1, 2, 2000):  # groups of a page or two see no boilerplate by themselves
+        assert {r.page_id: r.text for r in html_extract.extract(df, group=group).collect()} == {i: own(i) for i in range(12)}, group
+
+
 def brute_url(url):
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else ""
