@@ -93,6 +93,16 @@ def test_repeats_are_counted_over_the_whole_host(spark):
         assert {r.page_id: r.text for r in html_extract.extract(df, group=group).collect()} == {i: own(i) for i in range(12)}, group
 
 
+def test_copies_and_long_quotes_keep_their_text(spark):
+    text = lambda k, n: " ".join(f"{k}x{j}" for j in range(n))
+    rows = [(i, f"http://h.example/{i}", f"<body><p>{text('copy', 30)}</p></body>") for i in range(3)]
+    rows += [(i, f"http://h.example/{i}", f"<body><p>{text('quote', 60)}</p><p>{text(f'w{i}', 20)}</p></body>") for i in range(10, 13)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: text("copy", 30) for i in range(3)} | {i: text("quote", 60) + "\n\n" + text(f"w{i}", 20) for i in range(10, 13)}
+    for group in (1, 2000):
+        assert {r.page_id: r.text for r in html_extract.extract(df, group=group).collect()} == want, group
+
+
 def brute_url(url):
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else ""
