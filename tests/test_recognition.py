@@ -158,3 +158,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("got").agg(F.sum("n")).first()[0] == spark.read.parquet(str(tmp_path / "in")).count()
+
+
+def test_queries_try_all_seeds_of_the_default_cap(spark, monkeypatch):
+    from sparquill.operators import recognition
+    from sparquill.plans import recognition_plans
+
+    budgets = []
+    real = recognition.hypotheses
+    keep = lambda cand, catalog, **options: budgets.append(options.get("cap", 80_000)) or real(cand, catalog, **options)
+    monkeypatch.setattr(recognition, "hypotheses", keep)
+    monkeypatch.setattr(recognition_plans, "hypotheses", keep)
+    for query in (recognition_plans.c5, recognition_plans.c8, recognition_plans.c9, recognition_plans.c14):
+        query(spark, "/root/testdata/sf0.001")
+    assert budgets == [80_000] * 5
