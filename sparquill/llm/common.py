@@ -46,9 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def byte_rows(batches: Iterator[pa.RecordBatch], text: int = -1, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of at most ``rows`` rows, each with its binary text column as a list of bytes or None."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part, part.column(part.num_columns - 1 if text < 0 else text).to_pylist()
+            yield batch.slice(at, rows)
+
+
+def byte_rows(batches: Iterator[pa.RecordBatch], text: int = -1, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of at most ``rows`` rows, each with its binary text column as a list of bytes or None."""
+    for part in slices(batches, rows):
+        yield part, part.column(part.num_columns - 1 if text < 0 else text).to_pylist()

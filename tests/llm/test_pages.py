@@ -11,11 +11,11 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def text_of(page):
-    return "\n".join(b for b, _ in html_extract.blocks(page))
+    return "\n".join(b for b, kind in html_extract.blocks(page) if kind)
 
 
 def core(page):
-    return "\n".join(b for b, inside in html_extract.blocks(page) if inside)
+    return "\n".join(b for b, kind in html_extract.blocks(page) if kind == html_extract.CORE)
 
 
 def test_blocks():
@@ -45,32 +45,89 @@ def test_driver_pages(spark):
         assert got[p.page_id] == "\n\n".join(x for x in want if x)
 
 
-def brute_repeats(streams, length, pages):
-    seen = {}
-    for i, s in enumerate(streams):
-        for j in range(len(s) - length + 1):
-            seen.setdefault(tuple(s[j : j + length]), set()).add(i)
-    out = []
-    for s in streams:
-        hit = [False] * len(s)
-        for j in range(len(s) - length + 1):
-            if len(seen[tuple(s[j : j + length])]) >= pages:
-                hit[j : j + length] = [True] * length
-        out.append(hit)
-    return out
-
-
-def test_suffix_array_repeats():
+def test_shards_count_every_substring():
+    """Names and numbers of pages, over several hosts and with several runs a page, as sets of substrings have them."""
     rng = random.Random(7)
-    for length, pages in ((4, 2), (8, 3)):
+    for length in (4, 8):
         for _ in range(20):
             boiler = [rng.choice("abc") for _ in range(15)]
-            streams = []
+            pages = []
             for _ in range(rng.randrange(0, 7)):
-                s = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))]
-                streams.append(s + boiler * rng.randrange(2) + [rng.choice("ab") for _ in range(rng.randrange(0, 12))])
-            got = html_extract.repeated(streams, length, pages)
-            assert [g.tolist() for g in got] == brute_repeats(streams, length, pages)
+                runs = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))] + boiler * rng.randrange(2) for _ in range(rng.randrange(0, 3))]
+                pages.append((rng.randrange(-2, 2), runs))
+            seen = {}
+            for i, (host, runs) in enumerate(pages):
+                for r in runs:
+                    for j in range(len(r) - length + 1):
+                        seen.setdefault((host, *r[j : j + length]), set()).add(i)
+            name, n = html_extract.shard([(h, html_extract.encoded(r)) for h, r in pages], length)
+            assert len(set(name.tolist())) == len(name) and sorted(n.tolist()) == sorted(map(len, seen.values()))
+
+
+def brute_texts(pages, least=3):
+    """Texts of (url, html) pages from the rule, by sets of substrings."""
+    hosts = {}
+    for url, page in pages:
+        parts = html_extract.blocks(page)
+        hosts.setdefault((url or "").split("://")[-1].split("/")[0], {})["\n".join(b for b, _ in parts)] = parts
+    repeats = {}
+    for host, own in hosts.items():
+        seen = {}
+        for key, parts in own.items():
+            for s in html_extract.streams_of(parts):
+                for j in range(len(s) - 7):
+                    seen.setdefault(tuple(s[j : j + 8]), set()).add(key)
+        repeats[host] = {w for w, keys in seen.items() if len(keys) >= least}
+    out = []
+    for url, page in pages:
+        parts, known = html_extract.blocks(page), repeats[(url or "").split("://")[-1].split("/")[0]]
+        if any(k == html_extract.CORE for _, k in parts):
+            out.append("\n\n".join(b for b, k in parts if k == html_extract.CORE))
+            continue
+        runs = [[]]
+        for b, k in parts:
+            runs[-1].append((b.split(), b, k)) if len(b.split()) <= 50 else runs.extend(([(b.split(), b, k)], []))
+        keep = []
+        for run in runs:
+            tokens = [t for own, _, _ in run for t in own]
+            hit = {j + i for j in range(len(tokens) - 7) if len(run[0][0]) <= 50 and tuple(tokens[j : j + 8]) in known for i in range(8)}
+            at = 0
+            for own, b, k in run:
+                if k == html_extract.OPEN and not set(range(at, at + len(own))) <= hit:
+                    keep.append(b)
+                at += len(own)
+        out.append("\n\n".join(keep))
+    return out
+
+
+def test_unmarked_pages_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda k=60: f"w{rng.randrange(k)}"
+    boiler = [" ".join(word() for _ in range(rng.randrange(2, 14))) for _ in range(12)]
+    pages = []
+    for i in range(260):
+        host = rng.choice(["big.example"] * 6 + ["a.example", "b.example"])
+        parts = []
+        for _ in range(rng.randrange(0, 12)):
+            text = rng.choice(boiler) if rng.random() < 0.6 else " ".join(word(2000) for _ in range(rng.choice((1, 5, 20, 49, 50, 51, 80))))
+            parts.append(rng.choice(("<p>{}</p>", "<div>{}</div>", "<div class=ad>{}</div>", "<footer>{}</footer>", "<p><b>{}</b></p>")).format(text))
+        page = "".join(parts)
+        pages.append((f"http://{host}/{i}", f"<article>{page}</article>" if rng.random() < 0.1 else page))
+    pages += pages[:20] + [("http://big.example/copy", p) for _, p in pages[20:40]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    want = brute_texts(pages)
+    assert sum(len(w) for w in want) < sum(len(" ".join(b for b, k in html_extract.blocks(p) if k)) for _, p in pages)
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in html_extract.extract(df.repartition(parts)).collect()} == dict(enumerate(want)), parts
+
+
+def test_a_host_of_any_size_gives_the_same_text(spark):
+    menu = " ".join(f"menu{i}" for i in range(12))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    for size, unmarked in ((5, 5), (5000, 5000), (5000, 20)):  # in the last, most pages mark their text
+        page = lambda i, n=unmarked: f"<body><p>{menu}</p><p>{own(i)}</p></body>" if i < n else f"<article>{own(i)}</article>"
+        df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(size)], "page_id long, url string, html string").repartition(9)
+        assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: own(i) for i in range(size)}
 
 
 def test_unmarked_pages_lose_what_hosts_repeat(spark):
@@ -85,22 +142,13 @@ def test_unmarked_pages_lose_what_hosts_repeat(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
-def test_repeats_are_counted_over_the_whole_host(spark):
-    menu = " ".join(f"menu{i}" for i in range(12))
-    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
-    df = spark.createDataFrame([(i, f"http://h.example/{i}", f"<body><p>{menu}</p><p>{own(i)}</p></body>") for i in range(12)], "page_id long, url string, html string")
-    for group in (1, 2, 2000):  # groups of a page or two see no boilerplate by themselves
-        assert {r.page_id: r.text for r in html_extract.extract(df, group=group).collect()} == {i: own(i) for i in range(12)}, group
-
-
 def test_copies_and_long_quotes_keep_their_text(spark):
     text = lambda k, n: " ".join(f"{k}x{j}" for j in range(n))
     rows = [(i, f"http://h.example/{i}", f"<body><p>{text('copy', 30)}</p></body>") for i in range(3)]
     rows += [(i, f"http://h.example/{i}", f"<body><p>{text('quote', 60)}</p><p>{text(f'w{i}', 20)}</p></body>") for i in range(10, 13)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = {i: text("copy", 30) for i in range(3)} | {i: text("quote", 60) + "\n\n" + text(f"w{i}", 20) for i in range(10, 13)}
-    for group in (1, 2000):
-        assert {r.page_id: r.text for r in html_extract.extract(df, group=group).collect()} == want, group
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
 
 
 def brute_url(url):
