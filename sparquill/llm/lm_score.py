@@ -9,8 +9,8 @@ buckets are classes of their own, the others share the remaining classes. In eac
 many as the corpus supports (``members``), are words of their own as input and as output; the rest of a class is one unit, in
 which the corpus counts give P(bucket | unit). The network gives P(class | both sides) and P(unit | class, both sides).
 
-Training is data-parallel, in rounds. The documents' buckets are dealt to shards of about ``SHARD`` tokens, however the
-input is partitioned, and each shard's documents to ``ROUNDS`` slots. The network starts from the corpus frequencies of the
+Training is data-parallel, in rounds. A hash of id and text deals each document to a shard of about ``SHARD`` tokens, to one of
+its ``ROUNDS`` slots and to a place in it, so that the weights do not depend on how the input is partitioned. The network starts from the corpus frequencies of the
 classes. In a round every shard starts from the same weights and AdaGrad state, visits the documents of one slot and predicts
 each position; weights and state are then averaged by the number of positions.
 They leave a task as blocks of ``BLOCK`` numbers, one row a block, which Spark sums by block with partial aggregation. So the
@@ -20,11 +20,13 @@ time. ``passes`` repeats the rounds; a small corpus gets more passes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,13 @@ SHARED = CLASSES - OWN
 MEMBERS = 100  # most words of their own in a shared class
 PER_MEMBER = 40_000  # tokens of the corpus for each; none below five times as many
 BLOCK = 128
-BATCH = 4096
+BATCH = 4096  # positions of a step
+SCORED = 16384  # positions scored at once
 SHARD = 1 << 21  # tokens of a shard
 ROUNDS = 8  # averages in a pass
 ENOUGH = 1 << 22  # tokens to visit before one pass does
 RATE = 0.08
+GRAIN = 2.0**-20  # of weights that are averaged
 
 
 def shapes(m: int) -> tuple:
@@ -110,9 +114,9 @@ def vocabulary(counts: DataFrame | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, np.log(smooth / whole[kind]).astype(np.float32)
 
 
-def _unpack(flat: np.ndarray, m: int = 0) -> list[np.ndarray]:
+def _unpack(flat: np.ndarray, m: int = 0, first: int = 0) -> list[np.ndarray]:
     out, at = [], 0
-    for shape in shapes(m):
+    for shape in shapes(m)[first:]:
         n = int(np.prod(shape))
         out.append(flat[at : at + n].reshape(shape))
         at += n
@@ -141,16 +145,17 @@ def from_frequencies(start: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.n
 
 def _stream(texts: list, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units of all tokens with two boundary marks about each document; places of the tokens; buckets."""
-    return _joined([_words(t) for t in texts], kind)
+    own = [_words(t) for t in texts]
+    return *_joined([kind[w] for w in own]), np.concatenate(own) if own else np.empty(0, np.uint32)
 
 
-def _joined(own: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.full(2, CLASSES, np.int16)
     parts = [edge]
-    for w in own:
-        parts += (kind[w], edge)
+    for units in own:
+        parts += (units, edge)
     classes = np.concatenate(parts)
-    return classes, np.flatnonzero(classes != CLASSES), np.concatenate(own) if own else np.empty(0, np.uint32)
+    return classes, np.flatnonzero(classes != CLASSES)
 
 
 class _Net:
@@ -161,19 +166,22 @@ class _Net:
         self.class_of = class_of(self.m)
         self.seen = 0
         self.squares = np.full(len(flat), 1e-3, np.float32) if squares is None else squares.astype(np.float32).copy()
+        self.inside_squares = _unpack(self.squares, self.m)[0]
+        self.grad = np.zeros(len(flat) - self.inside.size, np.float32)  # of all weights but the inputs
+        self.g_out, self.g_bias, *self.g_words = _unpack(self.grad, self.m, 1)
 
     def shared(self, units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of a shared class, places of its units, their members' numbers); the rest of a class is its last member."""
         if not self.m:
             return
         own = self.class_of[units] - OWN
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.int16), kind="stable")
         edges = np.searchsorted(own[order], np.arange(SHARED + 1))
+        u = units[order].astype(np.int64)
+        member = np.where(u < CLASSES, self.m, (u - CLASSES - 1) // SHARED)
         for c in range(SHARED):
             if edges[c] < edges[c + 1]:
-                rows = order[edges[c] : edges[c + 1]]
-                u = units[rows].astype(np.int64)
-                yield c, rows, np.where(u < CLASSES, self.m, (u - CLASSES - 1) // SHARED)
+                yield c, order[edges[c] : edges[c + 1]], member[edges[c] : edges[c + 1]]
 
     def hidden(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = self.inside[0][classes[at + OFFSETS[0]]]
@@ -189,57 +197,81 @@ class _Net:
         return got
 
     def learn(self, classes: np.ndarray, at: np.ndarray) -> None:
+        """One AdaGrad step on the mean loss of some positions. Of the inputs only the rows that occur have a gradient."""
         h = self.hidden(classes, at)
         p = _softmax_grad(h @ self.out + self.bias, self.class_of[classes[at]], len(at))
-        grad = np.zeros(len(self.flat), np.float32)
-        g_in, g_out, g_bias, *g_words = _unpack(grad, self.m)
-        g_out[:] = h.T @ p
-        g_bias[:] = p.sum(axis=0)
+        self.grad[:] = 0
+        self.g_out[:] = h.T @ p
+        self.g_bias[:] = np.ones(len(p), np.float32) @ p
         back = p @ self.out.T
         for c, rows, member in self.shared(classes[at]):
-            q = _softmax_grad(h[rows] @ self.words[0][c] + self.words[1][c], member, len(at))
-            g_words[0][c] = h[rows].T @ q
-            g_words[1][c] = q.sum(axis=0)
+            own = h[rows]
+            q = _softmax_grad(own @ self.words[0][c] + self.words[1][c], member, len(at))
+            self.g_words[0][c] = own.T @ q
+            self.g_words[1][c] = np.ones(len(q), np.float32) @ q
             back[rows] += q @ self.words[0][c].T
         back *= 1 - h * h
-        for g, o in zip(g_in, OFFSETS, strict=True):
-            cells = classes[at + o].astype(np.int64)[:, None] * DIM + np.arange(DIM)
-            g[:] = np.bincount(cells.ravel(), weights=back.ravel(), minlength=g.size).reshape(g.shape)
-        self.squares += grad * grad
-        self.flat -= RATE * grad / np.sqrt(self.squares)
+        for table, squares, o in zip(self.inside, self.inside_squares, OFFSETS, strict=True):
+            units = classes[at + o]
+            order = np.argsort(units, kind="stable")
+            units = units[order]
+            starts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+            g, own = np.add.reduceat(back[order], starts, axis=0), units[starts]
+            squares[own] += g * g
+            table[own] -= RATE * g / np.sqrt(squares[own])
+        tail = len(self.flat) - len(self.grad)
+        self.squares[tail:] += self.grad * self.grad
+        self.flat[tail:] -= RATE * self.grad / np.sqrt(self.squares[tail:])
         self.seen += len(at)
 
 
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, in place, and their sums by row; logits are kept where float32 has room for both."""
+    np.exp(np.clip(logits, -60, 60, out=logits), out=logits)
+    return logits, logits @ np.ones(logits.shape[1], np.float32)
+
+
 def _log_softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
     got = logits[np.arange(len(own)), own]
-    return got - np.log(np.exp(np.clip(logits, -60, 60, out=logits), out=logits).sum(axis=1))
+    return got - np.log(_exp(logits)[1])
 
 
-def _softmax_grad(p: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(own)), own] -= 1
-    p /= n
+def _softmax_grad(logits: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    p, total = _exp(logits)
+    p *= (1 / (total * n))[:, None]
+    p[np.arange(len(own)), own] -= 1 / n
     return p
 
 
-def shards(docs: DataFrame, text_col: str, tokens: int, shard: int) -> DataFrame:
-    """(words, slot): each document's buckets, dealt evenly to shards of about ``shard`` tokens, a partition each."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in byte_rows(batches):
-            yield pa.record_batch([pa.array([_words(t).astype("<u4").tobytes() for t in texts], pa.binary())], names=["words"])
-
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(encode, "words binary").where("length(words) > 0")
-    dealt = rows.repartition(max(1, -(-tokens // shard)))
-    return checkpointed(dealt.withColumn("slot", F.monotonically_increasing_id() % ROUNDS))
+def shards(docs: DataFrame, kind: np.ndarray, id_col: str, text_col: str, tokens: int, shard: int) -> DataFrame:
+    """(units, slot): each document's units as 16-bit numbers, dealt to shards of about ``shard`` tokens, a partition each.
 
+    A hash of id and text says where a document goes and in which order a shard visits it, however the input is partitioned. Of
+    rows that agree in both, each further one in an input partition goes by a hash of its own, so they make no large shard.
+    """
+    place = docs.sparkSession.sparkContext.broadcast(kind)
 
-def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int | None = None) -> np.ndarray:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for part, texts in byte_rows(batches):
+            deal = part.column(0).to_pylist()
+            for i, d in enumerate(deal):
+                if met[d]:
+                    deal[i] = xxhash.xxh64_intdigest(b"%d,%d" % (d, met[d])) - (1 << 63)
+                met[d] += 1
+            yield pa.record_batch([pa.array([place.value[_words(t)].astype("<i2").tobytes() for t in texts], pa.binary()), pa.array(deal, pa.int64())], names=["units", "deal"])
+
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.mapInArrow(encode, "units binary, deal long").where("length(units) > 0")
+    dealt = rows.repartition(max(1, -(-tokens // shard)), "deal").sortWithinPartitions("deal")
+    return checkpointed(dealt.select("units", F.pmod(F.shiftright("deal", 33), F.lit(ROUNDS)).alias("slot")))
+
+
+def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int | None = None, id_col: str = "doc_id") -> np.ndarray:
     """The weights after ``passes`` over all documents, averaged over the shards after each round. ``n``: the buckets' counts.
 
-    ``start`` goes through ``from_frequencies`` first.
+    ``start`` goes through ``from_frequencies`` first. The weights that shards send are multiples of ``GRAIN``, so that their sums are
+    exact and the same in whatever order Spark adds them.
     """
     n = tally(corpus_counts(docs, text_col)) if n is None else n
     tokens = int(n.sum())
@@ -247,28 +279,27 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
         return start
     start = from_frequencies(start, kind, n)
     passes = passes or min(4, max(1, -(-ENOUGH // tokens)))
-    dealt, cut = shards(docs, text_col, tokens, shard), -(-len(start) // BLOCK) * BLOCK
+    dealt, cut = shards(docs, kind, id_col, text_col, tokens, shard), -(-len(start) // BLOCK) * BLOCK
     flat, squares = start, None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_start = shared.value
-        net = _Net(*at_start[:2])
+        net = _Net(*shared.value)
         for _, rows in byte_rows(batches, rows=256):
-            classes, at, _ = _joined([np.frombuffer(r, "<u4") for r in rows], at_start[2])
+            classes, at = _joined([np.frombuffer(r, "<i2") for r in rows])
             at = np.random.default_rng(len(at)).permutation(at)
             for i in range(0, len(at), BATCH):
                 net.learn(classes, at[i : i + BATCH])
         if net.seen:
-            blocks = np.zeros((2, cut), np.float64)
+            blocks = np.zeros((2, cut))
             blocks[0, : len(start)], blocks[1, : len(start)] = net.flat, net.squares
-            blocks = (blocks * net.seen).reshape(-1, BLOCK)
+            blocks = (np.rint(blocks / GRAIN) * (GRAIN * net.seen)).reshape(-1, BLOCK)
             cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), net.seen, np.int64))]
-            yield pa.record_batch(cols + [pa.array(blocks[:, i].astype(np.float32)) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
+            yield pa.record_batch(cols + [pa.array(blocks[:, i]) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
 
-    schema = "block int, n long, " + ", ".join(f"v{i} float" for i in range(BLOCK))
+    schema = "block int, n long, " + ", ".join(f"v{i} double" for i in range(BLOCK))
     for turn in range(passes * ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((flat, squares, kind))
-        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("words").mapInArrow(fit, schema)
+        shared = docs.sparkSession.sparkContext.broadcast((flat, squares))
+        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units").mapInArrow(fit, schema)
         rows = parts.groupBy("block").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(BLOCK))).orderBy("block").toArrow()
         shared.unpersist()
         if rows.num_rows:
@@ -285,8 +316,8 @@ def score(docs: DataFrame, weights: np.ndarray, kind: np.ndarray, inside: np.nda
         for part, texts in byte_rows(batches, rows=256):
             classes, at, buckets = _stream(texts, kind)
             logs = np.empty(len(at) + 1)
-            for i in range(0, len(at), 4096):
-                logs[i : i + 4096][: len(at) - i] = net.log_probs(classes, at[i : i + 4096])
+            for i in range(0, len(at), SCORED):
+                logs[i : i + SCORED][: len(at) - i] = net.log_probs(classes, at[i : i + SCORED])
             logs[: len(at)] += inside[buckets]
             edges = np.flatnonzero(classes == CLASSES)[1::2]  # the second mark before each document, and the last one
             n = np.diff(edges) - 2
@@ -304,9 +335,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Train on ``docs`` and score each of them.
 
     A null or empty text, or one without words, has n_tokens 0, pll 0 and a null pll_mean. Repeated rows are
-    scored each. Over an empty table nothing is learnt and nothing returned. Other columns are not read.
+    scored each; equal texts get equal scores. Long texts are learnt and scored whole. Over an empty table nothing is learnt and nothing returned. Other columns are not read.
     """
     n = tally(corpus_counts(docs, text_col))
     kind, inside = vocabulary(n)
-    weights = train(docs, kind, initial_weights(), text_col, n)
+    weights = train(docs, kind, initial_weights(), text_col, n, id_col=id_col)
     return score(docs, weights, kind, inside, id_col, text_col)

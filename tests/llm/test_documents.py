@@ -408,10 +408,21 @@ def test_lm_score_beats_the_unigram_on_held_out_documents(spark):
     share = np.bincount(kind, weights=n + 0.5)
     classes, at, _ = lm_score._stream(held, kind)
     unigram = np.log(share / share.sum())[classes[at]].mean()
-    for parts in (1, 64):
-        net = lm_score._Net(lm_score.train(seen.repartition(parts), kind, lm_score.initial_weights()))
+    for shard in (1 << 21, 1 << 14):  # one shard and some twenty
+        net = lm_score._Net(lm_score.train(seen, kind, lm_score.initial_weights(), shard=shard))
         got = np.concatenate([net.log_probs(classes, at[i : i + 4096]) for i in range(0, len(at), 4096)]).mean()
-        assert got > unigram + 0.02, parts
+        assert got > unigram + 0.02, shard
+
+
+def test_lm_score_does_not_depend_on_the_partitions(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    kind, _ = lm_score.vocabulary(lm_score.corpus_counts(docs))
+    nets = [lm_score.train(docs.repartition(parts), kind, lm_score.initial_weights(), shard=16384, passes=1) for parts in (1, 4, 32)]
+    assert np.array_equal(nets[0], nets[1]) and np.array_equal(nets[0], nets[2])
+    got = [{r.doc_id: r.pll for r in lm_score.score(docs.repartition(parts), nets[0], *lm_score.vocabulary(lm_score.corpus_counts(docs))).collect()} for parts in (1, 4, 32)]
+    assert got[0] == got[1] == got[2]
 
 
 def test_lm_score_tells_rare_words_of_a_class_by_their_neighbours(spark):
