@@ -13,7 +13,7 @@ Training is data-parallel, in rounds. A hash of id and text deals each document
 its ``ROUNDS`` slots and to a place in it, so that the weights do not depend on how the input is partitioned. The network starts from the corpus frequencies of the
 classes. In a round every shard starts from the same weights and AdaGrad state, visits the documents of one slot and predicts
 each position; weights and state are then averaged by the number of positions.
-They leave a task as blocks of ``BLOCK`` numbers, one row a block, which Spark sums by block with partial aggregation. So the
+They leave a task as blocks of ``BLOCK`` numbers, one row a block, which Spark sums by block. So the
 driver receives one set of weights of fixed size a round whatever the input, and no task meets more than one block's rows at a
 time. ``passes`` repeats the rounds; a small corpus gets more passes.
 """
@@ -43,7 +43,7 @@ PER_MEMBER = 40_000  # tokens of the corpus for each; none below five times as m
 BLOCK = 128
 BATCH = 4096  # positions of a step
 SCORED = 16384  # positions scored at once
-SHARD = 1 << 21  # tokens of a shard
+SHARD = 1 << 22  # tokens of a shard
 ROUNDS = 8  # averages in a pass
 ENOUGH = 1 << 22  # tokens to visit before one pass does
 RATE = 0.08
@@ -290,17 +290,19 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
             for i in range(0, len(at), BATCH):
                 net.learn(classes, at[i : i + BATCH])
         if net.seen:
-            blocks = np.zeros((2, cut))
+            blocks = np.zeros((2, cut), np.float32)
             blocks[0, : len(start)], blocks[1, : len(start)] = net.flat, net.squares
-            blocks = (np.rint(blocks / GRAIN) * (GRAIN * net.seen)).reshape(-1, BLOCK)
-            cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), net.seen, np.int64))]
+            blocks = (np.rint(blocks / np.float32(GRAIN)) * np.float32(GRAIN)).reshape(-1, BLOCK)
+            cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), float(net.seen)))]
             yield pa.record_batch(cols + [pa.array(blocks[:, i]) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
 
-    schema = "block int, n long, " + ", ".join(f"v{i} double" for i in range(BLOCK))
+    schema = "block int, n double, " + ", ".join(f"v{i} float" for i in range(BLOCK))
     for turn in range(passes * ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((flat, squares))
         parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units").mapInArrow(fit, schema)
-        rows = parts.groupBy("block").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(BLOCK))).orderBy("block").toArrow()
+        # A task has one row a block, so nothing could be added before the shuffle; the rows are sent as they are, in single precision.
+        sums = (F.sum(F.col(f"v{i}").cast("double") * F.col("n")).alias(f"v{i}") for i in range(BLOCK))
+        rows = parts.repartition("block").groupBy("block").agg(F.sum("n").alias("n"), *sums).orderBy("block").toArrow()
         shared.unpersist()
         if rows.num_rows:
             mean = np.stack([rows.column(f"v{i}").to_numpy() for i in range(BLOCK)], axis=1) / rows.column("n").to_numpy()[:, None]
@@ -335,7 +337,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Train on ``docs`` and score each of them.
 
     A null or empty text, or one without words, has n_tokens 0, pll 0 and a null pll_mean. Repeated rows are
-    scored each; equal texts get equal scores. Long texts are learnt and scored whole. Over an empty table nothing is learnt and nothing returned. Other columns are not read.
+    scored each; equal texts get equal scores, but for the last digit, which
+    may follow the batch that a text is in. Long texts are learnt and scored whole. Over an empty table nothing is learnt and nothing returned. Other columns are not read.
     """
     n = tally(corpus_counts(docs, text_col))
     kind, inside = vocabulary(n)
