@@ -45,6 +45,7 @@ BATCH = 4096  # positions of a step
 SCORED = 16384  # positions scored at once
 SHARD = 1 << 22  # tokens of a shard
 ROUNDS = 8  # averages in a pass
+MERGERS = 8  # tasks that average; their input is a set of weights a shard
 ENOUGH = 1 << 22  # tokens to visit before one pass does
 RATE = 0.08
 GRAIN = 2.0**-20  # of weights that are averaged
@@ -302,7 +303,7 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
         parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units").mapInArrow(fit, schema)
         # A task has one row a block, so nothing could be added before the shuffle; the rows are sent as they are, in single precision.
         sums = (F.sum(F.col(f"v{i}").cast("double") * F.col("n")).alias(f"v{i}") for i in range(BLOCK))
-        rows = parts.repartition("block").groupBy("block").agg(F.sum("n").alias("n"), *sums).orderBy("block").toArrow()
+        rows = parts.repartition(MERGERS, "block").groupBy("block").agg(F.sum("n").alias("n"), *sums).toArrow().sort_by("block")
         shared.unpersist()
         if rows.num_rows:
             mean = np.stack([rows.column(f"v{i}").to_numpy() for i in range(BLOCK)], axis=1) / rows.column("n").to_numpy()[:, None]

@@ -1,20 +1,22 @@
 """Media columns: motion-JPEG in AVI.
 
-``read_avi`` parses a RIFF AVI by its index; ``decode_frame`` decodes a baseline intra frame (any Huffman and
-quantisation tables, 4:4:4 or grey) to coefficients and samples; ``shots`` cuts a sequence of frames where the histogram
-difference passes a threshold that follows the running mean and deviation; ``clips`` gives timed rows.
+``read_avi`` parses a RIFF AVI by its index; ``decode_frames`` decodes baseline intra frames (any Huffman and quantisation tables, the
+standard's where a frame has none, as cameras write them; grey, 4:4:4, 4:2:2 and 4:2:0) to coefficients and samples; ``shots`` cuts a
+sequence of frames where the histogram difference passes a threshold that follows the running mean and deviation; ``clips`` gives timed rows.
+
+The Huffman decoder takes all restart intervals of many frames side by side: in each step every interval looks up its next code
+in a table of all 16-bit words and takes the bits that the code announces, as array operations over the intervals.
 
 ``write_avi`` stores bytes losslessly. JPEG's unit is the quantised coefficient of an 8x8 block, so a payload of
 192-byte units makes one MCU of three blocks each. Byte b is the coefficient of magnitude category 8 whose eight
-additional bits are b: a number in -255..-128 or 128..255. The Huffman code of that category is eight zero bits, so the
-stream alternates a zero byte and a payload byte (a byte 255 is stuffed as the standard asks), and both directions are
-array operations. Every MCU is a restart interval, which keeps DC differences absolute. Frames hold up to 64 MCUs;
-where the last frame has room left it is filled with MCUs of zero coefficients, which no payload byte is.
+additional bits are b: a number in -255..-128 or 128..255. Every MCU is a restart interval, which keeps DC differences
+absolute. Frames hold up to 64 MCUs; where the last frame has room left it is filled with MCUs of zero coefficients, which no payload byte is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from zlib import crc32
@@ -134,23 +136,51 @@ def read_avi(data: bytes) -> dict:
     return found
 
 
-def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    """Canonical Huffman code: (length, code) to symbol."""
-    out, code, i = {}, 0, 0
-    for length, n in enumerate(counts, 1):
-        for _ in range(n):
-            out[length, code] = symbols[i]
-            code, i = code + 1, i + 1
-        code <<= 1
-    return out
+def _rest(head: str) -> bytes:
+    """A list of AC symbols that ends with all others in order: runs of 0 to 15 with sizes of 1 to 10."""
+    first = bytes.fromhex(head)
+    return first + bytes(s for s in (16 * r + n for r in range(16) for n in range(1, 11)) if s not in first)
+
+
+#: The Huffman tables of the JPEG standard, as (codes of each length, symbols) by class and number.
+STANDARD = {
+    0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), _rest("01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82")),
+    0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), _rest("00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1")),
+}
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+_tables: dict[tuple[bytes, bytes], np.ndarray] = {}
+
+
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
+    """For each 16-bit word, 256 times the length of the code that it begins with, and the code's symbol; 0 where there is none."""
+    if (counts, symbols) not in _tables:
+        table, code, i = np.zeros(1 << 16, np.int32), 0, 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                table[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[i]
+                code, i = code + 1, i + 1
+            code <<= 1
+        if len(_tables) > 64:
+            _tables.clear()
+        _tables[counts, symbols] = table
+    return _tables[counts, symbols]
 
 
 def _parse(frame: bytes) -> dict:
-    """Tables, size and scan of a baseline JPEG."""
-    got: dict = {"quant": {}, "huff": {}, "restart": 0}
+    """Tables, size, components and scan of a baseline JPEG."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("no JPEG frame")
+    got: dict = {"quant": {}, "huff": dict(STANDARD), "restart": 0}
     at = 2
     while at + 4 <= len(frame):
+        if frame[at] != 0xFF:
+            raise ValueError("no marker where one is due")
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+            continue
         body = frame[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
@@ -161,112 +191,146 @@ def _parse(frame: bytes) -> dict:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                got["huff"][body[0]] = (body[1:17], body[17 : 17 + n])
+                got["huff"][body[0]] = (bytes(body[1:17]), bytes(body[17 : 17 + n]))
                 body = body[17 + n :]
-        elif marker == 0xC0:
-            _, got["height"], got["width"], n = struct.unpack_from(">BHHB", body)
-            got["parts"] = [(body[6 + 3 * i], body[7 + 3 * i], body[8 + 3 * i]) for i in range(n)]
-            if any(p[1] != 0x11 for p in got["parts"]):
-                raise ValueError("only one block of each component in an MCU")
+        elif marker in (0xC0, 0xC1):
+            bits, got["height"], got["width"], n = struct.unpack_from(">BHHB", body)
+            if bits != 8:
+                raise ValueError("samples of other than eight bits")
+            got["parts"] = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
         elif marker == 0xDD:
             got["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            n = body[0]
-            got["scan"] = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(n)}
+            if "parts" not in got or body[0] != len(got["parts"]):
+                raise ValueError("a scan of some components")
+            got["scan"] = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             end = frame.rfind(b"\xff\xd9")
             got["data"] = frame[at : end if end >= at else len(frame)]
-            return got
-        elif 0xC1 <= marker <= 0xCF:
+            return got | _layout(got)
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("not baseline")
     raise ValueError("no scan")
 
 
-def _slow_blocks(got: dict, blocks: int) -> np.ndarray:
-    """Coefficients by the general bit-by-bit Huffman decoder."""
-    codes = {k: _codes(*v) for k, v in got["huff"].items()}
-    out = np.zeros((blocks, 64), np.int32)
-    order = [(got["scan"][p[0]] >> 4, 16 | got["scan"][p[0]] & 15) for p in got["parts"]]
-    data, parts, at = got["data"], [], 0
-    while (i := data.find(b"\xff", at)) >= 0:
-        at = i + 2
-        if i + 1 < len(data) and 0xD0 <= data[i + 1] <= 0xD7:
-            parts.append(i)
-    edges = [0, *(p + 2 for p in parts)]
-    block = 0
-    for start, end in zip(edges, [*parts, len(data)], strict=True):
-        raw = data[start:end].replace(b"\xff\x00", b"\xff")
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).tolist()
-        pos, last = 0, [0] * len(order)
-        todo = (got["restart"] or blocks) * len(order)
-
-        def symbol(table: dict) -> int:
-            nonlocal pos
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | bits[pos]
-                pos += 1
-                if (length, code) in table:
-                    return table[length, code]
+def _layout(got: dict) -> dict:
+    """How a frame's blocks follow each other: MCUs, and for each block of an MCU its component and the tables of its scan."""
+    parts = got["parts"]
+    if not got["width"] or not got["height"] or any(not 1 <= f <= 4 for p in parts for f in p[1:3]):
+        raise ValueError("a frame without size")
+    if len(parts) == 1:  # not interleaved: one block is a unit, whatever the factors
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
+    order = [c for c, (_, h, v, _) in enumerate(parts) for _ in range(h * v)]
+    return {"parts": parts, "mcus": -(-got["width"] // (8 * wide)) * -(-got["height"] // (8 * high)), "order": order}
+
+
+def _lanes(frames: list[dict]) -> tuple[bytes, list]:
+    """The restart intervals of some frames as bytes without stuffing, each followed by zeros, and (frame, offset, length, blocks) of each."""
+    pieces, lanes, at = [], [], 0
+    for f, got in enumerate(frames):
+        parts = RESTART.split(got["data"]) if got["restart"] else [got["data"]]
+        left = got["mcus"]
+        for part in parts:
+            mcus = min(left, got["restart"] or left)
+            if not mcus:
+                break
+            raw = part.replace(b"\xff\x00", b"\xff") if b"\xff" in part else part
+            pieces += (raw, b"\0" * 8)
+            lanes.append((f, at, len(raw), mcus * len(got["order"])))
+            at += len(raw) + 8
+            left -= mcus
+        if left:
+            raise ValueError("a scan that ends early")
+    return b"".join(pieces), lanes
+
+
+def decode_coefficients(frames: list[dict]) -> list[np.ndarray]:
+    """Quantised coefficients (blocks x 64, stream order, MCU by MCU) of each parsed frame."""
+    buffer, lanes = _lanes(frames)
+    data = np.frombuffer(buffer + b"\0" * 8, np.uint8).astype(np.int64)
+    words = sum(data[i : len(data) - 4 + i] << (8 * (4 - i)) for i in range(5))  # the 40 bits from each byte on
+    sorts: dict[tuple, int] = {}
+    kinds: list[list[int]] = []  # for each sort of frame the number of the table pair of each block of an MCU
+    pairs: dict[tuple, int] = {}
+    for got in frames:
+        of = [(got["huff"].get(got["scan"].get(got["parts"][c][0], 0) >> 4), got["huff"].get(16 | got["scan"].get(got["parts"][c][0], 0) & 15)) for c in got["order"]]
+        if any(t is None for p in of for t in p):
+            raise ValueError("a scan without its table")
+        own = tuple(pairs.setdefault(p, len(pairs)) for p in of)
+        got["sort"] = sorts.setdefault(own, len(sorts))
+        if got["sort"] == len(kinds):
+            kinds.append(list(own))
+    tables = np.concatenate([_lookup(*t) for p in pairs for t in p])  # DC and AC of each pair
+    longest = max(map(len, kinds))
+    schedule = np.array([(k * longest)[:longest] for k in kinds])
+    per_mcu = np.array([len(k) for k in kinds])
+    frame, offset, size, blocks = (np.array(c, np.int64) for c in zip(*lanes, strict=True))
+    sort = np.array([got["sort"] for got in frames])[frame]
+    first = np.concatenate(([0], np.cumsum(blocks)))[:-1]  # number of each lane's first block
+    out = np.zeros((int(blocks.sum()), 64), np.int32)
+    flat = out.reshape(-1)
+    lane = np.arange(len(lanes))
+    pos, block, k = np.zeros((3, len(lanes)), np.int64)
+    while len(lane):
+        table = schedule[sort[lane], block % per_mcu[sort[lane]]] * 2 + (k > 0)
+        byte = np.minimum(pos >> 3, size[lane] + 3)
+        word = words[offset[lane] + byte]
+        room = 40 - (pos & 7)
+        entry = tables[(table << 16) + ((word >> (room - 16)) & 0xFFFF)]
+        length, symbol = entry >> 8, entry & 255
+        if not length.all() or (pos >= 8 * size[lane]).any():
             raise ValueError("no such code")
-
-        def value(n: int) -> int:
-            nonlocal pos
-            v = int("".join(map(str, bits[pos : pos + n])) or "0", 2)
-            pos += n
-            return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-        while todo and block < blocks:
-            c = block % len(order)
-            last[c] += value(symbol(codes[order[c][0]]))
-            out[block, 0] = last[c]
-            k = 1
-            while k < 64:
-                rs = symbol(codes[order[c][1]])
-                if not rs & 15:
-                    if rs != 0xF0:
-                        break
-                    k += 16
-                    continue
-                k += rs >> 4
-                out[block, k] = value(rs & 15)
-                k += 1
-            block, todo = block + 1, todo - 1
+        dc = k == 0
+        bits = np.where(dc, symbol, symbol & 15)
+        value = (word >> (room - length - bits)) & ((1 << bits) - 1)
+        value -= np.where((bits > 0) & (value >> np.maximum(bits - 1, 0) == 0), (1 << bits) - 1, 0)
+        k = k + np.where(dc, 0, symbol >> 4)
+        if (k > 63 + 16).any() or ((k > 63) & (bits > 0)).any() or (bits > 15).any():
+            raise ValueError("a block with too many coefficients")
+        some = bits > 0
+        flat[((first[lane] + block) * 64 + k)[some]] = value[some]
+        ends = ~dc & (bits == 0) & (symbol != 0xF0)
+        pos = pos + length + bits
+        k = k + 1
+        done = ends | (k > 63)
+        block, k = block + done, np.where(done, 0, k)
+        going = block < blocks[lane]
+        if not going.all():
+            lane, pos, block, k = lane[going], pos[going], block[going], k[going]
+    _undo_differences(out, first, blocks, [got["order"] for got in frames], frame)
+    edges = np.cumsum([got["mcus"] * len(got["order"]) for got in frames])
+    return np.split(out, edges[:-1])
+
+
+def _undo_differences(out: np.ndarray, first: np.ndarray, blocks: np.ndarray, orders: list[list[int]], frame: np.ndarray) -> None:
+    """DC values from their differences: sums over the blocks of a component in a restart interval, in place."""
+    lane = np.repeat(np.arange(len(blocks)), blocks)
+    within = np.arange(len(out)) - first[lane]
+    longest = max(map(len, orders))
+    order = np.array([(o * longest)[:longest] for o in orders])
+    component = order[frame[lane], within % np.array([len(o) for o in orders])[frame[lane]]]
+    by = np.lexsort((within, component, lane))
+    total = np.cumsum(out[by, 0], dtype=np.int64)
+    new = np.concatenate(([True], (lane[by][1:] != lane[by][:-1]) | (component[by][1:] != component[by][:-1])))
+    starts = np.flatnonzero(new)
+    before = np.where(starts > 0, total[starts - 1], 0)
+    out[by, 0] = total - np.repeat(before, np.diff(np.append(starts, len(by))))
+
+
+def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Quantised coefficients (blocks x 64, stream order, MCU by MCU) and the first component's samples (blocks x 64, 0..255) of frames."""
+    parsed = [_parse(f) for f in frames]
+    out = []
+    for got, c in zip(parsed, decode_coefficients(parsed) if parsed else [], strict=True):
+        first = c.reshape(got["mcus"], -1, 64)[:, [o == 0 for o in got["order"]]].reshape(-1, 64)
+        table = got["quant"].get(got["parts"][0][3])
+        if table is None:
+            raise ValueError("no quantisation table")
+        samples = (first * table).astype(np.float32) @ IDCT + 128
+        out.append((c, np.clip(np.rint(samples), 0, 255).astype(np.uint8)))
     return out
 
 
-def _flat_blocks(got: dict, mcus: int) -> np.ndarray | None:
-    """Coefficients where every MCU is a restart interval and each code in use has eight bits, so that payload MCUs lie in a
-    regular grid; None for other streams."""
-    if got["restart"] != 1 or len(got["parts"]) != 3 or any(v[0][7] != sum(v[0]) or v[1][:2] != b"\x08\x00" for v in got["huff"].values()):
-        return None
-    step = 2 * UNIT + 2
-    data = got["data"]
-    body = data.replace(b"\xff\x00", b"\xff") if b"\xff\x00" in data else data
-    blank = len(BLANK) + 2
-    n, rest = divmod(len(body) + 2 - blank * mcus, step - blank)
-    if rest or not 0 <= n <= mcus:
-        return None
-    grid = np.frombuffer(body + b"\xff\xd0", np.uint8)[: n * step].reshape(n, step)
-    if grid[:, 0 : 2 * UNIT : 2].any() or (n and (grid[:, -2] != 0xFF).any()):
-        return None
-    value = grid[:, 1 : 2 * UNIT : 2].astype(np.int32)
-    out = np.zeros((mcus, UNIT), np.int32)
-    out[:n] = np.where(value >= 128, value, value - 255)
-    return out.reshape(-1, 64)
-
-
-def decode_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised coefficients (blocks x 64, stream order, MCU by MCU) and samples (blocks x 64, 0..255) of a frame."""
-    got = _parse(frame)
-    mcus = -(-got["width"] // 8) * -(-got["height"] // 8)
-    c = _flat_blocks(got, mcus)
-    if c is None:
-        c = _slow_blocks(got, mcus * len(got["parts"]))
-    scale = np.stack([got["quant"][p[2]] for p in got["parts"]])
-    samples = (c.reshape(mcus, len(got["parts"]), 64) * scale).reshape(-1, 64).astype(np.float32) @ IDCT + 128
-    return c, np.clip(np.rint(samples), 0, 255).astype(np.uint8)
-
-
 def payload_of(coefficients: np.ndarray) -> bytes:
     """The bytes that ``write_avi`` stored in a frame's coefficients."""
     own = coefficients.reshape(-1, UNIT)
@@ -274,9 +338,9 @@ def payload_of(coefficients: np.ndarray) -> bytes:
     return np.where(own > 0, own, own + 255).astype(np.uint8).tobytes()
 
 
-def histogram(samples: np.ndarray, components: int = 3) -> np.ndarray:
-    """Shares of 32 brightness classes among the first component's samples."""
-    n = np.bincount(samples.reshape(-1, components, 64)[:, 0].ravel() >> 3, minlength=32)
+def histogram(samples: np.ndarray) -> np.ndarray:
+    """Shares of 32 brightness classes among a frame's samples."""
+    n = np.bincount(samples.ravel() >> 3, minlength=32)
     return n / max(1, n.sum())
 
 
@@ -297,18 +361,31 @@ def shots(histograms: list[np.ndarray], weight: float = 0.3, factor: float = 3.0
     return cuts
 
 
-def analyse(data: bytes) -> tuple[bytes, list[tuple[int, float, float, float]]]:
-    """Stored bytes of an AVI and its clips: (first frame, from second, to second, mean brightness)."""
-    video = read_avi(data)
-    stored, tables, light = [], [], []
-    for f in video["frames"]:
-        c, s = decode_frame(f)
-        stored.append(payload_of(c))
-        tables.append(histogram(s))
-        light.append(float(s.reshape(-1, 3, 64)[:, 0].mean()))
-    cuts = shots(tables)
-    clips = [(a, a / video["fps"], b / video["fps"], sum(light[a:b]) / (b - a)) for a, b in zip(cuts, [*cuts[1:], len(tables)], strict=True)]
-    return b"".join(stored), clips
+def analyse(videos: list[bytes]) -> list[tuple[bytes, list[tuple[int, float, float, float]]]]:
+    """Stored bytes of each AVI and its clips: (first frame, from second, to second, mean brightness). All frames are decoded together."""
+    read = [read_avi(v) for v in videos]
+    frames = iter(decode_frames([f for v in read for f in v["frames"]]))
+    out = []
+    for video in read:
+        own = [next(frames) for _ in video["frames"]]
+        tables, light = [histogram(s) for _, s in own], [float(s.mean()) for _, s in own]
+        cuts = shots(tables)
+        found = [(a, a / video["fps"], b / video["fps"], sum(light[a:b]) / (b - a)) for a, b in zip(cuts, [*cuts[1:], len(tables)], strict=True)]
+        out.append((b"".join(payload_of(c) for c, _ in own if len(c) % 3 == 0), found))
+    return out
+
+
+def grouped(items: list, size: int = 1 << 20) -> Iterator[list]:
+    """``items`` in runs of about ``size`` bytes."""
+    held, n = [], 0
+    for i in items:
+        held.append(i)
+        n += len(i or b"")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def padded(text: bytes | None) -> bytes:
@@ -317,23 +394,28 @@ def padded(text: bytes | None) -> bytes:
 
 
 def clips(videos: DataFrame, id_col: str, video_col: str) -> DataFrame:
-    """Clip rows of AVI files: id, clip, first_frame, begin_s, end_s, brightness. A null or unreadable file has none."""
+    """Clip rows of AVI files: id, clip, first_frame, begin_s, end_s, brightness, error.
+
+    A file that cannot be read has one row with nothing but its id and why. A null file and one without frames have none. Repeated
+    rows have rows each; an empty table has none; other columns are not read, whatever their names. Files are read whole.
+    """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data in byte_rows(batches, rows=32):
             rows = []
             for i, d in zip(part.column(0).to_pylist(), data, strict=True):
                 try:
-                    found = analyse(d)[1] if d else []
-                except (ValueError, struct.error, KeyError, IndexError):
-                    found = []
-                rows += [(i, k, *c) for k, c in enumerate(found)]
-            names = [id_col, "clip", "first_frame", "begin_s", "end_s", "brightness"]
-            types = [part.column(0).type, pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+                    found = analyse([d])[0][1] if d is not None else []
+                except (ValueError, struct.error, KeyError, IndexError) as why:
+                    rows.append((i, None, None, None, None, None, str(why) or type(why).__name__))
+                    continue
+                rows += [(i, k, *c, None) for k, c in enumerate(found)]
+            names = [id_col, "clip", "first_frame", "begin_s", "end_s", "brightness", "error"]
+            types = [part.column(0).type, pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
             yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
 
     kind = videos.schema[id_col].dataType.simpleString()
-    return videos.select(id_col, video_col).mapInArrow(give, f"`{id_col}` {kind}, clip int, first_frame int, begin_s double, end_s double, brightness double")
+    return videos.select(id_col, video_col).mapInArrow(give, f"`{id_col}` {kind}, clip int, first_frame int, begin_s double, end_s double, brightness double, error string")
 
 
 def to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,16 +432,15 @@ def to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as an AVI, read it back, and give the figures of both; one row a document.
 
-    Null and empty texts are one unit of spaces. feature: frames, shots and for each of the first shot to the last its first
+    Null and empty texts are one unit of spaces; long texts are stored whole. An empty table gives no rows. feature: frames, shots and for each of the first shot to the last its first
     frame and brightness. Repeated rows are kept. Only the two columns are read.
     """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_rows(batches, rows=256):
             rows = []
-            for t in texts:
-                video = write_avi(padded(t))
-                back, found = analyse(video)
+            videos = ((t, v, *got) for some in grouped(texts) for written in [[write_avi(padded(t)) for t in some]] for t, v, got in zip(some, written, analyse(written), strict=True))
+            for t, video, back, found in videos:
                 feature = f"shots={len(found)};" + ";".join(f"{a}:{light:.2f}" for a, _, _, light in found)
                 rows.append((len(t or b""), len(back), hashlib.sha256(back).hexdigest(), crc32(back[-16:]), len(video), hashlib.sha256(video).hexdigest(), feature))
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
