@@ -245,7 +245,8 @@ def _softmax_grad(logits: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 
 
 def shards(docs: DataFrame, kind: np.ndarray, id_col: str, text_col: str, tokens: int, shard: int) -> DataFrame:
-    """(units, slot): each document's units as 16-bit numbers, dealt to shards of about ``shard`` tokens, a partition each.
+    """(units, shard, slot): each document's units as 16-bit numbers, dealt to shards of about ``shard`` tokens, a partition each where Spark
+    lets it; a partition may as well hold several whole shards or none.
 
     A hash of id and text says where a document goes and in which order a shard visits it, however the input is partitioned. Of
     rows that agree in both, each further one in an input partition goes by a hash of its own, so they make no large shard.
@@ -263,9 +264,26 @@ def shards(docs: DataFrame, kind: np.ndarray, id_col: str, text_col: str, tokens
             yield pa.record_batch([pa.array([place.value[_words(t)].astype("<i2").tobytes() for t in texts], pa.binary()), pa.array(deal, pa.int64())], names=["units", "deal"])
 
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"), F.col(text_col).cast("binary").alias("text"))
+    n = max(1, -(-tokens // shard))
     rows = rows.mapInArrow(encode, "units binary, deal long").where("length(units) > 0")
-    dealt = rows.repartition(max(1, -(-tokens // shard)), "deal").sortWithinPartitions("deal")
-    return checkpointed(dealt.select("units", F.pmod(F.shiftright("deal", 33), F.lit(ROUNDS)).alias("slot")))
+    rows = checkpointed(rows.select("units", "deal", F.pmod("deal", F.lit(n)).alias("shard")))
+    dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "deal")
+    return checkpointed(dealt.select("units", "shard", F.pmod(F.shiftright("deal", 33), F.lit(ROUNDS)).alias("slot")))
+
+
+def of_shards(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """(shard, units of up to ``rows`` documents, whether the shard ends) of sorted (units, shard) rows, whatever batches they come in."""
+    held: list[np.ndarray] = []
+    now = None
+    for batch in batches:
+        for units, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and (shard != now or len(held) == rows):
+                yield now, held, shard != now
+                held = []
+            now = shard
+            held.append(np.frombuffer(units, "<i2"))
+    if held:
+        yield now, held, True
 
 
 def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int | None = None, id_col: str = "doc_id") -> np.ndarray:
@@ -285,22 +303,24 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _Net(*shared.value)
-        for _, rows in byte_rows(batches, rows=256):
-            classes, at = _joined([np.frombuffer(r, "<i2") for r in rows])
+        for _, units, ends in of_shards(batches):
+            classes, at = _joined(units)
             at = np.random.default_rng(len(at)).permutation(at)
             for i in range(0, len(at), BATCH):
                 net.learn(classes, at[i : i + BATCH])
-        if net.seen:
+            if not ends:
+                continue
             blocks = np.zeros((2, cut), np.float32)
             blocks[0, : len(start)], blocks[1, : len(start)] = net.flat, net.squares
             blocks = (np.rint(blocks / np.float32(GRAIN)) * np.float32(GRAIN)).reshape(-1, BLOCK)
             cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), float(net.seen)))]
             yield pa.record_batch(cols + [pa.array(blocks[:, i]) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
+            net = _Net(*shared.value)
 
     schema = "block int, n double, " + ", ".join(f"v{i} float" for i in range(BLOCK))
     for turn in range(passes * ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((flat, squares))
-        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units").mapInArrow(fit, schema)
+        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units", "shard").mapInArrow(fit, schema)
         # A task has one row a block, so nothing could be added before the shuffle; the rows are sent as they are, in single precision.
         sums = (F.sum(F.col(f"v{i}").cast("double") * F.col("n")).alias(f"v{i}") for i in range(BLOCK))
         rows = parts.repartition(MERGERS, "block").groupBy("block").agg(F.sum("n").alias("n"), *sums).toArrow().sort_by("block")
