@@ -106,7 +106,7 @@ def trimmed_mean(v: Column, share: float) -> Column:
 # Ordered folds over short arrays: one scene's points, pairs or proposals. ------------------------------------------
 
 
-def greedy_pairs(pairs: Column, kind: str = "array<struct<d:double,i:int,j:int>>") -> Column:
+def greedy_pairs(pairs: Column, kind: str = "array<struct<d:double,i:bigint,j:bigint>>") -> Column:
     """One-to-one pairs of an array of (d, i, j), nearest first, ties by i then j."""
     empty = F.array().cast(kind)
     free = lambda kept, p: ~F.exists(kept, lambda q: (q["i"] == p["i"]) | (q["j"] == p["j"]))

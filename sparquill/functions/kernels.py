@@ -6,6 +6,9 @@ import numpy as np
 
 PATCH = 32
 CENTRE = 15.5
+#: The scales of poses, and the steps about a found pose.
+SCALES = (0.75, 0.87, 1.0, 1.15, 1.33)
+ANGLE_STEPS, SCALE_STEPS = (-7.5, 0.0, 7.5), (0.94, 1.0, 1.06)
 
 
 def blur(image: np.ndarray, sigma: float) -> np.ndarray:
@@ -111,7 +114,7 @@ def ring_maps(image: np.ndarray, radii: np.ndarray = np.arange(0, 20, 2), width:
     return np.stack(out, axis=-1)
 
 
-def radial_query(patch: np.ndarray, scales: tuple = (0.7, 0.85, 1.0, 1.2, 1.4), radii: np.ndarray = np.arange(0, 20, 2), angles: int = 64) -> np.ndarray:
+def radial_query(patch: np.ndarray, scales: tuple = SCALES, radii: np.ndarray = np.arange(0, 20, 2), angles: int = 64) -> np.ndarray:
     """Mean of a patch on circles about its centre for each scale; unit rows."""
     t = np.arange(angles) * 2 * np.pi / angles
     rows = [[bilinear(patch, CENTRE + r / s * np.cos(t), CENTRE + r / s * np.sin(t)).mean() for r in radii] for s in scales]
@@ -179,13 +182,28 @@ def disc(radius: int, stride: int = 2) -> np.ndarray:
     return np.stack([x[keep], y[keep]], axis=1).astype(float)
 
 
-def poses(scales: tuple = (0.7, 0.85, 1.0, 1.2, 1.4), step: int = 15) -> list[tuple[float, int]]:
+def poses(scales: tuple = SCALES, step: int = 15) -> list[tuple[float, int]]:
     return [(s, a) for s in scales for a in range(0, 360, step)]
 
 
-def verify(image: np.ndarray, patch: np.ndarray, proposals: np.ndarray, keep: int = 20, radius: float = 8.0, adaptive: bool = False, representation: str = "blur") -> list[tuple[float, float, float, int, float]]:
+def turned(offsets: np.ndarray, angle: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Patch coordinates of offsets in the scene under a pose."""
+    t = np.radians(angle)
+    x, y = offsets.T
+    return CENTRE + (x * np.cos(t) - y * np.sin(t)) / scale, CENTRE + (x * np.sin(t) + y * np.cos(t)) / scale
+
+
+def inside(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether a pose reads the patch only within its pixels."""
+    return min(x.min(), y.min()) >= 0 and max(x.max(), y.max()) <= PATCH - 1
+
+
+def verify(image: np.ndarray, patch: np.ndarray, proposals: np.ndarray, keep: int = 20, radius: float = 8.0, adaptive: bool = False, representation: str = "blur", stride: int = 2) -> list[tuple[float, float, float, float, float]]:
     """(x, y, score, angle, scale) of the proposals by their best correlation over scales and rotations, better ones suppressing
-    those within ``radius``. Each is then moved by up to two pixels to where it fits best."""
+    those within ``radius``. Each is then moved by up to two pixels, turned and scaled a little to where it fits best.
+
+    The disc compared has 12 pixels, or, ``adaptive``, what the scale admits; ``stride`` is its samples' distance.
+    """
     if not len(proposals):
         return []
     show = REPRESENTATIONS[representation]
@@ -193,89 +211,104 @@ def verify(image: np.ndarray, patch: np.ndarray, proposals: np.ndarray, keep: in
     best = np.full(len(proposals), -2.0)
     pose = np.zeros((len(proposals), 2))
     px, py = proposals[:, 0].astype(float), proposals[:, 1].astype(float)
-    cache = {}
-    for scale, angle in poses():
-        d = disc(admissible_radius(scale, adaptive))
-        t = np.radians(angle)
-        sx = CENTRE + (d[:, 0] * np.cos(t) - d[:, 1] * np.sin(t)) / scale
-        sy = CENTRE + (d[:, 0] * np.sin(t) + d[:, 1] * np.cos(t)) / scale
-        if sx.min() < 0 or sy.min() < 0 or sx.max() > PATCH - 1 or sy.max() > PATCH - 1:
-            continue
-        key = len(d)
-        if key not in cache:
-            cache[key] = unit(bilinear(image, px[:, None] + d[:, 0], py[:, None] + d[:, 1]))
-        s = cache[key] @ unit(bilinear(patch, sx, sy))
-        better = s > best
-        best[better] = s[better]
-        pose[better] = angle, scale
-    out: list[tuple[float, float, float, int, float]] = []
+    for scale in SCALES:
+        d = disc(admissible_radius(scale, adaptive), stride)
+        seen = None
+        for _, angle in poses((scale,)):
+            x, y = turned(d, angle, scale)
+            if not inside(x, y):
+                continue
+            if seen is None:
+                seen = unit(bilinear(image, px[:, None] + d[:, 0], py[:, None] + d[:, 1]))
+            s = seen @ unit(bilinear(patch, x, y))
+            better = s > best
+            best[better] = s[better]
+            pose[better] = angle, scale
+    chosen: list[int] = []
     for i in np.lexsort((np.arange(len(best)), -best)):
-        if best[i] <= -2 or len(out) == keep:
+        if best[i] <= -2 or len(chosen) == keep:
             break
-        if all(np.hypot(px[i] - o[0], py[i] - o[1]) >= radius for o in out):
-            out.append((px[i], py[i], float(best[i]), int(pose[i, 0]), float(pose[i, 1])))
-    moved = []
-    for x, y, s, angle, scale in out:
-        d, t = disc(admissible_radius(scale, adaptive)), np.radians(angle)
-        want = unit(bilinear(patch, CENTRE + (d[:, 0] * np.cos(t) - d[:, 1] * np.sin(t)) / scale, CENTRE + (d[:, 0] * np.sin(t) + d[:, 1] * np.cos(t)) / scale))
-        tried = [(float(unit(bilinear(image, x + i + d[:, 0], y + j + d[:, 1])) @ want), -abs(i) - abs(j), x + i, y + j) for i in range(-2, 3) for j in range(-2, 3)]
-        s, _, x, y = max(tried)
-        moved.append((x, y, s, angle, scale))
+        if (np.hypot(px[chosen] - px[i], py[chosen] - py[i]) >= radius).all():
+            chosen.append(int(i))
+    moved = [m for i in chosen if (m := _settled(image, patch, px[i], py[i], *pose[i], adaptive, stride))]
     return sorted(moved, key=lambda m: -m[2])
 
 
+SHIFTS = np.stack(np.meshgrid(np.arange(-2, 3), np.arange(-2, 3), indexing="ij"), axis=-1).reshape(-1, 2).astype(float)
+
+
+def _settled(image: np.ndarray, patch: np.ndarray, x: float, y: float, angle: float, scale: float, adaptive: bool, stride: int) -> tuple[float, float, float, float, float] | None:
+    """The best of the poses about one, and of the places about a place; None where no such pose stays in the patch."""
+    best = None
+    for own_angle in angle + np.array(ANGLE_STEPS):
+        for own_scale in scale * np.array(SCALE_STEPS):
+            d = disc(admissible_radius(own_scale, adaptive), stride)
+            u, v = turned(d, own_angle, own_scale)
+            if inside(u, v):
+                at = SHIFTS + (x, y)
+                s = unit(bilinear(image, at[:, :1] + d[:, 0], at[:, 1:] + d[:, 1])) @ unit(bilinear(patch, u, v))
+                k = int(s.argmax())
+                if best is None or s[k] > best[2]:
+                    best = (float(at[k, 0]), float(at[k, 1]), float(s[k]), float(own_angle), float(own_scale))
+    return best
+
+
 def refine(image: np.ndarray, patch: np.ndarray, found: tuple, rounds: int = 40, least: float = 1e-4) -> tuple:
-    """A found place under the affine map that raises its correlation most, by Gauss-Newton steps on the residual of the two unit
-    patches. It stays as it is if the map leaves it by over 5 pixels, shrinks or grows beyond .65 to 1.6, or is uneven beyond 1.35."""
-    x, y, score, angle, scale = found
+    """A found place under the affine map of the patch into the scene that raises their correlation most, by Gauss-Newton steps.
+
+    Both are shown as differences of blurs (0.8 and 3 pixels of the patch), over a disc of 14 pixels. The pose found stays if the map
+    leaves its place by over 5 pixels, shrinks or grows beyond .65 to 1.6, or is uneven beyond 1.35; the score is that of the map that is used.
+    """
+    x, y, _, angle, scale = found
+    want_map = blur(patch, 0.8)
+    want_map = want_map - blur(want_map, 3.0)
+    wide = bilinear(image.astype(float), *np.meshgrid(x + np.arange(-32, 33), y + np.arange(-32, 33)))
+    wide = blur(wide, 0.8)
+    wide = wide - blur(wide, 3.0 * scale)
+    gx, gy = gradient(wide)
+    j, i = np.mgrid[:PATCH, :PATCH]
+    mask = np.hypot(i - CENTRE, j - CENTRE) < 14
+    base = np.column_stack([i[mask] - CENTRE, j[mask] - CENTRE, np.ones(mask.sum())])
+    want = unit(want_map[mask])
     t = np.radians(angle)
-    d = disc(12)
-    a = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]]) / scale
-    p = np.array([a[0, 0], a[0, 1], CENTRE, a[1, 0], a[1, 1], CENTRE])
-    want = unit(bilinear(image, x + d[:, 0], y + d[:, 1]))
-    gx, gy = gradient(patch)
-    one = np.ones(len(d))
-    base = np.stack([d[:, 0], d[:, 1], one], axis=1)
-    last = best = -2.0
-    best_p = p.copy()
+    first = np.array([[np.cos(t), np.sin(t), 0.0], [-np.sin(t), np.cos(t), 0.0]]) * scale  # places about the centre of ``wide``
+
+    def seen(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v = 32 + base @ p[0], 32 + base @ p[1]
+        return bilinear(wide, u, v), u, v
+
+    p, last, best, best_p = first.copy(), -2.0, -2.0, first
     for _ in range(rounds):
-        u, v = base @ p[:3], base @ p[3:]
-        own = bilinear(patch, u, v)
+        own, u, v = seen(p)
         s = float(unit(own) @ want)
         if s > best:
             best, best_p = s, p.copy()
         if abs(s - last) < least:
             break
         last = s
-        n = max(np.linalg.norm(own - own.mean()), 1e-6)
-        j = np.concatenate([bilinear(gx, u, v)[:, None] * base, bilinear(gy, u, v)[:, None] * base], axis=1)
-        j = (j - j.mean(axis=0)) / n
-        step = np.linalg.lstsq(j, want * s - unit(own) if s > 0 else want - unit(own), rcond=1e-6)[0]
-        p = p + step
-    a = best_p.reshape(2, 3)
-    sv = np.linalg.svd(a[:, :2] * scale, compute_uv=False)
-    if not np.isfinite(best_p).all() or sv[-1] < 0.65 or sv[0] > 1.6 or sv[0] > 1.35 * sv[-1]:
-        return found
-    shift = np.linalg.solve(a[:, :2], np.array([CENTRE, CENTRE]) - a[:, 2])
-    if np.hypot(*shift) > 5 or best <= score - 1e-9:
-        return found
-    return (x + float(shift[0]), y + float(shift[1]), best, angle, scale)
+        slope = np.concatenate([bilinear(gx, u, v)[:, None] * base, bilinear(gy, u, v)[:, None] * base], axis=1)
+        slope = (slope - slope.mean(axis=0)) / max(np.linalg.norm(own - own.mean()), 1e-6)
+        p = p + np.linalg.lstsq(slope, (want / s if s > 0.1 else want) - unit(own), rcond=1e-6)[0].reshape(2, 3)
+    large, small = np.linalg.svd(best_p[:, :2], compute_uv=False) if np.isfinite(best_p).all() else (9.0, 0.0)
+    if np.hypot(*best_p[:, 2]) > 5 or small < 0.65 or large > 1.6 or large > 1.35 * small:
+        best_p = first
+    return x + float(best_p[0, 2]), y + float(best_p[1, 2]), float(unit(seen(best_p)[0]) @ want), float(angle), float(scale)
 
 
 def dense_search(image: np.ndarray, patch: np.ndarray, per_pose: int = 3, radius: int = 8) -> np.ndarray:
-    """(x, y) of the best places of a half-size search over all poses, each once."""
+    """(x, y) of the best places of a half-size search over all poses, each once; a peak takes out ``radius`` half-size pixels about it."""
     half = lambda i: i[: i.shape[0] // 2 * 2, : i.shape[1] // 2 * 2].reshape(i.shape[0] // 2, 2, i.shape[1] // 2, 2).mean(axis=(1, 3))
     small = background_removed(half(image.astype(float)), 2.0)
     patch = background_removed(patch.astype(float), 4.0)
     out = set()
     for scale, angle in poses():
-        r = max(3, int(11 * scale) // 2)
+        r = int(15 * scale / np.sqrt(2) / 2)  # of the largest square that stays in the patch under every turn
         a = np.arange(-r, r + 1) * 2.0
-        dx, dy = np.meshgrid(a, a)
-        t = np.radians(angle)
-        sx, sy = CENTRE + (dx * np.cos(t) - dy * np.sin(t)) / scale, CENTRE + (dx * np.sin(t) + dy * np.cos(t)) / scale
-        for x, y, _ in suppressed_peaks(correlation_map(small, bilinear(patch, sx, sy)), per_pose, radius // 2):
-            out.add(((x + r) * 2, (y + r) * 2))
+        grid = np.stack(np.meshgrid(a, a), axis=-1)
+        u, v = turned(grid.reshape(-1, 2), angle, scale)
+        template = bilinear(patch, u, v).reshape(len(a), len(a))
+        for x, y, _ in suppressed_peaks(correlation_map(small, template), per_pose, radius):
+            out.add(((x + r) * 2 + 0.5, (y + r) * 2 + 0.5))
     return np.array(sorted(out)).reshape(-1, 2)
 
 

@@ -78,10 +78,21 @@ def nearest_invariants(a: DataFrame, b: DataFrame, width: float, k: int, on: Col
     return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy("d", "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
 
 
+def nearest_quads(a: DataFrame, b: DataFrame, width: float, k: int, on: Column) -> DataFrame:
+    """As ``nearest_invariants`` for quads, by their four shares q0 .. q3: cells of the least and the largest share join."""
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    cell = lambda c: F.floor(F.col(c) / width)
+    left = a.withColumn("s", F.explode(steps)).withColumns({"cu": cell("a_q0") + F.col("s.i"), "cv": cell("a_q3") + F.col("s.j")}).drop("s")
+    right = b.withColumns({"cu": cell("b_q0"), "cv": cell("b_q3")})
+    d = F.sqrt(sum(((F.col(f"a_q{i}") - F.col(f"b_q{i}")) * (F.col(f"a_q{i}") - F.col(f"b_q{i}")) for i in range(4)), F.lit(0.0)))
+    met = left.join(right, ["cu", "cv"]).where(on).withColumn("d", d).where(F.col("d") < width)
+    return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy("d", "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
+
+
 def assigned(nodes: DataFrame, pool: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """(keys, i, j, d): nodes met with pool points nearer than ``tolerance``, one to one, nearest first."""
     near = range_pairs(nodes, pool, keys, tolerance)
-    packed = F.collect_list(F.struct(F.col("d"), F.col("l_id").cast("int").alias("i"), F.col("r_id").cast("int").alias("j")))
+    packed = F.collect_list(F.struct(F.col("d"), F.col("l_id").cast("long").alias("i"), F.col("r_id").cast("long").alias("j")))
     pairs = near.groupBy(*keys).agg(packed.alias("p")).select(*keys, F.explode(greedy_pairs(F.col("p"))).alias("p"))
     return pairs.select(*keys, *(F.col(f"p.{c}").alias(c) for c in "ijd"))
 
@@ -104,13 +115,22 @@ def affine_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def similarity_fit(pairs: DataFrame, keys: list[str], mirrored: bool = False) -> DataFrame:
-    """Least-squares rotation and scale (c, s), and shift (e, f), of each group; of mirrored sources if asked."""
-    p = pairs.withColumn("sy", -F.col("sy")) if mirrored else pairs
+    """Least-squares rotation and scale (c, s), and shift (e, f), of each group, and the squares ``left``; of mirrored sources (-sx) if asked."""
+    p = pairs.withColumn("sx", -F.col("sx")) if mirrored else pairs
     cov = lambda a, b: F.covar_pop(a, b)
     spread = cov("sx", "sx") + cov("sy", "sy")
-    out = p.groupBy(*keys).agg(F.count("*").alias("n"), ((cov("sx", "tx") + cov("sy", "ty")) / spread).alias("c"), ((cov("sx", "ty") - cov("sy", "tx")) / spread).alias("s"), *(F.avg(x).alias(f"m_{x}") for x in ("sx", "sy", "tx", "ty")))
+    along, across = cov("sx", "tx") + cov("sy", "ty"), cov("sx", "ty") - cov("sy", "tx")
+    left = cov("tx", "tx") + cov("ty", "ty") - (along * along + across * across) / F.nullif(spread, F.lit(0.0))
+    out = p.groupBy(*keys).agg(F.count("*").alias("n"), (along / F.nullif(spread, F.lit(0.0))).alias("c"), (across / F.nullif(spread, F.lit(0.0))).alias("s"), left.alias("left"), *(F.avg(x).alias(f"m_{x}") for x in ("sx", "sy", "tx", "ty")))
     g = F.col
-    return out.select(*keys, "n", "c", "s", (g("m_tx") - g("c") * g("m_sx") + g("s") * g("m_sy")).alias("e"), (g("m_ty") - g("s") * g("m_sx") - g("c") * g("m_sy")).alias("f"))
+    return out.select(*keys, "n", "c", "s", "left", (g("m_tx") - g("c") * g("m_sx") + g("s") * g("m_sy")).alias("e"), (g("m_ty") - g("s") * g("m_sx") - g("c") * g("m_sy")).alias("f"))
+
+
+def best_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The similarity of each group that leaves less, of the sources or of their mirror image; of equals, to a millionth, the plain one."""
+    both = similarity_fit(pairs, keys).withColumn("mirrored", F.lit(False)).unionByName(similarity_fit(pairs, keys, True).withColumn("mirrored", F.lit(True)))
+    order = Window.partitionBy(*keys).orderBy(F.round("left", 6), "mirrored")
+    return both.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
 def three_point_affine(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,10 +139,11 @@ def three_point_affine(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normalised(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points less their group's mean, each axis divided by its own range (1e-6 at least)."""
-    w = Window.partitionBy(*keys)
-    axis = lambda c: (F.col(c) - F.avg(c).over(w)) / F.greatest(F.lit(1e-6), F.max(c).over(w) - F.min(c).over(w))
-    return points.withColumns({"nx": axis("x"), "ny": axis("y")})
+    """Points less their group's mean, each axis divided by its own range (1e-6 at least). A group's figures come from partial sums, so a large group is no large task."""
+    axes = ("x", "y")
+    figures = points.groupBy(*keys).agg(*(F.avg(c).alias(f"m_{c}") for c in axes), *(F.greatest(F.lit(1e-6), F.max(c) - F.min(c)).alias(f"r_{c}") for c in axes))
+    rows = points.join(figures, keys).withColumns({f"n{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"r_{c}") for c in axes})
+    return rows.drop(*(f"{k}_{c}" for k in "mr" for c in axes))
 
 
 def theil_sen(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,14 +30,32 @@ def gaps(cand: DataFrame) -> DataFrame:
     return ranked(cand.withColumn("gap", F.coalesce(F.col("score") - nxt, F.lit(float("inf"))))).where("rank = 0").drop("rank")
 
 
-def pool(cand: DataFrame, top_k: int, gap: float, margin: float, limit: int = 1) -> DataFrame:
-    """Candidates that a query brings: the first ``top_k`` where its gap is under ``gap``, else ``limit``; those below the
-    best score by more than ``margin`` only if they are the first."""
-    first = F.first("score").over(best_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    second = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(of_query())
-    rows = ranked(cand).withColumns({"best": first, "ambiguous": F.coalesce(first - second < gap, F.lit(False))})
-    most = F.when(F.col("ambiguous"), top_k).otherwise(limit)
-    return rows.where((F.col("rank") < most) & ((F.col("rank") == 0) | (F.col("score") >= F.col("best") - margin))).drop("best")
+def slates(cand: DataFrame) -> DataFrame:
+    """``cand`` with the roles of a candidate besides its calibration ``score``: ``rank_score``, which orders the pool and is the score
+    unless given, and the flags ``eligible`` and ``seed``, false unless given. A role is replaced by giving its column; places stay."""
+    roles = {"rank_score": F.col("score"), "eligible": F.lit(False), "seed": F.lit(False)}
+    return cand.withColumns({c: v for c, v in roles.items() if c not in cand.columns})
+
+
+def pool(cand: DataFrame, top_k: int, gap: float, margin: float, limit: int = 1, pool_by: str = "rank") -> DataFrame:
+    """Candidates that a query brings, with their ``rank`` in its part of the pool.
+
+    They are the first ``top_k`` where the gap of the two best scores is under ``gap``, else ``limit``, by ranking score, or with
+    ``pool_by`` "calib" by score and then put in the order of the ranking score. Eligible candidates are let in whatever the gap and come
+    first; where there are any, the cap is one more than their number, at most ``top_k``, at least what it was. Those
+    below the best score by more than ``margin`` stay only if they are the first.
+    """
+    rows = slates(cand)
+    place = {"by_rank": "rank_score", "by_calib": "score"}
+    rows = rows.withColumns({c: F.row_number().over(Window.partitionBy(*QUERY).orderBy(F.desc(v), "pos")) - 1 for c, v in place.items()})
+    second = F.max(F.when(F.col("by_calib") == 1, F.col("score"))).over(of_query())
+    rows = rows.withColumns({"best": F.max("score").over(of_query()), "second": second, "n_eligible": F.count_if("eligible").over(of_query())})
+    rows = rows.withColumn("ambiguous", F.coalesce(F.col("best") - F.col("second") < gap, F.lit(False)))
+    rows = rows.withColumn("most", F.when(F.col("ambiguous"), top_k).otherwise(limit)).where(F.col("eligible") | (F.col("by_calib" if pool_by == "calib" else "by_rank") < F.col("most")))
+    order = Window.partitionBy(*QUERY).orderBy(F.desc("eligible"), "by_rank")
+    cap = F.when(F.col("n_eligible") > 0, F.greatest("most", F.least(F.lit(top_k), F.col("n_eligible") + 1))).otherwise(F.col("most"))
+    rows = rows.withColumn("rank", F.row_number().over(order) - 1).where((F.col("rank") < cap) & ((F.col("rank") == 0) | (F.col("score") >= F.col("best") - margin)))
+    return rows.select(*cand.columns, "rank", "ambiguous") if "rank" not in cand.columns else rows.select(*(c for c in cand.columns if c != "rank"), "rank", "ambiguous")
 
 
 def suppressed(cand: DataFrame, radius: float, keep: int) -> DataFrame:

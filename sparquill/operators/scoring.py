@@ -60,7 +60,7 @@ def greedy_recovery(truth: DataFrame, found: DataFrame, keys: list[str]) -> Data
     Rewards end at 36 pixels and nearer pairs come first, so pairs beyond that cannot change the sum and are not made.
     """
     near = range_pairs(truth, found, keys, 36.0)
-    pairs = near.groupBy(*keys).agg(F.collect_list(F.struct(F.col("d"), F.col("l_id").cast("int").alias("i"), F.col("r_id").cast("int").alias("j"))).alias("pairs"))
+    pairs = near.groupBy(*keys).agg(F.collect_list(F.struct(F.col("d"), F.col("l_id").cast("long").alias("i"), F.col("r_id").cast("long").alias("j"))).alias("pairs"))
     reward = F.aggregate(greedy_pairs(F.col("pairs")), F.lit(0.0), lambda s, p: s + distance_reward(p["d"]))
     return truth.groupBy(*keys).agg(F.count("*").alias("n_figure")).join(pairs, keys, "left").select(*keys, "n_figure", F.coalesce(reward / F.col("n_figure"), F.lit(0.0)).alias("recovery"))
 

@@ -7,6 +7,7 @@ from ..functions.columns import binomial_tail, bucket, format_cell, parse_cell
 from ..operators.analysis import exact_quantiles, grouped_auc, wasserstein
 from ..operators.ranking import QUERY
 from ..operators.scoring import scene_scores
+from ..sources.results import truth_cells, violations
 from ..sources.tables import CAND, DEC, candidates, decisions, load
 from .scoring_plans import SCENES
 
@@ -98,17 +99,20 @@ def wide(spark, sf):
 
 
 def s5(spark, sf):
-    """The submission unpivoted and parsed: a row a filled cell."""
-    w = wide(spark, sf)
-    long = w.unpivot(["id", "constellation"], [c for c in w.columns if c.startswith("patch_")], "patch", "cell").where("cell <> '-1'")
-    p = long.select("id", F.regexp_extract("patch", r"(\d+)", 1).cast("int").alias("query"), parse_cell(F.col("cell")).alias("p"))
-    return p.select("id", "query", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.member").alias("member"))
+    """The wide table read as truth: a row a filled cell."""
+    w = wide(spark, sf).withColumnRenamed("id", "Id").withColumn("n_patches", F.lit(8))
+    return truth_cells(w).where("x IS NOT NULL").select(F.col("scene").alias("id"), "query", "x", "y", "member")
 
 
 def s8(spark, sf):
-    """Violations of a submission's rules, one count a rule."""
-    p = s5(spark, sf)
-    return p.agg(F.count("*").alias("cells"), F.count_if(~F.col("x").between(0, 2999)).alias("x_out"), F.count_if(~F.col("y").between(0, 2999)).alias("y_out"), F.count_if(~F.col("member").isin(0, 1)).alias("bad_member"), F.count_distinct("id").alias("scenes"))
+    """How often a spoilt submission breaks each rule: every 13th scene left out, every 7th with a class that is none, every 11th with a cell
+    beyond its seven, every 17th with a place outside and every 19th with no cell's form."""
+    w = wide(spark, sf).withColumnRenamed("id", "Id").withColumn("n_patches", F.when(F.col("Id") % 11 == 0, 7).otherwise(8))
+    order = ["Id", "n_patches", *(f"patch_{i:02}" for i in range(1, 9)), "constellation"]
+    cell = F.when(F.col("Id") % 19 == 0, F.lit("(1, 2)")).when(F.col("Id") % 17 == 0, F.lit("(5.000, 3000.500, 1)")).otherwise(F.col("patch_01"))
+    name = F.when(F.col("Id") % 7 == 0, F.lit("NOWHERE")).otherwise(F.col("constellation"))
+    own = w.where("Id % 13 <> 0").withColumns({"patch_01": cell, "constellation": name})
+    return violations(own.select(*order), w.select(*order), load(spark, sf, "nation").select(F.col("n_name").alias("name")))
 
 
 def s9(spark, sf):
@@ -156,11 +160,14 @@ def c21(spark, sf):
 
 
 def c24(spark, sf):
-    """Weighted score of each scene with each part replaced by a perfect one."""
-    s = scene_scores(decisions(spark, sf), ["scene"])
-    w = {"presence": 0.25, "localization": 0.2, "identification": 0.3}
-    base = sum((F.col(k) * v for k, v in w.items()), F.lit(0.25))
-    return s.select("scene", R(base).alias("base"), *(R(base + (1 - F.col(k)) * v).alias(f"perfect_{k}") for k, v in w.items()))
+    """Cells of two ways to seed by two ways to rank, presence frozen: each scene's score where places come from the first or the
+    true place (seed) and classes from the prediction or the truth (rank), and what each factor and both together add."""
+    d = decisions(spark, sf)
+    cells = d.select("*", F.explode(F.array(F.lit("first"), F.lit("true"))).alias("seeding")).select("*", F.explode(F.array(F.lit("predicted"), F.lit("true"))).alias("ranking"))
+    at = lambda c, t: F.when(F.col("seeding") == "true", F.col(t)).otherwise(F.col(c))
+    cells = cells.withColumns({"x": at("x", "tx"), "y": at("y", "ty"), "class": F.when(F.col("ranking") == "true", F.col("truth_class")).otherwise(F.col("class"))})
+    s = scene_scores(cells, ["scene", "seeding", "ranking"])
+    return s.select("scene", "seeding", "ranking", R(0.25 * F.col("presence") + 0.2 * F.col("localization") + 0.3 * F.col("identification")).alias("score"))
 
 
 def j17(spark, sf):
@@ -188,7 +195,7 @@ QUERIES = {
     "s5_read_truth": (s5, f"WITH {WIDE} SELECT id, CAST(k AS INT) AS query, x, y, CAST(m AS INT) AS member FROM k"),
     "s6_parse_cell": (s6, f"WITH {CAND} SELECT id, {CELL.format(x='(CASE WHEN id % 10 > 0 THEN x END)', y='y', m='(id % 2)')} AS cell, CASE WHEN id % 10 > 0 THEN x END AS x, CASE WHEN id % 10 > 0 THEN y END AS y, CASE WHEN id % 10 > 0 THEN CAST(id % 2 AS INT) END AS member FROM cand"),
     "s7_submission": (wide, WIDE_SQL),
-    "s8_validate": (s8, f"WITH {WIDE} SELECT count(*) AS cells, count(*) FILTER (x NOT BETWEEN 0 AND 2999) AS x_out, count(*) FILTER (y NOT BETWEEN 0 AND 2999) AS y_out, count(*) FILTER (m NOT IN (0, 1)) AS bad_member, count(DISTINCT id) AS scenes FROM k"),
+    "s8_validate": (s8, f"WITH {WIDE}, w AS (SELECT id, count(*) FILTER (k = 8) AS last FROM k JOIN nation ON id % 25 = n_nationkey GROUP BY id), o AS (SELECT * FROM w WHERE id % 13 <> 0) SELECT 'header' AS rule, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'missing scene', count(*) FROM w WHERE id % 13 = 0 UNION ALL SELECT 'unknown scene', 0 UNION ALL SELECT 'repeated scene', 0 UNION ALL SELECT 'other n_patches', 0 UNION ALL SELECT 'unknown class', count(*) FROM o WHERE id % 7 = 0 UNION ALL SELECT 'malformed cell', count(*) FROM o WHERE id % 19 = 0 UNION ALL SELECT 'place outside', count(*) FROM o WHERE id % 17 = 0 AND id % 19 <> 0 UNION ALL SELECT 'cell beyond n_patches', count(*) FROM o WHERE id % 11 = 0 AND last > 0"),
     "s9_diff": (s9, f"WITH {CAND}, a AS (SELECT scene, id, x AS ax, id % 2 AS am FROM cand WHERE id % 4 <> 1), b AS (SELECT scene, id, x + id % 5 * 0.25 AS bx, id % 3 % 2 AS bm FROM cand WHERE id % 4 <> 2) SELECT scene, count(*) FILTER (ax IS NULL) AS appeared, count(*) FILTER (bx IS NULL) AS vanished, count(*) FILTER (abs(ax - bx) > 0.5) AS moved, count(*) FILTER (am <> bm) AS membership, round(median(abs(ax - bx)), 6) AS median_move FROM a FULL JOIN b USING (scene, id) GROUP BY scene"),
     "s10_json_rows": (s10, "SELECT event_id, CAST(json_object('event_id', event_id, 'user_id', user_id, 'event_type', event_type) AS VARCHAR) AS json FROM events"),
     "s11_json_scan": (s11, "SELECT event_type, count(CAST(props->>'k' AS INT)) AS n, CAST(sum(CAST(props->>'k' AS INT)) AS BIGINT) AS total, max(CAST(props->>'k' AS INT)) AS most FROM events GROUP BY event_type"),
@@ -196,6 +203,6 @@ QUERIES = {
     "p12_stage_attribution": (p12, f"WITH {DEC} SELECT scene, CASE WHEN NOT present THEN 'absent' WHEN tx < 52 OR tx > 2947 THEN 'border' WHEN query % 11 = 0 THEN 'index' WHEN query % 7 = 0 THEN 'retrieval' WHEN abs(x - tx) > 12 THEN 'refine' WHEN NOT predicted THEN 'presence' ELSE 'found' END AS stage, count(*) AS n FROM dec GROUP BY 1, 2"),
     "p14_size_buckets": (p14, f"WITH {CAND}, n AS (SELECT count(*) AS n FROM cand GROUP BY scene, query) SELECT CASE WHEN n <= 6 THEN '4-6' WHEN n <= 9 THEN '7-9' WHEN n <= 13 THEN '10-13' WHEN n <= 18 THEN '14-18' ELSE '19+' END AS size, count(*) AS queries FROM n GROUP BY 1"),
     "c21_parameter_grid": (c21, f"WITH {GATED} SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(width AS DOUBLE) AS width, count(*) FILTER (score >= threshold) AS present, count(*) FILTER (gap < width) AS ambiguous FROM g, (VALUES (60), (90), (120)) t(threshold), (VALUES (5), (20)) u(width) GROUP BY 1, 2"),
-    "c24_factorial": (c24, f"WITH {SCENES}, b AS (SELECT *, 0.25 + 0.25 * presence + 0.2 * localization + 0.3 * identification AS base FROM sc) SELECT scene, round(base, 6) AS base, round(base + 0.25 * (1 - presence), 6) AS perfect_presence, round(base + 0.2 * (1 - localization), 6) AS perfect_localization, round(base + 0.3 * (1 - identification), 6) AS perfect_identification FROM b"),
+    "c24_factorial": (c24, f"WITH {DEC.replace('dec AS', 'base AS')}, dec AS (SELECT scene, scene || '|' || seeding || '|' || ranking AS cell, query, present, predicted, truth_class, CASE WHEN ranking = 'true' THEN truth_class ELSE class END AS class, tx, ty, CASE WHEN seeding = 'true' THEN tx ELSE x END AS x, CASE WHEN seeding = 'true' THEN ty ELSE y END AS y, seeding, ranking FROM base, (VALUES ('first'), ('true')) a(seeding), (VALUES ('predicted'), ('true')) b(ranking)), {SCENES[len(DEC) + 2:].replace('FROM dec GROUP BY scene', 'FROM dec GROUP BY scene, seeding, ranking').replace('SELECT scene,', 'SELECT scene, seeding, ranking,', 1)} SELECT scene, seeding, ranking, round(0.25 * presence + 0.2 * localization + 0.3 * identification, 6) AS score FROM sc"),
     "j17_stage_union": (j17, f"WITH {CAND}, u AS (SELECT id, 'coarse' AS stage FROM cand WHERE score > 100 UNION ALL SELECT id, 'refined' FROM cand WHERE x > 2000) SELECT stage, count(*) AS n, count(DISTINCT id) AS ids FROM u GROUP BY stage"),
 }

@@ -1,11 +1,15 @@
 """Queries on point patterns and joins."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import binomial_tail, boxes_overlap, distance, dot, likelihood, mean_centred, shear, singular_values, surprise, trimmed_mean, valid_transform
+from ..functions.kernels import SCALES
+from ..operators import relocation
 from ..operators.analysis import exact_quantiles, nearest_vectors
-from ..operators.geometry import affine_fit, assigned, capped, grouped, nearest_invariants, normalised, quads, similarity_fit, theil_sen, three_point_affine, triangles
+from ..operators.geometry import affine_fit, assigned, best_similarity, capped, grouped, nearest_invariants, nearest_quads, normalised, quads, theil_sen, three_point_affine, triangles
 from ..operators.ranking import QUERY
 from ..operators.scoring import range_pairs
 from ..sources.tables import CAND, PTS, candidates, load, points
@@ -88,8 +92,8 @@ def j15(spark, sf):
     return scenes.crossJoin(F.broadcast(classes)).select("scene", "name", "n")
 
 
-#: Points of a scene that make triangles and quads, and triangles to compare: the budgets of seed generation.
-BUDGET, QUAD_BUDGET, COMPARED = 56, 20, 12
+#: Points of a scene that make triangles and quads (the budget of seed generation), and how far neighbours lie in the plane of ratios.
+BUDGET, REACH = 56, 0.003
 
 
 def tri(spark, sf, cap=BUDGET):
@@ -108,7 +112,7 @@ TRI = f"""{CAPPED}, t AS (SELECT a.scene, abs((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x
 
 
 def g2(spark, sf):
-    q = quads(capped(points(spark, sf), QUAD_BUDGET, "id"))
+    q = quads(capped(points(spark, sf), BUDGET, "id"))
     return q.select("scene", *(f"id{i}" for i in range(4)), *(R(F.col(f"q{i}")).alias(f"q{i}") for i in range(4)))
 
 
@@ -116,7 +120,7 @@ def area_sql(p, q, r):
     return f"(({q}.x-{p}.x)*({r}.y-{p}.y)-({q}.y-{p}.y)*({r}.x-{p}.x))"
 
 
-G2_SQL = f"""WITH {CAPPED.replace(f'k <= {BUDGET}', f'k <= {QUAD_BUDGET}')}, f AS (SELECT a.scene, a.id AS ia, b.id AS ib, c.id AS ic, d.id AS id, [{area_sql('b','c','d')}, -{area_sql('a','c','d')}, {area_sql('a','b','d')}, -{area_sql('a','b','c')}] AS s
+G2_SQL = f"""WITH {CAPPED}, f AS (SELECT a.scene, a.id AS ia, b.id AS ib, c.id AS ic, d.id AS id, [{area_sql('b','c','d')}, -{area_sql('a','c','d')}, {area_sql('a','b','d')}, -{area_sql('a','b','c')}] AS s
  FROM cp a JOIN cp b ON a.scene = b.scene AND a.id < b.id JOIN cp c ON b.scene = c.scene AND b.id < c.id JOIN cp d ON c.scene = d.scene AND c.id < d.id),
  g AS (SELECT *, list_sum(list_transform(s, lambda x: abs(x))) AS total, list_filter(s, lambda x: abs(x) = list_max(list_transform(s, lambda y: abs(y))))[1] AS big FROM f),
  h AS (SELECT scene, list_sort([{{'q': s[1]*sign(big)/total, 'id': ia}}, {{'q': s[2]*sign(big)/total, 'id': ib}}, {{'q': s[3]*sign(big)/total, 'id': ic}}, {{'q': s[4]*sign(big)/total, 'id': id}}]) AS q FROM g WHERE total > 0)
@@ -124,11 +128,26 @@ SELECT scene, {', '.join(f'q[{i+1}].id AS id{i}, round(q[{i+1}].q, 6) AS q{i}' f
  WHERE least({', '.join(f'abs(q[{i}].q)' for i in range(1, 5))}) > 0.015 AND least({', '.join(f'q[{i+1}].q - q[{i}].q' for i in range(1, 4))}) > 0.002"""
 
 
+J6_SQL = f"""WITH q AS ({G2_SQL.replace("round(", "(").replace(", 6)", ")")}), o AS (SELECT *, concat_ws('-', scene, id0, id1, id2, id3) AS o, CAST(floor(q0 / 0.02) AS INT) AS c0, CAST(floor(q3 / 0.02) AS INT) AS c3 FROM q),
+ f AS (SELECT scene, id FROM (SELECT label AS scene, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 9),
+ w AS (SELECT o.o, o.scene, q0, q1, q2, q3, c0 + i AS c0, c3 + j AS c3 FROM o JOIN f a ON o.scene = a.scene AND id0 = a.id JOIN f b ON o.scene = b.scene AND id1 = b.id JOIN f c ON o.scene = c.scene AND id2 = c.id JOIN f d ON o.scene = d.scene AND id3 = d.id, range(-1, 2) p(i), range(-1, 2) r(j)),
+ m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.q0-b.q0)**2+(a.q1-b.q1)**2+(a.q2-b.q2)**2+(a.q3-b.q3)**2) AS d FROM w a JOIN o b ON a.c0 = b.c0 AND a.c3 = b.c3 AND a.scene <> b.scene),
+ k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < 0.02) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 4"""
+
+
 def j5(spark, sf):
-    """The three triangles of other scenes nearest to each triangle in the plane of their ratios."""
-    t = tri(spark, sf, COMPARED).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2"))
+    """The three triangles of other scenes nearest to each triangle in the plane of their ratios, as far as ``REACH``."""
+    t = tri(spark, sf).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2"))
     side = lambda k: t.select(*(F.col(c).alias(f"{k}_{c}") for c in ("order", "scene", "u", "v")))
-    return nearest_invariants(side("a"), side("b"), 0.1, 3, F.col("a_scene") != F.col("b_scene")).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
+    return nearest_invariants(side("a"), side("b"), REACH, 3, F.col("a_scene") != F.col("b_scene")).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
+
+
+def j6(spark, sf):
+    """The four quads of other scenes nearest to each quad of a scene's first nine points by their shares, over all scenes' quads."""
+    q = quads(capped(points(spark, sf), BUDGET, "id")).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2", "id3"))
+    own = quads(capped(points(spark, sf), 9, "id")).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2", "id3"))
+    side = lambda df, k: df.select(*(F.col(c).alias(f"{k}_{c}") for c in ("order", "scene", "q0", "q1", "q2", "q3")))
+    return nearest_quads(side(own, "a"), side(q, "b"), 0.02, 4, F.col("a_scene") != F.col("b_scene")).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
 
 
 def pairs(spark, sf):
@@ -144,6 +163,12 @@ FIT = "ft AS (SELECT scene, n, mx, my, mu, mv, (sx_tx*sy_sy-sy_tx*sx_sy)/(sx_sx*
 FIT_OUT = "SELECT scene, n, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c, round(d, 5) AS d, round(mu - a*mx - b*my, 3) AS e, round(mv - c*mx - d*my, 3) AS f FROM ft"
 
 
+A15_SQL = f"""WITH {PAIRS}, ps AS (SELECT scene, CASE WHEN scene % 2 = 0 THEN sx ELSE -sx END AS sx, sy, tx, ty FROM pr), two AS (SELECT *, 0 AS mirrored FROM ps UNION ALL SELECT scene, -sx, sy, tx, ty, 1 FROM ps),
+ m AS (SELECT scene, mirrored, covar_pop(sx, sx) + covar_pop(sy, sy) AS spread, covar_pop(sx, tx) + covar_pop(sy, ty) AS a, covar_pop(sx, ty) - covar_pop(sy, tx) AS b, covar_pop(tx, tx) + covar_pop(ty, ty) AS t, avg(sx) AS mx, avg(sy) AS my, avg(tx) AS mu, avg(ty) AS mv FROM two GROUP BY ALL),
+ f AS (SELECT *, a / spread AS c, b / spread AS s, row_number() OVER (PARTITION BY scene ORDER BY round(t - (a * a + b * b) / spread, 6), mirrored) AS k FROM m)
+SELECT scene, mirrored, round(c, 5) AS c, round(s, 5) AS s, round(mu - c*mx + s*my, 3) AS e, round(mv - s*mx - c*my, 3) AS f FROM f WHERE k = 1"""
+
+
 def rounded_fit(f):
     return f.select("scene", "n", *(R(F.col(c), 5).alias(c) for c in "abcd"), *(R(F.col(c), 3).alias(c) for c in "ef"))
 
@@ -158,8 +183,9 @@ def a14(spark, sf):
 
 
 def a15(spark, sf):
-    f = similarity_fit(pairs(spark, sf), ["scene"])
-    return f.select("scene", R(F.col("c"), 5).alias("c"), R(F.col("s"), 5).alias("s"), R(F.col("e"), 3).alias("e"), R(F.col("f"), 3).alias("f"))
+    """The similarity of each scene's pairs, plain or mirrored, whichever leaves less; every other scene's pairs are a mirror image."""
+    f = best_similarity(pairs(spark, sf).withColumn("sx", F.when(F.col("scene") % 2 == 0, F.col("sx")).otherwise(-F.col("sx"))), ["scene"])
+    return f.select("scene", F.col("mirrored").cast("int").alias("mirrored"), R(F.col("c"), 5).alias("c"), R(F.col("s"), 5).alias("s"), R(F.col("e"), 3).alias("e"), R(F.col("f"), 3).alias("f"))
 
 
 def p8(spark, sf):
@@ -217,29 +243,54 @@ def g7(spark, sf):
     return grouped(p, 60.0).join(a, ["scene", "anchor"]).groupBy("scene", "anchor").agg(F.count("*").alias("members"), R(F.first("ax"), 4).alias("x"), R(F.first("ay"), 4).alias("y"))
 
 
+def moves(spark, sf):
+    """Moves of each point to the place that its known map gives, with its group of eleven and its node."""
+    p = pairs(spark, sf).withColumn("grp", F.col("id") % 11)
+    return p.select("scene", F.col("id").alias("query"), "grp", F.col("id").alias("node"), F.when(F.col("id") % 4 == 0, F.col("tx") + 0.25).otherwise(F.col("tx") + F.col("id") % 40).alias("x"), F.col("ty").alias("y"), (F.col("tx") + F.col("id") % 13 * 2).alias("nx"), F.col("ty").alias("ny"))
+
+
+def guard_scores(spark, sf):
+    """An independent score at each move's two ends; every ninth proposed end has no candidate near."""
+    m = moves(spark, sf)
+    own = m.select("scene", "query", "x", "y", (F.col("query") % 10 / 10).alias("score"))
+    return own.unionByName(m.select("scene", "query", F.when(F.col("query") % 9 == 0, F.col("nx") + 500).otherwise(F.col("nx") + 0.75).alias("x"), F.col("ny").alias("y"), (F.col("query") % 7 / 7).alias("score")))
+
+
+def held_pairs(spark, sf):
+    return pairs(spark, sf).select("scene", (F.col("id") % 11).alias("grp"), F.col("id").alias("node"), "sx", "sy", "tx", "ty")
+
+
 def c11(spark, sf):
-    """Fits of each scene without each seventh of its pairs, and the residuals of what was held out."""
-    p = pairs(spark, sf).withColumn("part", F.col("id") % 7)
-    left = p.select("scene", "id", "sx", "sy", "tx", "ty", F.col("part").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("held"))
-    f = affine_fit(left.where("own <> held"), ["scene", "held"]).select("scene", "held", *"abcdef")
-    g = F.col
-    u, v = g("a") * g("sx") + g("b") * g("sy") + g("e"), g("c") * g("sx") + g("d") * g("sy") + g("f")
-    return p.join(f, (p.part == f.held) & (p.scene == f.scene)).groupBy("held").agg(F.count("*").alias("n"), R(F.avg(distance(u, v, g("tx"), g("ty"))), 4).alias("mean_residual"))
+    """What each guard says of each move: accept all, an independent score, the fit without the move's own group, both."""
+    m = moves(spark, sf)
+    score, held = relocation.independent_appearance(m, guard_scores(spark, sf), 0.1), relocation.held_out_support(m, held_pairs(spark, sf))
+    kinds = {"accept-all": relocation.accept_all(m), "independent": score, "held-out": held, "all-of": relocation.all_of(score, held)}
+    rows = [relocation.guarded(m, g).select(F.lit(k).alias("guard"), "scene", "query", F.col("accepted").cast("int").alias("accepted"), "reason") for k, g in kinds.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 HELD = SUMS.format(src="hp").replace("scene, count", "scene, held, count").replace("GROUP BY scene", "GROUP BY scene, held")
-C11_SQL = f"""WITH {PAIRS}, hp AS (SELECT pr.*, held FROM pr, range(7) r(held) WHERE id % 7 <> held), {HELD}, {FIT.replace('SELECT scene, n', 'SELECT scene, held, n')}
-SELECT ft.held, count(*) AS n, round(avg(sqrt((a*sx+b*sy+mu-a*mx-b*my-tx)**2 + (c*sx+d*sy+mv-c*mx-d*my-ty)**2)), 4) AS mean_residual FROM pr JOIN ft ON pr.scene = ft.scene AND pr.id % 7 = ft.held GROUP BY ft.held"""
+C11_SQL = f"""WITH {PAIRS}, g AS (SELECT DISTINCT scene, id % 11 AS held FROM pr), hp AS (SELECT pr.*, held FROM pr JOIN g ON pr.scene = g.scene AND id % 11 <> held), {HELD}, {FIT.replace('SELECT scene, n', 'SELECT scene, held, n')},
+ mv AS (SELECT scene, id AS query, id % 11 AS grp, CASE WHEN id % 4 = 0 THEN tx + 0.25 ELSE tx + id % 40 END AS x, ty AS y, tx + id % 13 * 2 AS nx, sx, sy FROM pr),
+ e AS (SELECT mv.scene, query, abs(x - nx) < 0.5 AS same, n, sqrt((a*sx+b*sy+mu-a*mx-b*my-nx)**2 + (c*sx+d*sy+mv-c*mx-d*my-y)**2) AS far,
+  query % 10 / 10.0 AS own, CASE WHEN abs(x - nx) < CASE WHEN query % 9 = 0 THEN 1.5 ELSE 0.75 END THEN query % 10 / 10.0 WHEN query % 9 <> 0 THEN query % 7 / 7.0 END AS new FROM mv LEFT JOIN ft ON mv.scene = ft.scene AND grp = held),
+ r AS (SELECT *, CASE WHEN new IS NULL THEN 'unmatched-candidate' WHEN new >= own + 0.1 THEN 'independent' ELSE 'independent-lower' END AS i, CASE WHEN coalesce(n, 0) < 4 THEN 'few-correspondences' WHEN far IS NULL THEN 'refit-failed' WHEN far <= 18 THEN 'held-out' ELSE 'held-out-far' END AS h FROM e),
+ u AS (SELECT scene, query, same, 'accept-all' AS guard, true AS ok, 'baseline' AS reason FROM r UNION ALL SELECT scene, query, same, 'independent', i = 'independent', i FROM r UNION ALL SELECT scene, query, same, 'held-out', h = 'held-out', h FROM r
+  UNION ALL SELECT scene, query, same, 'all-of', i = 'independent' AND h = 'held-out', CASE WHEN i <> 'independent' THEN i WHEN h <> 'held-out' THEN h ELSE 'all guards accept' END FROM r)
+SELECT guard, scene, query, CAST(same OR ok AS INT) AS accepted, CASE WHEN same THEN 'no move' ELSE reason END AS reason FROM u"""
 
 
 def k11(spark, sf):
-    """Bank of poses: five scales by 24 angles, those whose sampled corners stay inside a patch of 32."""
-    b = spark.range(5).select((0.6 + 0.2 * F.col("id")).alias("scale")).select("scale", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("angle"))
-    corners = F.array(*(F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i in (-12, 12) for j in (-12, 12)))
+    """Bank of poses: five scales by 24 angles, those that read a disc's samples only inside a patch of 32. Two discs: of 12 pixels, and as
+    wide as the scale admits. An edge is met to a millionth of a pixel."""
+    b = spark.createDataFrame([(s,) for s in SCALES], "scale double").select("scale", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("angle"), F.explode(F.array(F.lit("fixed"), F.lit("adaptive"))).alias("policy"))
+    radius = F.when(F.col("policy") == "fixed", 12).otherwise(F.greatest(F.lit(6), F.floor(15.2 * F.col("scale")))).cast("int")
+    steps = F.sequence(-radius, radius, F.lit(2))
+    disc = F.filter(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(i.alias("i"), j.alias("j"))))), lambda c: c["i"] * c["i"] + c["j"] * c["j"] <= radius * radius)
     t = F.radians(F.col("angle").cast("double"))
-    at = lambda c: F.struct((15.5 + F.col("scale") * (c["i"] * F.cos(t) - c["j"] * F.sin(t))).alias("x"), (15.5 + F.col("scale") * (c["i"] * F.sin(t) + c["j"] * F.cos(t))).alias("y"))
-    inside = F.forall(F.transform(corners, at), lambda p: p["x"].between(0, 31) & p["y"].between(0, 31))
-    return b.where(inside).select(R(F.col("scale")).alias("scale"), F.col("angle").cast("long").alias("angle"))
+    at = lambda c: F.struct((15.5 + (c["i"] * F.cos(t) - c["j"] * F.sin(t)) / F.col("scale")).alias("x"), (15.5 + (c["i"] * F.sin(t) + c["j"] * F.cos(t)) / F.col("scale")).alias("y"))
+    inside = F.forall(F.transform(disc, at), lambda p: p["x"].between(-1e-6, 31 + 1e-6) & p["y"].between(-1e-6, 31 + 1e-6))
+    return b.where(inside).select("policy", "scale", F.col("angle").cast("long").alias("angle"))
 
 
 def k13(spark, sf):
@@ -261,16 +312,25 @@ def k3(spark, sf):
 
 
 def k17(spark, sf):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    e = load(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.explode("v").alias("p"))
-    return e.groupBy("vec_id").agg(R(F.avg("p")).alias("mean"), R(F.stddev_pop("p")).alias("std"), R(F.max("p")).alias("max"), R(F.avg((F.col("p") > 0.2).cast("double"))).alias("saturated"))
+    """Statistics of each vector as an 8 x 8 picture: mean, spread, peak, share over .2, centre against rim, spread about the row's mean."""
+    e = load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "p")).select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("p").cast("double").alias("p"))
+    middle = F.col("x").between(2, 5) & F.col("y").between(2, 5)
+    rows = e.groupBy("vec_id", "y").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"), F.max("p").alias("m"), F.count_if(F.col("p") > 0.2).alias("over"), F.sum(F.when(middle, F.col("p"))).alias("c"))
+    n = F.count("*") * 8
+    c, s = F.sum(F.coalesce("c", F.lit(0.0))), F.sum("s")
+    return rows.groupBy("vec_id").agg(
+        R(s / n).alias("mean"), R(F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / n - (s / n) * (s / n)))).alias("std"), R(F.max("m")).alias("max"), R(F.sum("over") / n).alias("saturated"),
+        R(c / 16 - (s - c) / 48).alias("contrast"), R(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("q") - F.col("s") * F.col("s") / 8) / n))).alias("highpass"),
+    )
 
 
 def k18(spark, sf):
+    """Of each label's values the median, the spread of those below the 80th percentile, the 99.9th and the number over .3."""
     e = load(spark, sf, "embeddings").select("label", F.explode("embedding").alias("p")).select("label", F.col("p").cast("double").alias("p"))
-    q = exact_quantiles(e, ["label"], "p", {"background": 0.5, "p999": 0.999})
-    stars = e.groupBy("label").agg(F.count_if(F.col("p") > 0.3).alias("stars"))
-    return stars.join(q, "label").select("label", R(F.col("background")).alias("background"), R(F.col("p999")).alias("p999"), "stars")
+    q = exact_quantiles(e, ["label"], "p", {"background": 0.5, "p80": 0.8, "p999": 0.999})
+    low = F.when(F.col("p") < F.col("p80"), F.col("p"))
+    stars = e.join(F.broadcast(q), "label").groupBy("label", "background", "p999").agg(F.count_if(F.col("p") > 0.3).alias("stars"), R(F.stddev_pop(low)).alias("noise"))  # one row a label
+    return stars.select("label", R(F.col("background")).alias("background"), R(F.col("p999")).alias("p999"), "stars", "noise")
 
 
 def k20(spark, sf):
@@ -303,7 +363,8 @@ NEAR = "abs(a.x-b.x) <= {r} AND abs(a.y-b.y) <= {r} AND " + DIST + " {op} {r}"
 QUERIES = {
     "j1_nearest_vectors": (j1, "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, rank, id, round(score, 6) AS score FROM k WHERE rank <= 5"),
     "j4_assignment": (j4, J4_SQL),
-    "j5_triangle_neighbours": (j5, f"WITH {TRI.replace(f'k <= {BUDGET}', f'k <= {COMPARED}')}, o AS (SELECT *, concat_ws('-', scene, id0, id1, id2) AS o FROM tri), m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.u-b.u)**2+(a.v-b.v)**2) AS d FROM o a JOIN o b ON a.scene <> b.scene), k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < 0.1) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 3"),
+    "j5_triangle_neighbours": (j5, f"WITH {TRI}, o AS (SELECT *, concat_ws('-', scene, id0, id1, id2) AS o, CAST(floor(u / {REACH}) AS INT) AS cu, CAST(floor(v / {REACH}) AS INT) AS cv FROM tri), w AS (SELECT o, scene, u, v, cu + i AS cu, cv + j AS cv FROM o, range(-1, 2) p(i), range(-1, 2) q(j)), m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.u-b.u)**2+(a.v-b.v)**2) AS d FROM w a JOIN o b ON a.cu = b.cu AND a.cv = b.cv AND a.scene <> b.scene), k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < {REACH}) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 3"),
+    "j6_quad_neighbours": (j6, J6_SQL),
     "j8_anchor_groups": (j8, J8_SQL),
     "j9_eligible": (j9, f"WITH {PTS} SELECT DISTINCT a.scene, a.id FROM pts a JOIN pts b ON a.scene = b.scene AND a.id % 5 <> 0 AND b.id % 5 = 0 AND " + NEAR.format(r=80, op="<=")),
     "j10_membership": (j10, f"WITH {PTS} SELECT a.scene, a.id, CAST(EXISTS (SELECT 1 FROM pts b WHERE a.scene = b.scene AND b.id % 5 = 0 AND {DIST} < 18) AS INT) AS member FROM pts a WHERE a.id % 5 <> 0"),
@@ -316,7 +377,7 @@ QUERIES = {
     "g2_p10_quads": (g2, G2_SQL),
     "a13_affine_fit": (a13, f"WITH {PAIRS}, {SUMS.format(src='pr')}, {FIT} {FIT_OUT}"),
     "a14_three_point_fit": (a14, f"WITH {PAIRS}, p3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) AS k FROM pr) WHERE k <= 3), {SUMS.format(src='p3')}, {FIT} {FIT_OUT} WHERE n = 3"),
-    "a15_similarity_fit": (a15, f"WITH {PAIRS}, {SUMS.format(src='pr')}, s AS (SELECT *, (sx_tx+sy_ty)/(sx_sx+sy_sy) AS c, (sx_ty-sy_tx)/(sx_sx+sy_sy) AS s FROM sm) SELECT scene, round(c, 5) AS c, round(s, 5) AS s, round(mu-c*mx+s*my, 3) AS e, round(mv-s*mx-c*my, 3) AS f FROM s"),
+    "a15_similarity_fit": (a15, A15_SQL),
     "a16_binomial_score": (a16, A16_SQL),
     "a17_k22_likelihood": (a17, f"WITH {CAND}, r AS (SELECT scene, query, list_sort(list(x / 100)) AS r FROM cand GROUP BY ALL) SELECT scene, query, round(list_sum(list_transform(r, lambda q: ln(24.0*24.0/(2*8.0*8.0)) - q*q/(2*8.0*8.0))) - 0.5*len(r), 5) AS score, round(list_avg(r[1:greatest(1, CAST(floor(len(r)*0.8) AS INT))]), 6) AS trimmed FROM r"),
     "a19_p8_transform_checks": (p8, P8_SQL),
@@ -324,13 +385,13 @@ QUERIES = {
     "g3_normalised": (g3, f"WITH {PTS} SELECT scene, id, round((x - avg(x) OVER w) / greatest(1e-6, max(x) OVER w - min(x) OVER w), 6) AS nx, round((y - avg(y) OVER w) / greatest(1e-6, max(y) OVER w - min(y) OVER w), 6) AS ny FROM pts WINDOW w AS (PARTITION BY scene)"),
     "g4_residuals": (g4, f"WITH {PAIRS}, {SUMS.format(src='pr')}, {FIT} SELECT pr.scene, id, round(sqrt((a*sx+b*sy+mu-a*mx-b*my-tx)**2 + (c*sx+d*sy+mv-c*mx-d*my-ty)**2), 4) AS residual FROM pr JOIN ft ON pr.scene = ft.scene"),
     "g7_relocation": (g7, J8_SQL.replace("SELECT scene, id, anchor FROM go WHERE id IS NOT NULL", "SELECT g.scene, anchor, count(*) AS members, round(any_value(p.x), 4) AS x, round(any_value(p.y), 4) AS y FROM go g JOIN pts p ON g.anchor = p.id WHERE g.id IS NOT NULL GROUP BY g.scene, anchor")),
-    "c11_held_out_guard": (c11, C11_SQL),
+    "c11_relocation_guards": (c11, C11_SQL),
     "k3_normalise": (k3, f"WITH {VEC}, u AS (SELECT vec_id, v, {UNIT.format('v')} AS u FROM ev) SELECT vec_id, round(list_sum(u), 6) + 0.0 AS total, round(list_sum(list_transform(list_zip(u, v), lambda z: z[1]*z[2])), 6) AS with_raw, round(list_max(u), 6) AS peak FROM u"),
-    "k11_p7_pose_bank": (k11, "WITH b AS (SELECT 0.6 + 0.2 * i AS scale, a * 15 AS angle, radians(a * 15.0) AS t FROM range(5) s(i), range(24) r(a)), c AS (SELECT scale, angle, 15.5 + scale*(i*cos(t) - j*sin(t)) AS x, 15.5 + scale*(i*sin(t) + j*cos(t)) AS y FROM b, (VALUES (-12), (12)) p(i), (VALUES (-12), (12)) q(j)) SELECT round(CAST(scale AS DOUBLE), 6) AS scale, angle FROM c GROUP BY scale, angle HAVING min(x) >= 0 AND max(x) <= 31 AND min(y) >= 0 AND max(y) <= 31"),
+    "k11_p7_pose_bank": (k11, "WITH b AS (SELECT unnest([0.75, 0.87, 1.0, 1.15, 1.33]::DOUBLE[]) AS scale), c AS (SELECT policy, scale, a * 15 AS angle, radians(a * 15.0) AS t, CASE policy WHEN 'fixed' THEN 12 ELSE greatest(6, CAST(floor(15.2 * scale) AS INT)) END AS r FROM b, range(24) q(a), (VALUES ('fixed'), ('adaptive')) p(policy)), d AS (SELECT policy, scale, angle, 15.5 + ((2*m-r)*cos(t) - (2*n-r)*sin(t)) / scale AS x, 15.5 + ((2*m-r)*sin(t) + (2*n-r)*cos(t)) / scale AS y FROM c, range(41) u(m), range(41) v(n) WHERE 2*m-r <= r AND 2*n-r <= r AND (2*m-r)**2 + (2*n-r)**2 <= r*r) SELECT policy, scale, angle FROM d GROUP BY ALL HAVING min(x) >= -1e-6 AND max(x) <= 31 + 1e-6 AND min(y) >= -1e-6 AND max(y) <= 31 + 1e-6"),
     "k12_radius": (k12, "SELECT l_orderkey, l_linenumber, CAST(greatest(6, floor(15.2 * (l_discount * 10 + 0.3))) AS BIGINT) AS radius FROM lineitem"),
     "k13_disc": (k13, "SELECT radius, i, j FROM range(6, 13) r(radius), LATERAL (SELECT unnest(range(-radius, radius + 1, 2)) AS i), LATERAL (SELECT unnest(range(-radius, radius + 1, 2)) AS j) WHERE i*i + j*j <= radius*radius"),
-    "k17_patch_statistics": (k17, "WITH p AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS p FROM embeddings) SELECT vec_id, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(max(p), 6) AS max, round(avg(CASE WHEN p > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS saturated FROM p GROUP BY vec_id"),
-    "k18_scene_statistics": (k18, "WITH p AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS p FROM embeddings) SELECT label, round(quantile_cont(p, 0.5), 6) AS background, round(quantile_cont(p, 0.999), 6) AS p999, count(*) FILTER (p > 0.3) AS stars FROM p GROUP BY label"),
+    "k17_patch_statistics": (k17, "WITH p AS (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS p, i % 8 AS x, i // 8 AS y FROM embeddings, range(64) r(i)), q AS (SELECT *, p - avg(p) OVER (PARTITION BY vec_id, y) AS h, x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AS c FROM p) SELECT vec_id, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(max(p), 6) AS max, round(avg(CASE WHEN p > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS saturated, round(avg(p) FILTER (c) - avg(p) FILTER (NOT c), 6) AS contrast, round(sqrt(avg(h * h)), 6) AS highpass FROM q GROUP BY vec_id"),
+    "k18_scene_statistics": (k18, "WITH p AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS p FROM embeddings), q AS (SELECT label, quantile_cont(p, 0.8) AS p80 FROM p GROUP BY label) SELECT label, round(quantile_cont(p, 0.5), 6) AS background, round(quantile_cont(p, 0.999), 6) AS p999, count(*) FILTER (p > 0.3) AS stars, round(stddev_pop(p) FILTER (p < p80), 6) AS noise FROM p JOIN q USING (label) GROUP BY label"),
     "k20_masked_ncc": (k20, f"WITH {VEC}, f AS (SELECT label, arg_min(v, vec_id) AS w FROM ev GROUP BY label), m AS (SELECT vec_id, v, w, v[1:16] AS a, w[1:16] AS b FROM ev JOIN f USING (label)) SELECT vec_id, round(list_sum(list_transform(list_zip({UNIT.format('v')}, {UNIT.format('w')}), lambda z: z[1]*z[2])), 6) AS ncc, round(list_sum(list_transform(list_zip({UNIT.format('a')}, {UNIT.format('b')}), lambda z: z[1]*z[2])), 6) AS masked FROM m"),
     "p16_box_overlap": (p16, f"WITH {PTS} SELECT a.id AS aid, b.id AS bid FROM pts a JOIN pts b ON a.scene = b.scene AND a.id < b.id AND a.x < b.x + 300 AND b.x < a.x + 300 AND a.y < b.y + 300 AND b.y < a.y + 300"),
     "source_regions": (regions, "SELECT s_suppkey AS image, CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(c * 1000 + 96 AS INT) AS x0, CAST(r * 1000 + 96 AS INT) AS y0, ['development', 'calibration', 'confirmation'][(s_suppkey + r + c) % 3 + 1] AS split FROM supplier, range(3) a(r), range(3) b(c)"),

@@ -1,8 +1,11 @@
 """Queries on candidates: windows, pools, suppression, sets."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.fusion import POLICIES, fused, predicted
 from ..operators.ranking import QUERY, gaps, of_query, pool, ranked, reordered, suppressed
 from ..sources.tables import CAND, candidates, load
 
@@ -25,11 +28,15 @@ def c4(spark, sf):
 
 
 def w5(spark, sf):
-    """Eligible candidates first, then by score; a cap that grows with their number."""
-    ok = F.col("x") < 600
-    c = candidates(spark, sf).withColumn("n", F.count_if(ok).over(of_query()))
-    w = Window.partitionBy(*QUERY).orderBy(F.when(ok, 0).otherwise(1), F.desc("score"), "pos")
-    return c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.greatest(F.lit(1), F.least(F.lit(8), F.col("n") + 1))).select(*QUERY, "id", F.col("k").cast("long").alias("k"))
+    """The pool with candidates let in for their place: they come first, and the cap grows with their number."""
+    c = candidates(spark, sf).withColumn("eligible", F.col("x") < 600)
+    return pool(c, 8, 20.0, 60.0).select(*QUERY, "id", F.col("rank").cast("long").alias("rank"))
+
+
+def c10(spark, sf):
+    """The pool by a second score, with the members that the first one chooses."""
+    c = candidates(spark, sf).withColumn("rank_score", F.col("y"))
+    return pool(c, 8, 20.0, 60.0, pool_by="calib").select(*QUERY, "id", F.col("rank").cast("long").alias("rank"))
 
 
 def w6(spark, sf):
@@ -195,37 +202,59 @@ def j16(spark, sf):
     return both.withColumn("k", F.row_number().over(w)).where("k = 1").select("scene", "name", "stage", "score")
 
 
+def stage_fits(spark, sf):
+    """Of each scene's two branches, even and odd candidates, the best score of each class and two mapped places."""
+    c = candidates(spark, sf).withColumn("stage", F.when(F.col("id") % 2 == 0, "refined").otherwise("coarse"))
+    place = lambda f: F.struct((f("x") % 40).alias("x"), (f("y") % 40).alias("y"))
+    return c.groupBy("scene", "stage", F.col("query").alias("name")).agg(F.max("score").alias("score"), F.array(place(F.min), place(F.max)).alias("nodes"))
+
+
 def c12(spark, sf):
-    """Classes of a scene fused over two branches by reciprocal ranks (49 where a branch lacks one) and by mean regret (20)."""
-    c = candidates(spark, sf)
+    """The class that each of the nine policies picks in each scene, and the branch it takes it from."""
+    fits = stage_fits(spark, sf)
+    return reduce(DataFrame.unionByName, (fused(fits, p).select(F.lit(p).alias("policy"), "scene", "name", "stage") for p in POLICIES))
 
-    def branch(rows, s):
-        f = rows.groupBy("scene", F.col("query").alias("name")).agg(F.max("score").alias("score"))
-        w = Window.partitionBy("scene").orderBy(F.desc("score"), "name")
-        return f.select("scene", "name", F.row_number().over(w).alias(f"r_{s}"), (F.max("score").over(Window.partitionBy("scene")) - F.col("score")).alias(f"g_{s}"))
 
-    both = branch(c.where("id % 2 = 0"), "a").join(branch(c.where("id % 2 = 1"), "b"), ["scene", "name"], "full")
-    rank, regret = (lambda s: F.coalesce(f"r_{s}", F.lit(49))), (lambda s: F.coalesce(f"g_{s}", F.lit(20.0)))
-    both = both.withColumns({"rrf": R(1.0 / (3 + rank("a")) + 1.0 / (3 + rank("b")), 9), "regret": R((regret("a") + regret("b")) / 2, 9)})
-    pick = lambda order, n: both.withColumn("k", F.row_number().over(Window.partitionBy("scene").orderBy(order, "name"))).where("k = 1").select("scene", F.col("name").alias(n))
-    return pick(F.desc("rrf"), "by_rrf").join(pick(F.asc("regret"), "by_regret"), "scene")
+def c13(spark, sf):
+    """Decisions under two policies, whole and with the baseline's places."""
+    fits, first = stage_fits(spark, sf), gaps(candidates(spark, sf)).select(*QUERY, (F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), "score")
+    moves = fits.select("scene", "stage", "name", F.explode(F.array(*(F.lit(q) for q in ("click", "view", "error")))).alias("query"), F.col("nodes")[0]["x"].alias("x"), F.col("nodes")[0]["y"].alias("y"))
+    kinds = [(p, only) for p in ("rrf", "agreement_2") for only in (False, True)]
+    rows = [predicted(first, moves, fits, p, only, threshold=100.0, radius=9.0).select(F.lit(p).alias("policy"), F.lit(int(only)).alias("id_only"), "*") for p, only in kinds]
+    return reduce(DataFrame.unionByName, rows).select("policy", "id_only", "scene", "query", R(F.col("x")).alias("x"), R(F.col("y")).alias("y"), "member", "name")
 
 
 def best_sql(where):
     return f"SELECT scene, query AS name, max(score) AS score FROM cand WHERE {where} GROUP BY ALL"
 
 
-def branch_sql(where):
-    return f"SELECT scene, name, row_number() OVER (PARTITION BY scene ORDER BY score DESC, name) AS r, max(score) OVER (PARTITION BY scene) - score AS g FROM ({best_sql(where)})"
+VALUES = {"rrf": "rrf", "mean_regret": "mean_regret", "min_regret": "min_regret", "agreement_1": "best + shared", "agreement_2": "best + 2 * shared", "stable_1": "best + stable"}
+FITS = f"""{CAND}, fits AS (SELECT scene, CASE WHEN id % 2 = 0 THEN 'refined' ELSE 'coarse' END AS stage, query AS name, max(score) AS score, min(x) % 40 AS ax, min(y) % 40 AS ay, max(x) % 40 AS bx, max(y) % 40 AS \"by\" FROM cand GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY scene, stage ORDER BY score DESC, name) AS rank, max(score) OVER (PARTITION BY scene, stage) - score AS regret FROM fits),
+ cv AS (SELECT coalesce(a.scene, b.scene) AS scene, coalesce(a.name, b.name) AS name, greatest(a.score, b.score) AS best, 1.0 / (3 + coalesce(a.rank, 49)) + 1.0 / (3 + coalesce(b.rank, 49)) AS rrf, -(coalesce(a.regret, 20.0) + coalesce(b.regret, 20.0)) / 2 AS mean_regret,
+  -greatest(coalesce(a.regret, 20.0), coalesce(b.regret, 20.0)) AS min_regret, CAST(a.rank IS NOT NULL AND b.rank IS NOT NULL AS INT) AS shared,
+  CAST(coalesce((sqrt((a.ax-b.ax)**2+(a.ay-b.ay)**2) + sqrt((a.bx-b.bx)**2+(a.\"by\"-b.\"by\")**2)) / 2 <= 18, false) AS INT) AS stable
+  FROM (SELECT * FROM rk WHERE stage = 'refined') a FULL JOIN (SELECT * FROM rk WHERE stage = 'coarse') b ON a.scene = b.scene AND a.name = b.name),
+ base AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY scene ORDER BY score DESC, name, stage) = 1), two AS (SELECT scene FROM fits GROUP BY scene HAVING count(DISTINCT stage) = 2)"""
+PICKED = [("baseline", "SELECT scene, name, stage FROM base")]
+PICKED += [(p, f"SELECT scene, name, stage FROM fits WHERE stage = '{p}' QUALIFY row_number() OVER (PARTITION BY scene ORDER BY score DESC, name) = 1") for p in ("refined", "coarse")]
+PICKED += [(p, f"SELECT f.scene, f.name, f.stage FROM fits f JOIN (SELECT scene, name FROM cv WHERE scene IN (FROM two) QUALIFY row_number() OVER (PARTITION BY scene ORDER BY round({v}, 9) DESC, name) = 1) c ON f.scene = c.scene AND f.name = c.name QUALIFY row_number() OVER (PARTITION BY f.scene ORDER BY score DESC, stage) = 1") for p, v in VALUES.items()]
+PICKS = "own AS (" + " UNION ALL ".join(f"SELECT '{p}' AS policy, * FROM ({q})" for p, q in PICKED) + "), picks AS (FROM own UNION ALL SELECT policy, scene, name, stage FROM base, (SELECT unnest([" + ", ".join(f"'{p}'" for p, _ in PICKED) + "]) AS policy) p WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.policy = p.policy AND own.scene = base.scene))"
+C13_SQL = f"""WITH {FITS}, {PICKS}, fst AS (SELECT scene, query, x % 40 AS x, y % 40 AS y, score FROM cand QUALIFY row_number() {OVER} = 1), k AS (SELECT * FROM (VALUES ('rrf'), ('agreement_2')) p(policy), (VALUES (0), (1)) i(id_only)),
+ j AS (SELECT k.policy, k.id_only, t.scene, t.query, t.score >= 100 AS present, n.name, CASE WHEN t.query IN ('click', 'view', 'error') THEN f.ax ELSE t.x END AS x, CASE WHEN t.query IN ('click', 'view', 'error') THEN f.ay ELSE t.y END AS y, f.ax, f.ay, f.bx, f.\"by\"
+  FROM k CROSS JOIN fst t JOIN picks n ON n.policy = k.policy AND n.scene = t.scene JOIN picks b ON b.policy = CASE WHEN id_only = 1 THEN 'baseline' ELSE k.policy END AND b.scene = t.scene JOIN fits f ON f.scene = t.scene AND f.stage = b.stage AND f.name = b.name)
+SELECT policy, id_only, scene, query, round(CASE WHEN present THEN x END, 6) AS x, round(CASE WHEN present THEN y END, 6) AS y, CASE WHEN present THEN CAST(least((x-ax)**2+(y-ay)**2, (x-bx)**2+(y-\"by\")**2) < 81 AS INT) END AS member, name FROM j"""
 
 
 GAPS = f"g AS (SELECT * FROM (SELECT *, score - lead(score) {OVER} AS gap, row_number() {OVER} AS k FROM cand) WHERE k = 1)"
 POOL = f"p AS (SELECT * FROM (SELECT *, max(CASE WHEN rank = 0 THEN score END) OVER w AS best, max(CASE WHEN rank = 1 THEN score END) OVER w AS second FROM r WINDOW w AS (PARTITION BY scene, query)) WHERE rank < CASE WHEN coalesce(best - second < 20.0, false) THEN 8 ELSE 1 END AND (rank = 0 OR score >= best - 60.0))"
+GATE = "m AS (SELECT *, CASE WHEN coalesce(best - second < 20.0, false) THEN 8 ELSE 1 END AS most FROM (SELECT *, count(*) FILTER (x < 600) OVER w AS n, max(score) OVER w AS best, max(CASE WHEN rank = 1 THEN score END) OVER w AS second FROM r WINDOW w AS (PARTITION BY scene, query)))"
 QUERIES = {
     "w1_rank": (w1, f"WITH {RANKED} SELECT scene, query, id, rank FROM r"),
     "w2_gap": (w2, f"WITH {CAND}, {GAPS} SELECT scene, query, id, round(coalesce(gap, -1.0), 6) AS gap FROM g"),
     "w3_w4_c4_pool": (c4, f"WITH {RANKED}, {POOL} SELECT scene, query, id, rank FROM p"),
-    "w5_eligible_first": (w5, f"WITH {CAND}, e AS (SELECT *, count(*) FILTER (x < 600) OVER (PARTITION BY scene, query) AS n, row_number() OVER (PARTITION BY scene, query ORDER BY CASE WHEN x < 600 THEN 0 ELSE 1 END, score DESC, pos) AS k FROM cand) SELECT scene, query, id, k FROM e WHERE k <= greatest(1, least(8, n + 1))"),
+    "w5_eligible_first": (w5, f"WITH {RANKED}, {GATE}, o AS (SELECT *, row_number() OVER (PARTITION BY scene, query ORDER BY CASE WHEN x < 600 THEN 0 ELSE 1 END, rank) - 1 AS place FROM m WHERE x < 600 OR rank < most) SELECT scene, query, id, place AS rank FROM o WHERE place < CASE WHEN n > 0 THEN greatest(most, least(8, n + 1)) ELSE most END AND (place = 0 OR score >= best - 60.0)"),
+    "c10_pool_by_calibration": (c10, f"WITH {RANKED}, {GATE}, o AS (SELECT *, row_number() OVER (PARTITION BY scene, query ORDER BY y DESC, pos) - 1 AS place FROM m WHERE rank < most) SELECT scene, query, id, place AS rank FROM o WHERE place = 0 OR score >= best - 60.0"),
     "w6_arg_extremes": (w6, f"WITH {CAND} SELECT scene, query, first(id ORDER BY score DESC, pos) AS first_max, first(id ORDER BY score, pos) AS first_min FROM cand GROUP BY scene, query"),
     "w7_w8_class_rank": (w7, f"WITH {CAND}, m AS (SELECT scene, query, max(score) AS score FROM cand GROUP BY ALL) SELECT scene, query, row_number() OVER w AS class_rank, round(coalesce(score - lead(score) OVER w, -1.0), 6) AS gap FROM m WINDOW w AS (PARTITION BY scene ORDER BY score DESC, query)"),
     "w9_truth_rank": (w9, f"WITH {RANKED} SELECT scene, query, min(rank) FILTER (x < 1500 AND y < 1500) AS rank, min(rank) FILTER (x < 1500 AND y < 1500 AND rank < 10) AS kept_rank FROM r GROUP BY ALL"),
@@ -252,5 +281,6 @@ QUERIES = {
     "a34_pool_statistics": (a34, f"WITH {RANKED}, {POOL}, {GAPS} SELECT a.scene, passing, ambiguous, median_score, pool_size FROM (SELECT scene, count(*) FILTER (score >= 120) AS passing, count(*) FILTER (gap < 20) AS ambiguous, round(median(score), 6) AS median_score FROM g GROUP BY scene) a JOIN (SELECT scene, count(*) AS pool_size FROM p GROUP BY scene) b ON a.scene = b.scene"),
     "set_operations": (sets, f"WITH {CAND}, a AS (SELECT DISTINCT scene, query FROM cand WHERE score > 100), b AS (SELECT DISTINCT scene, query FROM cand WHERE x > 1500 AND score > 60) SELECT *, 'union' AS part FROM (FROM a UNION FROM b) UNION ALL SELECT *, 'left' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'both' FROM (FROM a INTERSECT FROM b)"),
     "j16_branch_winner": (j16, f"WITH {CAND}, u AS (SELECT *, 'refined' AS stage FROM ({best_sql('id % 2 = 0')}) UNION ALL SELECT *, 'coarse' FROM ({best_sql('id % 2 = 1')})), k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, name, stage) AS k FROM u) SELECT scene, name, stage, score FROM k WHERE k = 1"),
-    "c12_branch_fusion": (c12, f"WITH {CAND}, a AS ({branch_sql('id % 2 = 0')}), b AS ({branch_sql('id % 2 = 1')}), f AS (SELECT coalesce(a.scene, b.scene) AS scene, coalesce(a.name, b.name) AS name, round(1.0 / (3 + coalesce(a.r, 49)) + 1.0 / (3 + coalesce(b.r, 49)), 9) AS rrf, round((coalesce(a.g, 20.0) + coalesce(b.g, 20.0)) / 2, 9) AS regret FROM a FULL JOIN b ON a.scene = b.scene AND a.name = b.name) SELECT scene, first(name ORDER BY rrf DESC, name) AS by_rrf, first(name ORDER BY regret, name) AS by_regret FROM f GROUP BY scene"),
+    "c12_branch_fusion": (c12, f"WITH {FITS}, {PICKS} SELECT policy, scene, name, stage FROM picks"),
+    "c13_policy_prediction": (c13, C13_SQL),
 }

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import bucket, clip, distance, distance_reward
 from ..operators.analysis import exact_quantiles
 from ..operators.scoring import failure_category, greedy_recovery, scene_scores, two_class_f1, weighted
-from ..sources.tables import DEC, PTS, decisions, load, points
+from ..operators.geometry import assigned
+from ..operators.ranking import QUERY, ranked, suppressed
+from ..sources.tables import DEC, PTS, candidates, decisions, load, points
+from .ranking_plans import RANKED
 
 R = lambda c, n=6: F.round(c, n)
 REWARD = "greatest(0.0, least(1.0, (36.0 - d) / 24.0))"
@@ -41,15 +44,36 @@ def a4(spark, sf):
     return greedy_recovery(truth, p.where("id % 2 = 1"), ["scene"]).select("scene", "n_figure", R(F.col("recovery")).alias("recovery"))
 
 
-A4_SQL = f"""WITH RECURSIVE {PTS}, pairs AS (SELECT a.scene, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d, a.id AS i, b.id AS j
- FROM pts a JOIN pts b ON a.scene = b.scene AND a.id % 2 = 0 AND b.id % 2 = 1
- AND abs(a.x-b.x) < 36 AND abs(a.y-b.y) < 36), near AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY d, i, j) AS k FROM pairs WHERE d < 36),
- go AS (SELECT scene, 0 AS k, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS vs, CAST(0 AS DOUBLE) AS total FROM (SELECT DISTINCT scene FROM pts)
+def greedy_sql(truth, found, add):
+    """CTEs that end in g (scene, total): over the pairs of truth and found (scene, id, x, y) within 36 pixels, nearest first and one to
+    one, the sum of ``add``, an expression of d."""
+    return f"""tr AS ({truth}), fo AS ({found}), near AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY d, i, j) AS k FROM (SELECT a.scene, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d, a.id AS i, b.id AS j
+ FROM tr a JOIN fo b ON a.scene = b.scene AND abs(a.x-b.x) < 36 AND abs(a.y-b.y) < 36) WHERE d < 36),
+ go AS (SELECT scene, 0 AS k, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS vs, CAST(0 AS DOUBLE) AS total FROM (SELECT DISTINCT scene FROM tr)
  UNION ALL SELECT g.scene, g.k + 1, CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN us ELSE list_append(us, i) END,
  CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN vs ELSE list_append(vs, j) END,
- total + CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN 0.0 ELSE {REWARD} END FROM go g JOIN near n ON g.scene = n.scene AND n.k = g.k + 1)
-SELECT t.scene, n_figure, round(total / n_figure, 6) AS recovery FROM (SELECT scene, count(*) AS n_figure FROM pts WHERE id % 2 = 0 GROUP BY scene) t
- JOIN (SELECT scene, arg_max(total, k) AS total FROM go GROUP BY scene) g ON t.scene = g.scene"""
+ total + CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN 0.0 ELSE {add} END FROM go g JOIN near n ON g.scene = n.scene AND n.k = g.k + 1),
+ g AS (SELECT scene, arg_max(total, k) AS total FROM go GROUP BY scene)"""
+
+
+A4_SQL = f"""WITH RECURSIVE {PTS}, {greedy_sql('SELECT scene, id, x, y FROM pts WHERE id % 2 = 0', 'SELECT scene, id, x, y FROM pts WHERE id % 2 = 1', REWARD)}
+SELECT t.scene, n_figure, round(total / n_figure, 6) AS recovery FROM (SELECT scene, count(*) AS n_figure FROM tr GROUP BY scene) t JOIN g ON t.scene = g.scene"""
+
+
+def figures(d):
+    """The figure's true places and what is called present, of decisions."""
+    truth = d.where("present AND truth_class = 0").select("scene", F.col("query").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    return truth, d.where("predicted").select("scene", F.col("query").alias("id"), "x", "y")
+
+
+def scored(spark, sf):
+    """The four parts of each scene's score and the score."""
+    d = decisions(spark, sf)
+    s = scene_scores(d, ["scene"]).join(greedy_recovery(*figures(d), ["scene"]), "scene", "left").withColumn("recovery", F.coalesce("recovery", F.lit(1.0)))
+    return s.withColumn("score", weighted(*(F.col(c) for c in ("presence", "localization", "recovery", "identification"))))
+
+
+FIGURE = "SELECT scene, query AS id, tx AS x, ty AS y FROM dec WHERE present AND truth_class = 0", "SELECT scene, query AS id, x, y FROM dec WHERE predicted"
 
 
 def a5(spark, sf):
@@ -57,13 +81,20 @@ def a5(spark, sf):
 
 
 def a6(spark, sf):
-    s = scene_scores(decisions(spark, sf), ["scene"])
-    return s.select("scene", R(weighted(F.col("presence"), F.col("localization"), F.lit(1.0), F.col("identification"))).alias("score"))
+    return scored(spark, sf).select("scene", R(F.col("recovery")).alias("recovery"), R(F.col("score")).alias("score"))
 
 
 def a7(spark, sf):
-    s = scene_scores(decisions(spark, sf), ["scene"]).withColumn("score", weighted(F.col("presence"), F.col("localization"), F.lit(1.0), F.col("identification")))
-    return s.agg(*(R(F.avg(c)).alias(f"mean_{c}") for c in ("presence", "localization", "identification", "score")), R(F.min("score")).alias("worst"))
+    return scored(spark, sf).agg(*(R(F.avg(c)).alias(f"mean_{c}") for c in ("presence", "localization", "recovery", "identification", "score")), R(F.min("score")).alias("worst"))
+
+
+def a31(spark, sf):
+    """Of each scene's figure, how many places a present prediction recovers within 12 pixels, one to one, and how many are left."""
+    d = decisions(spark, sf)
+    truth, found = figures(d)
+    n = truth.groupBy("scene").agg(F.count("*").alias("n_figure"))
+    hit = assigned(truth, found, ["scene"], 36.0).groupBy("scene").agg(F.count_if(F.col("d") <= 12).alias("matched"))
+    return n.join(hit, "scene", "left").select("scene", F.coalesce("matched", F.lit(0)).alias("matched"), (F.col("n_figure") - F.coalesce("matched", F.lit(0))).alias("unmatched"))
 
 
 def a20(spark, sf):
@@ -90,10 +121,33 @@ def a9(spark, sf):
     return out.select("scene", "strip", F.col("present").cast("int").alias("present"), "n", "mean_x")
 
 
+def near_truth(spark, sf):
+    """Candidates with rank, and the distance to their query's true place: five pixels from the candidate that comes at place scene mod 7."""
+    c = ranked(candidates(spark, sf))
+    t = c.where(F.col("pos") == F.col("scene") % 7).select(*QUERY, (F.col("x") + 3).alias("tx"), (F.col("y") + 4).alias("ty"))
+    return c.join(t, QUERY).withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
+
+
 def a23(spark, sf):
-    d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
-    hit = lambda r: R(F.avg(F.when(F.col("present"), (d <= r).cast("double")))).alias(f"hit{r}")
-    return decisions(spark, sf).groupBy("scene").agg(F.count_if("present").alias("n_present"), hit(12), hit(24), hit(4))
+    """Shares of a scene's queries whose first candidate, or one of the first twenty, is within 12 pixels; the median rank of the first
+    that is; the mean reward as it is and with the nearest of twenty in the first one's place, and what that would gain."""
+    first = near_truth(spark, sf).where("rank < 20").groupBy(*QUERY).agg(F.min(F.when(F.col("d") <= 12, F.col("rank"))).alias("rank"), F.min(F.when(F.col("rank") == 0, F.col("d"))).alias("d0"), F.min("d").alias("best"))
+    mean = lambda c: F.avg(c)
+    return first.groupBy("scene").agg(
+        F.count("*").alias("n"), R(mean(F.coalesce((F.col("rank") == 0).cast("double"), F.lit(0.0)))).alias("hit1"), R(mean(F.col("rank").isNotNull().cast("double"))).alias("hit20"), F.coalesce(F.median("rank"), F.lit(-1.0)).alias("median_rank"),
+        R(mean(distance_reward(F.col("d0")))).alias("as_is"), R(mean(distance_reward(F.col("best")))).alias("oracle"), R(mean(distance_reward(F.col("best")) - distance_reward(F.col("d0")))).alias("headroom"),
+    )
+
+
+def c18(spark, sf):
+    """Where each query's true place is lost: never proposed, suppressed by a better one within 400 pixels, cut beyond five, outranked, or found."""
+    c = near_truth(spark, sf)
+    kept = suppressed(candidates(spark, sf), 400.0, 5).select(*QUERY, "id", "kept_rank")
+    before = suppressed(candidates(spark, sf), 400.0, 1_000).select(*QUERY, "id").withColumn("survives", F.lit(1))
+    rows = c.where("d <= 12").join(kept, [*QUERY, "id"], "left").join(before, [*QUERY, "id"], "left").groupBy(*QUERY).agg(F.min("rank").alias("rank"), F.max("survives").alias("survives"), F.min("kept_rank").alias("kept"))
+    every = candidates(spark, sf).select(*QUERY).distinct().join(rows, QUERY, "left")
+    stage = F.when(F.col("rank").isNull(), "not proposed").when(F.col("survives").isNull(), "suppressed").when(F.col("kept").isNull(), "cut").when(F.col("kept") > 0, "outranked").otherwise("found")
+    return every.groupBy("scene", stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
 def a24(spark, sf):
@@ -156,19 +210,31 @@ def a14_clip(spark, sf):
     return decisions(spark, sf).select("query", clip(F.col("x"), 20, 2980).alias("x"), clip(F.col("y"), 20, 2980).alias("y"))
 
 
+SCORED = f"""{SCENES}, {greedy_sql(*FIGURE, REWARD)}, s AS (SELECT *, 0.25 * presence + 0.2 * localization + 0.25 * recovery + 0.3 * identification AS score FROM
+ (SELECT sc.*, coalesce(total / n_figure, 1.0) AS recovery FROM sc LEFT JOIN g ON sc.scene = g.scene LEFT JOIN (SELECT scene, count(*) AS n_figure FROM tr GROUP BY scene) f ON sc.scene = f.scene))"""
+NEAR_TRUTH = f"{RANKED}, t AS (SELECT scene, query, x + 3 AS tx, y + 4 AS ty FROM r WHERE pos = scene % 7), n AS (SELECT r.*, {D} AS d FROM r JOIN t ON r.scene = t.scene AND r.query = t.query)"
+C18_SQL = f"""WITH RECURSIVE {NEAR_TRUTH}, go AS (SELECT scene, query, CAST(0 AS BIGINT) AS rank, [{{'id': id, 'x': x, 'y': y}}] AS kept FROM r WHERE rank = 0
+ UNION ALL SELECT g.scene, g.query, r.rank, CASE WHEN len(list_filter(kept, lambda q: sqrt((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y)) < 400.0)) = 0
+ THEN list_append(kept, {{'id': r.id, 'x': r.x, 'y': r.y}}) ELSE kept END FROM go g JOIN r ON g.scene = r.scene AND g.query = r.query AND r.rank = g.rank + 1),
+ f AS (SELECT scene, query, arg_max(kept, rank) AS kept FROM go GROUP BY scene, query), u AS (SELECT scene, query, unnest(range(1, len(kept) + 1)) AS k, kept FROM f), v AS (SELECT scene, query, kept[k].id AS id, k - 1 AS place FROM u),
+ m AS (SELECT n.scene, n.query, min(rank) AS rank, min(place) AS place FROM n LEFT JOIN v ON n.scene = v.scene AND n.query = v.query AND n.id = v.id WHERE d <= 12 GROUP BY ALL),
+ w AS (SELECT q.scene, CASE WHEN rank IS NULL THEN 'not proposed' WHEN place IS NULL THEN 'suppressed' WHEN place >= 5 THEN 'cut' WHEN place > 0 THEN 'outranked' ELSE 'found' END AS stage FROM (SELECT DISTINCT scene, query FROM cand) q LEFT JOIN m ON q.scene = m.scene AND q.query = m.query)
+SELECT scene, stage, count(*) AS n FROM w GROUP BY ALL"""
 QUERIES = {
     "a1_presence_f1": (a1, f"WITH {DEC} SELECT round({f1_sql('present', 'predicted')}, 6) AS presence_f1, count(*) AS n FROM dec"),
     "a2_distance_reward": (a2, f"WITH {DEC}, r AS (SELECT query, {D} AS d FROM dec) SELECT query, round({REWARD}, 6) AS reward FROM r"),
     "a3_localization": (a3, f"WITH {SCENES} SELECT scene, round(localization, 6) AS localization FROM sc"),
     "a4_greedy_recovery": (a4, A4_SQL),
     "a5_identification": (a5, f"WITH {SCENES} SELECT scene, n, round(identification, 6) AS identification FROM sc"),
-    "a6_weighted_score": (a6, f"WITH {SCENES} SELECT scene, round(0.25 * presence + 0.2 * localization + 0.25 + 0.3 * identification, 6) AS score FROM sc"),
-    "a7_macro_mean": (a7, f"WITH {SCENES}, s AS (SELECT *, 0.25 * presence + 0.2 * localization + 0.25 + 0.3 * identification AS score FROM sc) SELECT round(avg(presence), 6) AS mean_presence, round(avg(localization), 6) AS mean_localization, round(avg(identification), 6) AS mean_identification, round(avg(score), 6) AS mean_score, round(min(score), 6) AS worst FROM s"),
+    "a6_weighted_score": (a6, f"WITH RECURSIVE {SCORED} SELECT scene, round(recovery, 6) AS recovery, round(score, 6) AS score FROM s"),
+    "a7_macro_mean": (a7, f"WITH RECURSIVE {SCORED} SELECT " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("presence", "localization", "recovery", "identification", "score")) + ", round(min(score), 6) AS worst FROM s"),
+    "a31_recovery_attribution": (a31, f"WITH RECURSIVE {DEC}, {greedy_sql(*FIGURE, 'CASE WHEN d <= 12 THEN 1.0 ELSE 0.0 END')} SELECT scene, CAST(total AS BIGINT) AS matched, n - CAST(total AS BIGINT) AS unmatched FROM g JOIN (SELECT scene, count(*) AS n FROM tr GROUP BY scene) USING (scene)"),
     "a8_category_rollup": (a8, f"WITH {DEC}, r AS (SELECT *, {D} AS d, {CATEGORY} AS category FROM dec) SELECT category, count(*) AS n, count(DISTINCT scene) AS scenes, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d <= 12 THEN 1.0 ELSE 0.0 END), 6) AS rate12 FROM r GROUP BY category"),
     "a9_strata": (a9, f"WITH {DEC}, r AS (SELECT *, CASE WHEN query % 20 <= 3 THEN '2-3' WHEN query % 20 <= 9 THEN '4-9' ELSE '10+' END AS strip FROM dec) SELECT scene, strip, CAST(present AS INT) AS present, count(*) AS n, round(avg(x), 6) AS mean_x FROM r GROUP BY GROUPING SETS ((scene), (strip), (present))"),
     "a12_realism_flag": (a12, "WITH ref AS (SELECT quantile_cont(length(html), 0.1) AS lo, quantile_cont(length(html), 0.9) AS hi FROM pages), m AS (SELECT lang, quantile_cont(n_chars, 0.5) AS mid FROM documents GROUP BY lang) SELECT lang, round(mid, 6) AS mid, CAST(mid < lo OR mid > hi AS INT) AS outside FROM m, ref"),
     "a20_failure_taxonomy": (a20, f"WITH {DEC} SELECT {CATEGORY} AS category, count(*) AS n, count(DISTINCT scene) AS scenes FROM dec GROUP BY 1"),
-    "a23_hit_rates": (a23, f"WITH {DEC} SELECT scene, count(*) FILTER (present) AS n_present, " + ", ".join(f"round(avg(CASE WHEN {D} <= {r} THEN 1.0 ELSE 0.0 END) FILTER (present), 6) AS hit{r}" for r in (12, 24, 4)) + " FROM dec GROUP BY scene"),
+    "a23_hit_rates": (a23, f"WITH {NEAR_TRUTH}, f AS (SELECT scene, query, min(rank) FILTER (d <= 12) AS rank, min(d) FILTER (rank = 0) AS d0, min(d) AS best FROM n WHERE rank < 20 GROUP BY ALL), w AS (SELECT *, greatest(0.0, least(1.0, (36.0 - d0) / 24.0)) AS r0, greatest(0.0, least(1.0, (36.0 - best) / 24.0)) AS r1 FROM f) SELECT scene, count(*) AS n, round(avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit20, coalesce(CAST(median(rank) AS DOUBLE), -1.0) AS median_rank, round(avg(r0), 6) AS as_is, round(avg(r1), 6) AS oracle, round(avg(r1 - r0), 6) AS headroom FROM w GROUP BY scene"),
+    "c18_stage_trace": (c18, C18_SQL),
     "a24_separation": (a24, f"WITH {DEC} SELECT CAST(present AS INT) AS present, round(median(x), 6) AS median_x, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90 FROM dec GROUP BY 1"),
     "a27_proportion_se": (a27, f"WITH {DEC}, p AS (SELECT scene, avg(CASE WHEN truth_class = class THEN 1.0 ELSE 0.0 END) AS p, count(*) AS n FROM dec GROUP BY scene) SELECT scene, round(p, 6) AS acc, round(sqrt(p * (1 - p) / n), 6) AS se FROM p"),
     "a33_resolving_power": (a33, f"WITH {DEC} SELECT scene, round(0.3 / count(*), 9) AS quantum, round(0.25 / greatest(1, count(*) FILTER (present)), 9) AS figure_quantum FROM dec GROUP BY scene"),

@@ -16,15 +16,45 @@ from ..functions.columns import format_cell, parse_cell
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """(scene, query, x, y, member, constellation) of a wide CSV: a row for each of a scene's first n_patches cells; absent ones
     have null places. Fails at a malformed cell or a repeated Id."""
-    wide = spark.read.csv(path, header=True)
+    return truth_cells(spark.read.csv(path, header=True))
+
+
+def truth_cells(wide: DataFrame) -> DataFrame:
+    """As ``read_truth``, of a wide table."""
     cells = [c for c in wide.columns if c.startswith("patch_")]
     n = F.count("*").over(Window.partitionBy("Id"))
-    once = wide.withColumn("n", n).where(F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated Id: "), "Id")).cast("boolean")))
+    once = wide.withColumn("n", n).where(F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated Id: "), F.col("Id").cast("string"))).cast("boolean")))
     long = once.unpivot(["Id", "n_patches", "constellation"], cells, "patch", "cell")
     long = long.withColumns({"query": F.regexp_extract("patch", r"(\d+)$", 1).cast("int"), "p": parse_cell(F.col("cell"))}).where(F.col("query") <= F.col("n_patches").cast("int"))
     return long.select(F.col("Id").alias("scene"), "query", "p.x", "p.y", "p.member", "constellation")
 
 
+#: Rules of a submission, in the order of their report.
+RULES = ("header", "missing scene", "unknown scene", "repeated scene", "other n_patches", "unknown class", "malformed cell", "place outside", "cell beyond n_patches")
+
+
+def violations(own: DataFrame, sample: DataFrame, classes: DataFrame, size: int = 3000) -> DataFrame:
+    """(rule, n): how often a submission breaks each rule. ``sample`` gives columns, scenes and n_patches, ``classes`` (name) the classes."""
+    cells = [c for c in own.columns if c.startswith("patch_")]
+    rows = own.groupBy("Id").agg(F.count("*").alias("n"), F.max("n_patches").alias("np"), F.max("constellation").alias("class"))
+    known = classes.select(F.col("name").alias("class"), F.lit(True).alias("known")).distinct()
+    both = sample.select("Id", F.col("n_patches").alias("want"), F.lit(True).alias("sampled")).join(rows, "Id", "full").join(known, "class", "left")
+    here, there = F.col("n").isNotNull(), F.col("sampled").isNotNull()
+    scenes = both.agg(
+        F.count_if(there & ~here), F.count_if(here & ~there), F.count_if(F.coalesce(F.col("n"), F.lit(0)) > 1), F.count_if(here & there & (F.col("np") != F.col("want"))), F.count_if(here & F.col("known").isNull()),
+    ).toDF(*RULES[1:6])
+    form = r"^\s*\(\s*([-+0-9.eE]+)\s*,\s*([-+0-9.eE]+)\s*,\s*([01])\s*\)\s*$"
+    long = own.unpivot(["Id", "n_patches"], cells, "patch", "cell").where(F.trim("cell") != "-1")
+    at = lambda i: F.regexp_extract("cell", form, i).try_cast("double")
+    fine = F.col("cell").rlike(form) & at(1).isNotNull() & at(2).isNotNull()
+    outside = fine & ~(at(1).between(0, size - 1) & at(2).between(0, size - 1))
+    beyond = F.regexp_extract("patch", r"(\d+)$", 1).cast("int") > F.col("n_patches").cast("int")
+    places = long.agg(F.count_if(~fine), F.count_if(outside), F.count_if(beyond)).toDF(*RULES[6:])
+    head = F.lit(int(own.columns != sample.columns)).cast("long").alias("header")
+    wide = scenes.crossJoin(places).select(head, *(F.col(f"`{r}`") for r in RULES[1:]))  # two single rows
+    return wide.unpivot([], [F.col(f"`{r}`") for r in RULES], "rule", "n")
+
+
 def submission(predictions: DataFrame, sample: DataFrame) -> DataFrame:
     """The wide table of a sample's columns, in its order: cells with three decimals, -1 for what is absent or beyond n_patches.
 

@@ -10,6 +10,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for several uses: written to the cluster's checkpoint folder, and where none is set (tests), kept by Spark."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.persist() if sc.getCheckpointDir() is None else df.checkpoint()
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene, query, id, pos, score, x, y): the events of a user and type, in order, as scored candidates."""
     e = load(spark, sf_dir, "events")

@@ -1,12 +1,16 @@
 """Recognition, images and sources on scenes of known truth."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import kernels, synthetic
 from sparquill.functions.columns import anchors, parse_cell
-from sparquill.operators import recognition
+from sparquill.functions import patterns as patterns_of
+from sparquill.operators import ranking, recognition
 from sparquill.operators.scoring import greedy_recovery
 from sparquill.sources import images, results
 from sparquill.streaming import events
@@ -29,7 +33,7 @@ def test_recognises_synthetic_scenes(spark):
     found = recognition.hypotheses(cand, as_catalog(spark, own), cap=18000).cache()
     best = {r.scene: r.name for r in recognition.winners(found).collect()}
     assert sum(best.get(s) == n for s, n in truth.items()) >= 5
-    done = recognition.finalise(cand, found, threshold=0.5).collect()
+    done = recognition.finalise(cand, {"refined": (recognition.live(cand, 0.5), found)}, threshold=0.5).collect()
     assert len(done) == cand.select("scene", "query").distinct().count()
     assert sum(r.member or 0 for r in done) >= 5 * 5
     second = {r.scene: r.name for r in recognition.winners(recognition.two_pass(cand, as_catalog(spark, own), cap=18000)).collect()}
@@ -40,7 +44,8 @@ def test_no_evidence(spark):
     cand = spark.createDataFrame([(1, 1, 0, 10.0, 10.0, 0.9), (1, 2, 0, 500.0, 500.0, 0.9)], synthetic.CANDIDATES)
     found = recognition.hypotheses(cand, as_catalog(spark, patterns()))
     assert found.count() == 0
-    assert {(r.name, r.member) for r in recognition.finalise(cand, found).collect()} == {("unknown", 0)}
+    assert {(r.name, r.member) for r in recognition.finalise(cand, {"refined": (cand, found)}).collect()} == {("unknown", 0)}
+    assert not any(r.present for r in recognition.finalise(cand, {"refined": (recognition.live(cand, 0.72), found)}).collect())
 
 
 def test_anchor_groups(spark):
@@ -161,14 +166,170 @@ def test_stream(spark, tmp_path):
 
 
 def test_queries_try_all_seeds_of_the_default_cap(spark, monkeypatch):
-    from sparquill.operators import recognition
     from sparquill.plans import recognition_plans
 
     budgets = []
-    real = recognition.hypotheses
-    keep = lambda cand, catalog, **options: budgets.append(options.get("cap", 80_000)) or real(cand, catalog, **options)
-    monkeypatch.setattr(recognition, "hypotheses", keep)
-    monkeypatch.setattr(recognition_plans, "hypotheses", keep)
-    for query in (recognition_plans.c5, recognition_plans.c8, recognition_plans.c9, recognition_plans.c14):
+    real = recognition._fitted
+    monkeypatch.setattr(recognition, "_fitted", lambda *a: budgets.append(a[-1].cap) or real(*a))
+    for query in (recognition_plans.c5, recognition_plans.c9, recognition_plans.g8):
         query(spark, "/root/testdata/sf0.001")
-    assert budgets == [80_000] * 5
+    assert budgets == [80_000] * 4
+
+
+# Patterns against plain loops --------------------------------------------------------------------------------------
+
+
+def slow_triangles(points):
+    out = {}
+    for ids in itertools.combinations(range(len(points)), 3):
+        sides = sorted((np.linalg.norm(points[b] - points[c]), k, a) for k, (a, b, c) in enumerate((ids, (ids[1], ids[0], ids[2]), (ids[2], ids[0], ids[1]))))
+        area = abs(np.linalg.det(np.c_[points[list(ids)], np.ones(3)]))
+        if sides[0][0] > 1e-5 and area > 0.02 * sides[2][0] ** 2:
+            out[tuple(s[2] for s in sides)] = (sides[0][0] / sides[2][0], sides[1][0] / sides[2][0])
+    return out
+
+
+def slow_quads(points):
+    out = {}
+    for ids in itertools.combinations(range(len(points)), 4):
+        area = [(-1) ** i * np.linalg.det(np.c_[points[[j for j in ids if j != own]], np.ones(3)]) for i, own in enumerate(ids)]
+        total = sum(map(abs, area))
+        sign = 1 if max(area, key=abs) > 0 else -1
+        shares = sorted((sign * a / total, own) for a, own in zip(area, ids, strict=True))
+        if min(abs(a) for a, _ in shares) > 0.015 and min(b[0] - a[0] for a, b in itertools.pairwise(shares)) > 0.002:
+            out[tuple(own for _, own in shares)] = tuple(a for a, _ in shares)
+    return out
+
+
+def test_invariants_against_loops():
+    rng = np.random.default_rng(3)
+    points = rng.uniform(0, 100, (9, 2))
+    points[8] = (points[0] + points[1]) / 2
+    for fast, slow in ((patterns_of.ordered_triangles, slow_triangles), (patterns_of.affine_quads, slow_quads)):
+        ids, form = fast(points)
+        want = slow(points)
+        assert {tuple(i) for i in ids.tolist()} == set(want)
+        assert all(np.allclose(f, want[tuple(i)]) for i, f in zip(ids.tolist(), form, strict=True))
+    turned = points @ rng.normal(size=(2, 2)) * 3 + 7
+    (a, u), (b, v) = patterns_of.affine_quads(points), patterns_of.affine_quads(turned)
+    assert (a == b).all() and np.allclose(u, v, atol=1e-8)
+    which, row, d = patterns_of.nearest_rows(u[:20], v[5:], 4)
+    every = np.linalg.norm(u[:20, None] - v[5:], axis=2)
+    assert np.allclose(np.sort(every, axis=1)[:, :4].ravel(), np.concatenate([np.sort(d[which == i]) for i in range(20)])) and (np.diff(d) >= 0).all()
+
+
+def slow_pairs(d, groups, reach):
+    found, nodes, used = [], set(), set()
+    for gap, i, j in sorted((d[i, j], i, j) for i in range(d.shape[0]) for j in range(d.shape[1]) if d[i, j] < reach):
+        if i not in nodes and groups[j] not in used:
+            nodes.add(i)
+            used.add(groups[j])
+            found.append((i, j, gap))
+    return found
+
+
+def slow_fit(nodes, scene, budget, o):
+    """The best score of a class, one seed at a time; the seeds are all of both kinds where the budget allows."""
+    unit = (nodes - nodes.mean(axis=0)) / np.ptp(nodes, axis=0)
+    one = lambda m: np.c_[unit, np.ones(len(unit))] @ m
+    best = (-1e9, 0)
+    for make, k in ((slow_quads, 4), (slow_triangles, 20)):
+        table = make(scene.seeds)
+        for own, form in make(unit).items():
+            for other in sorted(table, key=lambda t: np.linalg.norm(np.subtract(table[t], form)))[:k]:
+                m = np.linalg.lstsq(np.c_[unit[list(own)], np.ones(len(own))], scene.seeds[list(other)], rcond=None)[0]
+                ok = lambda m: (s := np.linalg.svd(m[:2], compute_uv=False))[1] >= 50 and s[0] <= 6000 and s[0] <= 8 * s[1]
+                if not ok(m):
+                    continue
+                gap = lambda m: np.linalg.norm(one(m)[:, None] - scene.points, axis=2)
+                pairs = slow_pairs(gap(m), scene.groups, max(24, o.tolerance))
+                for _ in range(3 if len(pairs) >= 4 else 0):
+                    i, j = [p[0] for p in pairs], [p[1] for p in pairs]
+                    new = np.linalg.lstsq(np.c_[unit[i], np.ones(len(i))], scene.points[j], rcond=None)[0]
+                    if not ok(new):
+                        break
+                    m, pairs = new, slow_pairs(gap(new), scene.groups, o.tolerance)
+                    if len(pairs) < 4:
+                        break
+                if len(pairs) >= 4:
+                    p = min(0.8, len(set(scene.groups)) * np.pi * o.tolerance**2 / 9e6)
+                    n = max(len(unit) - 3, 1)
+                    tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(len(pairs) - 3, n + 1))
+                    a, b = m[0], m[1]
+                    score = -math.log10(tail) - 0.5 * np.mean([g for *_, g in pairs]) / o.tolerance - o.shear_penalty * abs(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b))
+                    best = max(best, (score, len(pairs)))
+    return best
+
+
+def test_fits_against_loops():
+    rng = np.random.default_rng(8)
+    o = patterns_of.Options()
+    seen = 0
+    for turn in range(6):
+        nodes = rng.uniform(0, 100, (int(rng.integers(4, 7)), 2))
+        there = synthetic.place(nodes, rng) + rng.normal(0, 4, nodes.shape)
+        points = np.concatenate([there, rng.uniform(0, 3000, (12, 2)), there[:3] + rng.normal(0, 20, (3, 2))])
+        groups = np.concatenate([np.arange(len(there) + 12), np.arange(3)])
+        scene = patterns_of.Scene(points, groups, np.ones(len(points)), np.zeros(len(points), int), points[: len(there) + 5])
+        got = patterns_of.best_fit(nodes, scene, 10_000, o)
+        want = slow_fit(nodes, scene, 10_000, o)
+        assert (got["score"], got["support"]) == (pytest.approx(want[0], abs=1e-6), want[1]), turn
+        seen += got["support"] > 0
+    assert seen >= 4
+
+
+def test_map_and_pairs_change_together():
+    """A fit that its refit leaves with too few pairs is dropped; one whose first refit is no usable map keeps the first pairs."""
+    rng = np.random.default_rng(1)
+    o = patterns_of.Options(tolerance=1.0)
+    unit = rng.uniform(-0.5, 0.5, (5, 2))
+    m = np.array([[[1000.0, 0.0], [0.0, 1000.0], [1500.0, 1500.0]]])
+    points = patterns_of.mapped(unit, m)[0] + rng.uniform(-20, 20, (5, 2)) / 1.5
+    scene = patterns_of.Scene(points, np.arange(5), np.ones(5), np.zeros(5, int), points)
+    assert patterns_of._settled(unit, scene, m.copy(), "affine", o) is None
+    line = np.column_stack([np.linspace(-0.5, 0.5, 5), np.zeros(5)])
+    points = patterns_of.mapped(line, m)[0]
+    scene = patterns_of.Scene(points, np.arange(5), np.ones(5), np.zeros(5, int), points)
+    kept = patterns_of._settled(line, scene, m.copy(), "affine", o)
+    assert kept["support"] == 5 and np.allclose(kept["matrix"], m.ravel())
+
+
+def test_options_of_the_recogniser(spark):
+    own = patterns()
+    cand = synthetic.scenes(spark, 5, 2, own, hit=0.8, error=1.5).cache()
+    nodes = as_catalog(spark, own | {"pair": np.array([[0.0, 0.0], [1.0, 1.0]])})
+    base = {(r.scene, r.name): r for r in recognition.hypotheses(cand, nodes).collect()}
+    assert len(base) == 2 * 7 and base[0, "pair"].reason == "pair-only ambiguity" and base[0, "pair"].score == -1e9
+    truth = {s: synthetic.scene_rows(5, s, own, hit=0.8, error=1.5)[0] for s in range(2)}
+    for options in ({"score_mode": "likelihood", "size_penalty": 1.0}, {"models": ("affine", "similarity")}, {"quad_share": 0.6}, {"null_mode": "pool_decorrelate"}, {"appearance_weight": 1.0, "rank_weight": 0.1}, {"pool_by": "calib"}):
+        best = {r.scene: r.name for r in recognition.winners(recognition.hypotheses(cand, nodes, **options)).collect()}
+        assert best == truth, options
+    bright = np.full((3000, 3000), 0.9, np.float32)
+    aux = spark.createDataFrame([(0, 3000, 3000, bright.tobytes())], "scene int, height int, width int, image binary")
+    lit = {(r.scene, r.name): r for r in recognition.hypotheses(cand, nodes, auxiliary=aux).collect()}
+    assert all(r.auxiliary <= 0.9 + 1e-6 for r in lit.values() if r.auxiliary is not None) and any(r.auxiliary > 0.5 for (s, _), r in lit.items() if s == 0 and r.auxiliary is not None)
+    assert all(lit[k].score == base[k].score for k in base if k[0] == 1)
+    assert {r.scene: r.name for r in recognition.winners(recognition.legacy(cand, nodes)).collect()} == truth
+    assert recognition.members_by_group(cand, recognition.legacy(cand, nodes)).count() >= 8
+
+
+def test_catalog_goes_in_blocks(spark, monkeypatch):
+    own = patterns()
+    cand = synthetic.scenes(spark, 5, 1, own, hit=0.9, error=1.5).cache()
+    key = lambda df: sorted((r.name, r.score, r.support) for r in df.collect())
+    whole = key(recognition.hypotheses(cand, as_catalog(spark, own), cap=6000))
+    monkeypatch.setattr(recognition, "BLOCK", 15)
+    assert key(recognition.hypotheses(cand, as_catalog(spark, own), cap=6000)) == whole
+
+
+def test_pool_and_eligibility(spark):
+    rows = [(1, 1, p, x, x, s) for p, (x, s) in enumerate(((10.0, 0.9), (500.0, 0.4), (600.0, 0.3)))] + [(1, 2, p, x, x, s) for p, (x, s) in enumerate(((20.0, 0.9), (700.0, 0.89), (800.0, 0.88)))]
+    cand = spark.createDataFrame(rows, synthetic.CANDIDATES)
+    pooled = lambda c, **k: {q: [r.pos for r in ranking.pool(c, 8, 0.03, 0.15, **k).where(f"query = {q}").orderBy("rank").collect()] for q in (1, 2)}
+    assert pooled(cand) == {1: [0], 2: [0, 1, 2]}
+    near = spark.createDataFrame([(1, 500.0, 482.0)], "scene int, x double, y double")
+    marked = recognition.mark_eligible(cand, near, 18.0)
+    assert [(r.query, r.pos) for r in marked.where("eligible").collect()] == [(1, 1)]
+    assert pooled(marked) == {1: [1, 0], 2: [0, 1, 2]}  # eligible first, and one more
+    again = cand.withColumn("rank_score", F.col("x"))
+    assert pooled(again) == {1: [2], 2: [2, 1, 0]} and pooled(again, pool_by="calib") == {1: [0], 2: [2, 1, 0]}
