@@ -32,13 +32,31 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, ``spark.checkpoint.dir``; where none is set (tests) a temporary one."""
+    """The cluster's shared checkpoint folder, ``spark.checkpoint.dir``. Where none is set a session on one machine, as in tests, takes a temporary one; on a cluster that is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` does not have."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text, as two columns. Unlike a row's place they are the same each time that a table is read."""
+    return [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)) for k in (1, 2)]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: a later loss of an executor then re-reads a file
     instead of repeating the work."""

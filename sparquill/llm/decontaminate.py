@@ -1,13 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: ``build_index`` packs documents into segments of bounded size and
-stores, for every term of the benchmark, the sorted list of its positions in the segment. Terms that no
-benchmark text has can never be asked for and get no list. Segments are rows of a table in the shared
-checkpoint folder, so postings never cross the network and a lost executor costs re-reading a row.
+The index is partitioned by document: ``build_index`` packs documents into segments of bounded size and stores, for
+every term of the documents, the sorted list of its positions in the segment. Terms are stored by 64-bit hashes, so no
+dictionary is shared, and the index is built once whatever is asked of it. Segments are rows of a table in the shared
+checkpoint folder: postings never cross the network, a lost executor costs re-reading a row, and a row's number is the same
+for every block of questions.
 
 ``search`` takes each window of benchmark words to each segment: the list of the rarest term, shifted by the
 term's offset, gives candidate places; the other terms' lists are intersected with them from rare to frequent.
-With every term in its place the match is exact; with each within ``slop`` positions of it, a proximity match.
+With every term in its place the match is exact; with each within ``slop`` positions of its place, a proximity match
+(so neighbours may be swapped, and a word left out or put in moves the others).
 
 The benchmark is the query set. It is streamed to the driver in blocks of at most ``WINDOWS`` windows, each of
 which is searched in all segments, so neither the driver nor a task holds more than one block of it.
@@ -20,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, byte_rows, checkpointed
+from .common import WORDS, byte_rows, checkpointed, fresh, row_key
 
 WINDOW = 10
 SLOP = 2
@@ -33,6 +36,9 @@ GAP = WINDOW + 2 * SLOP + 2  # positions between documents: no match spans two
 CANDIDATES = 1 << 20  # candidate places held at once
 
 
+digest = xxhash.xxh64_intdigest
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORDS).split()
 
@@ -46,6 +52,7 @@ class Block:
         self.rows = np.full((len(keys), WINDOW), -1, np.int32)
         for i, key in enumerate(keys):
             self.rows[i, : len(key)] = [self.terms.setdefault(w, len(self.terms)) for w in key]
+        self.hashes = np.array([digest(w) for w in self.terms], np.uint64)
         self.lengths = np.array([len(k) for k in keys], np.int32)
         names = sorted(set().union(*windows.values()))
         number = {x: i for i, x in enumerate(names)}
@@ -67,30 +74,32 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield Block(windows)
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col: str = "text") -> DataFrame:
-    """Segments: ids and n_words of the documents, and as packed integers their first positions (starts), the terms'
-    numbers (terms), lengths of their lists (sizes) and the lists (positions)."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """Segments: ids and n_words of the documents, and as packed numbers their first positions (starts), the terms'
+    hashes in order (terms), lengths of their lists (sizes) and the lists (positions)."""
     kind = docs.schema[id_col].dataType.simpleString()  # of one row's id; it may be a struct
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
         ids: list = []
         lengths: list[int] = []
         numbers: list[np.ndarray] = []
+        terms: dict[bytes, int] = {}
         held = 0
 
         def flush() -> pa.RecordBatch:
             n = np.array(lengths, np.int64)
             starts = np.concatenate(([0], np.cumsum(n + GAP)[:-1])) + GAP
             every = np.concatenate(numbers)
+            hashes = np.fromiter(map(digest, terms), np.uint64, len(terms))
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             # place of each word: its number among all words, moved on by the gaps before its document
             place = np.arange(len(every)) + np.repeat(starts - (np.cumsum(n) - n), n)
-            known = every >= 0
-            key = (every[known].astype(np.int64) << 32) | place[known]
+            key = (rank[every] << 32) | place
             key.sort()
-            found, sizes = np.unique((key >> 32).astype(np.int32), return_counts=True)
-            packed = (starts.astype(np.int32), found, sizes.astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32))
+            sizes = np.bincount(every, minlength=len(terms))[order]
+            packed = (starts.astype(np.int32), hashes[order], sizes.astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32))
             cols = [pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
             return pa.record_batch(cols, names=["ids", "n_words", "starts", "terms", "sizes", "positions"])
 
@@ -100,11 +109,13 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col:
                 words = words_of(text)
                 ids.append(doc)
                 lengths.append(len(words))
-                numbers.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
+                for w in set(words).difference(terms):
+                    terms[w] = len(terms)
+                numbers.append(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)))
                 held += len(words) + GAP
                 if held >= SEGMENT:
                     yield flush()
-                    ids, lengths, numbers, held = [], [], [], 0
+                    ids, lengths, numbers, terms, held = [], [], [], {}, 0
         if ids:
             yield flush()
 
@@ -112,6 +123,17 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col:
     return kept.mapInArrow(give, f"ids array<{kind}>, n_words array<int>, starts binary, terms binary, sizes binary, positions binary")
 
 
+def lists_of(hashes: np.ndarray, terms: np.ndarray, sizes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the asked-for terms that a segment has, lengths of their lists, the lists one after the other)."""
+    at = np.searchsorted(terms, hashes)
+    found = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == hashes)) if len(terms) else np.empty(0, np.int64)
+    own = at[found]
+    n = sizes[own].astype(np.int64)
+    first = (np.cumsum(sizes, dtype=np.int64) - sizes)[own]
+    where = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return found, n, positions[where]
+
+
 def intersect(rows: np.ndarray, terms: np.ndarray, sizes: np.ndarray, positions: np.ndarray, n_terms: int, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(window, position of its first word, whether exact) of the matches in one segment."""
     count = np.zeros(n_terms + 1, np.int64)
@@ -161,12 +183,13 @@ def search(index: DataFrame, block: Block, id_col: str, slop: int = SLOP) -> Dat
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, n_words = batch.column(0)[k].values, batch.column(1)[k].values
-                starts, terms, sizes, positions = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in range(2, 6))
+                starts, terms, sizes, positions = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64 if c == 3 else np.int32) for c in range(2, 6))
+                terms, sizes, positions = lists_of(q.hashes, terms, sizes, positions)
                 n = n_words.to_numpy()
                 hit = np.zeros(int(starts[-1]) + int(n[-1]) + GAP + 1, np.int32)
                 exact_of: dict[int, set] = {}
                 near_of: dict[int, set] = {}
-                for window, at, exact in intersect(q.rows, terms, sizes, positions, len(q.terms), slop):
+                for window, at, exact in intersect(q.rows, terms, sizes, positions, len(q.hashes), slop):
                     doc = np.searchsorted(starts, at + slop, "right") - 1
                     np.add.at(hit, at[exact], 1)
                     np.add.at(hit, at[exact] + q.lengths[window[exact]], -1)
@@ -187,21 +210,23 @@ def search(index: DataFrame, block: Block, id_col: str, slop: int = SLOP) -> Dat
     return index.mapInArrow(give, f"`{id_col}` {kind}, n_words long, spans array<struct<from:int,to:int>>, items array<string>, near_items array<string>")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, most: int = WINDOWS) -> DataFrame:
-    """``search`` of all blocks of the benchmark; one row for each row of ``docs``, with n_hit, the words in its spans.
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, most: int = WINDOWS, *, key: tuple[str, ...] = ()) -> DataFrame:
+    """``search`` of all blocks of the benchmark; one row for each row of ``docs``, with n_hit, the words in its spans. ``key``: columns to carry.
 
-    Null and empty texts have no words. Benchmark rows without an id or a text give no windows; an empty benchmark
-    matches nothing. Repeated rows of either table are kept as they are. Other columns are not read.
+    Null and empty texts have no words; long ones are searched whole, in a segment of their own if need be. Benchmark rows without an
+    id or a text give no windows; an empty benchmark matches nothing, and no documents give no rows. Repeated rows of either table
+    are kept as they are; a window that several items have is each one's, in whatever order. Other columns are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = docs.select(F.struct(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id")).alias("row"), text_col)
-    found = None
+    row = F.struct(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(key)))
+    index = checkpointed(build_index(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row"))
+    found, several = None, False
     for block in blocks(benchmark, most=most):
-        own = search(checkpointed(build_index(placed, block.terms, "row", text_col)), block, "row", slop)
+        own = search(index, block, "row", slop)
+        several = found is not None
         found = own if found is None else found.unionByName(own.where("size(near_items) > 0"))
-        several = found is not own
     if found is None:
-        found, several = search(build_index(placed, {}, "row", text_col), Block({}), "row", slop), False
+        found = search(index, Block({}), "row", slop)
     if several:
         joined = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")}
         found = found.groupBy("row").agg(F.max("n_words").alias("n_words"), *joined.values())
@@ -212,7 +237,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         lambda a: a["n"].cast("long"),
     )
     named = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")]
-    return found.select(F.col("row.place").alias("__place"), F.col("row.id").cast(kind).alias(id_col), "n_words", reach.alias("n_hit"), "spans", *named)
+    return found.select(*(F.col(f"row.k{i}").alias(k) for i, k in enumerate(key)), F.col("row.id").cast(kind).alias(id_col), "n_words", reach.alias("n_hit"), "spans", *named)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -228,11 +253,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs.
 
-    ``docs`` is read twice and its rows are told by their places, so it must give the same rows in the same order again, as a
-    table does. All columns are kept.
+    Rows are told by a hash of id and text, so it does not matter in which order a second read gives them, and rows that agree in both
+    share their fate. Null and empty texts stay, as does everything where the benchmark is empty. All columns are kept, also such as are named
+    like one of this function's own.
     """
-    bad = matches(docs, benchmark).where("n_hit > 0").select("__place")
-    return docs.withColumn("__place", F.monotonically_increasing_id()).join(checkpointed(bad), "__place", "left_anti").drop("__place")
+    key = fresh(docs, "__k1", "__k2")
+    hashed = docs.withColumns(dict(zip(key, row_key(id_col, text_col), strict=True)))
+    bad = matches(hashed, benchmark, id_col, text_col, key=tuple(key)).where("n_hit > 0").select(*key).distinct()
+    return hashed.join(checkpointed(bad), key, "left_anti").drop(*key)

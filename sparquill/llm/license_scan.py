@@ -60,9 +60,14 @@ def minima(own: Column) -> Column:
 def templates(spark: SparkSession, given: tuple = TEMPLATES) -> list:
     """Of each template: name, distinct shingles, window class and minima; a list as long as ``given``."""
     quoted = lambda x: x.replace("\\", "\\\\").replace("'", "\\'")
+    if not given:
+        return []
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{quoted(n)}', '{quoted(t)}')" for n, t in given) + " AS t(name, text)")
     rows = rows.withColumn("w", words(F.col("text"))).withColumn("all", shingles("w")).withColumn("own", F.array_distinct("all"))
-    return rows.select("name", "own", F.size("all").alias("n"), minima(F.col("own")).alias("minima")).where("n > 0").orderBy("name").collect()
+    made = rows.select("name", "own", F.size("all").alias("n"), minima(F.col("own")).alias("minima")).orderBy("name").collect()
+    if short := [t.name for t in made if not t.n]:
+        raise ValueError(f"templates of under {SHINGLE} words: {', '.join(short)}")
+    return made
 
 
 def window_class(n: int) -> int:
@@ -74,19 +79,24 @@ def window_class(n: int) -> int:
 
 
 def _windows(wide: int) -> Column:
-    """The windows of a class that hold a place of ``at``: (wide, start)."""
-    step = wide // 2
+    """The windows of a class that hold a place of ``at``: (wide, start, begin, region), the region being the window with as many shingles
+    on either side as a template of the class can have, and ``begin`` where it begins. So a row carries its window's
+    surroundings and not the text."""
+    step, side = wide // 2, wide // 2 + 1
     near = F.flatten(F.transform("at", lambda i: F.array(F.floor(i / step).cast("int") - 1, F.floor(i / step).cast("int"))))
     starts = F.array_distinct(F.filter(near, lambda k: k >= 0))
-    return F.transform(starts, lambda k: F.struct(F.lit(wide).alias("wide"), (k * step).alias("start")))
+    begin = lambda k: F.greatest(F.lit(0), k * step - side)
+    return F.transform(starts, lambda k: F.struct(F.lit(wide).alias("wide"), (k * step).alias("start"), begin(k).alias("begin"), F.slice("h", begin(k) + 1, k * step - begin(k) + wide + side).alias("region")))
 
 
 def scan(docs: DataFrame, carried: list[str], text_col: str = "text", given: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row for each row of ``docs`` and template in it: the ``carried`` columns, license, containment (share of the template's
-    shingles), n_windows (verified windows) and first_word (where the first of them begins).
+    shingles), n_windows (verified windows) and first_word (where the first of its shingles in them begins).
 
     Texts of fewer than five words, null ones among them, have no shingles and hold no template. Repeated rows are reported
-    each. With no template that has five words nothing is found.
+    each, as is each of several templates in a place. Without templates, and in an empty table, nothing is found; a template of under
+    five words has no shingle and is refused. Long texts are scanned whole: a row carries a window, never the text. Other
+    columns than ``carried`` and the text are not read, whatever their names.
     """
     spark = docs.sparkSession
     known = templates(spark, given)
@@ -102,14 +112,17 @@ def scan(docs: DataFrame, carried: list[str], text_col: str = "text", given: tup
     held = held.where("size(at) > 0")
     # windows that hold a sought shingle: of each class, the two that overlap it
     out = [_windows(wide) for wide in sorted({window_class(t.n) for t in known})]
-    windows = held.select("row", "h", F.explode(F.concat(*out)).alias("window"))
-    banded = windows.select("row", "h", "window", F.explode(minima(F.slice("h", F.col("window.start") + 1, F.col("window.wide")))).alias("m"))
-    banded = banded.select("row", "h", "window", F.col("window.wide").alias("wide"), F.col("m.band").alias("band"), F.col("m.least.order").alias("least"))
+    windows = held.select("row", F.explode(F.concat(*out)).alias("window"))
+    own = F.slice("window.region", F.col("window.start") - F.col("window.begin") + 1, F.col("window.wide"))
+    # a band agrees only where its least shingle is a template's, so no other band becomes a row
+    agreeing = F.filter(minima(own), lambda m: m["least"]["shingle"].isin(sought))
+    banded = windows.select("row", "window", F.explode(agreeing).alias("m")).select("row", "window", F.col("window.wide").alias("wide"), F.col("m.band").alias("band"), F.col("m.least.order").alias("least"))
     met = banded.join(F.broadcast(keys), ["wide", "band", "least"]).drop("wide", "band", "least")  # as many keys as templates and bands
     met = met.join(F.broadcast(catalog), "t")
     begin = F.greatest(F.lit(0), F.col("window.start") - F.col("n"))
-    region = F.slice("h", begin + 1, F.col("window.wide") + 2 * F.col("n"))
+    region = F.slice("window.region", begin - F.col("window.begin") + 1, F.col("window.start") - begin + F.col("window.wide") + F.col("n"))
     share = F.size(F.array_intersect("own", region)) / F.size("own")
-    met = met.select("row", "license", "window", share.alias("share")).where(F.col("share") >= least)
-    found = met.groupBy("row", "license").agg(F.max("share").alias("containment"), F.count_distinct("window").alias("n_windows"), F.min("window.start").alias("first_word"))
+    first = begin + F.array_min(F.filter(F.transform("own", lambda h: F.array_position(region, h)), lambda i: i > 0)).cast("int") - 1
+    met = met.select("row", "license", "window.wide", "window.start", share.alias("share"), first.alias("first")).where(F.col("share") >= least)
+    found = met.groupBy("row", "license").agg(F.max("share").alias("containment"), F.count_distinct("wide", "start").alias("n_windows"), F.min("first").alias("first_word"))
     return found.select(*(F.col(f"row.{c}").alias(c) for c in carried), "license", F.round("containment", 6).alias("containment"), "n_windows", "first_word")

@@ -370,7 +370,7 @@ def analyse(videos: list[bytes]) -> list[tuple[bytes, list[tuple[int, float, flo
         own = [next(frames) for _ in video["frames"]]
         tables, light = [histogram(s) for _, s in own], [float(s.mean()) for _, s in own]
         cuts = shots(tables)
-        found = [(a, a / video["fps"], b / video["fps"], sum(light[a:b]) / (b - a)) for a, b in zip(cuts, [*cuts[1:], len(tables)], strict=True)]
+        found = [(a, a / video["fps"], b / video["fps"], sum(light[a:b]) / (b - a)) for a, b in zip(cuts, [*cuts[1:], len(tables)], strict=False)]
         out.append((b"".join(payload_of(c) for c, _ in own if len(c) % 3 == 0), found))
     return out
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 #: Patterns of the base kinds, in order.
 PATTERNS = {
@@ -132,8 +132,8 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(rough, matched).otherwise(none)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__spans``: an array of (start, kind number, end, kind, score), in code points, end exclusive, sorted.
+def with_spans(docs: DataFrame, text_col: str = "text", name: str = "__spans") -> DataFrame:
+    """``docs`` with a column of that name: an array of (start, kind number, end, kind, score), in code points, end exclusive, sorted.
 
     A null text is empty.
     """
@@ -141,13 +141,14 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     outside = lambda base: lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     # what the method adds stands outside the base spans
     both = lambda base: F.concat(base, *(F.filter(_spans(k, text), outside(base)) for k in ADDED))
-    return docs.withColumn("__spans", F.array_sort(let(F.concat(*(_spans(k, text) for k in PATTERNS)), both)))
+    return docs.withColumn(name, F.array_sort(let(F.concat(*(_spans(k, text) for k in PATTERNS)), both)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, score (of the surest span, 0 without).
 
-    A null text is empty and has none. Repeated rows are kept.
+    A null text is empty and has none. Repeated rows are kept; an empty table gives none. Long texts are read whole. Of spans of one kind the
+    leftmost come first and none overlap; those of several kinds may. Other columns are not read, whatever their names.
     """
     df = with_spans(docs.select(id_col, text_col), text_col)
     base = F.filter("__spans", lambda s: s["number"] < len(PATTERNS))
@@ -165,9 +166,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets (overlapping spans by the first one's), and the length of the
-    text renewed where ``length_col`` is among the columns. Texts without spans stay as they are, null included."""
-    df = with_spans(docs, text_col)
-    text, spans = F.col(text_col), F.col("__spans")
+    text renewed where ``length_col`` is among the columns. Texts without spans stay as they are, null and empty ones included; long texts
+    are masked whole. Repeated rows are kept, an empty table stays empty, and all columns are kept, whatever their names."""
+    (name,) = fresh(docs, "__spans")
+    df = with_spans(docs, text_col, name)
+    text, spans = F.col(text_col), F.col(name)
 
     def masked(reach: Column) -> Column:
         """The text before and between the spans, and marks; reach: how far the spans before each one go."""

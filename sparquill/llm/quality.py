@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, byte_rows
+from .common import WORDS, byte_rows, fresh
 
 WORDS_HASHED = 1 << 13
 RANK = 8
@@ -181,7 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row a document: id, held_out, score, predicted (1 from a score of 0.3).
 
     A null or empty text is scored by its statistics alone. Null and repeated labels: nulls are not learnt from, the
-    larger of several counts. Without labels every score is 0.5. Repeated rows are scored each, but of the rows of one id
+    larger of several counts. Without labels every score is 0.5; without documents there are no rows. Long texts are read whole. Repeated rows are scored each, but of the rows of one id
     only that of the least feature bytes is learnt from; a null id is not held out.
     """
     scored = score(docs, train(docs, labels, id_col, text_col), [id_col], text_col)
@@ -190,16 +190,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
+    """``docs`` without the rows that the classifier rejects: those that ``classify`` predicts 0, by the same rounded score.
+
+    Null and empty texts are judged by their statistics, repeated rows each, long texts whole; without labels all rows stay, and an empty
+    table stays empty. All columns are kept, whatever their names.
+    """
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    (extra,) = fresh(docs, "__text")
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part, texts in byte_rows(batches, rows=128):
             z = raw_score(m, *features(texts), part.num_rows)
-            good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD
+            good = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9) >= THRESHOLD  # as ``score`` rounds it
             yield pa.record_batch(part.columns[:-1], names=names).filter(pa.array(good))
 
-    return docs.select(*names, F.col(text_col).cast("binary").alias("__text")).mapInArrow(give, docs.schema)
+    return docs.select(*names, F.col(text_col).cast("binary").alias(extra)).mapInArrow(give, docs.schema)

@@ -20,33 +20,38 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_rows, checkpointed
+from .common import LOWER, byte_rows, checkpointed, fresh, row_key, slices
 
 SEED = 42
 SHINGLE = 3
+STAGE_SHINGLE = 5  # words of a shingle in the pipeline's stage
+SIMILARITY = 0.8  # of two texts' shingles there, at least
+SAMPLE = 3  # shingles of a sample
+TABLES = 10  # samples; a pair of similarity 0.8 agrees in one with probability 1 - (1 - 0.8^3)^10 = 0.999
+#: Odd multipliers that give each sample its order.
+MIXERS = np.random.default_rng(4).integers(0, 1 << 63, TABLES + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the word shingles of a text; 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included; one of all words where there are fewer, none without words."""
     words = (text or b"").translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        joined, ends = b" ".join(words), []
-        starts = [0] * len(words)
-        at = 0
-        for i, w in enumerate(words):
-            starts[i] = at
-            at += len(w)
-            ends.append(at)
-            at += 1
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the word shingles of a text; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], np.uint64)
+        part = hashes[i : i + (1 << 16)]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -79,10 +84,11 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct().where(close)
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node that each linked node reaches. ``links``: (u, v) with u > v."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each linked node reaches. ``links``: (u, v) with u > v. Rounds, of which there are
+    some twice the logarithm of the longest path, go on until nothing moves."""
     edges = checkpointed(links)
-    for _ in range(rounds):
+    while True:
         # Large star: the larger end of a link moves to the least neighbour of the smaller end. A node may be the
         # smaller end of very many links; the other side of that join is a table of its own, so Spark can split it.
         least = checkpointed(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")))
@@ -98,7 +104,6 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         ):
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
         edges = new
-    raise RuntimeError("components did not settle")
 
 
 def component_of(fps: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
@@ -114,23 +119,91 @@ def component_of(fps: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id.
 
-    Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows are kept. A
-    null id is never the smallest of a component that has another. Other columns are not read.
+    Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows are kept; an empty table gives none. A
+    null id is never the smallest of a component that has another. Long texts are hashed whole. Other columns are not read, whatever their names.
     """
     fps = checkpointed(fingerprints(docs, [id_col], text_col))
     named = component_of(fps, id_col, radius)
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, null ids last, ties by place.
+def sample_fingerprints(hashes: np.ndarray, tables: int = TABLES, sample: int = SAMPLE) -> np.ndarray:
+    """SimHashes of ``tables`` samples of a text's distinct shingles: each takes the ``sample`` smallest under an order of its own.
 
-    ``docs`` is read twice and its rows are told by their places, so it must give the same rows in the same order again, as a
-    table does. All columns are kept.
+    Two texts of similarity J agree in a sample with probability J^sample about, and then in its fingerprint.
     """
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    fps = checkpointed(fingerprints(placed.select("__place", F.col(id_col).alias("__id"), text_col), ["__place", "__id"], text_col))
-    roots = component_of(fps.select("__id", "fp"), "__id").select("fp", "root")
-    order = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__place")
-    best = fps.join(roots, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.__place").alias("__place"))
-    return placed.join(best, "__place", "left_semi").drop("__place")
+    own = np.unique(hashes)
+    out = np.zeros(tables, np.uint64)
+    for t in range(tables):
+        order = own * MIXERS[t]
+        order ^= order >> np.uint64(31)
+        order *= MIXERS[t + 1]
+        few = own[np.argpartition(order, sample - 1)[:sample]] if len(own) > sample else own
+        bits = np.unpackbits(few.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        out[t] = np.packbits(bits * 2 > len(few), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def sample_links(nodes: DataFrame) -> DataFrame:
+    """(u, v), u > v: candidates, each node with the smallest that it shares a sample's fingerprint with. ``nodes``: (node, samples)."""
+    values = nodes.select("node", F.posexplode("samples").alias("t", "value")).select("node", F.xxhash64("t", "value").alias("value"))
+    least = values.groupBy("value").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v")
+    return values.join(least, "value").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def similar_links(links: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``links`` whose texts' sets of shingles are that similar, counted exactly. ``shingled``: (node, shingles)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            keep = []
+            for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(x := np.frombuffer(a, np.uint64), y := np.frombuffer(b, np.uint64), assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.record_batch(part.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: shingled.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(check, "u long, v long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of texts of which each is similar to another: that of the smallest id, null ids last.
+
+    Texts are similar if their sets of word shingles are, A-Z lower-cased, by Jaccard's measure. Two bits of one fingerprint reach only a few such
+    pairs (at a similarity of 0.8 a tenth of the bits differ), so candidates share one of ``TABLES`` fingerprints, each the SimHash of a
+    sample of the shingles; every text is linked to the smallest that it meets, and the shingles decide. Texts without words are one
+    group, texts of fewer words than a shingle have one shingle. Long texts are compared whole, equal texts are one text throughout, so copies make
+    no large group. Rows are told by a hash of id and text, so it does not matter in which order a second read gives
+    them; of rows that agree in both any one stays. An empty table stays empty. All columns are kept, also such as are named like one of
+    this function's own.
+    """
+    key = fresh(docs, "__k1", "__k2")
+    hashed = docs.withColumns(dict(zip(key, row_key(id_col, text_col), strict=True)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    plain = hashed.select(F.col(key[0]).alias("k1"), F.col(key[1]).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in byte_rows(batches):
+            node = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").translate(LOWER).split())) - (1 << 63) for t in texts]
+            samples = [sample_fingerprints(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            yield pa.record_batch([*part.columns[:3], pa.array(node, pa.int64()), pa.array(samples, pa.list_(pa.int64()))], names=["k1", "k2", "id", "node", "samples"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in byte_rows(batches):
+            yield pa.record_batch([part.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts], pa.binary())], names=["node", "shingles"])
+
+    rows = checkpointed(plain.mapInArrow(sketch, f"k1 long, k2 long, id {kind}, node long, samples array<long>"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
+    nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("samples").alias("samples")))
+    links = checkpointed(sample_links(nodes.select("node", "samples")))
+    met = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    shingled = plain.join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles binary")
+    roots = components(similar_links(links, checkpointed(shingled), similarity))
+    owned = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select(F.coalesce("root", "own").alias("root"), "first")
+    chosen = owned.groupBy("root").agg(F.min("first").alias("best")).select("best.k1", "best.k2")
+    chosen = checkpointed(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).join(chosen, ["k1", "k2"]))
+    renamed = lambda df: df.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]))
+    single = hashed.join(renamed(chosen.where("copies = 1")), key, "left_semi")
+    several = hashed.join(renamed(chosen.where("copies > 1")), key, "left_semi").dropDuplicates(key)
+    return single.unionByName(several).drop(*key)

@@ -7,6 +7,8 @@ from zlib import crc32
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from sparquill.llm import decontaminate, license_scan, lm_score, media, packing, pii, quality, simhash
 from sparquill.llm.queries import queries, tokenizer_path
 
@@ -111,9 +113,57 @@ def test_ball_links_and_components(spark):
 
 
 def test_keep_one(spark, docs):
-    kept = simhash.keep_one(docs).collect()
-    groups = {c for _, _, c in brute_simhash([tuple(r) for r in docs.select("doc_id", "text").collect()])}
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(g for g in groups if g is not None)
+    for df in (docs, small(spark, "documents").withColumn("__k1", F.lit("mine"))):
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        heads = brute_near([tuple(r) for r in df.select("doc_id", "text").collect()])
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(h for h in heads if h is not None)
+    twice = docs.union(docs)
+    assert simhash.keep_one(twice).count() == simhash.keep_one(docs).count()
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_similar_texts_are_found(spark):
+    """Of pairs of texts at known similarities of 0.8 and a little more, nearly all are joined; below it none."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for i in range(200):
+        own = [word() for _ in range(204)]  # 200 shingles
+        near, far = list(own), list(own)
+        for k in range(4):  # each changed word takes five shingles: 180 shared of 220
+            near[20 + 40 * k] = word()
+        for k in range(6):  # 170 of 230
+            far[20 + 30 * k] = word()
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(3 * i + 1 not in kept for i in range(200)) >= 198 and all(3 * i + 2 in kept for i in range(200))
+
+
+def brute_near(rows, shingle=5, least=0.8):
+    """The least id of each group of texts that are similar to another, by all pairs."""
+    sets = []
+    for _, t in rows:
+        words = re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").encode().split()
+        sets.append(frozenset([b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []))
+    at = list(range(len(rows)))
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (a & b and len(a & b) >= least * len(a | b) - 1e-9):
+                at[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    return {min((x for x in g if x is not None), default=None) for g in groups.values()}
 
 
 # decontamination -------------------------------------------------------------------------------------------------------
@@ -322,7 +372,14 @@ def test_licenses(spark, docs, empty):
     long = " ".join(f"w{i}" for i in range(300))
     full = dict(license_scan.TEMPLATES)["mit-text"].replace("merge", "combine")
     one = spark.createDataFrame([(1, f"{long} {full} {long}")], "doc_id long, text string")
-    assert [r.license for r in license_scan.scan(one, ["doc_id"]).collect()] == ["mit-text"]
+    (found,) = license_scan.scan(one, ["doc_id"]).collect()
+    cut = lambda t: (w := [x.lower() for x in re.split(r"[^0-9A-Za-z\x80-\U0010ffff]+", t) if x]) and [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    own, there = set(cut(dict(license_scan.TEMPLATES)["mit-text"])), cut(f"{long} {full} {long}")
+    assert (found.license, found.first_word) == ("mit-text", next(i for i, x in enumerate(there) if x in own))
+    assert found.containment == pytest.approx(len(own & set(there)) / len(own), abs=1e-6) and found.n_windows >= 1
+    with pytest.raises(ValueError, match="under 5 words: short"):
+        license_scan.scan(one, ["doc_id"], given=(("short", "three words here"),))
+    assert license_scan.scan(one, ["doc_id"], given=()).count() == 0
 
 
 # quality and language model ------------------------------------------------------------------------------------------
@@ -468,33 +525,172 @@ def test_avi_round_trip_of_any_bytes():
     import random
 
     rng = random.Random(0)
-    for n in (1, 2, 63, 64, 65, 130):
-        payload = bytes(rng.choice((0, 255, rng.randrange(256))) for _ in range(192 * n))
-        video = media.write_avi(payload)
-        assert media.analyse(video)[0] == payload
+    payloads = [bytes(rng.choice((0, 255, rng.randrange(256))) for _ in range(192 * n)) for n in (1, 2, 63, 64, 65, 130)]
+    videos = [media.write_avi(p) for p in payloads]
+    assert [back for back, _ in media.analyse(videos)] == payloads
+    for video in videos:
         no_index = video[: video.rfind(b"idx1")]
         assert media.read_avi(no_index)["frames"] == media.read_avi(video)["frames"]
 
 
-def test_general_decoder_agrees():
+def slow_blocks(frame):
+    """Coefficients of a parsed frame, bit by bit."""
+    import re
+
+    codes = {}
+    for key, (counts, symbols) in frame["huff"].items():
+        code, i = 0, 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                codes[key, length, code] = symbols[i]
+                code, i = code + 1, i + 1
+            code *= 2
+    order, out = frame["order"], []
+    for piece in re.split(rb"\xff[\xd0-\xd7]", frame["data"]) if frame["restart"] else [frame["data"]]:
+        bits = "".join(f"{b:08b}" for b in piece.replace(b"\xff\x00", b"\xff"))
+        at, last = 0, {}
+
+        def take(n):
+            nonlocal at
+            at += n
+            return bits[at - n : at]
+
+        def symbol(key):
+            code = ""
+            while (key, len(code), int(code or "0", 2)) not in codes or not code:
+                code += take(1)
+            return codes[key, len(code), int(code, 2)]
+
+        def value(n):
+            b = take(n)
+            return 0 if not n else int(b, 2) if b[0] == "1" else int(b, 2) - 2**n + 1
+
+        for _ in range(min(frame["restart"] or frame["mcus"], frame["mcus"] - len(out) // len(order))):
+            for c in order:
+                tables = frame["scan"][frame["parts"][c][0]]
+                block = [0] * 64
+                last[c] = block[0] = last.get(c, 0) + value(symbol(tables >> 4))
+                k = 1
+                while k < 64:
+                    rs = symbol(16 | tables & 15)
+                    if rs == 0:
+                        break
+                    k += rs >> 4
+                    if rs & 15:
+                        block[k] = value(rs & 15)
+                    k += 1
+                out.append(block)
+    return out
+
+
+def camera_frame(blocks, order, sampling, wide, high, restart, tables):
+    """A baseline frame written by its definition: ``tables`` are left out of the file where they are the standard's."""
+    import struct as st
+
+    code_of = {}
+    for key, (counts, symbols) in media.STANDARD.items():
+        code, i = 0, 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                code_of[key, symbols[i]] = f"{code:0{length}b}"
+                code, i = code + 1, i + 1
+            code *= 2
+    size = lambda v: abs(v).bit_length()
+    bits_of = lambda v: f"{v if v > 0 else v + 2 ** size(v) - 1:0{size(v)}b}" if v else ""
+    data, bits, last = b"", "", {}
+
+    def flush():
+        nonlocal bits
+        raw = bits + "1" * (-len(bits) % 8)
+        bits = ""
+        return bytes(int(raw[i : i + 8], 2) for i in range(0, len(raw), 8)).replace(b"\xff", b"\xff\x00")
+
+    for i, block in enumerate(blocks):
+        mcu, c = i // len(order), order[i % len(order)]
+        if restart and i % len(order) == 0 and mcu and mcu % restart == 0:
+            data += flush() + bytes([0xFF, 0xD0 + (mcu // restart - 1) % 8])
+            last = {}
+        t = min(c, 1)
+        d = block[0] - last.get(c, 0)
+        last[c] = block[0]
+        bits += code_of[t, size(d)] + bits_of(d)
+        run = 0
+        for k in range(1, 64):
+            if not block[k]:
+                run += 1
+                continue
+            while run > 15:
+                bits += code_of[16 + t, 0xF0]
+                run -= 16
+            bits += code_of[16 + t, run * 16 + size(block[k])] + bits_of(block[k])
+            run = 0
+        if run:
+            bits += code_of[16 + t, 0]
+    data += flush()
+    segment = lambda m, body: st.pack(">BBH", 0xFF, m, len(body) + 2) + body
+    n = len(sampling)
+    head = b"\xff\xd8" + segment(0xE0, b"AVI1") + segment(0xDB, b"\0" + bytes([3] * 64))
+    head += segment(0xC0, st.pack(">BHHB", 8, high, wide, n) + b"".join(bytes([i + 1, f, 0]) for i, f in enumerate(sampling)))
+    if tables:
+        head += b"".join(segment(0xC4, bytes([k]) + counts + symbols) for k, (counts, symbols) in media.STANDARD.items())
+    if restart:
+        head += segment(0xDD, st.pack(">H", restart))
+    return head + segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0x11 * min(i, 1)]) for i in range(n)) + b"\0\x3f\0") + data + b"\xff\xd9"
+
+
+def as_avi(frames):
+    import struct as st
+
+    chunk = lambda name, body: name + st.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", st.pack("<14I", 100_000, *[0] * 7, 32, 32, *[0] * 4)))
+    return chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames)))
+
+
+def test_camera_frames():
+    """Frames of all samplings, with and without tables and restarts, written here, against their coefficients and a decoder that goes bit by bit."""
     import random
 
     import numpy as np
 
-    rng = random.Random(1)
+    rng = random.Random(4)
+    frames, want = [], []
+    for sampling, order, across, down in (((0x22, 0x11, 0x11), [0, 0, 0, 0, 1, 2], 16, 16), ((0x21, 0x11, 0x11), [0, 0, 1, 2], 16, 8), ((0x11, 0x11, 0x11), [0, 1, 2], 8, 8), ((0x11,), [0], 8, 8), ((0x22,), [0], 8, 8)):
+        for restart in (0, 1, 3):
+            for tables in (False, True):
+                wide, high = rng.randrange(17, 50), rng.randrange(9, 40)
+                mcus = -(-wide // across) * -(-high // down)
+                blocks = [[rng.randrange(-900, 900) if not k else rng.choice((0, 0, 0, 0, 1, -1, rng.randrange(-500, 500))) if rng.random() < 0.6 else 0 for k in range(64)] for _ in range(mcus * len(order))]
+                frames.append(camera_frame(blocks, order, sampling, wide, high, restart, tables))
+                want.append(blocks)
+    got = media.decode_frames(frames)
+    for f, (c, samples), w in zip(frames, got, want, strict=True):
+        assert np.array_equal(c, w) and slow_blocks(media._parse(f)) == w
+        first = np.array([b for b, o in zip(w, media._parse(f)["order"] * len(w), strict=False) if o == 0])
+        assert np.array_equal(samples, np.clip(np.rint((first * 3).astype(np.float32) @ media.IDCT + 128), 0, 255))
     payload = bytes(rng.randrange(256) for _ in range(192 * 5))
-    frame = media.read_avi(media.write_avi(payload))["frames"][0]
-    got = media._parse(frame)
-    fast, slow = media._flat_blocks(got, 5), media._slow_blocks(got, 15)
-    assert np.array_equal(fast, slow)
+    own = media._parse(media.read_avi(media.write_avi(payload))["frames"][0])
+    assert np.array_equal(media.decode_coefficients([own])[0], slow_blocks(own))
     # the inverse transform against its definition
     c = np.zeros((1, 64))
     c[0, 1] = 100
-    want = np.array([[100 * 0.25 * (1 / np.sqrt(2)) * np.cos((2 * x + 1) * np.pi / 16) for x in range(8)] for _ in range(8)])
-    assert np.allclose((c @ media.IDCT).reshape(8, 8), want, atol=1e-4)
+    each = np.array([[100 * 0.25 * (1 / np.sqrt(2)) * np.cos((2 * x + 1) * np.pi / 16) for x in range(8)] for _ in range(8)])
+    assert np.allclose((c @ media.IDCT).reshape(8, 8), each, atol=1e-4)
     assert media.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
 
 
+def test_clips_and_what_cannot_be_read(spark):
+    dark, light = ([[v] + [0] * 63] * 6 for v in (-300, 300))
+    shot = [camera_frame(dark, [0, 0, 0, 0, 1, 2], (0x22, 0x11, 0x11), 16, 16, 0, False)] * 4 + [camera_frame(light, [0, 0, 0, 0, 1, 2], (0x22, 0x11, 0x11), 16, 16, 0, False)] * 3
+    cut = shot[0][:-4]
+    progressive = shot[0].replace(b"\xff\xc0", b"\xff\xc2")
+    rows = [(1, as_avi(shot)), (2, b"no video"), (3, None), (4, as_avi([cut])), (5, as_avi([progressive])), (6, as_avi([])), (1, as_avi(shot))]
+    got = media.clips(spark.createDataFrame(rows, "id long, video binary"), "id", "video").collect()
+    film = [(r.clip, r.first_frame, round(r.begin_s, 3), round(r.end_s, 3)) for r in got if r.id == 1]
+    assert film == [(0, 0, 0.0, 0.4), (1, 4, 0.4, 0.7)] * 2
+    assert sorted((r.id, r.clip) for r in got if r.error) == [(2, None), (4, None), (5, None)]
+    assert not any(r.id in (3, 6) for r in got)
+
+
 def test_shots():
     import numpy as np
 

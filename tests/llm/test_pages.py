@@ -163,7 +163,7 @@ def brute_url(url):
             fits.append((len(rule), rule, verdict))
     hit = lambda t: re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", url.lower())
     strict, soft = sum(bool(hit(t)) for t in url_filter.STRICT), sum(w for t, w in url_filter.SOFT.items() if hit(t))
-    rule = max(fits, default=(0, None, "block" if strict or soft >= 2 else "allow"))
+    rule = max(fits, default=(0, None, "block" if strict or soft >= url_filter.LIMIT else "allow"))
     return host, path, rule[1], rule[2], strict, soft
 
 
@@ -175,6 +175,14 @@ def test_urls(spark):
     assert url_filter.url_filter(df.where("false"), ["page_id"]).count() == 0
 
 
+def test_weight_and_not_number_decides(spark):
+    """Three light terms pass, a heavy one beside a light one does not, and no soft term rejects alone, however often it occurs."""
+    urls = {"http://a.org/free/sale/trial": "allow", "http://a.org/naked-free": "block", "http://a.org/poker/sex": "block", "http://a.org/naked/naked/naked": "allow", "http://a.org/freedom/nakedly-sale": "allow", "http://a.org/casino": "block"}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.url_filter(df, ["page_id"]).orderBy("page_id").collect()] == list(urls.values())
+    assert max(url_filter.SOFT.values()) < url_filter.LIMIT
+
+
 def test_url_sql(spark):
     import duckdb
 
@@ -186,7 +194,7 @@ def test_url_sql(spark):
 
 
 def test_pipeline(spark):
-    from test_documents import brute_decontaminate, brute_simhash, check_packing
+    from test_documents import brute_decontaminate, brute_near, check_packing
 
     from sparquill.llm import pii, quality
 
@@ -195,7 +203,7 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     good = {r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
-    heads = {c for _, _, c in brute_simhash(rows)}
+    heads = brute_near(rows)
     rows = [r for r in rows if r[0] in heads]
     dirty = {r[0] for r in brute_decontaminate(rows, bench) if r[-1]}
     kept = [r[0] for r in rows if r[0] not in dirty]
