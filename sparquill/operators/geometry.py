@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import anchors, distance, greedy_pairs, once
+from ..functions.columns import anchors, distance, greedy_pairs
 from .scoring import range_pairs
 
 
@@ -22,14 +22,12 @@ def capped(points: DataFrame, cap: int, by: str, descending: bool = False) -> Da
 
 
 def combinations(points: DataFrame, k: int) -> DataFrame:
-    """All k of a scene's points in order of id, as columns aid, ax, ay, bid, ... A scene's capped points come together once, as an
-    array, and index rows are made from it; nothing is joined."""
-    packed = points.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
-    rows = packed.withColumn("n", F.size("p")).where(F.col("n") >= k)
-    for i in range(k):
-        first = F.lit(0) if not i else F.col(f"i{i - 1}") + 1
-        rows = rows.select("scene", "p", "n", *(f"i{j}" for j in range(i)), F.explode(F.sequence(first, F.col("n") - (k - i))).alias(f"i{i}"))
-    return rows.select("scene", *(F.get("p", F.col(f"i{i}"))[c].alias(f"{'abcd'[i]}{c}") for i in range(k) for c in ("id", "x", "y")))
+    """All k of a scene's points in order of id, as columns aid, ax, ay, bid, ... The joins are all on the scene, so what grows is shuffled once, as points."""
+    named = lambda c: points.select("scene", *(F.col(x).alias(f"{c}{x}") for x in ("id", "x", "y")))
+    rows = named("a")
+    for last, c in zip("abcd", "bcd"[: k - 1], strict=False):
+        rows = rows.join(named(c), "scene").where(F.col(f"{last}id") < F.col(f"{c}id"))
+    return rows
 
 
 def triangles(points: DataFrame) -> DataFrame:
@@ -57,14 +55,17 @@ def quads(points: DataFrame) -> DataFrame:
         return (g(f"{q}x") - g(f"{p}x")) * (g(f"{r}y") - g(f"{p}y")) - (g(f"{q}y") - g(f"{p}y")) * (g(f"{r}x") - g(f"{p}x"))
 
     signed = [area("b", "c", "d"), -area("a", "c", "d"), area("a", "b", "d"), -area("a", "b", "c")]
-    ids = F.array(*(F.col(f"{p}id") for p in "abcd"))
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + F.abs(x))
-    sign = lambda v: F.signum(F.get(F.array_sort(F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("o"), i.alias("i"), x.alias("x")))), F.lit(0))["x"])
-    shares = lambda v: once(F.struct(total(v).alias("t"), sign(v).alias("g")), lambda m: F.transform(v, lambda x, i: F.struct((x * m["g"] / F.nullif(m["t"], F.lit(0.0))).alias("q"), F.get(ids, i).alias("id"))))
-    rows = four.select("scene", F.explode(F.array(F.array_sort(once(F.array(*signed), shares)))).alias("q")).where(F.get("q", F.lit(0))["q"].isNotNull())
-    least = F.array_min(F.transform("q", lambda x: F.abs(x["q"])))
-    gap = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("q", i + 1)["q"] - F.get("q", i)["q"]))
-    return rows.where((least > 0.015) & (gap > 0.002)).select("scene", *(F.col("q")[i]["id"].alias(f"id{i}") for i in range(4)), *(F.col("q")[i]["q"].alias(f"q{i}") for i in range(4)))
+    # plain columns in steps, each computed once a row and none in a lambda, which would leave generated code
+    step = four.select("scene", *(F.col(f"{p}id") for p in "abcd"), *(s.alias(f"s{i}") for i, s in enumerate(signed)))
+    size = [F.abs(f"s{i}") for i in range(4)]
+    most = F.greatest(*size)
+    sign = F.when(size[0] == most, F.signum("s0")).when(size[1] == most, F.signum("s1")).when(size[2] == most, F.signum("s2")).otherwise(F.signum("s3"))
+    scale = sign / F.nullif(size[0] + size[1] + size[2] + size[3], F.lit(0.0))
+    pair = F.array_sort(F.array(*(F.struct((F.col(f"s{i}") * scale).alias("q"), F.col(f"{p}id").alias("id")) for i, p in enumerate("abcd"))))
+    rows = step.select("scene", F.explode(F.array(F.struct(pair.alias("q")))).alias("m")).select("scene", F.col("m.q").alias("q")).select("scene", *(F.col("q")[i]["q"].alias(f"q{i}") for i in range(4)), *(F.col("q")[i]["id"].alias(f"id{i}") for i in range(4)))
+    least = F.least(*(F.abs(f"q{i}") for i in range(4)))
+    gap = F.least(*(F.col(f"q{i + 1}") - F.col(f"q{i}") for i in range(3)))
+    return rows.where((least > 0.015) & (gap > 0.002)).select("scene", *(f"id{i}" for i in range(4)), *(f"q{i}" for i in range(4)))
 
 
 def nearest_invariants(a: DataFrame, b: DataFrame, width: float, k: int, on: Column) -> DataFrame:

@@ -93,7 +93,7 @@ def j15(spark, sf):
 
 
 #: Points of a scene that make triangles and quads (the budget of seed generation), and how far neighbours lie in the plane of ratios.
-BUDGET, REACH = 56, 0.003
+BUDGET, REACH = 56, 0.001
 
 
 def tri(spark, sf, cap=BUDGET):

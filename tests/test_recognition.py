@@ -213,7 +213,7 @@ def test_invariants_against_loops():
     turned = points @ rng.normal(size=(2, 2)) * 3 + 7
     (a, u), (b, v) = patterns_of.affine_quads(points), patterns_of.affine_quads(turned)
     assert (a == b).all() and np.allclose(u, v, atol=1e-8)
-    which, row, d = patterns_of.nearest_rows(u[:20], v[5:], 4)
+    which, row, d = patterns_of.nearest_rows(u[:20], patterns_of.Table(v[5:], 20), 4)
     every = np.linalg.norm(u[:20, None] - v[5:], axis=2)
     assert np.allclose(np.sort(every, axis=1)[:, :4].ravel(), np.concatenate([np.sort(d[which == i]) for i in range(20)])) and (np.diff(d) >= 0).all()
 
