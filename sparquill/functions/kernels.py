@@ -234,6 +234,31 @@ def verify(image: np.ndarray, patch: np.ndarray, proposals: np.ndarray, keep: in
     return sorted(moved, key=lambda m: -m[2])
 
 
+def pool_scores(image: np.ndarray, patch: np.ndarray, proposals: np.ndarray, adaptive: bool = True, stride: int = 2, channels: bool = False, representation: str = "blur") -> np.ndarray:
+    """(score, angle, scale) of every proposal, none suppressed: its best correlation over all poses; with ``channels`` the lesser of
+    those of the disc's middle, out to .45 of its radius, and of its rim."""
+    show = REPRESENTATIONS[representation]
+    image, patch = show(image), show(patch)
+    out = np.tile((-2.0, 0.0, 0.0), (len(proposals), 1))
+    x0, y0 = proposals[:, :1].astype(float), proposals[:, 1:2].astype(float)
+    for scale in SCALES:
+        radius = admissible_radius(scale, adaptive)
+        d = disc(radius, stride)
+        middle = np.hypot(*d.T) <= 0.45 * radius
+        parts = [middle, ~middle] if channels else [np.ones(len(d), bool)]
+        if len(d) < 12 or min(p.sum() for p in parts) < (6 if channels else 12):
+            continue
+        seen = bilinear(image, x0 + d[:, 0], y0 + d[:, 1])
+        for _, angle in poses((scale,)):
+            u, v = turned(d, angle, scale)
+            if inside(u, v):
+                own = bilinear(patch, u, v)
+                s = np.min([unit(seen[:, p]) @ unit(own[p]) for p in parts], axis=0)
+                better = s > out[:, 0]
+                out[better] = np.column_stack([s[better], np.full(better.sum(), angle), np.full(better.sum(), scale)])
+    return out
+
+
 SHIFTS = np.stack(np.meshgrid(np.arange(-2, 3), np.arange(-2, 3), indexing="ij"), axis=-1).reshape(-1, 2).astype(float)
 
 

@@ -1,0 +1,100 @@
+"""The generator of benchmark scenes, the full-pool scorer and the exhaustive fit."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparquill.functions import benchmark, kernels, patterns, synthetic
+
+
+def sky(seed=1, size=240, n=150):
+    rng = np.random.default_rng(seed)
+    return synthetic.render(rng.uniform(20, size - 20, (n, 2)), rng, size)
+
+
+def plain(**changes):
+    return {"scale": 1.0, "blur": 0.01, "gain": 1.0, "offset": 0.0, "drift": 0.0, "noise": 0.0, "shot": 0.0, "jpeg": 100, "angle": 0.0, "drift_angle": 0.0} | changes
+
+
+def test_query_patch_is_what_its_transform_says():
+    image, rng = np.rint(sky()), np.random.default_rng(0)
+    patch, transform = benchmark.query_patch(image, np.array([80.5, 70.5]), plain(), rng)
+    assert (patch == image[55:87, 65:97]).all() and np.allclose(transform, [[1, 0, 65], [0, 1, 55]])
+    smooth = kernels.blur(image, 3)
+    patch, transform = benchmark.query_patch(smooth, np.array([100.0, 90.0]), plain(angle=40.0, scale=1.2), rng)
+    y, x = np.mgrid[:32, :32]
+    at = np.stack([x, y, np.ones_like(x)], axis=-1) @ transform.T
+    assert np.abs(patch - kernels.bilinear(smooth, at[..., 0], at[..., 1])).max() < 1 and np.allclose(transform @ [15.5, 15.5, 1], [100, 90])
+    with pytest.raises(ValueError):
+        benchmark.query_patch(image, np.array([20.0, 70.0]), plain(), rng)
+
+
+def test_profiles_and_compression():
+    rng = np.random.default_rng(2)
+    for name, ranges in benchmark.PROFILES.items():
+        drawn = [benchmark.draw_parameters(rng, name) for _ in range(50)]
+        assert all(low <= p[k] <= high for p in drawn for k, (low, high) in ranges.items())
+    image = np.rint(kernels.blur(np.random.default_rng(3).uniform(0, 255, (32, 32)), 2))
+    errors = [np.abs(benchmark.compressed(image, q) - image).mean() for q in (99, 90, 60, 20)]
+    assert errors[0] < 1 and errors == sorted(errors)
+
+
+def test_styles():
+    image, rng = sky(), np.random.default_rng(4)
+    points = benchmark.bright_points(image)
+    style = benchmark.fit_style([benchmark.crop_about(image, p) for p in points[:12]])
+    chosen = benchmark.choose_sources(image, points, 200, rng, style)
+    assert len(chosen) == 200 and set(chosen) <= set(range(len(points)))
+    assert np.mean([c < 12 for c in chosen]) > 12 / len(points)  # those whose style it is come more often than by chance
+    with pytest.raises(ValueError):
+        benchmark.fit_style([image[:32, :32]] * 7)
+
+
+def test_built_scenes(spark, tmp_path):
+    skies = [(f"r{i}", "development", 240, 240, sky(i).astype(np.uint8).tobytes(), 240, 240, sky(i + 50).astype(np.uint8).tobytes()) for i in range(3)]
+    regions = spark.createDataFrame(skies, "region string, split string, height int, width int, pixels binary, donor_height int, donor_width int, donor_pixels binary")
+    rng = np.random.default_rng(5)
+    own = {f"p{i}": rng.uniform(0, 200, (n, 2)) for i, n in enumerate((7, 9, 5))}
+    made = benchmark.build(regions, own)
+    benchmark.write_scenes(made, str(tmp_path / "s"))
+    rows = benchmark.read_scenes(spark, str(tmp_path / "s")).collect()
+    again = benchmark.with_hashes(benchmark.build(regions.repartition(3), own)).select("scene", "file", "sha256").collect()
+    assert {(r.scene, r.file, r.sha256) for r in rows} == {tuple(r) for r in again}  # whatever the partitions
+    assert {r.track for r in rows} == {"real", "rendered"} and len({r.scene for r in rows}) == 6
+    for scene in {r.scene for r in rows}:
+        mine = sorted((r for r in rows if r.scene == scene), key=lambda r: r.query)
+        assert [r.query for r in mine] == list(range(len(mine))) and mine[0].file == "image.png" and mine[0].category is None
+        kinds = [r.category for r in mine[1:]]
+        assert "absent" in kinds and all((r.x is None) == (r.category == "absent") for r in mine[1:])
+        ids = [r.physical_id for r in mine[1:]]
+        assert len(ids) > len(set(ids))  # a repeated view
+        if mine[0].track == "real":
+            assert len(mine) == 25 and kinds.count("present") == 16 and all(r.member is None for r in mine)
+        else:
+            assert all(r.member == (r.category == "figure") for r in mine[1:] if r.category != "absent") and mine[0].name in own
+    spoilt = spark.read.parquet(str(tmp_path / "s")).withColumn("pixels", F.when(F.col("query") == 1, F.lit(b"x")).otherwise(F.col("pixels")))
+    spoilt.write.parquet(str(tmp_path / "t"))
+    with pytest.raises(Exception, match="changed picture"):
+        benchmark.read_scenes(spark, str(tmp_path / "t")).collect()
+
+
+def test_pool_scores_agree_with_verification():
+    image = kernels.blur(np.random.default_rng(6).normal(size=(160, 160)), 2.5)
+    patch = synthetic.degraded(image, 80, 70, 30, 1.15)
+    at = np.array([[80.0, 70.0], [60.0, 90.0], [100.0, 60.0], [81.0, 70.0]])
+    whole, split = kernels.pool_scores(image, patch, at), kernels.pool_scores(image, patch, at, channels=True)
+    assert whole[:, 0].argmax() == 0 and split[:, 0].argmax() == 0 and whole[0, 0] > 0.9 and (split[:, 0] <= 1).all()
+    assert whole[0, 0] >= whole[3, 0] and len(whole) == len(at)  # nothing is suppressed
+
+
+def test_exhaustive_fit():
+    rng = np.random.default_rng(7)
+    nodes = rng.uniform(0, 100, (5, 2))
+    unit = (nodes - nodes.mean(axis=0)) / np.ptp(nodes, axis=0)
+    points = unit @ [[700.0, 200.0], [-150.0, 650.0]] + 1500 + rng.normal(0, 3, (5, 2))
+    for model, most in (("affine", 6), ("similarity", 400)):
+        got = patterns.exhaustive_fit(nodes, points, model, tolerance=60.0 if model == "affine" else 400.0)
+        assert got["support"] >= 4 and got["mean_residual"] < most
+    best = patterns.exhaustive_fit(nodes, points)
+    assert best["support"] == 5 and sorted(best["pairs"]) == [(i, i) for i in range(5)]
+    assert patterns.exhaustive_fit(nodes, rng.uniform(0, 3000, (3, 2))) is None
