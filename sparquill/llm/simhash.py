@@ -203,7 +203,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     owned = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select(F.coalesce("root", "own").alias("root"), "first")
     chosen = owned.groupBy("root").agg(F.min("first").alias("best")).select("best.k1", "best.k2")
     chosen = checkpointed(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).join(chosen, ["k1", "k2"]))
-    renamed = lambda df: df.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]))
-    single = hashed.join(renamed(chosen.where("copies = 1")), key, "left_semi")
-    several = hashed.join(renamed(chosen.where("copies > 1")), key, "left_semi").dropDuplicates(key)
-    return single.unionByName(several).drop(*key)
+    (copies,) = fresh(docs, "__copies")
+    kept = hashed.join(chosen.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), F.col("copies").alias(copies)), key)  # one row a key: the text is shuffled once
+    return kept.where(F.col(copies) == 1).unionByName(kept.where(F.col(copies) > 1).dropDuplicates(key)).select(*docs.columns)
