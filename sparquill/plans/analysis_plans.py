@@ -7,7 +7,7 @@ from ..functions.columns import binomial_tail, bucket, format_cell, parse_cell
 from ..operators.analysis import exact_quantiles, grouped_auc, wasserstein
 from ..operators.ranking import QUERY
 from ..operators.scoring import scene_scores
-from ..sources.results import truth_cells, violations
+from ..sources.results import submission, truth_cells, violations
 from ..sources.tables import CAND, DEC, candidates, decisions, load
 from .scoring_plans import SCENES
 
@@ -90,12 +90,12 @@ def s6(spark, sf):
 
 def wide(spark, sf):
     """The submission: a row a scene, ``patch_NN`` columns padded with -1, and the class."""
-    c = load(spark, sf, "customer").select((F.col("c_custkey") / 8).cast("long").alias("id"), (F.col("c_custkey") % 8 + 1).alias("k"), F.col("c_custkey").alias("c"))
-    names = [f"patch_{i:02}" for i in range(1, 9)]
-    rows = c.select("id", F.concat(F.lit("patch_"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("patch"), format_cell((F.col("c") % 3000).cast("double"), (F.col("c") * 7 % 3000).cast("double"), F.col("c") % 2).alias("cell"))
-    made = rows.groupBy("id").pivot("patch", names).agg(F.first("cell"))
-    name = load(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("constellation"))
-    return made.join(name, F.col("id") % 25 == F.col("nation")).select("id", *(F.coalesce(n, F.lit("-1")).alias(n) for n in names), "constellation")
+    c = load(spark, sf, "customer").select((F.col("c_custkey") / 8).cast("long").alias("scene"), (F.col("c_custkey") % 8 + 1).alias("query"), F.col("c_custkey").alias("c"))
+    name = load(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
+    own = c.join(name, F.col("scene") % 25 == F.col("nation")).select("scene", "query", (F.col("c") % 3000).cast("double").alias("x"), (F.col("c") * 7 % 3000).cast("double").alias("y"), (F.col("c") % 2).alias("member"), F.col("n_name").alias("name"))
+    cells = [f"patch_{i:02}" for i in range(1, 9)]
+    sample = own.select(F.col("scene").alias("Id")).distinct().select("Id", F.lit(8).alias("n_patches"), *(F.lit("-1").alias(p) for p in cells), F.lit("").alias("constellation"))
+    return submission(own, sample).select(F.col("Id").alias("id"), *cells, "constellation")
 
 
 def s5(spark, sf):

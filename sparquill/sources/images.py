@@ -81,6 +81,18 @@ def inventory(spark: SparkSession, pattern: str) -> DataFrame:
     return i.join(i.groupBy("sha256").agg(F.min("path").alias("first_path")), "sha256").select("path", "sha256", "first_path")
 
 
+def auxiliary(scene_rows: DataFrame) -> DataFrame:
+    """(scene, height, width, image): each sky's auxiliary map, as the recogniser takes it; worth keeping with ``results.cached``."""
+
+    def give(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            maps = [kernels.auxiliary_map(pixels(r.data, r.height, r.width, r.channels).astype(float)).astype(np.float32).tobytes() for r in f.itertuples()]
+            yield pd.DataFrame({"scene": f["scene"], "height": f["height"], "width": f["width"], "image": maps})
+
+    kind = scene_rows.schema["scene"].dataType.simpleString()
+    return scene_rows.select("scene", "height", "width", "channels", "data").mapInPandas(give, f"scene {kind}, height int, width int, image binary")
+
+
 def candidates(scene_rows: DataFrame, patch_rows: DataFrame, keep: int = 20, budget: int = 1000, adaptive: bool = False, refined: bool = True, representation: str = "blur", dense: bool = False) -> DataFrame:
     """(scene, query, pos, x, y, score, angle, scale): retrieval by two indexes, verification and refinement of every patch.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -126,8 +127,11 @@ def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
-def guarded(manifest: DataFrame, split: str, allow_confirmation: bool = False) -> DataFrame:
-    """A manifest's rows of a split; the confirmation split only on request."""
+def guarded(manifest: DataFrame, split: str, allow_confirmation: bool = False, log: str | None = None) -> DataFrame:
+    """A manifest's rows of a split; the confirmation split only on request, of which each is a line of the file ``log``."""
     if split == "confirmation" and not allow_confirmation:
         raise PermissionError("the confirmation split has to be asked for")
+    if log and split == "confirmation":
+        with open(log, "a") as f:
+            f.write(json.dumps({"split": split, "at": time.time()}) + "\n")
     return manifest.where(F.col("split") == split)

@@ -83,6 +83,11 @@ def test_patch_is_found_in_its_sky(spark, tmp_path):
     first = {r.query: r for r in images.candidates(scene, patch, adaptive=True, budget=300).where("pos = 0").collect()}
     for q, (x, y, *_rest) in places.items():
         assert np.hypot(first[q].x - x, first[q].y - y) < 2
+    aux = images.auxiliary(scene).first()
+    assert (aux.height, aux.width, len(aux.image)) == (160, 160, 160 * 160 * 4)
+    found = images.candidates(scene, patch, adaptive=True, budget=300, dense=True)
+    catalog = spark.createDataFrame([("c", k, float(x), float(y)) for k, (x, y) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1)))], "name string, node int, x double, y double")
+    assert recognition.hypotheses(found, catalog).count() == 0  # scenes by name; two queries make no fit
     with pytest.raises(Exception, match="wrong size"):
         images.scenes(spark, str(tmp_path), 100).collect()
 
@@ -152,7 +157,8 @@ def test_caches_and_manifests(spark, tmp_path):
     split = spark.createDataFrame([("confirmation",)], "split string")
     with pytest.raises(PermissionError):
         results.guarded(split, "confirmation")
-    assert results.guarded(split, "confirmation", True).count() == 1
+    assert results.guarded(split, "confirmation", True, str(tmp_path / "access.jsonl")).count() == 1
+    assert (tmp_path / "access.jsonl").read_text().count("confirmation") == 1
     results.write_scene_json(spark.range(2).withColumn("scene", F.lit("s")), str(tmp_path / "j"))
     assert results.read_scene_json(spark, str(tmp_path / "j"), "id long, scene string").count() == 2
 
