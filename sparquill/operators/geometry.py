@@ -79,15 +79,16 @@ def nearest_invariants(a: DataFrame, b: DataFrame, width: float, k: int, on: Col
     return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy("d", "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
 
 
-def nearest_quads(a: DataFrame, b: DataFrame, width: float, k: int, on: Column) -> DataFrame:
-    """As ``nearest_invariants`` for quads, by their four shares q0 .. q3: cells of the least and the largest share join."""
+def nearest_quads(a: DataFrame, b: DataFrame, width: float, k: int) -> DataFrame:
+    """As ``nearest_invariants`` for quads, by their four shares q0 .. q3: cells of the least and the largest share join. Distances that
+    agree to nine digits are ties."""
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     cell = lambda c: F.floor(F.col(c) / width)
     left = a.withColumn("s", F.explode(steps)).withColumns({"cu": cell("a_q0") + F.col("s.i"), "cv": cell("a_q3") + F.col("s.j")}).drop("s")
     right = b.withColumns({"cu": cell("b_q0"), "cv": cell("b_q3")})
     d = F.sqrt(sum(((F.col(f"a_q{i}") - F.col(f"b_q{i}")) * (F.col(f"a_q{i}") - F.col(f"b_q{i}")) for i in range(4)), F.lit(0.0)))
-    met = left.join(right, ["cu", "cv"]).where(on).withColumn("d", d).where(F.col("d") < width)
-    return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy("d", "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
+    met = left.join(right, ["cu", "cv"]).withColumn("d", d).where(F.col("d") < width)
+    return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy(F.round("d", 9), "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
 
 
 def assigned(nodes: DataFrame, pool: DataFrame, keys: list[str], tolerance: float) -> DataFrame:

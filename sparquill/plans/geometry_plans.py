@@ -92,8 +92,9 @@ def j15(spark, sf):
     return scenes.crossJoin(F.broadcast(classes)).select("scene", "name", "n")
 
 
-#: Points of a scene that make triangles and quads (the budget of seed generation), and how far neighbours lie in the plane of ratios.
-BUDGET, REACH = 56, 0.001
+#: Points of a scene that make triangles and quads (the budget of seed generation), and how far neighbours lie in the plane of ratios
+#: and among the shares of quads.
+BUDGET, REACH, QUAD_REACH = 56, 0.001, 0.005
 
 
 def tri(spark, sf, cap=BUDGET):
@@ -128,11 +129,12 @@ SELECT scene, {', '.join(f'q[{i+1}].id AS id{i}, round(q[{i+1}].q, 6) AS q{i}' f
  WHERE least({', '.join(f'abs(q[{i}].q)' for i in range(1, 5))}) > 0.015 AND least({', '.join(f'q[{i+1}].q - q[{i}].q' for i in range(1, 4))}) > 0.002"""
 
 
-J6_SQL = f"""WITH q AS ({G2_SQL.replace("round(", "(").replace(", 6)", ")")}), o AS (SELECT *, concat_ws('-', scene, id0, id1, id2, id3) AS o, CAST(floor(q0 / 0.02) AS INT) AS c0, CAST(floor(q3 / 0.02) AS INT) AS c3 FROM q),
- f AS (SELECT scene, id FROM (SELECT label AS scene, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 9),
- w AS (SELECT o.o, o.scene, q0, q1, q2, q3, c0 + i AS c0, c3 + j AS c3 FROM o JOIN f a ON o.scene = a.scene AND id0 = a.id JOIN f b ON o.scene = b.scene AND id1 = b.id JOIN f c ON o.scene = c.scene AND id2 = c.id JOIN f d ON o.scene = d.scene AND id3 = d.id, range(-1, 2) p(i), range(-1, 2) r(j)),
- m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.q0-b.q0)**2+(a.q1-b.q1)**2+(a.q2-b.q2)**2+(a.q3-b.q3)**2) AS d FROM w a JOIN o b ON a.c0 = b.c0 AND a.c3 = b.c3 AND a.scene <> b.scene),
- k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < 0.02) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 4"""
+PATTERNS = f"{PTS}, cp AS (SELECT 'class-' || scene || '-' || (k // 9) AS scene, k % 9 AS id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) - 1 AS k FROM pts))"
+UNROUNDED = G2_SQL.replace("round(", "(").replace(", 6)", ")")
+J6_SQL = f"""WITH o AS (SELECT *, concat_ws('-', scene, id0, id1, id2, id3) AS o, CAST(floor(q0 / {QUAD_REACH}) AS INT) AS c0, CAST(floor(q3 / {QUAD_REACH}) AS INT) AS c3 FROM ({UNROUNDED})),
+ w AS (SELECT concat_ws('-', scene, id0, id1, id2, id3) AS o, q0, q1, q2, q3, CAST(floor(q0 / {QUAD_REACH}) AS INT) + i AS c0, CAST(floor(q3 / {QUAD_REACH}) AS INT) + j AS c3 FROM ({UNROUNDED.replace(CAPPED, PATTERNS)}), range(-1, 2) p(i), range(-1, 2) r(j)),
+ m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.q0-b.q0)**2+(a.q1-b.q1)**2+(a.q2-b.q2)**2+(a.q3-b.q3)**2) AS d FROM w a JOIN o b ON a.c0 = b.c0 AND a.c3 = b.c3),
+ k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY round(d, 9), b_order) AS k FROM m WHERE d < {QUAD_REACH}) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 4"""
 
 
 def j5(spark, sf):
@@ -143,11 +145,12 @@ def j5(spark, sf):
 
 
 def j6(spark, sf):
-    """The four quads of other scenes nearest to each quad of a scene's first nine points by their shares, over all scenes' quads."""
-    q = quads(capped(points(spark, sf), BUDGET, "id")).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2", "id3"))
-    own = quads(capped(points(spark, sf), 9, "id")).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2", "id3"))
-    side = lambda df, k: df.select(*(F.col(c).alias(f"{k}_{c}") for c in ("order", "scene", "q0", "q1", "q2", "q3")))
-    return nearest_quads(side(own, "a"), side(q, "b"), 0.02, 4, F.col("a_scene") != F.col("b_scene")).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
+    """The four quads of the scenes nearest to each quad of every pattern, as far as ``QUAD_REACH``: a scene's points are its patterns, nine by nine."""
+    p = points(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("scene").orderBy("id")) - 1)
+    own = p.select(F.concat_ws("-", F.lit("class"), "scene", F.floor(F.col("k") / 9)).alias("scene"), (F.col("k") % 9).alias("id"), "x", "y")
+    side = lambda df, k: quads(df).select(F.concat_ws("-", "scene", "id0", "id1", "id2", "id3").alias(f"{k}_order"), *(F.col(f"q{i}").alias(f"{k}_q{i}") for i in range(4)))
+    near = nearest_quads(side(own, "a"), side(capped(points(spark, sf), BUDGET, "id"), "b"), QUAD_REACH, 4)
+    return near.select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
 
 
 def pairs(spark, sf):

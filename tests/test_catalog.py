@@ -47,10 +47,10 @@ def rows(names, found):
 def test_query_equals_sql(spark, duck, name, sf):
     df = catalog.queries()[name](spark, f"/root/testdata/{sf}")
     if name in LARGE:  # millions of rows: compared by DuckDB itself
-        got, con = df.toArrow(), duck(sf)
+        found, con = df.toArrow(), duck(sf)
         columns = ", ".join(sorted(df.columns))
         con.sql(f"CREATE OR REPLACE TEMP TABLE want AS SELECT {columns} FROM ({catalog.oracle_sql()[name]})")
-        con.sql(f"CREATE OR REPLACE TEMP TABLE got AS SELECT {columns} FROM got")
+        con.sql(f"CREATE OR REPLACE TEMP TABLE got AS SELECT {columns} FROM found")
         assert con.sql("SELECT (SELECT count(*) FROM got) - (SELECT count(*) FROM want), (SELECT count(*) FROM (FROM got EXCEPT ALL FROM want))").fetchall() == [(0, 0)]
         return
     got = rows(df.columns, [tuple(r) for r in df.collect()])

@@ -304,19 +304,19 @@ def test_options_of_the_recogniser(spark):
     own = patterns()
     cand = synthetic.scenes(spark, 5, 2, own, hit=0.8, error=1.5).cache()
     nodes = as_catalog(spark, own | {"pair": np.array([[0.0, 0.0], [1.0, 1.0]])})
-    base = {(r.scene, r.name): r for r in recognition.hypotheses(cand, nodes).collect()}
+    base = {(r.scene, r.name): r for r in recognition.hypotheses(cand, nodes, cap=14_000).collect()}
     assert len(base) == 2 * 7 and base[0, "pair"].reason == "pair-only ambiguity" and base[0, "pair"].score == -1e9
     truth = {s: synthetic.scene_rows(5, s, own, hit=0.8, error=1.5)[0] for s in range(2)}
     for options in ({"score_mode": "likelihood", "size_penalty": 1.0}, {"models": ("affine", "similarity")}, {"quad_share": 0.6}, {"null_mode": "pool_decorrelate"}, {"appearance_weight": 1.0, "rank_weight": 0.1}, {"pool_by": "calib"}):
-        best = {r.scene: r.name for r in recognition.winners(recognition.hypotheses(cand, nodes, **options)).collect()}
+        best = {r.scene: r.name for r in recognition.winners(recognition.hypotheses(cand, nodes, cap=14_000, **options)).collect()}
         assert best == truth, options
     bright = np.full((3000, 3000), 0.9, np.float32)
     aux = spark.createDataFrame([(0, 3000, 3000, bright.tobytes())], "scene int, height int, width int, image binary")
-    lit = {(r.scene, r.name): r for r in recognition.hypotheses(cand, nodes, auxiliary=aux).collect()}
+    lit = {(r.scene, r.name): r for r in recognition.hypotheses(cand, nodes, cap=14_000, auxiliary=aux).collect()}
     assert all(r.auxiliary <= 0.9 + 1e-6 for r in lit.values() if r.auxiliary is not None) and any(r.auxiliary > 0.5 for (s, _), r in lit.items() if s == 0 and r.auxiliary is not None)
     assert all(lit[k].score == base[k].score for k in base if k[0] == 1)
-    assert {r.scene: r.name for r in recognition.winners(recognition.legacy(cand, nodes)).collect()} == truth
-    assert recognition.members_by_group(cand, recognition.legacy(cand, nodes)).count() >= 8
+    assert {r.scene: r.name for r in recognition.winners(recognition.legacy(cand, nodes, cap=14_000)).collect()} == truth
+    assert recognition.members_by_group(cand, recognition.legacy(cand, nodes, cap=14_000)).count() >= 8
 
 
 def test_catalog_goes_in_blocks(spark, monkeypatch):
