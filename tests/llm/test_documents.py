@@ -421,9 +421,11 @@ def test_quality_pairs_identity():
     assert got == pytest.approx(0.3 + model["w"][cols] @ x + pairs)
 
 
-def test_lm_score(spark, docs, empty):
+def test_lm_score(spark, docs, empty, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(lm_score, "ENOUGH", 1)  # one pass
+
     got = {r.doc_id: r for r in lm_score.lm_score(docs).collect()}
     for i, t in enumerate(TEXTS):
         assert got[i].n_tokens == len(brute_words(t))
