@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Byte table: A-Z to a-z, all else as it is.
@@ -75,3 +75,28 @@ def byte_rows(batches: Iterator[pa.RecordBatch], text: int = -1, rows: int = 512
     """Slices of at most ``rows`` rows, each with its binary text column as a list of bytes or None."""
     for part in slices(batches, rows):
         yield part, part.column(part.num_columns - 1 if text < 0 else text).to_pylist()
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a folder, and read from there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, group: str, order: list[str], path: str) -> DataFrame:
+    """``df`` with pos, each row's place (from 0) in its group by ``order`` (nulls first), and size, the group's rows; kept in the folder ``path``.
+
+    Rows are dealt by ranges of group and order and sorted in their runs, so a group of any size is spread over many tasks; what is summed over the runs
+    has one row a run and group. Rows equal in all keys take any of their places.
+    """
+    (salt,) = fresh(df, "salt")
+    given = stored(df.withColumn(salt, F.monotonically_increasing_id()), f"{path}/given")
+    keys = [group, *order, salt]
+    runs = stored(given.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(salt).withColumn("__mid", F.monotonically_increasing_id()), f"{path}/runs")
+    run = F.shiftright("__mid", 33).alias("__run")
+    counts = runs.groupBy(group, run).agg(F.count("*").alias("n"), F.min("__mid").alias("first"))
+    w = Window.partitionBy(group)
+    before = F.sum("n").over(w.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col(group).alias("of"), F.col("__run").alias("of_run"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(w).alias("size"))
+    placed = runs.withColumn("__run", run).join(stored(offsets, f"{path}/offsets"), F.col(group).eqNullSafe(F.col("of")) & (F.col("__run") == F.col("of_run")))
+    return placed.select(*(c for c in runs.columns if c != "__mid"), (F.col("__mid") + F.col("shift")).alias("pos"), "size")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, lm_score, media, packing, pii, quality, simhash, url_filter
+from . import decontaminate, hard_negatives, html_extract, license_scan, line_rules, lm_score, media, merkle, packing, pii, quality, simhash, url_filter
 from .common import table
 
 
@@ -56,10 +56,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_decontaminate, op3_url_filter, op4_simhash, op5_html_extract, op6_license_scan, op7_best_fit, op8_quality, op9_media, op10_pii)
+    own = (op1_lm_score, op2_decontaminate, op3_url_filter, op4_simhash, op5_html_extract, op6_license_scan, op7_best_fit, op8_quality, op9_media, op10_pii, op11_line_rules, op12_merkle, op13_hard_negatives)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.sql()}
+    return {"op3_url_filter": url_filter.sql(), "op11_line_rules": line_rules.sql(), "op12_merkle": merkle.sql(), "op13_hard_negatives": hard_negatives.sql()}

@@ -702,4 +702,4 @@ def test_shots():
 
 
 def test_every_query_is_registered():
-    assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 14)]
