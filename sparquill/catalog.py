@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis_plans, geometry_plans, ranking_plans, recognition_plans, scoring_plans
+from .plans import analysis_plans, geometry_plans, ranking_plans, raster_plans, recognition_plans, scoring_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scoring_plans, ranking_plans, geometry_plans, analysis_plans, recognition_plans)
+MODULES = (scoring_plans, ranking_plans, geometry_plans, raster_plans, analysis_plans, recognition_plans)
 
 
 def queries() -> dict[str, Query]:

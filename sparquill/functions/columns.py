@@ -91,6 +91,22 @@ def surprise(support: Column, nodes: Column, density: Column, tolerance: float,
     return -F.log10(binomial_tail(support - least_support, F.greatest(nodes - 3, F.lit(1)), p))
 
 
+#: Fixed value: what the fewer parameters of a similarity are worth.
+SIMILARITY_BONUS = 0.35
+
+
+def hypothesis_score(evidence: Column, residual: Column, skew: Column, appearance: Column, rank_cost: Column, similar: Column, tolerance: float, shear_penalty: float, appearance_weight: float, rank_weight: float) -> Column:
+    """A fit's score: its evidence less half its mean residual by the tolerance and its shear, with what appearance and rank add."""
+    bonus = F.when(similar, SIMILARITY_BONUS).otherwise(0.0)
+    return evidence - 0.5 * residual / tolerance + bonus - shear_penalty * skew + appearance_weight * appearance - rank_weight * rank_cost
+
+
+def keyed_uniform(seed: int, *keys: Column) -> Column:
+    """A draw from [0, 1) that depends on the seed and the keys alone: the first 52 bits of a hash."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def likelihood(residuals: Column, tolerance: float, sigma: float) -> Column:
     """Sum of the log-ratios of a Gaussian to a uniform disc over residuals."""
     base = math.log(tolerance * tolerance / (2 * sigma * sigma))
@@ -103,43 +119,6 @@ def trimmed_mean(v: Column, share: float) -> Column:
     return F.aggregate(F.slice(F.array_sort(v), F.lit(1), keep), F.lit(0.0), lambda s, x: s + x) / keep
 
 
-# Ordered folds over short arrays: one scene's points, pairs or proposals. ------------------------------------------
-
-
-def greedy_pairs(pairs: Column, kind: str = "array<struct<d:double,i:bigint,j:bigint>>") -> Column:
-    """One-to-one pairs of an array of (d, i, j), nearest first, ties by i then j."""
-    empty = F.array().cast(kind)
-    free = lambda kept, p: ~F.exists(kept, lambda q: (q["i"] == p["i"]) | (q["j"] == p["j"]))
-    return F.aggregate(F.array_sort(pairs), empty, lambda kept, p: F.when(free(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
-
-
-def suppress(points: Column, radius: float, keep: int, kind: str = "array<struct<order:double,id:bigint,x:double,y:double>>") -> Column:
-    """Points (order, id, x, y) that no kept point of smaller order has within ``radius``, ``keep`` at most."""
-    empty = F.array().cast(kind)
-    clear = lambda kept, p: ~F.exists(kept, lambda q: distance(q["x"], q["y"], p["x"], p["y"]) < radius)
-    return F.aggregate(F.array_sort(points), empty, lambda kept, p: F.when((F.size(kept) < keep) & clear(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
-
-
-def anchors(points: Column, radius: float, kind: str = "array<struct<id:bigint,x:double,y:double,anchor:bigint>>") -> Column:
-    """Points (id, x, y) in order of id, each with the nearest earlier anchor within ``radius`` (strictly), else itself.
-
-    Anchors do not move, so the relation is not transitive.
-    """
-    empty = F.array().cast(kind)
-
-    def add(kept: Column, p: Column) -> Column:
-        near = F.array_sort(
-            F.transform(
-                F.filter(kept, lambda q: (q["id"] == q["anchor"]) & (distance(q["x"], q["y"], p["x"], p["y"]) < radius)),
-                lambda q: F.struct(distance(q["x"], q["y"], p["x"], p["y"]).alias("d"), q["id"].alias("id")),
-            )
-        )
-        own = F.coalesce(F.get(near, F.lit(0))["id"], p["id"])
-        return F.concat(kept, F.array(F.struct(p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"), own.alias("anchor"))))
-
-    return F.aggregate(F.array_sort(points), empty, add)
-
-
 def parse_cell(cell: Column) -> Column:
     """``(x, y, m)`` as a struct, null for ``-1``; raises for any other text, a non-finite number or m outside 0 and 1."""
     number = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"

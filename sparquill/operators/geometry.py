@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import anchors, distance, greedy_pairs
+from ..functions.columns import distance
+from ..sources.tables import checkpointed
+from .rounds import first_kept, one_to_one
 from .scoring import range_pairs
 
+SPREAD = 32  # keys that a scene's combinations are spread over
+
 
 def grouped(points: DataFrame, radius: float) -> DataFrame:
-    """(scene, id, anchor): each point of a scene, in order of id, joins the nearest earlier anchor within ``radius``."""
-    packed = F.collect_list(F.struct("id", "x", "y"))
-    return points.groupBy("scene").agg(anchors(packed, radius).alias("a")).select("scene", F.explode("a").alias("p")).select("scene", F.col("p.id").alias("id"), F.col("p.anchor").alias("anchor"))
+    """(scene, id, anchor): each point of a scene, in order of id, joins the nearest earlier anchor within ``radius`` (strictly), ties by id, or becomes one.
+
+    Anchors do not move, so the relation is not transitive. Which points are anchors is settled in rounds over the pairs within the radius.
+    """
+    own = points.select("scene", "id", "x", "y")
+    near = checkpointed(range_pairs(own, own, ["scene"], radius).where("l_id < r_id").select("scene", F.col("l_id").alias("first"), F.col("r_id").alias("second"), "d"))
+    heads = first_kept(own, ["scene"], near)
+    joined = near.join(heads.withColumnRenamed("id", "first"), ["scene", "first"], "left_semi").join(heads.withColumnRenamed("id", "second"), ["scene", "second"], "left_anti")
+    members = joined.groupBy("scene", "second").agg(F.min(F.struct("d", "first")).alias("m")).select("scene", F.col("second").alias("id"), F.col("m.first").alias("anchor"))
+    return members.unionByName(heads.withColumn("anchor", F.col("id")))
 
 
 def capped(points: DataFrame, cap: int, by: str, descending: bool = False) -> DataFrame:
@@ -21,13 +32,16 @@ def capped(points: DataFrame, cap: int, by: str, descending: bool = False) -> Da
     return points.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).drop("k")
 
 
-def combinations(points: DataFrame, k: int) -> DataFrame:
-    """All k of a scene's points in order of id, as columns aid, ax, ay, bid, ... The joins are all on the scene, so what grows is shuffled once, as points."""
+def combinations(points: DataFrame, k: int, spread: int = SPREAD) -> DataFrame:
+    """All k of a scene's points in order of id, as columns aid, ax, ay, bid, ... A scene is spread over ``spread`` keys by its first points; the others are
+    copied to each key, and stay points until the joins make combinations of them."""
     named = lambda c: points.select("scene", *(F.col(x).alias(f"{c}{x}") for x in ("id", "x", "y")))
-    rows = named("a")
+    parts = max(spread, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = named("a").withColumn("salt", F.pmod(F.xxhash64("aid"), F.lit(spread)).cast("int")).repartition(parts, "scene", "salt")
     for last, c in zip("abcd", "bcd"[: k - 1], strict=False):
-        rows = rows.join(named(c), "scene").where(F.col(f"{last}id") < F.col(f"{c}id"))
-    return rows
+        copies = named(c).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        rows = rows.join(copies, ["scene", "salt"]).where(F.col(f"{last}id") < F.col(f"{c}id"))
+    return rows.drop("salt")
 
 
 def triangles(points: DataFrame) -> DataFrame:
@@ -68,51 +82,44 @@ def quads(points: DataFrame) -> DataFrame:
     return rows.where((least > 0.015) & (gap > 0.002)).select("scene", *(f"id{i}" for i in range(4)), *(f"q{i}" for i in range(4)))
 
 
-def nearest_invariants(a: DataFrame, b: DataFrame, width: float, k: int, on: Column) -> DataFrame:
-    """For each row of ``a`` (u, v and its own columns named a_*) the k nearest rows of ``b`` (b_*) in the plane of u and v within
-    ``width``: cells of that width join, then a window keeps k, ties by b_order."""
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = a.withColumn("s", F.explode(steps)).withColumns({"cu": F.floor(F.col("a_u") / width) + F.col("s.i"), "cv": F.floor(F.col("a_v") / width) + F.col("s.j")}).drop("s")
-    right = b.withColumns({"cu": F.floor(F.col("b_u") / width), "cv": F.floor(F.col("b_v") / width)})
-    d = distance(F.col("a_u"), F.col("a_v"), F.col("b_u"), F.col("b_v"))
-    met = left.join(right, ["cu", "cv"]).where(on).withColumn("d", d).where(F.col("d") < width)
-    return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy("d", "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
-
-
-def nearest_quads(a: DataFrame, b: DataFrame, width: float, k: int) -> DataFrame:
-    """As ``nearest_invariants`` for quads, by their four shares q0 .. q3: cells of the least and the largest share join. Distances that
-    agree to nine digits are ties."""
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    cell = lambda c: F.floor(F.col(c) / width)
-    left = a.withColumn("s", F.explode(steps)).withColumns({"cu": cell("a_q0") + F.col("s.i"), "cv": cell("a_q3") + F.col("s.j")}).drop("s")
-    right = b.withColumns({"cu": cell("b_q0"), "cv": cell("b_q3")})
-    d = F.sqrt(sum(((F.col(f"a_q{i}") - F.col(f"b_q{i}")) * (F.col(f"a_q{i}") - F.col(f"b_q{i}")) for i in range(4)), F.lit(0.0)))
-    met = left.join(right, ["cu", "cv"]).withColumn("d", d).where(F.col("d") < width)
-    return met.withColumn("k", F.row_number().over(Window.partitionBy("a_order").orderBy(F.round("d", 9), "b_order"))).where(F.col("k") <= k).drop("cu", "cv")
-
-
 def assigned(nodes: DataFrame, pool: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """(keys, i, j, d): nodes met with pool points nearer than ``tolerance``, one to one, nearest first."""
-    near = range_pairs(nodes, pool, keys, tolerance)
-    packed = F.collect_list(F.struct(F.col("d"), F.col("l_id").cast("long").alias("i"), F.col("r_id").cast("long").alias("j")))
-    pairs = near.groupBy(*keys).agg(packed.alias("p")).select(*keys, F.explode(greedy_pairs(F.col("p"))).alias("p"))
-    return pairs.select(*keys, *(F.col(f"p.{c}").alias(c) for c in "ijd"))
+    pairs = one_to_one(range_pairs(nodes, pool, keys, tolerance), keys, "l_id", "r_id")
+    return pairs.select(*keys, F.col("l_id").alias("i"), F.col("r_id").alias("j"), "d")
 
 
 def affine_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Least-squares affine map of (sx, sy) to (tx, ty) for each group, from sums alone: centred normal equations. Coefficients are
-    null where the sources lie on a line."""
+    """Least-squares affine map of (sx, sy) to (tx, ty) for each group, from sums alone. Where the sources lie on a line or in a place, many maps fit as well;
+    it is the one of least norm (of all six numbers), as from the pseudo-inverse.
+
+    On a line through the mean m with unit direction u, every best map takes u (the eigenvector of the sources' covariance) to g = cov(u, t) / var and m to the targets' mean; what is free is
+    what the perpendicular w goes to, and the shift with it. The least norm has w go to p (mean - g (u . m)) / (1 + p^2), where p = w . m; the same
+    with both directions free in a place. Singular is a determinant of up to 1e-12 of the squared spread.
+    """
     names = ("sx", "sy", "tx", "ty")
     mean = {f"m_{c}": F.avg(c) for c in names}
     sums = pairs.groupBy(*keys).agg(F.count("*").alias("n"), *(v.alias(k) for k, v in mean.items()), *(F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in (("sx", "sx"), ("sx", "sy"), ("sy", "sy"), ("sx", "tx"), ("sy", "tx"), ("sx", "ty"), ("sy", "ty"))))
     g = F.col
-    det = g("sx_sx") * g("sy_sy") - g("sx_sy") * g("sx_sy")
-    solve = lambda t: (
-        F.when(F.abs(det) > 1e-9, (g(f"sx_{t}") * g("sy_sy") - g(f"sy_{t}") * g("sx_sy")) / det),
-        F.when(F.abs(det) > 1e-9, (g(f"sy_{t}") * g("sx_sx") - g(f"sx_{t}") * g("sx_sy")) / det),
-    )
+    det, spread = g("sx_sx") * g("sy_sy") - g("sx_sy") * g("sx_sy"), g("sx_sx") + g("sy_sy")
+    scale = g("m_sx") * g("m_sx") + g("m_sy") * g("m_sy")
+    kind = F.when(spread <= 1e-24 * scale + 1e-300, "place").when(det <= 1e-12 * spread * spread, "line").otherwise("plane")
+    # unit direction of the greater eigenvalue, from half the angle of the covariance
+    turn = F.atan2(2 * g("sx_sy"), g("sx_sx") - g("sy_sy")) / 2
+    rows = sums.withColumns({"__kind": kind, "__det": det, "__ux": F.cos(turn), "__uy": F.sin(turn)})
+    var = g("__ux") * g("__ux") * g("sx_sx") + 2 * g("__ux") * g("__uy") * g("sx_sy") + g("__uy") * g("__uy") * g("sy_sy")
+    along, aside = g("__ux") * g("m_sx") + g("__uy") * g("m_sy"), -g("__uy") * g("m_sx") + g("__ux") * g("m_sy")
+
+    def solve(t: str) -> tuple[Column, Column]:
+        gain = (g("__ux") * g(f"sx_{t}") + g("__uy") * g(f"sy_{t}")) / var
+        free = aside * (g(f"m_{t}") - gain * along) / (1 + aside * aside)
+        share = g(f"m_{t}") / (1 + scale)
+        plane = (g(f"sx_{t}") * g("sy_sy") - g(f"sy_{t}") * g("sx_sy")) / g("__det"), (g(f"sy_{t}") * g("sx_sx") - g(f"sx_{t}") * g("sx_sy")) / g("__det")
+        line = gain * g("__ux") - free * g("__uy"), gain * g("__uy") + free * g("__ux")
+        place = share * g("m_sx"), share * g("m_sy")
+        return tuple(F.when(g("__kind") == "plane", p).when(g("__kind") == "line", q).otherwise(r) for p, q, r in zip(plane, line, place, strict=True))
+
     (a, b), (c, d) = solve("tx"), solve("ty")
-    out = sums.select(*keys, "n", *mean, a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    out = rows.select(*keys, "n", *mean, a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
     return out.select(*keys, "n", "a", "b", "c", "d", (g("m_tx") - g("a") * g("m_sx") - g("b") * g("m_sy")).alias("e"), (g("m_ty") - g("c") * g("m_sx") - g("d") * g("m_sy")).alias("f"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import suppress
+from .rounds import first_kept
+from .scoring import range_pairs
 
 QUERY = ["scene", "query"]
 
@@ -59,13 +60,16 @@ def pool(cand: DataFrame, top_k: int, gap: float, margin: float, limit: int = 1,
 
 
 def suppressed(cand: DataFrame, radius: float, keep: int) -> DataFrame:
-    """The kept candidates of each query, with their order: no better kept one within ``radius``, ``keep`` at most.
+    """The kept candidates of each query, with their order: no better kept one within ``radius``, ``keep`` at most; better is by score, ties by id.
 
-    A query has as many candidates as its retrieval budget, so its ordered fold is over a short array.
+    Conflicts are pairs within the radius, and ``first_kept`` settles them in rounds, so a query of any number of candidates is rows throughout.
     """
-    packed = F.collect_list(F.struct((-F.col("score")).alias("order"), F.col("id"), F.col("x"), F.col("y")))
-    kept = cand.groupBy(*QUERY).agg(packed.alias("p")).select(*QUERY, F.posexplode(suppress(F.col("p"), radius, keep)).alias("kept_rank", "k"))
-    return kept.select(*QUERY, "kept_rank", F.col("k.id").alias("id"), F.col("k.x").alias("x"), F.col("k.y").alias("y"), (-F.col("k.order")).alias("score"))
+    own = cand.select(*QUERY, "id", "x", "y", "score")
+    better = (F.col("l_score") > F.col("r_score")) | ((F.col("l_score") == F.col("r_score")) & (F.col("l_id") < F.col("r_id")))
+    conflicts = range_pairs(own, own, QUERY, radius).where(better).select(*QUERY, F.col("l_id").alias("first"), F.col("r_id").alias("second"))
+    kept = first_kept(own, QUERY, conflicts)
+    w = Window.partitionBy(*QUERY).orderBy(F.desc("score"), "id")
+    return own.join(kept, [*QUERY, "id"]).withColumn("kept_rank", F.row_number().over(w) - 1).where(F.col("kept_rank") < keep).select(*QUERY, "kept_rank", "id", "x", "y", "score")
 
 
 def reordered(cand: DataFrame, second: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import WEIGHTS, distance, distance_reward, greedy_pairs
+from ..functions.columns import WEIGHTS, distance, distance_reward
+from .rounds import one_to_one
 
 
 def two_class_f1(truth: Column, predicted: Column) -> Column:
@@ -38,8 +39,8 @@ def weighted(presence: Column, local: Column, recovery: Column, identification:
     return sum((c * WEIGHTS[k] for k, c in {"presence": presence, "localization": local, "recovery": recovery, "identification": identification}.items()), F.lit(0.0))
 
 
-def range_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float, strict: bool = True) -> DataFrame:
-    """Pairs of (l) and (r) points of the same keys within ``radius``, by a grid of cells as wide as that.
+def range_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float, strict: bool = True, small: bool = False) -> DataFrame:
+    """Pairs of (l) and (r) points of the same keys within ``radius``, by a grid of cells as wide as that. ``small``: the caller has counted the left side and it may be broadcast.
 
     Each left point looks into the nine cells about its own, so the join is on equal keys and cells; only one side is
     copied, nine times, and no task gets more than a cell's neighbourhood.
@@ -50,7 +51,7 @@ def range_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: floa
     a = a.withColumns({"cx": F.floor(F.col("l_x") / radius) + F.col("s.i"), "cy": F.floor(F.col("l_y") / radius) + F.col("s.j")}).drop("s")
     b = right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys), cell("x").alias("cx"), cell("y").alias("cy"))
     d = distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
-    met = a.join(b, [*keys, "cx", "cy"]).drop("cx", "cy").withColumn("d", d)
+    met = b.join(F.broadcast(a) if small else a, [*keys, "cx", "cy"]).drop("cx", "cy").withColumn("d", d)
     return met.where(F.col("d") < radius) if strict else met.where(F.col("d") <= radius)
 
 
@@ -59,10 +60,9 @@ def greedy_recovery(truth: DataFrame, found: DataFrame, keys: list[str]) -> Data
 
     Rewards end at 36 pixels and nearer pairs come first, so pairs beyond that cannot change the sum and are not made.
     """
-    near = range_pairs(truth, found, keys, 36.0)
-    pairs = near.groupBy(*keys).agg(F.collect_list(F.struct(F.col("d"), F.col("l_id").cast("long").alias("i"), F.col("r_id").cast("long").alias("j"))).alias("pairs"))
-    reward = F.aggregate(greedy_pairs(F.col("pairs")), F.lit(0.0), lambda s, p: s + distance_reward(p["d"]))
-    return truth.groupBy(*keys).agg(F.count("*").alias("n_figure")).join(pairs, keys, "left").select(*keys, "n_figure", F.coalesce(reward / F.col("n_figure"), F.lit(0.0)).alias("recovery"))
+    pairs = one_to_one(range_pairs(truth, found, keys, 36.0), keys, "l_id", "r_id")
+    reward = pairs.groupBy(*keys).agg(F.sum(distance_reward(F.col("d"))).alias("reward"))
+    return truth.groupBy(*keys).agg(F.count("*").alias("n_figure")).join(reward, keys, "left").select(*keys, "n_figure", F.coalesce(F.col("reward") / F.col("n_figure"), F.lit(0.0)).alias("recovery"))
 
 
 def failure_category(present: Column, predicted: Column, d: Column, other_near: Column) -> Column:

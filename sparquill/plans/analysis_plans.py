@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import binomial_tail, bucket, format_cell, parse_cell
-from ..operators.analysis import exact_quantiles, grouped_auc, wasserstein
+from ..operators.analysis import exact_quantiles, grouped_auc, interpolated, wasserstein
 from ..operators.ranking import QUERY
 from ..operators.scoring import scene_scores
 from ..sources.results import submission, truth_cells, violations
@@ -180,7 +180,35 @@ WIDE = "k AS (SELECT c_custkey // 8 AS id, c_custkey % 8 + 1 AS k, CAST(c_custke
 WIDE_SQL = f"WITH {WIDE} SELECT id, " + ", ".join(f"coalesce(max(CASE WHEN k = {i} THEN {CELL.format(x='x', y='y', m='m')} END), '-1') AS patch_{i:02}" for i in range(1, 9)) + ", any_value(n_name) AS constellation FROM k JOIN nation ON id % 25 = n_nationkey GROUP BY id"
 GATED = f"{CAND}, g AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, coalesce(score - lead(score) OVER w, 1e9) AS gap FROM cand WINDOW w AS (PARTITION BY scene, query ORDER BY score DESC, pos)) WHERE k = 1)"
 LD = "d AS (SELECT lang, n_chars, quality FROM documents JOIN labels USING (doc_id))"
+def interpolation(spark, sf):
+    """Every event's value on the broken line through every forty-first event of its type."""
+    e = load(spark, sf, "events").select("event_id", "event_type", "value")
+    breaks = e.where("event_id % 41 = 0").select("event_type", "event_id", F.col("value").alias("y"))
+    return interpolated(e.select("event_id", "event_type"), breaks, ["event_type"], "event_id", "y").select("event_id", R(F.col("interpolated"), 7).alias("interpolated"))
+
+
+INTERPOLATION_SQL = """WITH b AS (SELECT event_type, event_id AS x, value AS y FROM events WHERE event_id % 41 = 0), l AS (SELECT e.event_id, e.event_type, b.x AS x0, b.y AS y0 FROM events e ASOF LEFT JOIN b ON e.event_type = b.event_type AND e.event_id >= b.x),
+ h AS (SELECT l.*, b.x AS x1, b.y AS y1 FROM l ASOF LEFT JOIN b ON l.event_type = b.event_type AND l.event_id <= b.x)
+SELECT event_id, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (event_id - x0) / (x1 - x0) END, 7) AS interpolated FROM h"""
+
+
+def t9(spark, sf):
+    """The finalists of a screening: the incumbent, and the three variants with the best cell of their grid; ties by name."""
+    e = load(spark, sf, "events").select(F.concat_ws("-", "event_type", F.col("user_id") % 4).alias("variant"), (F.col("event_id") % 5).alias("cell"), "value")
+    cells = e.groupBy("variant", "cell").agg(F.round(F.avg("value"), 9).alias("score"))
+    best = cells.groupBy("variant").agg(F.max("score").alias("best"))
+    first = best.orderBy(F.desc("best"), "variant").limit(3).withColumn("incumbent", F.lit(0)).unionByName(best.where("variant = 'click-0'").withColumn("incumbent", F.lit(1)))
+    return first.groupBy("variant").agg(R(F.max("best")).alias("best"), F.max("incumbent").alias("incumbent"))
+
+
+T9_SQL = """WITH c AS (SELECT event_type || '-' || user_id % 4 AS variant, event_id % 5 AS cell, round(avg(value), 9) AS score FROM events GROUP BY ALL), b AS (SELECT variant, max(score) AS best FROM c GROUP BY variant),
+ f AS (SELECT * FROM (SELECT variant, best, 0 AS incumbent FROM b ORDER BY best DESC, variant LIMIT 3) UNION ALL SELECT variant, best, 1 FROM b WHERE variant = 'click-0')
+SELECT variant, round(max(best), 6) AS best, max(incumbent) AS incumbent FROM f GROUP BY variant"""
+
+
 QUERIES = {
+    "interpolation": (interpolation, INTERPOLATION_SQL),
+    "t9_finalists": (t9, T9_SQL),
     "a10_coverage_cube": (a10, "SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY CUBE (lang, source)"),
     "a11_quantile_table": (a11, "WITH u AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME field VALUE v) SELECT field, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90 FROM u GROUP BY field"),
     "a25_auc": (a25, f"WITH {LD} SELECT a.lang, round(avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0 WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END), 6) AS auc, count(DISTINCT a.rid) AS positives, count(DISTINCT b.rid) AS negatives FROM (SELECT *, row_number() OVER () AS rid FROM d) a JOIN (SELECT *, row_number() OVER () AS rid FROM d) b ON a.lang = b.lang AND a.quality = 1 AND b.quality <> 1 GROUP BY a.lang"),

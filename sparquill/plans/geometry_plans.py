@@ -5,11 +5,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import binomial_tail, boxes_overlap, distance, dot, likelihood, mean_centred, shear, singular_values, surprise, trimmed_mean, valid_transform
-from ..functions.kernels import SCALES
+from ..functions.columns import binomial_tail, boxes_overlap, distance, dot, hypothesis_score, keyed_uniform, likelihood, mean_centred, shear, singular_values, surprise, trimmed_mean, valid_transform
+from ..functions.grids import bank
+from ..functions.grids import combinations as combinations_of
 from ..operators import relocation
 from ..operators.analysis import exact_quantiles, nearest_vectors
-from ..operators.geometry import affine_fit, assigned, best_similarity, capped, grouped, nearest_invariants, nearest_quads, normalised, quads, theil_sen, three_point_affine, triangles
+from ..operators.geometry import affine_fit, assigned, best_similarity, capped, grouped, normalised, quads, theil_sen, three_point_affine, triangles
+from ..operators.nearest import nearest_rows
 from ..operators.ranking import QUERY
 from ..operators.scoring import range_pairs
 from ..sources.tables import CAND, PTS, candidates, load, points
@@ -18,9 +20,21 @@ R = lambda c, n=6: F.round(c, n)
 DIST = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
 
 
+#: Vectors kept of each query's search.
+RETRIEVED = 1000
+
+
 def j1(spark, sf):
-    e = load(spark, sf, "embeddings")
-    return nearest_vectors(e, e.where("vec_id % 50 = 0"), 5).withColumn("score", R(F.col("score")))
+    """The thousand vectors nearest to each query, by the best of its three variants: the vector, turned by one place and by two."""
+    e = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    turned = lambda n: F.concat(F.slice("embedding", n + 1, 64), F.slice("embedding", 1, n)) if n else F.col("embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.explode(F.array(*(turned(n) for n in range(3)))).alias("embedding"))
+    return nearest_vectors(e, q, RETRIEVED)
+
+
+J1_SQL = f"""WITH q AS (SELECT vec_id AS query, unnest([embedding, list_concat(embedding[2:], embedding[1:1]), list_concat(embedding[3:], embedding[1:2])]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+ s AS (SELECT query, vec_id AS id, max(round(list_sum(list_transform(list_zip(v, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 9)) AS score FROM q, embeddings GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, rank, id, score FROM k WHERE rank <= {RETRIEVED}"""
 
 
 def j4(spark, sf):
@@ -92,20 +106,23 @@ def j15(spark, sf):
     return scenes.crossJoin(F.broadcast(classes)).select("scene", "name", "n")
 
 
-#: Points of a scene that make triangles and quads (the budget of seed generation), and how far neighbours lie in the plane of ratios
-#: and among the shares of quads.
-BUDGET, REACH, QUAD_REACH = 56, 0.001, 0.005
+#: Points of a scene that make triangles and quads, the best by score (the budget of seed generation); neighbours of a pattern's triangle and of its quad.
+BUDGET, TRIANGLE_K, QUAD_K = 56, 20, 4
 
 
-def tri(spark, sf, cap=BUDGET):
-    return triangles(capped(points(spark, sf), cap, "id"))
+def strongest(spark, sf):
+    return capped(points(spark, sf, scored=True), BUDGET, "score", descending=True)
+
+
+def tri(spark, sf):
+    return triangles(strongest(spark, sf))
 
 
 def g1(spark, sf):
     return tri(spark, sf).select("scene", "id0", "id1", "id2", R(F.col("u")).alias("u"), R(F.col("v")).alias("v"))
 
 
-CAPPED = f"{PTS}, cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) AS k FROM pts) WHERE k <= {BUDGET})"
+CAPPED = f"{PTS}, cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, id) AS k FROM pts) WHERE k <= {BUDGET})"
 TRI = f"""{CAPPED}, t AS (SELECT a.scene, abs((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) AS area, list_sort([{{'d': sqrt((b.x-c.x)**2+(b.y-c.y)**2), 'i': 0, 'id': a.id}},
  {{'d': sqrt((c.x-a.x)**2+(c.y-a.y)**2), 'i': 1, 'id': b.id}}, {{'d': sqrt((a.x-b.x)**2+(a.y-b.y)**2), 'i': 2, 'id': c.id}}]) AS e
  FROM cp a JOIN cp b ON a.scene = b.scene AND a.id < b.id JOIN cp c ON b.scene = c.scene AND b.id < c.id),
@@ -113,7 +130,7 @@ TRI = f"""{CAPPED}, t AS (SELECT a.scene, abs((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x
 
 
 def g2(spark, sf):
-    q = quads(capped(points(spark, sf), BUDGET, "id"))
+    q = quads(strongest(spark, sf))
     return q.select("scene", *(f"id{i}" for i in range(4)), *(R(F.col(f"q{i}")).alias(f"q{i}") for i in range(4)))
 
 
@@ -131,26 +148,50 @@ SELECT scene, {', '.join(f'q[{i+1}].id AS id{i}, round(q[{i+1}].q, 6) AS q{i}' f
 
 PATTERNS = f"{PTS}, cp AS (SELECT 'class-' || scene || '-' || (k // 9) AS scene, k % 9 AS id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY id) - 1 AS k FROM pts))"
 UNROUNDED = G2_SQL.replace("round(", "(").replace(", 6)", ")")
-J6_SQL = f"""WITH o AS (SELECT *, concat_ws('-', scene, id0, id1, id2, id3) AS o, CAST(floor(q0 / {QUAD_REACH}) AS INT) AS c0, CAST(floor(q3 / {QUAD_REACH}) AS INT) AS c3 FROM ({UNROUNDED})),
- w AS (SELECT concat_ws('-', scene, id0, id1, id2, id3) AS o, q0, q1, q2, q3, CAST(floor(q0 / {QUAD_REACH}) AS INT) + i AS c0, CAST(floor(q3 / {QUAD_REACH}) AS INT) + j AS c3 FROM ({UNROUNDED.replace(CAPPED, PATTERNS)}), range(-1, 2) p(i), range(-1, 2) r(j)),
- m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.q0-b.q0)**2+(a.q1-b.q1)**2+(a.q2-b.q2)**2+(a.q3-b.q3)**2) AS d FROM w a JOIN o b ON a.c0 = b.c0 AND a.c3 = b.c3),
- k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY round(d, 9), b_order) AS k FROM m WHERE d < {QUAD_REACH}) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 4"""
+
+
+def nearest_sql(a, b, dims, k, widths):
+    """The k nearest in SQL: rows with k others within a width are done, by cells of two axes; for the next width the rest is left, and at last all pairs."""
+    d = "sqrt(" + " + ".join(f"(x.{c}-y.{c})**2" for c in dims) + ")"
+    p, q = dims[0], dims[-1]
+    out = [f"t0 AS ({a})", f"b AS ({b})"]
+    for i, w in enumerate(widths):
+        out += [
+            f"m{i} AS (SELECT x.o AS a_order, y.o AS b_order, {d} AS d FROM (SELECT t.*, floor({p} / {w}) + i AS c0, floor({q} / {w}) + j AS c1 FROM t{i} t, range(-1, 2) g(i), range(-1, 2) h(j)) x JOIN (SELECT *, floor({p} / {w}) AS c0, floor({q} / {w}) AS c1 FROM b) y ON x.c0 = y.c0 AND x.c1 = y.c1 WHERE {d} < {w})",
+            f"n{i} AS (SELECT a_order FROM m{i} GROUP BY 1 HAVING count(*) >= {k})",
+            f"t{i + 1} AS (SELECT * FROM t{i} WHERE o NOT IN (FROM n{i}))",
+        ]
+    last = len(widths)
+    every = " UNION ALL ".join(f"SELECT m.* FROM m{i} m SEMI JOIN n{i} USING (a_order)" for i in range(last)) + f" UNION ALL SELECT x.o, y.o, {d} FROM t{last} x, b y"
+    return "WITH " + ", ".join(out) + f", k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY round(d, 9), b_order) AS k FROM ({every})) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= {k}"
+
+
+TRI_ROWS = "SELECT concat_ws('-', scene, id0, id1, id2) AS o, u, v FROM ("
+J5_SQL = nearest_sql(f"{TRI_ROWS}WITH {TRI.replace(CAPPED, PATTERNS)} SELECT * FROM tri)", f"{TRI_ROWS}WITH {TRI} SELECT * FROM tri)", ("u", "v"), TRIANGLE_K, (0.006, 0.05))
+QUAD_ROWS = "SELECT concat_ws('-', scene, id0, id1, id2, id3) AS o, q0, q1, q2, q3 FROM ("
+J6_SQL = nearest_sql(f"{QUAD_ROWS}{UNROUNDED.replace(CAPPED, PATTERNS)})", f"{QUAD_ROWS}{UNROUNDED})", ("q0", "q1", "q2", "q3"), QUAD_K, (0.0015, 0.006, 0.03))
+
+
+def patterns(spark, sf):
+    """A scene's points as patterns, nine by nine."""
+    p = points(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("scene").orderBy("id")) - 1)
+    return p.select(F.concat_ws("-", F.lit("class"), "scene", F.floor(F.col("k") / 9)).alias("scene"), (F.col("k") % 9).alias("id"), "x", "y")
+
+
+def nearest_shapes(a, b, ids, dims, k):
+    named = lambda df: df.select(F.concat_ws("-", "scene", *ids).alias("id"), *dims)
+    near = nearest_rows(named(a), named(b), dims, k)
+    return near.select(F.col("a_id").alias("a_order"), F.col("b_id").alias("b_order"), F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
 
 
 def j5(spark, sf):
-    """The three triangles of other scenes nearest to each triangle in the plane of their ratios, as far as ``REACH``."""
-    t = tri(spark, sf).withColumn("order", F.concat_ws("-", "scene", "id0", "id1", "id2"))
-    side = lambda k: t.select(*(F.col(c).alias(f"{k}_{c}") for c in ("order", "scene", "u", "v")))
-    return nearest_invariants(side("a"), side("b"), REACH, 3, F.col("a_scene") != F.col("b_scene")).select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
+    """The twenty triangles of the scenes nearest to each triangle of every pattern in the plane of their ratios, however far."""
+    return nearest_shapes(triangles(patterns(spark, sf)), tri(spark, sf), ["id0", "id1", "id2"], ["u", "v"], TRIANGLE_K)
 
 
 def j6(spark, sf):
-    """The four quads of the scenes nearest to each quad of every pattern, as far as ``QUAD_REACH``: a scene's points are its patterns, nine by nine."""
-    p = points(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("scene").orderBy("id")) - 1)
-    own = p.select(F.concat_ws("-", F.lit("class"), "scene", F.floor(F.col("k") / 9)).alias("scene"), (F.col("k") % 9).alias("id"), "x", "y")
-    side = lambda df, k: quads(df).select(F.concat_ws("-", "scene", "id0", "id1", "id2", "id3").alias(f"{k}_order"), *(F.col(f"q{i}").alias(f"{k}_q{i}") for i in range(4)))
-    near = nearest_quads(side(own, "a"), side(capped(points(spark, sf), BUDGET, "id"), "b"), QUAD_REACH, 4)
-    return near.select("a_order", "b_order", F.col("k").cast("long").alias("k"), R(F.col("d")).alias("d"))
+    """The four quads of the scenes nearest to each quad of every pattern, however far."""
+    return nearest_shapes(quads(patterns(spark, sf)), quads(strongest(spark, sf)), ["id0", "id1", "id2", "id3"], ["q0", "q1", "q2", "q3"], QUAD_K)
 
 
 def pairs(spark, sf):
@@ -205,16 +246,20 @@ SELECT l_orderkey, l_linenumber, round(l, 4) AS large, round(k, 4) AS small, CAS
 
 
 def a16(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", (F.col("p_size") % 15 + 5).alias("nodes"), (F.col("p_partkey") % 12 + 4).alias("support"), (F.col("p_size") + 20).alias("density"))
+    """Surprise, tail and the whole score of fits whose figures the parts give."""
+    p = load(spark, sf, "part").select("p_partkey", (F.col("p_size") % 15 + 5).alias("nodes"), (F.col("p_partkey") % 12 + 4).alias("support"), (F.col("p_size") + 20).alias("density"), *(v.alias(k) for k, v in FIGURES(F.col("p_partkey"), F.col("p_size"))))
     p = p.where("support <= nodes")
-    return p.select("p_partkey", R(surprise(F.col("support"), F.col("nodes"), F.col("density"), 24.0)).alias("surprise"), R(binomial_tail(F.col("support") - 4, F.col("nodes"), F.lit(0.2)), 9).alias("tail"))
+    own = surprise(F.col("support"), F.col("nodes"), F.col("density"), 24.0)
+    score = hypothesis_score(own, F.col("residual"), F.col("shear"), F.col("appearance"), F.col("cost"), F.col("similar") == 1, 24.0, 2.0, 1.0, 0.1)
+    return p.select("p_partkey", R(own).alias("surprise"), R(binomial_tail(F.col("support") - 4, F.col("nodes"), F.lit(0.2)), 9).alias("tail"), R(score).alias("score"))
 
 
-A16_SQL = """WITH p AS (SELECT p_partkey, p_size % 15 + 5 AS nodes, p_partkey % 12 + 4 AS support, p_size + 20 AS density FROM part WHERE p_partkey % 12 + 4 <= p_size % 15 + 5),
+FIGURES = lambda key, size: (("residual", key % 17 / 2), ("shear", size % 10 / 20), ("appearance", key % 31 / 31), ("cost", (key % 5).cast("double")), ("similar", (key % 3 == 0).cast("int")))
+A16_SQL = """WITH p AS (SELECT p_partkey, p_size % 15 + 5 AS nodes, p_partkey % 12 + 4 AS support, p_size + 20 AS density, p_partkey % 17 / 2.0 AS residual, p_size % 10 / 20.0 AS shear, p_partkey % 31 / 31.0 AS appearance, p_partkey % 5 AS cost, p_partkey % 3 = 0 AS alike FROM part WHERE p_partkey % 12 + 4 <= p_size % 15 + 5),
  q AS (SELECT *, greatest(nodes - 3, 1) AS n, least(0.8, density * pi() * 24.0 * 24.0 / 9e6) AS pr FROM p),
  b AS (SELECT *, list_sum(list_transform(range(support - 3, n + 1), lambda i: exp(lgamma(n+1) - lgamma(i+1) - lgamma(n-i+1) + i*ln(pr) + (n-i)*ln(1-pr)))) AS t1,
  list_sum(list_transform(range(support - 3, nodes + 1), lambda i: exp(lgamma(nodes+1) - lgamma(i+1) - lgamma(nodes-i+1) + i*ln(0.2) + (nodes-i)*ln(0.8)))) AS t2 FROM q)
-SELECT p_partkey, round(-log10(t1), 6) AS surprise, round(coalesce(t2, 0.0), 9) AS tail FROM b"""
+SELECT p_partkey, round(-log10(t1), 6) AS surprise, round(coalesce(t2, 0.0), 9) AS tail, round(-log10(t1) - 0.5 * residual / 24.0 + CASE WHEN alike THEN 0.35 ELSE 0.0 END - 2 * shear + appearance - 0.1 * cost, 6) AS score FROM b"""
 
 
 def a17(spark, sf):
@@ -284,25 +329,38 @@ SELECT guard, scene, query, CAST(same OR ok AS INT) AS accepted, CASE WHEN same
 
 
 def k11(spark, sf):
-    """Bank of poses: five scales by 24 angles, those that read a disc's samples only inside a patch of 32. Two discs: of 12 pixels, and as
-    wide as the scale admits. An edge is met to a millionth of a pixel."""
-    b = spark.createDataFrame([(s,) for s in SCALES], "scale double").select("scale", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("angle"), F.explode(F.array(F.lit("fixed"), F.lit("adaptive"))).alias("policy"))
-    radius = F.when(F.col("policy") == "fixed", 12).otherwise(F.greatest(F.lit(6), F.floor(15.2 * F.col("scale")))).cast("int")
+    """The poses that read a disc's samples only inside a patch of 32, for every brand: discs of 12 pixels, and as wide as the scale admits up to the brand's own greatest size.
+    The table function makes each brand's bank beside its rows. An edge is met to a millionth of a pixel."""
+    brands = load(spark, sf, "part").groupBy(F.col("p_brand").alias("key")).agg(F.max("p_size").alias("most"))
+    b = bank(brands.select("key")).join(brands, "key").withColumn("policy", F.explode(F.array(F.lit("fixed"), F.lit("adaptive"))))
+    radius = F.when(F.col("policy") == "fixed", 12).otherwise(F.least(F.col("most"), F.greatest(F.lit(6), F.floor(15.2 * F.col("scale"))))).cast("int")
     steps = F.sequence(-radius, radius, F.lit(2))
     disc = F.filter(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(i.alias("i"), j.alias("j"))))), lambda c: c["i"] * c["i"] + c["j"] * c["j"] <= radius * radius)
     t = F.radians(F.col("angle").cast("double"))
     at = lambda c: F.struct((15.5 + (c["i"] * F.cos(t) - c["j"] * F.sin(t)) / F.col("scale")).alias("x"), (15.5 + (c["i"] * F.sin(t) + c["j"] * F.cos(t)) / F.col("scale")).alias("y"))
     inside = F.forall(F.transform(disc, at), lambda p: p["x"].between(-1e-6, 31 + 1e-6) & p["y"].between(-1e-6, 31 + 1e-6))
-    return b.where(inside).select("policy", "scale", F.col("angle").cast("long").alias("angle"))
+    return b.where(inside).select(F.col("key").alias("brand"), "policy", "scale", F.col("angle").cast("long").alias("angle"))
 
 
 def k13(spark, sf):
-    """Disc samples of each radius, by a stride of two."""
-    r = spark.range(6, 13).select(F.col("id").alias("radius"))
+    """Disc samples, by a stride of two, of every radius that the parts' sizes give."""
+    r = load(spark, sf, "part").select((F.col("p_size") % 7 + 6).cast("long").alias("radius")).distinct()
     grid = r.select("radius", F.explode(F.sequence(-F.col("radius"), F.col("radius"), F.lit(2))).alias("i")).select("radius", "i", F.explode(F.sequence(-F.col("radius"), F.col("radius"), F.lit(2))).alias("j"))
     return grid.where("i * i + j * j <= radius * radius").select("radius", "i", "j")
 
 
+def u2(spark, sf):
+    """The threes of every label's six strongest points, made by the table function."""
+    six = capped(points(spark, sf, scored=True), 6, "score", descending=True)
+    return combinations_of(six.select(F.col("scene").cast("string").alias("key"), "id", F.lit(3).alias("size"))).select(F.col("key").alias("scene"), *(F.col("ids")[i].alias(f"id{i}") for i in range(3)))
+
+
+def u1(spark, sf):
+    """Draws that depend on a part's key and a seed alone: a uniform and a normal one."""
+    u = lambda k: keyed_uniform(7, F.lit(k), F.col("p_partkey"))
+    return load(spark, sf, "part").select("p_partkey", R(u("a"), 9).alias("uniform"), R(F.sqrt(-2 * F.log(1 - u("b"))) * F.cos(2 * F.pi() * u("c"))).alias("normal"))
+
+
 def k12(spark, sf):
     s = F.col("l_discount") * 10 + 0.3
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.lit(6), F.floor(15.2 * s)).cast("long").alias("radius"))
@@ -332,16 +390,46 @@ def k18(spark, sf):
     e = load(spark, sf, "embeddings").select("label", F.explode("embedding").alias("p")).select("label", F.col("p").cast("double").alias("p"))
     q = exact_quantiles(e, ["label"], "p", {"background": 0.5, "p80": 0.8, "p999": 0.999})
     low = F.when(F.col("p") < F.col("p80"), F.col("p"))
-    stars = e.join(F.broadcast(q), "label").groupBy("label", "background", "p999").agg(F.count_if(F.col("p") > 0.3).alias("stars"), R(F.stddev_pop(low)).alias("noise"))  # one row a label
+    stars = e.join(q, "label").groupBy("label", "background", "p999").agg(F.count_if(F.col("p") > 0.3).alias("stars"), R(F.stddev_pop(low)).alias("noise"))
     return stars.select("label", R(F.col("background")).alias("background"), R(F.col("p999")).alias("p999"), "stars", "noise")
 
 
+def against_first(spark, sf):
+    """(vec_id, label, p, s, r): the pixels of each vector as an 8 x 8 picture beside those of its label's first one, and their distance from the middle."""
+    e = load(spark, sf, "embeddings").where("label IS NOT NULL").select("vec_id", "label", F.posexplode("embedding").alias("i", "p")).withColumn("p", F.col("p").cast("double"))
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e, ["label", "vec_id"]).select("label", "i", F.col("p").alias("s"))
+    return e.join(first, ["label", "i"]).withColumn("r", F.hypot(F.col("i") % 8 - 3.5, F.floor(F.col("i") / 8) - 3.5))
+
+
+MASKS = {"full": (-1.0, 9.0), "disc": (-1.0, 3.5), "centre": (-1.0, 1.5), "annulus": (1.5, 3.5)}
+
+
 def k20(spark, sf):
-    """Correlation of each vector with its label's first one, over all components and over the first sixteen."""
-    e = load(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    first = e.groupBy("label").agg(F.min(F.struct("vec_id", "v")).alias("f")).select("label", F.col("f.v").alias("w"))
-    cut = lambda c, n: mean_centred(F.slice(c, 1, n))
-    return e.join(first, "label").select("vec_id", R(dot(cut("v", 64), cut("w", 64))).alias("ncc"), R(dot(cut("v", 16), cut("w", 16))).alias("masked"))
+    """Correlation of each picture with its label's first one under four masks."""
+    p, s, r = F.col("p"), F.col("s"), F.col("r")
+    sums = {f"{m}_{k}": F.sum(F.when((r > lo) & (r <= hi), v)) for m, (lo, hi) in MASKS.items() for k, v in (("n", F.lit(1.0)), ("p", p), ("s", s), ("pp", p * p), ("ss", s * s), ("ps", p * s))}
+    g = lambda m, k: F.col(f"{m}_{k}")
+    cov = lambda m, a, b: g(m, a + b) - g(m, a) * g(m, b) / g(m, "n")
+    score = lambda m: cov(m, "p", "s") / F.greatest(F.lit(1e-6), F.sqrt(F.greatest(F.lit(0.0), cov(m, "p", "p")))) / F.greatest(F.lit(1e-6), F.sqrt(F.greatest(F.lit(0.0), cov(m, "s", "s"))))
+    return against_first(spark, sf).groupBy("vec_id").agg(*(v.alias(k) for k, v in sums.items())).select("vec_id", *(R(score(m)).alias(m) for m in MASKS))
+
+
+def k22(spark, sf):
+    """Photometric agreement of each picture with its label's first one: gain and offset fitted over the disc, the mean of the four fifths of least residuals against the picture's mean deviation."""
+    own = Window.partitionBy("vec_id")  # a picture's pixels
+    rows = against_first(spark, sf).where("r <= 3.5").withColumns({"p": F.col("p") - F.avg("p").over(own), "s": F.col("s") - F.avg("s").over(own)})
+    gain = F.sum(F.col("s") * F.col("p")).over(own) / F.greatest(F.lit(1e-9), F.sum(F.col("s") * F.col("s")).over(own))
+    rows = rows.withColumn("left", F.abs(gain * F.col("s") - F.col("p")))
+    rows = rows.withColumns({"k": F.row_number().over(own.orderBy("left")), "n": F.count("*").over(own)})
+    kept = F.avg(F.when(F.col("k") <= F.round(F.col("n") * 0.8), F.col("left")))
+    return rows.groupBy("vec_id").agg(R(1 - kept / F.greatest(F.lit(1e-6), F.avg(F.abs("p")))).alias("agreement"))
+
+
+FIRST_SQL = "pic AS (SELECT vec_id, label, i, CAST(embedding[i + 1] AS DOUBLE) AS p FROM embeddings, range(64) r(i)), af AS (SELECT a.vec_id, a.p, b.p AS s, sqrt((a.i % 8 - 3.5)**2 + (a.i // 8 - 3.5)**2) AS r FROM pic a JOIN pic b ON a.label = b.label AND a.i = b.i JOIN (SELECT label, min(vec_id) AS v FROM pic GROUP BY label) f ON b.label = f.label AND b.vec_id = f.v)"
+K20_SQL = f"WITH {FIRST_SQL} SELECT vec_id, " + ", ".join(f"round(covar_pop(p, s) FILTER (r > {lo} AND r <= {hi}) / (stddev_pop(p) FILTER (r > {lo} AND r <= {hi}) * stddev_pop(s) FILTER (r > {lo} AND r <= {hi})), 6) AS {m}" for m, (lo, hi) in MASKS.items()) + " FROM af GROUP BY vec_id"
+K22_SQL = f"""WITH {FIRST_SQL}, c AS (SELECT vec_id, p - avg(p) OVER w AS p, s - avg(s) OVER w AS s FROM af WHERE r <= 3.5 WINDOW w AS (PARTITION BY vec_id)),
+ d AS (SELECT vec_id, p, abs(sum(s * p) OVER w / greatest(1e-9, sum(s * s) OVER w) * s - p) AS l FROM c WINDOW w AS (PARTITION BY vec_id)), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l) AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM d)
+SELECT vec_id, round(1 - avg(l) FILTER (k <= round(n * 0.8)) / greatest(1e-6, avg(abs(p))), 6) AS agreement FROM k GROUP BY vec_id"""
 
 
 def p16(spark, sf):
@@ -364,9 +452,9 @@ UNIT = "(CASE WHEN {0} IS NULL THEN NULL ELSE list_transform({0}, lambda q: (q -
 VEC = "ev AS (SELECT label, vec_id, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS v FROM embeddings)"
 NEAR = "abs(a.x-b.x) <= {r} AND abs(a.y-b.y) <= {r} AND " + DIST + " {op} {r}"
 QUERIES = {
-    "j1_nearest_vectors": (j1, "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, rank, id, round(score, 6) AS score FROM k WHERE rank <= 5"),
+    "j1_nearest_vectors": (j1, J1_SQL),
     "j4_assignment": (j4, J4_SQL),
-    "j5_triangle_neighbours": (j5, f"WITH {TRI}, o AS (SELECT *, concat_ws('-', scene, id0, id1, id2) AS o, CAST(floor(u / {REACH}) AS INT) AS cu, CAST(floor(v / {REACH}) AS INT) AS cv FROM tri), w AS (SELECT o, scene, u, v, cu + i AS cu, cv + j AS cv FROM o, range(-1, 2) p(i), range(-1, 2) q(j)), m AS (SELECT a.o AS a_order, b.o AS b_order, sqrt((a.u-b.u)**2+(a.v-b.v)**2) AS d FROM w a JOIN o b ON a.cu = b.cu AND a.cv = b.cv AND a.scene <> b.scene), k AS (SELECT *, row_number() OVER (PARTITION BY a_order ORDER BY d, b_order) AS k FROM m WHERE d < {REACH}) SELECT a_order, b_order, k, round(d, 6) AS d FROM k WHERE k <= 3"),
+    "j5_triangle_neighbours": (j5, J5_SQL),
     "j6_quad_neighbours": (j6, J6_SQL),
     "j8_anchor_groups": (j8, J8_SQL),
     "j9_eligible": (j9, f"WITH {PTS} SELECT DISTINCT a.scene, a.id FROM pts a JOIN pts b ON a.scene = b.scene AND a.id % 5 <> 0 AND b.id % 5 = 0 AND " + NEAR.format(r=80, op="<=")),
@@ -390,12 +478,15 @@ QUERIES = {
     "g7_relocation": (g7, J8_SQL.replace("SELECT scene, id, anchor FROM go WHERE id IS NOT NULL", "SELECT g.scene, anchor, count(*) AS members, round(any_value(p.x), 4) AS x, round(any_value(p.y), 4) AS y FROM go g JOIN pts p ON g.anchor = p.id WHERE g.id IS NOT NULL GROUP BY g.scene, anchor")),
     "c11_relocation_guards": (c11, C11_SQL),
     "k3_normalise": (k3, f"WITH {VEC}, u AS (SELECT vec_id, v, {UNIT.format('v')} AS u FROM ev) SELECT vec_id, round(list_sum(u), 6) + 0.0 AS total, round(list_sum(list_transform(list_zip(u, v), lambda z: z[1]*z[2])), 6) AS with_raw, round(list_max(u), 6) AS peak FROM u"),
-    "k11_p7_pose_bank": (k11, "WITH b AS (SELECT unnest([0.75, 0.87, 1.0, 1.15, 1.33]::DOUBLE[]) AS scale), c AS (SELECT policy, scale, a * 15 AS angle, radians(a * 15.0) AS t, CASE policy WHEN 'fixed' THEN 12 ELSE greatest(6, CAST(floor(15.2 * scale) AS INT)) END AS r FROM b, range(24) q(a), (VALUES ('fixed'), ('adaptive')) p(policy)), d AS (SELECT policy, scale, angle, 15.5 + ((2*m-r)*cos(t) - (2*n-r)*sin(t)) / scale AS x, 15.5 + ((2*m-r)*sin(t) + (2*n-r)*cos(t)) / scale AS y FROM c, range(41) u(m), range(41) v(n) WHERE 2*m-r <= r AND 2*n-r <= r AND (2*m-r)**2 + (2*n-r)**2 <= r*r) SELECT policy, scale, angle FROM d GROUP BY ALL HAVING min(x) >= -1e-6 AND max(x) <= 31 + 1e-6 AND min(y) >= -1e-6 AND max(y) <= 31 + 1e-6"),
+    "k11_p7_pose_bank": (k11, "WITH br AS (SELECT p_brand AS brand, max(p_size) AS most FROM part GROUP BY p_brand), b AS (SELECT unnest([0.75, 0.87, 1.0, 1.15, 1.33]::DOUBLE[]) AS scale), c AS (SELECT brand, policy, scale, a * 15 AS angle, radians(a * 15.0) AS t, CASE policy WHEN 'fixed' THEN 12 ELSE least(most, greatest(6, CAST(floor(15.2 * scale) AS INT))) END AS r FROM br, b, range(24) q(a), (VALUES ('fixed'), ('adaptive')) p(policy)), d AS (SELECT brand, policy, scale, angle, 15.5 + ((2*m-r)*cos(t) - (2*n-r)*sin(t)) / scale AS x, 15.5 + ((2*m-r)*sin(t) + (2*n-r)*cos(t)) / scale AS y FROM c, range(41) u(m), range(41) v(n) WHERE 2*m-r <= r AND 2*n-r <= r AND (2*m-r)**2 + (2*n-r)**2 <= r*r) SELECT brand, policy, scale, angle FROM d GROUP BY ALL HAVING min(x) >= -1e-6 AND max(x) <= 31 + 1e-6 AND min(y) >= -1e-6 AND max(y) <= 31 + 1e-6"),
     "k12_radius": (k12, "SELECT l_orderkey, l_linenumber, CAST(greatest(6, floor(15.2 * (l_discount * 10 + 0.3))) AS BIGINT) AS radius FROM lineitem"),
-    "k13_disc": (k13, "SELECT radius, i, j FROM range(6, 13) r(radius), LATERAL (SELECT unnest(range(-radius, radius + 1, 2)) AS i), LATERAL (SELECT unnest(range(-radius, radius + 1, 2)) AS j) WHERE i*i + j*j <= radius*radius"),
+    "k13_disc": (k13, "SELECT radius, i, j FROM (SELECT DISTINCT CAST(p_size % 7 + 6 AS BIGINT) AS radius FROM part) r, LATERAL (SELECT unnest(range(-radius, radius + 1, 2)) AS i), LATERAL (SELECT unnest(range(-radius, radius + 1, 2)) AS j) WHERE i*i + j*j <= radius*radius"),
     "k17_patch_statistics": (k17, "WITH p AS (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS p, i % 8 AS x, i // 8 AS y FROM embeddings, range(64) r(i)), q AS (SELECT *, p - avg(p) OVER (PARTITION BY vec_id, y) AS h, x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AS c FROM p) SELECT vec_id, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(max(p), 6) AS max, round(avg(CASE WHEN p > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS saturated, round(avg(p) FILTER (c) - avg(p) FILTER (NOT c), 6) AS contrast, round(sqrt(avg(h * h)), 6) AS highpass FROM q GROUP BY vec_id"),
     "k18_scene_statistics": (k18, "WITH p AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS p FROM embeddings), q AS (SELECT label, quantile_cont(p, 0.8) AS p80 FROM p GROUP BY label) SELECT label, round(quantile_cont(p, 0.5), 6) AS background, round(quantile_cont(p, 0.999), 6) AS p999, count(*) FILTER (p > 0.3) AS stars, round(stddev_pop(p) FILTER (p < p80), 6) AS noise FROM p JOIN q USING (label) GROUP BY label"),
-    "k20_masked_ncc": (k20, f"WITH {VEC}, f AS (SELECT label, arg_min(v, vec_id) AS w FROM ev GROUP BY label), m AS (SELECT vec_id, v, w, v[1:16] AS a, w[1:16] AS b FROM ev JOIN f USING (label)) SELECT vec_id, round(list_sum(list_transform(list_zip({UNIT.format('v')}, {UNIT.format('w')}), lambda z: z[1]*z[2])), 6) AS ncc, round(list_sum(list_transform(list_zip({UNIT.format('a')}, {UNIT.format('b')}), lambda z: z[1]*z[2])), 6) AS masked FROM m"),
+    "k20_masked_ncc": (k20, K20_SQL),
+    "k22_photometric_agreement": (k22, K22_SQL),
+    "u1_keyed_draws": (u1, "WITH d AS (SELECT p_partkey, " + ", ".join(f"CAST('0x' || substr(sha256('7|{k}|' || p_partkey), 1, 13) AS BIGINT) / 4503599627370496.0 AS {k}" for k in "abc") + " FROM part) SELECT p_partkey, round(a, 9) AS uniform, round(sqrt(-2 * ln(1 - b)) * cos(2 * pi() * c), 6) AS normal FROM d"),
+    "u2_combinations": (u2, f"WITH {PTS}, t AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY scene ORDER BY score DESC, id) <= 6) SELECT CAST(a.scene AS VARCHAR) AS scene, a.id AS id0, b.id AS id1, c.id AS id2 FROM t a JOIN t b ON a.scene = b.scene AND a.id < b.id JOIN t c ON b.scene = c.scene AND b.id < c.id"),
     "p16_box_overlap": (p16, f"WITH {PTS} SELECT a.id AS aid, b.id AS bid FROM pts a JOIN pts b ON a.scene = b.scene AND a.id < b.id AND a.x < b.x + 300 AND b.x < a.x + 300 AND a.y < b.y + 300 AND b.y < a.y + 300"),
     "source_regions": (regions, "SELECT s_suppkey AS image, CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(c * 1000 + 96 AS INT) AS x0, CAST(r * 1000 + 96 AS INT) AS y0, ['development', 'calibration', 'confirmation'][(s_suppkey + r + c) % 3 + 1] AS split FROM supplier, range(3) a(r), range(3) b(c)"),
 }

@@ -1,11 +1,10 @@
 """Queries on candidates: windows, pools, suppression, sets."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.fusion import POLICIES, fused, predicted
+from ..operators.analysis import share_below
+from ..operators.fusion import fused_all, predicted_all
 from ..operators.ranking import QUERY, gaps, of_query, pool, ranked, reordered, suppressed
 from ..sources.tables import CAND, candidates, load
 
@@ -59,11 +58,8 @@ def w9(spark, sf):
 
 def w10(spark, sf):
     """Share of a reference sample's values below each value: counts of the sample by value, summed in order."""
-    e = load(spark, sf, "events")
-    by_value = e.groupBy("event_type", "value").agg(F.count_if(F.col("event_id") % 10 == 0).alias("r"))
-    w = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    share = by_value.select("event_type", "value", (F.coalesce(F.sum("r").over(w), F.lit(0)) / F.sum("r").over(Window.partitionBy("event_type"))).alias("s"))
-    return e.join(share, ["event_type", "value"]).select("event_id", R(F.coalesce(F.col("s"), F.lit(0.0))).alias("share"))
+    e = load(spark, sf, "events").select("event_id", "event_type", "value")
+    return share_below(e, ["event_type"], "value", F.col("event_id") % 10 == 0).select("event_id", R(F.col("share")).alias("share"))
 
 
 def w11(spark, sf):
@@ -211,8 +207,7 @@ def stage_fits(spark, sf):
 
 def c12(spark, sf):
     """The class that each of the nine policies picks in each scene, and the branch it takes it from."""
-    fits = stage_fits(spark, sf)
-    return reduce(DataFrame.unionByName, (fused(fits, p).select(F.lit(p).alias("policy"), "scene", "name", "stage") for p in POLICIES))
+    return fused_all(stage_fits(spark, sf)).select("policy", "scene", "name", "stage")
 
 
 def c13(spark, sf):
@@ -220,8 +215,8 @@ def c13(spark, sf):
     fits, first = stage_fits(spark, sf), gaps(candidates(spark, sf)).select(*QUERY, (F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), "score")
     moves = fits.select("scene", "stage", "name", F.explode(F.array(*(F.lit(q) for q in ("click", "view", "error")))).alias("query"), F.col("nodes")[0]["x"].alias("x"), F.col("nodes")[0]["y"].alias("y"))
     kinds = [(p, only) for p in ("rrf", "agreement_2") for only in (False, True)]
-    rows = [predicted(first, moves, fits, p, only, threshold=100.0, radius=9.0).select(F.lit(p).alias("policy"), F.lit(int(only)).alias("id_only"), "*") for p, only in kinds]
-    return reduce(DataFrame.unionByName, rows).select("policy", "id_only", "scene", "query", R(F.col("x")).alias("x"), R(F.col("y")).alias("y"), "member", "name")
+    rows = predicted_all(first, moves, fits, kinds, threshold=100.0, radius=9.0)
+    return rows.select("policy", F.col("id_only").cast("int").alias("id_only"), "scene", "query", R(F.col("x")).alias("x"), R(F.col("y")).alias("y"), "member", "name")
 
 
 def best_sql(where):

@@ -85,7 +85,14 @@ def a6(spark, sf):
 
 
 def a7(spark, sf):
-    return scored(spark, sf).agg(*(R(F.avg(c)).alias(f"mean_{c}") for c in ("presence", "localization", "recovery", "identification", "score")), R(F.min("score")).alias("worst"))
+    """Means over scenes and the least score. Scenes count in whole units of 1e-12, so that no order of adding matters, and are rounded half up as whole numbers."""
+    unit = lambda c: F.round(F.col(c) * 1e12).cast("long")
+    sums = scored(spark, sf).agg(F.count("*").alias("n"), *(F.sum(unit(c)).alias(f"mean_{c}") for c in MEANS), F.min(unit("score")).alias("worst"))
+    rounded = lambda c, n: F.expr(f"(`{c}` + {n} * 500000) div ({n} * 1000000)") / 1e6
+    return sums.select(*(rounded(f"mean_{c}", "n").alias(f"mean_{c}") for c in MEANS), rounded("worst", "1").alias("worst"))
+
+
+MEANS = ("presence", "localization", "recovery", "identification", "score")
 
 
 def a31(spark, sf):
@@ -212,6 +219,8 @@ def a14_clip(spark, sf):
 
 SCORED = f"""{SCENES}, {greedy_sql(*FIGURE, REWARD)}, s AS (SELECT *, 0.25 * presence + 0.2 * localization + 0.25 * recovery + 0.3 * identification AS score FROM
  (SELECT sc.*, coalesce(total / n_figure, 1.0) AS recovery FROM sc LEFT JOIN g ON sc.scene = g.scene LEFT JOIN (SELECT scene, count(*) AS n_figure FROM tr GROUP BY scene) f ON sc.scene = f.scene))"""
+A7_SQL = f"""WITH RECURSIVE {SCORED}, u AS (SELECT count(*) AS n, {', '.join(f'sum(CAST(round({c} * 1e12) AS BIGINT)) AS {c}' for c in MEANS)}, min(CAST(round(score * 1e12) AS BIGINT)) AS worst FROM s)
+SELECT {', '.join(f'CAST(({c} + n * 500000) // (n * 1000000) AS DOUBLE) / 1e6 AS mean_{c}' for c in MEANS)}, CAST((worst + 500000) // 1000000 AS DOUBLE) / 1e6 AS worst FROM u"""
 NEAR_TRUTH = f"{RANKED}, t AS (SELECT scene, query, x + 3 AS tx, y + 4 AS ty FROM r WHERE pos = scene % 7), n AS (SELECT r.*, {D} AS d FROM r JOIN t ON r.scene = t.scene AND r.query = t.query)"
 C18_SQL = f"""WITH RECURSIVE {NEAR_TRUTH}, go AS (SELECT scene, query, CAST(0 AS BIGINT) AS rank, [{{'id': id, 'x': x, 'y': y}}] AS kept FROM r WHERE rank = 0
  UNION ALL SELECT g.scene, g.query, r.rank, CASE WHEN len(list_filter(kept, lambda q: sqrt((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y)) < 400.0)) = 0
@@ -227,7 +236,7 @@ QUERIES = {
     "a4_greedy_recovery": (a4, A4_SQL),
     "a5_identification": (a5, f"WITH {SCENES} SELECT scene, n, round(identification, 6) AS identification FROM sc"),
     "a6_weighted_score": (a6, f"WITH RECURSIVE {SCORED} SELECT scene, round(recovery, 6) AS recovery, round(score, 6) AS score FROM s"),
-    "a7_macro_mean": (a7, f"WITH RECURSIVE {SCORED} SELECT " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("presence", "localization", "recovery", "identification", "score")) + ", round(min(score), 6) AS worst FROM s"),
+    "a7_macro_mean": (a7, A7_SQL),
     "a31_recovery_attribution": (a31, f"WITH RECURSIVE {DEC}, {greedy_sql(*FIGURE, 'CASE WHEN d <= 12 THEN 1.0 ELSE 0.0 END')} SELECT scene, CAST(total AS BIGINT) AS matched, n - CAST(total AS BIGINT) AS unmatched FROM g JOIN (SELECT scene, count(*) AS n FROM tr GROUP BY scene) USING (scene)"),
     "a8_category_rollup": (a8, f"WITH {DEC}, r AS (SELECT *, {D} AS d, {CATEGORY} AS category FROM dec) SELECT category, count(*) AS n, count(DISTINCT scene) AS scenes, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d <= 12 THEN 1.0 ELSE 0.0 END), 6) AS rate12 FROM r GROUP BY category"),
     "a9_strata": (a9, f"WITH {DEC}, r AS (SELECT *, CASE WHEN query % 20 <= 3 THEN '2-3' WHEN query % 20 <= 9 THEN '4-9' ELSE '10+' END AS strip FROM dec) SELECT scene, strip, CAST(present AS INT) AS present, count(*) AS n, round(avg(x), 6) AS mean_x FROM r GROUP BY GROUPING SETS ((scene), (strip), (present))"),

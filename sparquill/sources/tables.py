@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, for several uses: written to the cluster's checkpoint folder, and where none is set (tests), kept by Spark."""
+    """``df`` computed once, for several uses: written to the cluster's shared checkpoint folder and read from there. Where none is set a session on one machine, as in tests, takes
+    a temporary one; on a cluster that is refused."""
     sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.persist() if sc.getCheckpointDir() is None else df.checkpoint()
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +39,15 @@ CAND = """cand AS (SELECT user_id AS scene, event_type AS query, event_id AS id,
  CAST(event_id * 37 % 3000 AS DOUBLE) AS x, CAST(event_id * 91 % 3000 AS DOUBLE) AS y FROM events)"""
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scene, id, x, y): a vector's first two components as a place in its label's scene."""
+def points(spark: SparkSession, sf_dir: str, scored: bool = False) -> DataFrame:
+    """(scene, id, x, y): a vector's first two components as a place in its label's scene; ``scored``, the third as its score."""
     e = load(spark, sf_dir, "embeddings")
     at = lambda i: (F.get("embedding", F.lit(i)).cast("double") + 0.5) * 3000.0
-    return e.select(F.col("label").alias("scene"), F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"))
+    return e.select(F.col("label").alias("scene"), F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), *([F.get("embedding", F.lit(2)).cast("double").alias("score")] if scored else []))
 
 
 PTS = """pts AS (SELECT label AS scene, vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 0.5) * 3000.0 AS x,
- (CAST(embedding[2] AS DOUBLE) + 0.5) * 3000.0 AS y FROM embeddings)"""
+ (CAST(embedding[2] AS DOUBLE) + 0.5) * 3000.0 AS y, CAST(embedding[3] AS DOUBLE) AS score FROM embeddings)"""
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernels import bilinear, blur
+from sparquill.functions.kernels import bilinear, blur
 
 CANDIDATES = "scene long, query int, pos int, x double, y double, score double"
 

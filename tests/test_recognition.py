@@ -7,13 +7,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparquill.functions import kernels, synthetic
-from sparquill.functions.columns import anchors, parse_cell
+from sparquill.functions import kernels
 from sparquill.functions import patterns as patterns_of
-from sparquill.operators import ranking, recognition
+from sparquill.functions.columns import parse_cell
+from sparquill.operators import fits, ranking, recognition
+from sparquill.operators.geometry import grouped
 from sparquill.operators.scoring import greedy_recovery
 from sparquill.sources import images, results
 from sparquill.streaming import events
+from tests import synthetic
 
 
 def patterns():
@@ -49,9 +51,8 @@ def test_no_evidence(spark):
 
 
 def test_anchor_groups(spark):
-    df = spark.createDataFrame([(1, [(i, x, 0.0) for i, x in enumerate((0.0, 1.0, 2.9, 5.0, 10.0))])], "s int, p array<struct<id:long,x:double,y:double>>")
-    got = df.select(anchors(F.col("p"), 3.0).alias("a")).first().a
-    assert [r.anchor for r in got] == [0, 0, 0, 3, 4]
+    df = spark.createDataFrame([(1, i, x, 0.0) for i, x in enumerate((0.0, 1.0, 2.9, 5.0, 10.0))], "scene int, id long, x double, y double")
+    assert sorted((r.id, r.anchor) for r in grouped(df, 3.0).collect()) == list(enumerate([0, 0, 0, 3, 4]))
 
 
 def test_recovery_is_greedy(spark):
@@ -328,6 +329,42 @@ def test_catalog_goes_in_blocks(spark, monkeypatch):
     assert key(recognition.hypotheses(cand, as_catalog(spark, own), cap=6000)) == whole
 
 
+def scene_of(points, groups, scores, ranks, seeds):
+    return patterns_of.Scene(np.array(points), np.array(groups), np.array(scores), np.array(ranks), np.array(seeds))
+
+
+@pytest.mark.parametrize("budget, options", [(150, {"quad_share": 0.5, "null_mode": "pool", "appearance_weight": 1.0, "rank_weight": 0.1}), (5000, {"models": ("affine", "similarity"), "score_mode": "likelihood"}), (5000, {"checked": False, "refits": 2, "tolerance": 24.0})])
+def test_table_of_seeds_equals_the_fits_of_arrays(spark, budget, options):
+    """Every class of every scene: score, support, counts and reason."""
+    rng = np.random.default_rng(12)
+    own = {f"p{i}": rng.uniform(0, 200, (n, 2)) for i, n in enumerate((7, 6, 5, 4, 3, 2, 6))} | {"line": np.column_stack([np.arange(5.0), np.zeros(5)])}
+    pool, making, scenes = [], [], {}
+    for scene in range(3):
+        there = synthetic.place(own["p0" if scene else "p1"], rng)
+        there = there + rng.normal(0, 3, there.shape)
+        points = np.concatenate([there, rng.uniform(0, 3000, (9, 2)), there[:2] + rng.normal(0, 12, (2, 2))])
+        groups = np.concatenate([np.arange(len(there) + 9), np.arange(2)])
+        scores, ranks = rng.uniform(0.3, 1, len(points)).round(3), np.concatenate([np.zeros(len(there) + 9, int), [1, 1]])
+        pool += [(scene, int(g), float(x), float(y), float(s), int(r)) for (x, y), g, s, r in zip(points, groups, scores, ranks)]
+        making += [(scene, i, float(x), float(y)) for i, (x, y) in enumerate(points[: len(there) + 4])]
+        scenes[scene] = scene_of(points, groups, scores, ranks, points[: len(there) + 4])
+    pool = spark.createDataFrame(pool, "scene int, grp long, x double, y double, score double, rank long")
+    making = spark.createDataFrame(making, "scene int, id int, x double, y double")
+    o, like = fits.Options(**options), patterns_of.Options(**options)
+    got = {(r.scene, r.name): r for r in fits.fitted(pool, making, as_catalog(spark, own), budget, o).collect()}
+    assert len(got) == len(scenes) * len(own)
+    supported = 0
+    for (scene, name), r in got.items():
+        want = patterns_of.best_fit(own[name], scenes[scene], budget, like)
+        assert (r.support, r.nodes, r.attempted, r.accepted, r.reason) == (want["support"], want["nodes"], want["attempted"], want["accepted"], want.get("reason")), (scene, name)
+        assert r.score == pytest.approx(want["score"], abs=1e-6), (scene, name)
+        supported += r.support > 0
+        if r.support:
+            assert np.allclose(r.matrix, want["matrix"], rtol=1e-6, atol=1e-6) and r.model == want["model"]
+            assert [(p.node, p.grp) for p in r.pairs] == [p[:2] for p in want["pairs"]]
+    assert supported >= 3
+
+
 def test_pool_and_eligibility(spark):
     rows = [(1, 1, p, x, x, s) for p, (x, s) in enumerate(((10.0, 0.9), (500.0, 0.4), (600.0, 0.3)))] + [(1, 2, p, x, x, s) for p, (x, s) in enumerate(((20.0, 0.9), (700.0, 0.89), (800.0, 0.88)))]
     cand = spark.createDataFrame(rows, synthetic.CANDIDATES)
@@ -339,3 +376,25 @@ def test_pool_and_eligibility(spark):
     assert pooled(marked) == {1: [1, 0], 2: [0, 1, 2]}  # eligible first, and one more
     again = cand.withColumn("rank_score", F.col("x"))
     assert pooled(again) == {1: [2], 2: [2, 1, 0]} and pooled(again, pool_by="calib") == {1: [0], 2: [2, 1, 0]}
+
+
+def test_pool_scores_agree_with_verification():
+    image = kernels.blur(np.random.default_rng(6).normal(size=(160, 160)), 2.5)
+    patch = synthetic.degraded(image, 80, 70, 30, 1.15)
+    at = np.array([[80.0, 70.0], [60.0, 90.0], [100.0, 60.0], [81.0, 70.0]])
+    whole, split = kernels.pool_scores(image, patch, at), kernels.pool_scores(image, patch, at, channels=True)
+    assert whole[:, 0].argmax() == 0 and split[:, 0].argmax() == 0 and whole[0, 0] > 0.9 and (split[:, 0] <= 1).all()
+    assert whole[0, 0] >= whole[3, 0] and len(whole) == len(at)  # nothing is suppressed
+
+
+def test_exhaustive_fit():
+    rng = np.random.default_rng(7)
+    nodes = rng.uniform(0, 100, (5, 2))
+    unit = (nodes - nodes.mean(axis=0)) / np.ptp(nodes, axis=0)
+    points = unit @ [[700.0, 200.0], [-150.0, 650.0]] + 1500 + rng.normal(0, 3, (5, 2))
+    for model, most in (("affine", 6), ("similarity", 400)):
+        got = patterns_of.exhaustive_fit(nodes, points, model, tolerance=60.0 if model == "affine" else 400.0)
+        assert got["support"] >= 4 and got["mean_residual"] < most
+    best = patterns_of.exhaustive_fit(nodes, points)
+    assert best["support"] == 5 and sorted(best["pairs"]) == [(i, i) for i in range(5)]
+    assert patterns_of.exhaustive_fit(nodes, rng.uniform(0, 3000, (3, 2))) is None
