@@ -6,21 +6,19 @@ document's score.
 
 Vocabulary. Words are hashed to ``BUCKETS`` buckets whose counts are taken over *all* documents. The most frequent ``OWN``
 buckets are classes of their own, the others share the remaining classes. In each shared class the most frequent buckets, as
-many as the corpus supports (``members``), are words of their own as input and as output; the rest of a class is one unit, in
+many as the corpus supports (``members``, by one rule for every size), are words of their own as input and as output; the rest of a class is one unit, in
 which the corpus counts give P(bucket | unit). The network gives P(class | both sides) and P(unit | class, both sides).
 
 Training is data-parallel, in rounds. A hash of id and text deals each document to a shard of about ``SHARD`` tokens, to one of
-its ``ROUNDS`` slots and to a place in it, so that the weights do not depend on how the input is partitioned. The network starts from the corpus frequencies of the
+its ``ROUNDS`` slots and to a place in it, and rows equal in both are learnt once, so that the weights do not depend on how the input is partitioned. The network starts from the corpus frequencies of the
 classes. In a round every shard starts from the same weights and AdaGrad state, visits the documents of one slot and predicts
 each position; weights and state are then averaged by the number of positions.
-They leave a task as blocks of ``BLOCK`` numbers, one row a block, which Spark sums by block. So the
-driver receives one set of weights of fixed size a round whatever the input, and no task meets more than one block's rows at a
-time. ``passes`` repeats the rounds; a small corpus gets more passes.
+A task takes several shards in turn, as many as there are for each of the cluster's cores, and adds up what they give; the sums leave it as blocks of ``BLOCK`` numbers, one row a block, which Spark adds by block. So what is
+shuffled in a round grows with the cluster and the vocabulary, not with the corpus, and the driver receives one set of weights. Sums are of whole numbers, so no order of adding matters. ``passes`` repeats the rounds.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -38,17 +36,19 @@ OWN = 88  # classes of a single bucket
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
 SHARED = CLASSES - OWN
-MEMBERS = 100  # most words of their own in a shared class
-PER_MEMBER = 40_000  # tokens of the corpus for each; none below five times as many
+MEMBERS = 0.01  # words of their own in a shared class, for each root of a token
 BLOCK = 128
 BATCH = 4096  # positions of a step
 SCORED = 16384  # positions scored at once
 SHARD = 1 << 22  # tokens of a shard
 ROUNDS = 8  # averages in a pass
-MERGERS = 8  # tasks that average; their input is a set of weights a shard
-ENOUGH = 1 << 22  # tokens to visit before one pass does
+TASKS = 2  # tasks for each core of the cluster, at most; each takes the shards that fall to it in turn
+PASSES = 1
 RATE = 0.08
 GRAIN = 2.0**-20  # of weights that are averaged
+LARGEST = 2.0**14  # of a weight or a sum of squares that is averaged, larger ones are cut; so the sums of ``HELD`` positions fit 64 bits
+HELD = 1 << 27
+HALF = 24  # bits of a sum's lower part
 
 
 def shapes(m: int) -> tuple:
@@ -66,10 +66,9 @@ def class_of(m: int) -> np.ndarray:
     return np.concatenate([np.arange(CLASSES + 1), OWN + np.arange(SHARED * m) % SHARED])
 
 
-def members(n: np.ndarray) -> int:
-    """Words of their own in a shared class: they grow with the corpus, and each occurs 20 times at least."""
-    tokens = int(n.sum())
-    return 0 if tokens < 5 * PER_MEMBER else min(MEMBERS, tokens // PER_MEMBER, max(0, int((n >= 20).sum()) - OWN) // SHARED)
+def members(n: np.ndarray, rate: float = MEMBERS) -> int:
+    """Words of their own in a shared class: ``rate`` times the root of the corpus's tokens, at any size, as far as there are words that occur 20 times."""
+    return min(int(rate * np.sqrt(n.sum())), max(0, int((n >= 20).sum()) - OWN) // SHARED)
 
 
 def _words(text: bytes | None) -> np.ndarray:
@@ -248,29 +247,36 @@ def shards(docs: DataFrame, kind: np.ndarray, id_col: str, text_col: str, tokens
     """(units, shard, slot): each document's units as 16-bit numbers, dealt to shards of about ``shard`` tokens, a partition each where Spark
     lets it; a partition may as well hold several whole shards or none.
 
-    A hash of id and text says where a document goes and in which order a shard visits it, however the input is partitioned. Of
-    rows that agree in both, each further one in an input partition goes by a hash of its own, so they make no large shard.
+    A hash of id and text says where a document goes and in which order a shard visits it, however the input is partitioned. Rows
+    that agree in both are one: the first of a partition is sent, and where they meet in their shard the first is kept.
     """
     place = docs.sparkSession.sparkContext.broadcast(kind)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: Counter = Counter()
+        met: set[int] = set()
         for part, texts in byte_rows(batches):
             deal = part.column(0).to_pylist()
-            for i, d in enumerate(deal):
-                if met[d]:
-                    deal[i] = xxhash.xxh64_intdigest(b"%d,%d" % (d, met[d])) - (1 << 63)
-                met[d] += 1
-            yield pa.record_batch([pa.array([place.value[_words(t)].astype("<i2").tobytes() for t in texts], pa.binary()), pa.array(deal, pa.int64())], names=["units", "deal"])
+            new = [i for i, d in enumerate(deal) if d not in met and not met.add(d)]
+            yield pa.record_batch([pa.array([place.value[_words(texts[i])].astype("<i2").tobytes() for i in new], pa.binary()), pa.array([deal[i] for i in new], pa.int64())], names=["units", "deal"])
 
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"), F.col(text_col).cast("binary").alias("text"))
     n = max(1, -(-tokens // shard))
     rows = rows.mapInArrow(encode, "units binary, deal long").where("length(units) > 0")
     rows = checkpointed(rows.select("units", "deal", F.pmod("deal", F.lit(n)).alias("shard")))
-    dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "deal")
+    dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "deal").mapInArrow(once, "units binary, deal long, shard long")
     return checkpointed(dealt.select("units", "shard", F.pmod(F.shiftright("deal", 33), F.lit(ROUNDS)).alias("slot")))
 
 
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each deal, of rows that are sorted by it."""
+    last = None
+    for batch in batches:
+        deal = batch.column(1).to_numpy()
+        first = np.concatenate((deal[:1] != last, deal[1:] != deal[:-1])) if len(deal) else np.empty(0, bool)
+        last = deal[-1] if len(deal) else last
+        yield batch.filter(pa.array(first))
+
+
 def of_shards(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[int, list[np.ndarray], bool]]:
     """(shard, units of up to ``rows`` documents, whether the shard ends) of sorted (units, shard) rows, whatever batches they come in."""
     held: list[np.ndarray] = []
@@ -286,23 +292,22 @@ def of_shards(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tu
         yield now, held, True
 
 
-def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int | None = None, id_col: str = "doc_id") -> np.ndarray:
+def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int = PASSES, id_col: str = "doc_id") -> np.ndarray:
     """The weights after ``passes`` over all documents, averaged over the shards after each round. ``n``: the buckets' counts.
 
-    ``start`` goes through ``from_frequencies`` first. The weights that shards send are multiples of ``GRAIN``, so that their sums are
-    exact and the same in whatever order Spark adds them.
+    ``start`` goes through ``from_frequencies`` first. What shards add up are multiples of ``GRAIN`` times numbers of positions, as whole numbers, so that their sums are
+    exact and the same in whatever order they are added.
     """
     n = tally(corpus_counts(docs, text_col)) if n is None else n
     tokens = int(n.sum())
     if not tokens:
         return start
     start = from_frequencies(start, kind, n)
-    passes = passes or min(4, max(1, -(-ENOUGH // tokens)))
     dealt, cut = shards(docs, kind, id_col, text_col, tokens, shard), -(-len(start) // BLOCK) * BLOCK
     flat, squares = start, None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _Net(*shared.value)
+        net, total, seen = _Net(*shared.value), np.zeros(2 * cut, np.int64), 0
         for _, units, ends in of_shards(batches):
             classes, at = _joined(units)
             at = np.random.default_rng(len(at)).permutation(at)
@@ -310,23 +315,44 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
                 net.learn(classes, at[i : i + BATCH])
             if not ends:
                 continue
-            blocks = np.zeros((2, cut), np.float32)
-            blocks[0, : len(start)], blocks[1, : len(start)] = net.flat, net.squares
-            blocks = (np.rint(blocks / np.float32(GRAIN)) * np.float32(GRAIN)).reshape(-1, BLOCK)
-            cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), float(net.seen)))]
-            yield pa.record_batch(cols + [pa.array(blocks[:, i]) for i in range(BLOCK)], names=["block", "n", *(f"v{i}" for i in range(BLOCK))])
+            for k, own in enumerate((net.flat, net.squares)):
+                total[k * cut : k * cut + len(start)] += np.rint(np.clip(own.astype(np.float64), -LARGEST, LARGEST) / GRAIN).astype(np.int64) * net.seen
+            seen += net.seen
+            if seen >= HELD:
+                yield summed(total, seen)
+                total[:], seen = 0, 0
             net = _Net(*shared.value)
-
-    schema = "block int, n double, " + ", ".join(f"v{i} float" for i in range(BLOCK))
+        if seen:
+            yield summed(total, seen)
+
+    def summed(total: np.ndarray, seen: int) -> pa.RecordBatch:
+        blocks = total.reshape(-1, BLOCK)
+        cols = [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), seen))]
+        return pa.record_batch(cols + [pa.array(blocks[:, i].copy()) for i in range(BLOCK)], names=["block", "n", *names])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Means of the blocks of a partition: sums in two parts, each exact."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            every = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            parts = np.concatenate((every[:, :1], every[:, 1:] >> HALF, every[:, 1:] & ((1 << HALF) - 1)), axis=1)
+            for block, own in zip(batch.column(0).to_pylist(), parts, strict=True):
+                held[block] = held[block] + own if block in held else own
+        if held:
+            own = np.array(list(held.values()))
+            mean = (own[:, 1 : BLOCK + 1] * 2.0**HALF + own[:, BLOCK + 1 :]) * GRAIN / own[:, :1]
+            yield pa.record_batch([pa.array(list(held), pa.int32()), *(pa.array(mean[:, i].copy()) for i in range(BLOCK))], names=["block", *names])
+
+    names = [f"v{i}" for i in range(BLOCK)]
+    sent, means = "block int, n long, " + ", ".join(f"{v} long" for v in names), "block int, " + ", ".join(f"{v} double" for v in names)
+    tasks = max(8, TASKS * docs.sparkSession.sparkContext.defaultParallelism)
     for turn in range(passes * ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((flat, squares))
-        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units", "shard").mapInArrow(fit, schema)
-        # A task has one row a block, so nothing could be added before the shuffle; the rows are sent as they are, in single precision.
-        sums = (F.sum(F.col(f"v{i}").cast("double") * F.col("n")).alias(f"v{i}") for i in range(BLOCK))
-        rows = parts.repartition(MERGERS, "block").groupBy("block").agg(F.sum("n").alias("n"), *sums).toArrow().sort_by("block")
+        parts = dealt.where(F.col("slot") == turn % ROUNDS).select("units", "shard").coalesce(tasks).mapInArrow(fit, sent)
+        rows = parts.repartition(tasks, "block").mapInArrow(merge, means).toArrow().sort_by("block")
         shared.unpersist()
         if rows.num_rows:
-            mean = np.stack([rows.column(f"v{i}").to_numpy() for i in range(BLOCK)], axis=1) / rows.column("n").to_numpy()[:, None]
+            mean = np.stack([rows.column(v).to_numpy() for v in names], axis=1)
             flat, squares = (part[: len(start)].astype(np.float32) for part in mean.reshape(2, cut))
     return np.round(flat, 5)
 
