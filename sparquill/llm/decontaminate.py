@@ -46,7 +46,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Block:
     """Windows of some benchmark items: term numbers, rows of them, lengths, and the items of each window."""
 
-    def __init__(self, windows: dict[tuple, set[str]]) -> None:
+    def __init__(self, windows: dict[tuple, set[str | None]]) -> None:
         self.terms: dict[bytes, int] = {}
         keys = sorted(windows)
         self.rows = np.full((len(keys), WINDOW), -1, np.int32)
@@ -54,15 +54,15 @@ class Block:
             self.rows[i, : len(key)] = [self.terms.setdefault(w, len(self.terms)) for w in key]
         self.hashes = np.array([digest(w) for w in self.terms], np.uint64)
         self.lengths = np.array([len(k) for k in keys], np.int32)
-        names = sorted(set().union(*windows.values()))
+        names = sorted(set().union(*windows.values()) - {None})
         number = {x: i for i, x in enumerate(names)}
         self.names = np.array(names, object)
-        self.items = [np.array(sorted(number[x] for x in windows[k]), np.int32) for k in keys]
+        self.items = [np.array(sorted(number[x] for x in windows[k] if x is not None), np.int32) for k in keys]
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = WINDOWS) -> Iterator[Block]:
-    windows: dict[tuple, set[str]] = {}
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    windows: dict[tuple, set[str | None]] = {}
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     for r in rows.toLocalIterator():
         words = words_of(bytes(r.text))
         for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
@@ -213,8 +213,8 @@ def search(index: DataFrame, block: Block, id_col: str, slop: int = SLOP) -> Dat
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP, most: int = WINDOWS, *, key: tuple[str, ...] = ()) -> DataFrame:
     """``search`` of all blocks of the benchmark; one row for each row of ``docs``, with n_hit, the words in its spans. ``key``: columns to carry.
 
-    Null and empty texts have no words; long ones are searched whole, in a segment of their own if need be. Benchmark rows without an
-    id or a text give no windows; an empty benchmark matches nothing, and no documents give no rows. Repeated rows of either table
+    Null and empty texts have no words; long ones are searched whole, in a segment of their own if need be. Benchmark rows without a
+    text give no windows, those without an id give windows that are hit and name no item; an empty benchmark matches nothing, and no documents give no rows. Repeated rows of either table
     are kept as they are; a window that several items have is each one's, in whatever order. Other columns are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -224,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for block in blocks(benchmark, most=most):
         own = search(index, block, "row", slop)
         several = found is not None
-        found = own if found is None else found.unionByName(own.where("size(near_items) > 0"))
+        found = own if found is None else found.unionByName(own.where("size(near_items) > 0 OR size(spans) > 0"))
     if found is None:
         found = search(index, Block({}), "row", slop)
     if several:
