@@ -83,6 +83,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_order(df: DataFrame, group: str, order: list[str], path: str) -> DataFrame:
     """``df`` with pos, each row's place (from 0) in its group by ``order`` (nulls first), and size, the group's rows; kept in the folder ``path``.
 

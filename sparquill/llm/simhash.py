@@ -12,6 +12,7 @@ minimum or a join that Spark may split, with a checkpoint a round.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_rows, checkpointed, fresh, row_key, slices
+from .common import LOWER, byte_rows, checkpointed, delete, fresh, row_key, shared_folder, slices, stored
 
 SEED = 42
 SHINGLE = 3
@@ -28,8 +29,11 @@ STAGE_SHINGLE = 5  # words of a shingle in the pipeline's stage
 SIMILARITY = 0.8  # of two texts' shingles there, at least
 SAMPLE = 3  # shingles of a sample
 TABLES = 10  # samples; a pair of similarity 0.8 agrees in one with probability 1 - (1 - 0.8^3)^10 = 0.999
-#: Odd multipliers that give each sample its order.
-MIXERS = np.random.default_rng(4).integers(0, 1 << 63, TABLES + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = 64  # bytes of a text's sketch
+LEEWAY = 0.18  # what a sketch may fall short of the similarity: over three standard errors
+SMALL = 128  # nodes of a bucket that is compared at once
+#: Odd multipliers that give each sample and each byte of a sketch its order.
+MIXERS = np.random.default_rng(4).integers(0, 1 << 63, TABLES + 1 + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -86,18 +90,22 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches. ``links``: (u, v) with u > v. Rounds, of which there are
-    some twice the logarithm of the longest path, go on until nothing moves."""
-    edges = checkpointed(links)
+    some twice the logarithm of the longest path, go on until nothing moves; a round's tables are deleted when the next one's are written."""
+    spark = links.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    edges, turn = stored(links, f"{folder}/0/new"), 0
     while True:
+        turn += 1
         # Large star: the larger end of a link moves to the least neighbour of the smaller end. A node may be the
         # smaller end of very many links; the other side of that join is a table of its own, so Spark can split it.
-        least = checkpointed(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")))
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
         large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: smaller neighbours, and the node itself, move to the least of them.
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = stored(large, f"{folder}/{turn}/large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/{turn}/least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = checkpointed(small.union(least.select("u", "m")).distinct())
+        new = stored(small.union(least.select("u", "m")).distinct(), f"{folder}/{turn}/new")
+        delete(spark, f"{folder}/{turn - 1}", f"{folder}/{turn}/large", f"{folder}/{turn}/least")
         # a forest of stars: no node that has a root is a root
         if not new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() and not (
             new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
@@ -144,34 +152,110 @@ def sample_fingerprints(hashes: np.ndarray, tables: int = TABLES, sample: int =
     return out
 
 
-def sample_links(nodes: DataFrame) -> DataFrame:
-    """(u, v), u > v: candidates, each node with the smallest that it shares a sample's fingerprint with. ``nodes``: (node, samples)."""
-    values = nodes.select("node", F.posexplode("samples").alias("t", "value")).select("node", F.xxhash64("t", "value").alias("value"))
-    least = values.groupBy("value").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v")
-    return values.join(least, "value").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+def min_hashes(hashes: np.ndarray, n: int = SKETCH) -> bytes:
+    """One byte of each of ``n`` min-hashes of a text's distinct shingles: two texts agree in a share of them that is their similarity, about."""
+    own = np.unique(hashes)
+    if not len(own):
+        return bytes(n)
+    out = np.empty(n, np.uint64)
+    for i in range(n):
+        order = own * MIXERS[TABLES + 1 + i]
+        out[i] = (order ^ (order >> np.uint64(32))).min()
+    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def sample_links(buckets: DataFrame) -> DataFrame:
+    """(u, v), u > v: each node with the smallest of every bucket that it is in. ``buckets``: (key, node)."""
+    least = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    return buckets.select("key", "node").join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def similar_links(links: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``links`` whose texts' sets of shingles are that similar, counted exactly. ``shingled``: (node, shingles)."""
+def measured(links: DataFrame, shingled: DataFrame) -> DataFrame:
+    """The ``links`` (u, v) with the similarity of their texts' sets of shingles, counted exactly. ``shingled``: (node, shingles)."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            keep = []
+            found = []
             for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 both = len(np.intersect1d(x := np.frombuffer(a, np.uint64), y := np.frombuffer(b, np.uint64), assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.record_batch(part.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                found.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+            yield pa.record_batch([*part.columns[:2], pa.array(found, pa.float64())], names=["u", "v", "j"])
 
     side = lambda k: shingled.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
-    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(check, "u long, v long")
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(count, "u long, v long, j double")
+
+
+def likely_links(buckets: DataFrame, least: float) -> DataFrame:
+    """(u, v), u > v: the pairs of small buckets (key, node, root, sketch) that are in different components and whose sketches agree in a share of ``least``."""
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for members in part.column(0).to_pylist():
+                node, root = (np.array([m[c] for m in members], np.int64) for c in ("node", "root"))
+                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
+                for i in range(1, len(members)):
+                    fits = (root[:i] != root[i]) & ((sketch[:i] == sketch[i]).mean(axis=1) >= least)
+                    u.append(np.maximum(node[:i][fits], node[i]))
+                    v.append(np.minimum(node[:i][fits], node[i]))
+            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    gathered = buckets.groupBy("key").agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members")).select("members")
+    return gathered.mapInArrow(pairs, "u long, v long").distinct()
+
+
+def bucket_links(nodes: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """(node, root): the components of all pairs of that similarity that share a bucket. ``nodes``: (node, samples, sketch); a bucket has the nodes
+    that agree in one of their samples.
+
+    At first every node is held against the smallest of its buckets, which joins most copies. What is left are buckets with several components. In those of up to
+    ``small`` nodes every pair of different components whose sketches allow it is counted. A larger one takes a pivot, a node that no earlier
+    pivot of the bucket joined: all its nodes are measured against it, and with distance 1 - similarity, a metric, and reach r = 1 - ``similarity``, a pair within r has either both
+    nodes beyond r of the pivot, or one within r and the other within 2r. So the nodes within 2r make a bucket without the pivot, and those beyond r make buckets by
+    each sample that was not used yet. Both are smaller, and they are taken up in the same way, until no bucket has several components.
+    """
+    spark = nodes.sparkSession
+    reach = 1 - similarity + 1e-9
+    folder = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
+    spread = nodes.select("node", "samples", "sketch", F.posexplode("samples").alias("t", "value"))
+    buckets = spread.select(F.xxhash64("t", "value").alias("key"), "node", "sketch", "samples", F.array("t").alias("used"), F.lit(False).alias("joined"))
+    links = stored(measured(stored(sample_links(buckets), f"{folder}/star"), shingled).where(F.col("j") >= 1 - reach).select("u", "v"), f"{folder}/0")
+    turn = 0
+    while True:
+        roots = components(links)
+        of = roots.select(F.col("node").alias("of"), "root")
+        placed = buckets.join(of, F.col("node") == F.col("of"), "left").select(*buckets.columns, F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
+        turn += 1
+        live = stored(placed.join(mixed, "key"), f"{folder}/live-{turn}")
+        n_small, n_large = live.agg(F.count_if(F.col("n") <= small), F.count_if(F.col("n") > small)).first()
+        if not n_small and not n_large:
+            break
+        large = live.where(F.col("n") > small)
+        found = measured(stored(likely_links(live.where(F.col("n") <= small), similarity - LEEWAY), f"{folder}/likely-{turn}"), shingled).where(F.col("j") >= 1 - reach).select("u", "v")
+        if n_large:
+            pivots = large.groupBy("key").agg(F.min(F.struct("joined", F.xxhash64("key", "node").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+            rest = large.join(pivots, "key").where("node <> pivot")
+            both = rest.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+            known = stored(measured(both, shingled), f"{folder}/pivots-{turn}")
+            far = stored(rest.withColumns({"u": F.greatest("node", "pivot"), "v": F.least("node", "pivot")}).join(known, ["u", "v"]).withColumn("d", 1 - F.col("j")), f"{folder}/far-{turn}")
+            found = found.union(known.where(F.col("j") >= 1 - reach).select("u", "v"))
+            near = far.where(F.col("d") <= 2 * reach).select(F.xxhash64("key", F.lit("near")).alias("key"), "node", "sketch", "samples", "used", (F.col("d") <= reach).alias("joined"))
+            apart = far.where(F.col("d") > reach).select("key", "node", "sketch", "samples", "used", F.posexplode("samples").alias("t", "value")).where(~F.array_contains("used", F.col("t")))
+            buckets = near.unionByName(apart.select(F.xxhash64("key", "t", "value").alias("key"), "node", "sketch", "samples", F.array_append("used", F.col("t")).alias("used"), F.lit(False).alias("joined")))
+        links = stored(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found), f"{folder}/{turn}")
+        if not n_large:
+            roots = components(links)
+            break
+    return roots
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """``docs`` with one row of each group of texts of which each is similar to another: that of the smallest id, null ids last.
 
     Texts are similar if their sets of word shingles are, A-Z lower-cased, by Jaccard's measure. Two bits of one fingerprint reach only a few such
     pairs (at a similarity of 0.8 a tenth of the bits differ), so candidates share one of ``TABLES`` fingerprints, each the SimHash of a
-    sample of the shingles; every text is linked to the smallest that it meets, and the shingles decide. Texts without words are one
+    sample of the shingles; ``bucket_links`` takes up all pairs that meet, and the shingles decide. Texts without words are one
     group, texts of fewer words than a shingle have one shingle. Long texts are compared whole, equal texts are one text throughout, so copies make
     no large group. Rows are told by a hash of id and text, so it does not matter in which order a second read gives
     them; of rows that agree in both any one stays. An empty table stays empty. All columns are kept, also such as are named like one of
@@ -185,21 +269,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_rows(batches):
             node = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").translate(LOWER).split())) - (1 << 63) for t in texts]
-            samples = [sample_fingerprints(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-            yield pa.record_batch([*part.columns[:3], pa.array(node, pa.int64()), pa.array(samples, pa.list_(pa.int64()))], names=["k1", "k2", "id", "node", "samples"])
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            samples, sketches = [sample_fingerprints(h).view(np.int64) for h in hashes], [min_hashes(h) for h in hashes]
+            yield pa.record_batch([*part.columns[:3], pa.array(node, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["k1", "k2", "id", "node", "samples", "sketch"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_rows(batches):
             yield pa.record_batch([part.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts], pa.binary())], names=["node", "shingles"])
 
-    rows = checkpointed(plain.mapInArrow(sketch, f"k1 long, k2 long, id {kind}, node long, samples array<long>"))
+    rows = checkpointed(plain.mapInArrow(sketch, f"k1 long, k2 long, id {kind}, node long, samples array<long>, sketch binary"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
-    nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("samples").alias("samples")))
-    links = checkpointed(sample_links(nodes.select("node", "samples")))
-    met = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("samples").alias("samples"), F.min("sketch").alias("sketch")))
+    spread = nodes.select("node", F.posexplode("samples").alias("t", "value"))
+    met = spread.join(spread.groupBy("t", "value").agg(F.count("*").alias("n")).where("n > 1"), ["t", "value"]).select("node").distinct()
     wanted = nodes.join(met, "node", "left_semi").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     shingled = plain.join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles binary")
-    roots = components(similar_links(links, checkpointed(shingled), similarity))
+    roots = bucket_links(nodes.select("node", "samples", "sketch"), checkpointed(shingled), similarity, small)
     owned = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select(F.coalesce("root", "own").alias("root"), "first")
     chosen = owned.groupBy("root").agg(F.min("first").alias("best")).select("best.k1", "best.k2")
     chosen = checkpointed(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).join(chosen, ["k1", "k2"]))
