@@ -36,7 +36,7 @@ OWN = 88  # classes of a single bucket
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
 SHARED = CLASSES - OWN
-MEMBERS = 0.01  # words of their own in a shared class, for each root of a token
+MEMBERS = 0.055  # words of their own in a shared class, times the corpus's tokens to the power 0.4
 BLOCK = 128
 BATCH = 4096  # positions of a step
 SCORED = 16384  # positions scored at once
@@ -67,8 +67,8 @@ def class_of(m: int) -> np.ndarray:
 
 
 def members(n: np.ndarray, rate: float = MEMBERS) -> int:
-    """Words of their own in a shared class: ``rate`` times the root of the corpus's tokens, at any size, as far as there are words that occur 20 times."""
-    return min(int(rate * np.sqrt(n.sum())), max(0, int((n >= 20).sum()) - OWN) // SHARED)
+    """Words of their own in a shared class: ``rate`` times the corpus's tokens to the power 0.4, at any size, as far as there are words that occur 20 times."""
+    return min(int(rate * n.sum() ** 0.4), max(0, int((n >= 20).sum()) - OWN) // SHARED)
 
 
 def _words(text: bytes | None) -> np.ndarray:
@@ -380,8 +380,8 @@ def score(docs: DataFrame, weights: np.ndarray, kind: np.ndarray, inside: np.nda
     return kept.mapInArrow(give, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, pll double, pll_mean double")
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on ``docs`` and score each of them.
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
+    """Train on ``docs`` in ``passes`` over them and score each of them; a small corpus is learnt better in several.
 
     A null or empty text, or one without words, has n_tokens 0, pll 0 and a null pll_mean. Repeated rows are
     scored each; equal texts get equal scores, but for the last digit, which
@@ -389,5 +389,5 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     n = tally(corpus_counts(docs, text_col))
     kind, inside = vocabulary(n)
-    weights = train(docs, kind, initial_weights(), text_col, n, id_col=id_col)
+    weights = train(docs, kind, initial_weights(), text_col, n, passes=passes, id_col=id_col)
     return score(docs, weights, kind, inside, id_col, text_col)

@@ -500,7 +500,7 @@ def test_lm_score(spark, docs, empty):
 def test_lm_score_learns(spark):
     lines = ["the cat sat on the mat and the dog lay on the rug"] * 4000
     docs = spark.createDataFrame(list(enumerate([*lines, "mat rug the the on on sat lay dog cat and the"])), "doc_id long, text string")
-    got = {r.doc_id: r.pll_mean for r in lm_score.lm_score(docs).collect()}
+    got = {r.doc_id: r.pll_mean for r in lm_score.lm_score(docs, passes=4).collect()}
     assert got[0] > got[4000] + 0.5
 
 
@@ -518,7 +518,7 @@ def test_lm_score_beats_the_unigram_on_held_out_documents(spark):
     classes, at, _ = lm_score._stream(held, kind)
     unigram = np.log(share / share.sum())[classes[at]].mean()
     for shard in (1 << 21, 1 << 14):  # one shard and some twenty
-        net = lm_score._Net(lm_score.train(seen, kind, lm_score.initial_weights(), shard=shard))
+        net = lm_score._Net(lm_score.train(seen, kind, lm_score.initial_weights(), shard=shard, passes=4))
         got = np.concatenate([net.log_probs(classes, at[i : i + 4096]) for i in range(0, len(at), 4096)]).mean()
         assert got > unigram + 0.02, shard
 
@@ -580,7 +580,7 @@ def test_lm_score_tells_rare_words_of_a_class_by_their_neighbours(spark):
     # mid0 or mid1 tells which half the word on its left is from: the swapped texts have the same words in the wrong halves
     swapped = [t.replace("mid0", "midx").replace("mid1", "mid0").replace("midx", "mid1") for t in texts[:200]]
     docs = spark.createDataFrame(list(enumerate(texts + swapped)), "doc_id long, text string")
-    got = {r.doc_id: r.pll_mean for r in lm_score.lm_score(docs).collect()}
+    got = {r.doc_id: r.pll_mean for r in lm_score.lm_score(docs, passes=4).collect()}
     assert sum(got[i] > got[2500 + i] + 0.1 for i in range(200)) > 190
 
 
