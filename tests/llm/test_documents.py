@@ -142,7 +142,7 @@ def test_similar_texts_are_found(spark):
     assert sum(3 * i + 1 not in kept for i in range(200)) >= 198 and all(3 * i + 2 in kept for i in range(200))
 
 
-@pytest.mark.parametrize("most", [8, 128])
+@pytest.mark.parametrize("most", [30, 128])
 def test_crowded_buckets_lose_no_link(spark, most):
     """Families whose members share long passages, so buckets hold many texts of which only some are similar; small buckets and large ones."""
     import random
