@@ -224,3 +224,11 @@ def test_record_source_as_csv(spark, tmp_path):
     back = spark.read.format("records").option("path", path).option("empty", "-1").load()
     assert back.columns == ["Id", "patch_01", "patch_02"]
     assert sorted(map(tuple, back.collect())) == [("s,2", "x\"y", None), ("s1", None, "(1,2,0)")]
+
+
+def test_lines_are_read_in_one_pass_each_way(spark):
+    """A frame that ends with its partition is computed anew for every row: the square of a range's rows."""
+    rows = spark.range(1000).selectExpr("'a' AS kind", "id", "cast(id AS double) AS v")
+    line = analysis.interpolated(rows.select("kind", "id"), rows.where("id % 41 = 7").select("kind", "id", F.col("v").alias("y")), ["kind"], "id", "y")
+    assert "unboundedfollowing" not in line._jdf.queryExecution().toString().lower()
+    assert {r.id: r.interpolated for r in line.collect()} == {i: pytest.approx(min(max(float(i), 7.0), 991.0)) for i in range(1000)}
