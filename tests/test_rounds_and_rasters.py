@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import grids
-from sparquill.operators import analysis, geometry, raster, rounds
+from sparquill.operators import analysis, geometry, raster, rounds, slopes
 from sparquill.operators.nearest import nearest_rows
 from sparquill.sources import records
 
@@ -232,3 +232,25 @@ def test_lines_are_read_in_one_pass_each_way(spark):
     line = analysis.interpolated(rows.select("kind", "id"), rows.where("id % 41 = 7").select("kind", "id", F.col("v").alias("y")), ["kind"], "id", "y")
     assert "unboundedfollowing" not in line._jdf.queryExecution().toString().lower()
     assert {r.id: r.interpolated for r in line.collect()} == {i: pytest.approx(min(max(float(i), 7.0), 991.0)) for i in range(1000)}
+
+
+@pytest.mark.parametrize("held", [7, 2048])
+def test_theil_sen_equals_all_pairs(spark, monkeypatch, held):
+    """Groups of an even and an odd number of pairs, equal slopes, equal x, nulls; one without pairs and one of under six rows."""
+    monkeypatch.setattr(slopes, "HELD", held)
+    monkeypatch.setattr(slopes, "SLICE", 3)
+    rng = random.Random(12)
+    rows = [("odd", i, rng.random(), rng.random()) for i in range(43)] + [("even", i, float(rng.randrange(6)), float(rng.randrange(-9, 9))) for i in range(40)]
+    rows += [("upright", i, 1.0, float(i)) for i in range(8)] + [("few", i, float(i), 0.0) for i in range(5)] + [("odd", 99, None, 1.0)]
+    got = {r.g: r for r in slopes.theil_sen(spark.createDataFrame(rows, "g string, id int, x double, y double"), ["g"]).collect()}
+    assert set(got) == {"odd", "even"}
+    for g, r in got.items():
+        own = [(x, y) for k, _, x, y in rows if k == g and x is not None]
+        slope = np.median([(d - b) / (c - a) for (a, b), (c, d) in itertools.combinations(own, 2) if a != c])
+        assert r.slope == pytest.approx(slope, abs=1e-12) and r.intercept == pytest.approx(np.median([y - slope * x for x, y in own])) and r.n == sum(k == g for k, *_ in rows)
+
+
+def test_theil_sen_gathers_no_slopes(spark):
+    """No aggregate over the pairs keeps their values: what is counted are digits."""
+    rows = spark.range(60).selectExpr("1 AS g", "id", "cast(id AS double) AS x", "cast(id * id % 37 AS double) AS y")
+    assert "median" not in slopes.theil_sen(rows, ["g"])._jdf.queryExecution().toString().lower()
