@@ -398,3 +398,35 @@ def test_exhaustive_fit():
     best = patterns_of.exhaustive_fit(nodes, points)
     assert best["support"] == 5 and sorted(best["pairs"]) == [(i, i) for i in range(5)]
     assert patterns_of.exhaustive_fit(nodes, rng.uniform(0, 3000, (3, 2))) is None
+
+
+def test_pairs_near_by_are_matched_as_all_pairs_are():
+    """Matching over the pairs that cells bring equals matching over the whole table of distances, ties and several points of a group included, and looks at no more than what lies near."""
+    rng = np.random.default_rng(21)
+    points = np.round(rng.random((4000, 2)) * 1200)
+    scene = patterns_of.Scene(points, np.sort(rng.integers(0, 1500, 4000)), np.ones(4000), np.zeros(4000, int), points[:5])
+    where = np.concatenate([np.round(rng.random((30, 9, 2)) * 1300 - 50), np.full((1, 9, 2), 1e9)])
+    for far in (24.0, 18.0):
+        row, point, square = scene.near(where.reshape(-1, 2), far, 24.0)
+        d = ((where[:, :, None] - scene.points) ** 2).sum(axis=3)
+        assert len(row) == (d < far * far).sum() and np.array_equal(square, d.reshape(-1, 4000)[row, point])
+        want = patterns_of.one_to_one(d.copy(), scene.starts, far * far)
+        got = np.full(where.shape[:2], -1)
+        place, own = patterns_of.matched_once(row, point, square, 9, scene.number)
+        got.ravel()[place] = scene.number[own]
+        assert np.array_equal(got, want) and (want >= 0).sum() > 100
+        assert np.array_equal(d.reshape(-1, 4000)[place, own], np.where(scene.number == got.ravel()[place][:, None], d.reshape(-1, 4000)[place], np.inf).min(axis=1))
+
+
+@pytest.mark.parametrize("dims", [2, 4])
+def test_the_first_shapes_of_all(dims):
+    rng = np.random.default_rng(22)
+    rows, wanted = np.round(rng.random((3000, dims)), 2), np.round(rng.random((90, dims)) * 1.2 - 0.1, 2)
+    table = patterns_of.Table(rows)
+    d = np.sqrt(((wanted[:, None] - rows) ** 2).sum(axis=2))
+    best = np.argsort(d, axis=1, kind="stable")[:, :5]
+    which, row = np.repeat(np.arange(90), 5), best.ravel()
+    order = np.lexsort((row, which, d[which, row]))
+    for most in (None, 1, 7, 300):
+        got = patterns_of.nearest_rows(wanted, table, 5, most)
+        assert np.array_equal(got[0], which[order][:most]) and np.array_equal(got[1], row[order][:most]) and np.array_equal(got[2], d[which, row][order][:most])
