@@ -105,7 +105,7 @@ def raw_score(model: dict, rows: np.ndarray, cols: np.ndarray, values: np.ndarra
 def fit(texts_features: list[tuple], labels: np.ndarray) -> dict:
     """Fit by AdaGrad on the logistic loss. ``texts_features``: (columns, values) of each row."""
     rng = np.random.default_rng(8)
-    stats = np.array([v[-STATS:] for _, v in texts_features]) if texts_features else np.zeros((1, STATS))
+    stats = np.array([v[-STATS:] for _, v in texts_features], np.float64) if texts_features else np.zeros((1, STATS))
     model = {"b": 0.0, "w": np.zeros(SIZE), "v": rng.standard_normal((SIZE, RANK)) * 0.02, "mean": stats.mean(axis=0), "spread": stats.std(axis=0) + 1e-3}
     squares = {"b": 1e-8, "w": np.full(SIZE, 1e-8), "v": np.full((SIZE, RANK), 1e-8)}
     if not len(labels):
@@ -115,8 +115,8 @@ def fit(texts_features: list[tuple], labels: np.ndarray) -> dict:
         for i in range(0, len(order), 128):
             own = order[i : i + 128]
             rows = np.repeat(np.arange(len(own)), [len(texts_features[k][0]) for k in own])
-            cols = np.concatenate([texts_features[k][0] for k in own])
-            x = standard(cols, np.concatenate([texts_features[k][1] for k in own]), model["mean"], model["spread"])
+            cols = np.concatenate([texts_features[k][0] for k in own]).astype(np.int64)
+            x = standard(cols, np.concatenate([texts_features[k][1] for k in own]).astype(np.float64), model["mean"], model["spread"])
             v = model["v"][cols]
             vx = v * x[:, None]
             total = np.stack([np.bincount(rows, vx[:, f], len(own)) for f in range(RANK)], axis=1)
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     single = made.groupBy("__id", "__quality").agg(F.min(F.struct("vals", "cols")).alias("one"))
     found = single.select("__id", "__quality", "one.vals", "one.cols").collect()
     found.sort(key=lambda r: str(r[0]))
-    pairs = [(np.frombuffer(r.cols, np.int32).astype(np.int64), np.frombuffer(r.vals, np.float32).astype(np.float64)) for r in found]
+    pairs = [(np.frombuffer(r.cols, np.int32), np.frombuffer(r.vals, np.float32)) for r in found]  # as they came: a batch is widened at a time
     return fit(pairs, np.array([float(r[1] > 0) for r in found]))
 
 

@@ -52,7 +52,10 @@ def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """SimHash of the word shingles of a text; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+    return simhash_of(shingle_hashes(text, shingle))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -170,6 +173,16 @@ def sample_links(buckets: DataFrame) -> DataFrame:
     return buckets.select("key", "node").join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def fingerprint_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """(u, v), u > v: links that join all nodes whose fingerprints are within ``radius`` bits: each node with the smallest of its fingerprint, and of two fingerprints that meet in a
+    ball the smallest nodes. ``nodes``: (node, fp)."""
+    least = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    own = nodes.join(least.where("n > 1").select("fp", "least"), "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}"))
+    met = ball_links(least.select("fp"), radius).join(of("u"), "u").join(of("v"), "v")
+    return own.union(met.select(F.greatest("of_u", "of_v"), F.least("of_u", "of_v")))
+
+
 def measured(links: DataFrame, shingled: DataFrame) -> DataFrame:
     """The ``links`` (u, v) with the similarity of their texts' sets of shingles, counted exactly. ``shingled``: (node, shingles)."""
 
@@ -204,11 +217,12 @@ def likely_links(buckets: DataFrame, least: float) -> DataFrame:
     return gathered.mapInArrow(pairs, "u long, v long").distinct()
 
 
-def bucket_links(nodes: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """(node, root): the components of all pairs of that similarity that share a bucket. ``nodes``: (node, samples, sketch); a bucket has the nodes
+def bucket_links(nodes: DataFrame, links: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """(node, root): the components of all pairs of that similarity that share a bucket or are linked by their fingerprints. ``nodes``: (node, samples, sketch); ``links``: those of
+    the fingerprints; a bucket has the nodes
     that agree in one of their samples.
 
-    At first every node is held against the smallest of its buckets, which joins most copies. What is left are buckets with several components. In those of up to
+    At first the links of the fingerprints' balls are counted, and every node is held against the smallest of its buckets, which joins most copies. What is left are buckets with several components. In those of up to
     ``small`` nodes every pair of different components whose sketches allow it is counted. A larger one is cut by each further sample: nodes that agree in that too make a
     bucket of their own, which is taken up in the same way, until none has several components. So no pairs of a large group are made, and a pair that shares only large
     mixed buckets must agree in as many samples as make one small: at a similarity of 0.8 in two of ten with probability 0.99, in three with 0.96.
@@ -218,7 +232,8 @@ def bucket_links(nodes: DataFrame, shingled: DataFrame, similarity: float = SIMI
     cut = lambda rows: rows.select("key", "node", "sketch", "samples", "last", F.posexplode("samples").alias("t", "value")).where("t > last").select(F.xxhash64("key", "t", "value").alias("key"), "node", "sketch", "samples", F.col("t").alias("last"))
     buckets = cut(nodes.select(F.lit(0).cast("long").alias("key"), "node", "sketch", "samples", F.lit(-1).alias("last")))
     alike = F.col("j") >= similarity - 1e-9
-    roots = components(measured(stored(sample_links(buckets), f"{folder}/star"), shingled).where(alike).select("u", "v"))
+    first = sample_links(buckets).union(links).distinct()
+    roots = components(measured(stored(first, f"{folder}/star"), shingled).where(alike).select("u", "v"))
     for turn in range(TABLES):  # a bucket cannot be cut more often than there are samples
         of = roots.select(F.col("node").alias("of"), "root")
         placed = buckets.join(of, F.col("node") == F.col("of"), "left").select(*buckets.columns, F.coalesce("root", "node").alias("root"))
@@ -241,8 +256,9 @@ def bucket_links(nodes: DataFrame, shingled: DataFrame, similarity: float = SIMI
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """``docs`` with one row of each group of texts of which each is similar to another: that of the smallest id, null ids last.
 
-    Texts are similar if their sets of word shingles are, A-Z lower-cased, by Jaccard's measure. Two bits of one fingerprint reach only a few such
-    pairs (at a similarity of 0.8 a tenth of the bits differ), so candidates share one of ``TABLES`` fingerprints, each the SimHash of a
+    Texts are similar if their sets of word shingles are, A-Z lower-cased, by Jaccard's measure. Candidates are first the texts whose SimHashes meet in a ball of radius one, as in
+    ``near_duplicates``. Two bits of one fingerprint reach only a few of the similar
+    pairs (at a similarity of 0.8 a tenth of the bits differ), so candidates are also those that share one of ``TABLES`` fingerprints more, each the SimHash of a
     sample of the shingles; ``bucket_links`` takes up all pairs that meet, and the shingles decide. Texts without words are one
     group, texts of fewer words than a shingle have one shingle. Long texts are compared whole, equal texts are one text throughout, so copies make
     no large group. Rows are told by a hash of id and text, so it does not matter in which order a second read gives
@@ -257,22 +273,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_rows(batches):
             node = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").translate(LOWER).split())) - (1 << 63) for t in texts]
-            hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            every = [shingle_hashes(t, shingle) for t in texts]
+            fps = np.array([simhash_of(h) for h in every], np.uint64).view(np.int64)
+            hashes = [np.unique(h) for h in every]
             samples, sketches = [sample_fingerprints(h).view(np.int64) for h in hashes], [min_hashes(h) for h in hashes]
-            yield pa.record_batch([*part.columns[:3], pa.array(node, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["k1", "k2", "id", "node", "samples", "sketch"])
+            yield pa.record_batch([*part.columns[:3], pa.array(node, pa.int64()), pa.array(fps), pa.array(samples, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["k1", "k2", "id", "node", "fp", "samples", "sketch"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_rows(batches):
             yield pa.record_batch([part.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts], pa.binary())], names=["node", "shingles"])
 
-    rows = checkpointed(plain.mapInArrow(sketch, f"k1 long, k2 long, id {kind}, node long, samples array<long>, sketch binary"))
+    rows = checkpointed(plain.mapInArrow(sketch, f"k1 long, k2 long, id {kind}, node long, fp long, samples array<long>, sketch binary"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
-    nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("samples").alias("samples"), F.min("sketch").alias("sketch")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.min("samples").alias("samples"), F.min("sketch").alias("sketch")))
     spread = nodes.select("node", F.posexplode("samples").alias("t", "value"))
-    met = spread.join(spread.groupBy("t", "value").agg(F.count("*").alias("n")).where("n > 1"), ["t", "value"]).select("node").distinct()
+    met = spread.join(spread.groupBy("t", "value").agg(F.count("*").alias("n")).where("n > 1"), ["t", "value"]).select("node")
+    links = checkpointed(fingerprint_links(nodes.select("node", "fp")))
+    met = met.union(links.select("u")).union(links.select("v")).distinct()
     wanted = nodes.join(met, "node", "left_semi").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     shingled = plain.join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles binary")
-    roots = bucket_links(nodes.select("node", "samples", "sketch"), checkpointed(shingled), similarity, small)
+    roots = bucket_links(nodes.select("node", "samples", "sketch"), links, checkpointed(shingled), similarity, small)
     owned = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select(F.coalesce("root", "own").alias("root"), "first")
     chosen = owned.groupBy("root").agg(F.min("first").alias("best")).select("best.k1", "best.k2")
     chosen = checkpointed(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).join(chosen, ["k1", "k2"]))

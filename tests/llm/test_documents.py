@@ -4,6 +4,7 @@ import hashlib
 import re
 from zlib import crc32
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -142,6 +143,21 @@ def test_similar_texts_are_found(spark):
     assert sum(3 * i + 1 not in kept for i in range(200)) >= 198 and all(3 * i + 2 in kept for i in range(200))
 
 
+def test_stage_links_fingerprints_by_balls(spark, monkeypatch):
+    """The stage's first candidates meet in balls of radius one: without any sample's bucket, texts whose fingerprints are within two bits are still joined."""
+    rng = np.random.default_rng(3)
+    fps = [0, 1, 3, 7 << 20, 7 << 20] + [int(x) for x in rng.integers(1 << 40, 1 << 62, 20)]
+    links = simhash.fingerprint_links(spark.createDataFrame([(10 * i, f) for i, f in enumerate(fps)], "node long, fp long")).collect()
+    assert all(r.u > r.v for r in links) and {(r.u, r.v) for r in links} >= {(40, 30)} and {r.u for r in links} | {r.v for r in links} == {0, 10, 20, 30, 40}
+    alone = iter(range(10**6))
+    monkeypatch.setattr(simhash, "sample_links", lambda buckets: buckets.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false"))
+    monkeypatch.setattr(simhash, "likely_links", lambda buckets, least: buckets.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false"))
+    text = [f"w{next(alone)}" for _ in range(4000)]
+    near = [*text[:-1], "other"]
+    kept = simhash.keep_one(spark.createDataFrame([(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(text[::-1]))], "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("most", [30, 128])
 def test_crowded_buckets_lose_no_link(spark, most):
     """Families whose members share long passages, so buckets hold many texts of which only some are similar; small buckets and large ones."""
