@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import grids
-from sparquill.operators import analysis, geometry, raster, rounds, slopes
+from sparquill.operators import analysis, geometry, raster, rounds, scoring, slopes
 from sparquill.operators.nearest import nearest_rows
 from sparquill.sources import records
 
@@ -254,3 +254,25 @@ def test_theil_sen_gathers_no_slopes(spark):
     """No aggregate over the pairs keeps their values: what is counted are digits."""
     rows = spark.range(60).selectExpr("1 AS g", "id", "cast(id AS double) AS x", "cast(id * id % 37 AS double) AS y")
     assert "median" not in slopes.theil_sen(rows, ["g"])._jdf.queryExecution().toString().lower()
+
+
+def test_points_in_one_place_are_matched_at_once(spark, monkeypatch):
+    """Crowded places on a lattice, where many distances are equal: the pairs are those of going one by one, and rounds do not follow the number of points in a place."""
+    rng = random.Random(13)
+    points = lambda first: [(s, first + 2 * i, float(rng.randrange(5) * 3), float(rng.randrange(4) * 4)) for s in (1, 2) for i in rng.sample(range(60), 40)]
+    left, right = points(0), points(1)
+    schema = "scene int, id long, x double, y double"
+    got = sorted(tuple(r) for r in geometry.assigned(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["scene"], 6.0).collect())
+    want = []
+    for s in (1, 2):
+        used: set = set()
+        for d, i, j in sorted((float(np.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2)), a[1], b[1]) for a in left for b in right if a[0] == b[0] == s):
+            if d < 6 and not used & {i, j}:
+                used |= {i, j}
+                want.append((s, i, j, d))
+    assert got == sorted(want)
+    calls = []
+    monkeypatch.setattr(rounds, "checkpointed", lambda df, keep=rounds.checkpointed: calls.append(1) or keep(df))
+    crowd = spark.range(3000).selectExpr("1 AS scene", "id", "cast(id % 2 * 100 AS double) AS x", "0.0 AS y")
+    r = scoring.greedy_recovery(crowd, crowd.withColumn("x", F.col("x") + 5), ["scene"]).collect()
+    assert [(x.n_figure, x.recovery) for x in r] == [(3000, 1.0)] and len(calls) < 8
