@@ -430,3 +430,32 @@ def test_the_first_shapes_of_all(dims):
     for most in (None, 1, 7, 300):
         got = patterns_of.nearest_rows(wanted, table, 5, most)
         assert np.array_equal(got[0], which[order][:most]) and np.array_equal(got[1], row[order][:most]) and np.array_equal(got[2], d[which, row][order][:most])
+
+
+def test_classes_are_fitted_together():
+    """Many classes give what each gives alone, of any number of nodes, and go through the steps together: the pool is looked at a few times, not for each class."""
+    rng = np.random.default_rng(23)
+    n = 1500
+    scene = patterns_of.Scene(rng.uniform(0, 3000, (n, 2)), np.sort(rng.integers(0, 700, n)), rng.random(n), rng.integers(0, 4, n), rng.uniform(0, 3000, (12, 2)))
+    own = [rng.uniform(0, 3000, (int(k), 2)) for k in rng.choice([9, 9, 9, 2, 3, 6], 60)] + [np.zeros((9, 2)), np.column_stack([np.arange(9.0), np.zeros(9)])]
+    for budget, options in ((3, {}), (50, {"quad_share": 0.5, "checked": False, "null_mode": "pool", "tolerance": 24.0}), (0, {})):
+        o = patterns_of.Options(**options)
+        alone = [patterns_of.best_fit(nodes, scene, budget, o) for nodes in own]
+        looks, near = [], patterns_of.Scene.near
+        scene.near = lambda *a: looks.append(1) or near(scene, *a)  # noqa: B023
+        assert patterns_of.best_fits(own, scene, budget, o) == alone
+        del scene.near
+        assert len(looks) <= 3 * 2 * 4 * 2 and (not budget or any(h["support"] for h in alone))
+
+
+def test_anchors_are_made_once(spark, monkeypatch):
+    from sparquill.plans import recognition_plans
+
+    made, real = [], recognition.anchors_of
+    for module in (recognition, recognition_plans):
+        monkeypatch.setattr(module, "anchors_of", lambda cand: made.append(1) or real(cand), raising=False)
+    monkeypatch.setattr(recognition, "_fitted", lambda dealt, *a: spark.createDataFrame([], recognition.schema(dealt)))
+    for query, candidates in ((recognition_plans.c6, 1), (recognition_plans.c8, 2), (recognition_plans.c9, 1), (recognition_plans.g8, 1)):
+        made.clear()
+        query(spark, "/root/testdata/sf0.001")
+        assert len(made) == candidates
