@@ -12,6 +12,7 @@ minimum or a join that Spark may split, with a checkpoint a round.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -183,6 +184,12 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return own.union(met.select(F.greatest("of_u", "of_v"), F.least("of_u", "of_v")))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets of shingles, each without repeats; empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 def measured(links: DataFrame, shingled: DataFrame) -> DataFrame:
     """The ``links`` (u, v) with the similarity of their texts' sets of shingles, counted exactly. ``shingled``: (node, shingles)."""
 
@@ -190,31 +197,62 @@ def measured(links: DataFrame, shingled: DataFrame) -> DataFrame:
         for part in slices(batches, 256):
             found = []
             for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(x := np.frombuffer(a, np.uint64), y := np.frombuffer(b, np.uint64), assume_unique=True))
-                found.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+                found.append(jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)))
             yield pa.record_batch([*part.columns[:2], pa.array(found, pa.float64())], names=["u", "v", "j"])
 
     side = lambda k: shingled.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
     return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(count, "u long, v long, j double")
 
 
-def likely_links(buckets: DataFrame, least: float) -> DataFrame:
-    """(u, v), u > v: the pairs of small buckets (key, node, root, sketch) that are in different components and whose sketches agree in a share of ``least``."""
+def likely_members(buckets: DataFrame, least: float) -> DataFrame:
+    """(key, node): of small buckets (key, node, root, sketch) the nodes that have another of a different component there whose sketch agrees in a share of ``least``."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for members in part.column(0).to_pylist():
-                node, root = (np.array([m[c] for m in members], np.int64) for c in ("node", "root"))
-                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                for i in range(1, len(members)):
+            keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for key, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                node, root = (np.array([m[c] for m in rows], np.int64) for c in ("node", "root"))
+                sketch = np.frombuffer(b"".join(m["sketch"] for m in rows), np.uint8).reshape(len(rows), -1)
+                met = np.zeros(len(rows), bool)
+                for i in range(1, len(rows)):
                     fits = (root[:i] != root[i]) & ((sketch[:i] == sketch[i]).mean(axis=1) >= least)
-                    u.append(np.maximum(node[:i][fits], node[i]))
-                    v.append(np.minimum(node[:i][fits], node[i]))
-            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                    met[:i] |= fits
+                    met[i] |= fits.any()
+                nodes.append(node[met])
+                keys.append(np.full(len(nodes[-1]), key, np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    gathered = buckets.groupBy("key").agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members"))
+    return gathered.mapInArrow(members, "key long, node long")
+
+
+def likely_links(buckets: DataFrame, least: float) -> DataFrame:
+    """(u, v), u > v: links that join, bucket by bucket, all pairs of small buckets (key, node, root, sketch, shingles) whose similarity is ``least``. Pairs whose sketches allow it are
+    counted exactly, in order of node, but for those that are joined already, so a bucket gives a link less than it has components, at most, however many pairs it has."""
+
+    def settled(members: list[tuple]) -> Iterator[tuple[int, int]]:
+        node, root, sketches, shingles = zip(*members, strict=True)
+        of, sketch = np.unique(np.array(root, np.int64), return_inverse=True)[1], np.frombuffer(b"".join(sketches), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(b, np.uint64) for b in shingles]
+        for i in range(1, len(node)):
+            for k in np.flatnonzero((of[:i] != of[i]) & ((sketch[:i] == sketch[i]).mean(axis=1) >= least - LEEWAY)):
+                if of[k] != of[i] and jaccard(sets[k], sets[i]) >= least - 1e-9:
+                    of[of == of[k]] = of[i]
+                    yield max(node[k], node[i]), min(node[k], node[i])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # a bucket may go on in the next batch
+        for part in itertools.chain(slices(batches, 256), [None]):
+            found = []
+            for own, *row in zip(*(c.to_pylist() for c in part.columns), strict=True) if part is not None else [(None,)]:
+                if own != key or part is None:
+                    found += settled(held) if held else []
+                    key, held = own, []
+                held.append(tuple(row))
+            yield pa.record_batch([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
-    gathered = buckets.groupBy("key").agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members")).select("members")
-    return gathered.mapInArrow(pairs, "u long, v long").distinct()
+    rows = buckets.select("key", "node", "root", "sketch", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(join, "u long, v long").distinct()
 
 
 def bucket_links(nodes: DataFrame, links: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
@@ -223,7 +261,7 @@ def bucket_links(nodes: DataFrame, links: DataFrame, shingled: DataFrame, simila
     that agree in one of their samples.
 
     At first the links of the fingerprints' balls are counted, and every node is held against the smallest of its buckets, which joins most copies. What is left are buckets with several components. In those of up to
-    ``small`` nodes every pair of different components whose sketches allow it is counted. A larger one is cut by each further sample: nodes that agree in that too make a
+    ``small`` nodes every pair of different components whose sketches allow it is counted, unless others have joined it, and only the links that join leave a bucket. A larger one is cut by each further sample: nodes that agree in that too make a
     bucket of their own, which is taken up in the same way, until none has several components. So no pairs of a large group are made, and a pair that shares only large
     mixed buckets must agree in as many samples as make one small: at a similarity of 0.8 in two of ten with probability 0.99, in three with 0.96.
     """
@@ -241,8 +279,9 @@ def bucket_links(nodes: DataFrame, links: DataFrame, shingled: DataFrame, simila
         live = stored(placed.join(mixed, "key"), f"{folder}/live-{turn}")
         n_small, n_large = live.agg(F.count_if(F.col("n") <= small), F.count_if(F.col("n") > small)).first()
         if n_small:
-            likely = stored(likely_links(live.where(F.col("n") <= small), similarity - LEEWAY), f"{folder}/likely-{turn}")
-            found = stored(measured(likely, shingled).where(alike).select("u", "v"), f"{folder}/found-{turn}")
+            few = live.where(F.col("n") <= small).select("key", "node", "root", "sketch")
+            likely = stored(few.join(likely_members(few, similarity - LEEWAY), ["key", "node"]), f"{folder}/likely-{turn}")
+            found = stored(likely_links(likely.join(shingled, "node"), similarity), f"{folder}/found-{turn}")
             if not found.isEmpty():
                 roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
         if turn:

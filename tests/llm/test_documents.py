@@ -158,6 +158,27 @@ def test_stage_links_fingerprints_by_balls(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {1, 3}
 
 
+def test_a_bucket_gives_no_more_links_than_join_it(spark):
+    """Of a bucket of near copies a link less than there are components leaves, not each pair; texts below the similarity stay apart, also where a bucket goes over batches."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    rows = []
+    for bucket in range(9):
+        for k in range(60):
+            own = base.copy()
+            own[:2] = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+            if k % 20 == 19:
+                own[:100] = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+            node = 1000 * bucket + k
+            rows.append((bucket, node, node if k > 4 else 1000 * bucket, simhash.min_hashes(own), np.unique(own).tobytes()))
+    buckets = spark.createDataFrame(rows, "key long, node long, root long, sketch binary, shingles binary")
+    links = [(r.u, r.v) for r in simhash.likely_links(buckets, 0.8).collect()]
+    assert len(links) == 9 * (57 - 5) and all(u > v and u // 1000 == v // 1000 and u % 20 != 19 != v % 20 for u, v in links)
+    assert len({u for u, v in links} | {v for u, v in links}) == 9 * 57 - 9 * 4 + len({v for u, v in links if 0 < v % 1000 <= 4} | {u for u, v in links if 0 < u % 1000 <= 4})
+    met = {r.node for r in simhash.likely_members(buckets.drop("shingles"), 0.62).collect()}
+    assert met == {n for _, n, *_ in rows if n % 20 != 19}
+
+
 @pytest.mark.parametrize("most", [30, 128])
 def test_crowded_buckets_lose_no_link(spark, most):
     """Families whose members share long passages, so buckets hold many texts of which only some are similar; small buckets and large ones."""
