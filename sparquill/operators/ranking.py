@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
 from .rounds import first_kept
 from .scoring import range_pairs
 
@@ -64,7 +65,7 @@ def suppressed(cand: DataFrame, radius: float, keep: int) -> DataFrame:
 
     Conflicts are pairs within the radius, and ``first_kept`` settles them in rounds, so a query of any number of candidates is rows throughout.
     """
-    own = cand.select(*QUERY, "id", "x", "y", "score")
+    own = checkpointed(cand.select(*QUERY, "id", "x", "y", "score"))
     better = (F.col("l_score") > F.col("r_score")) | ((F.col("l_score") == F.col("r_score")) & (F.col("l_id") < F.col("r_id")))
     conflicts = range_pairs(own, own, QUERY, radius).where(better).select(*QUERY, F.col("l_id").alias("first"), F.col("r_id").alias("second"))
     kept = first_kept(own, QUERY, conflicts)
