@@ -276,3 +276,40 @@ def test_points_in_one_place_are_matched_at_once(spark, monkeypatch):
     crowd = spark.range(3000).selectExpr("1 AS scene", "id", "cast(id % 2 * 100 AS double) AS x", "0.0 AS y")
     r = scoring.greedy_recovery(crowd, crowd.withColumn("x", F.col("x") + 5), ["scene"]).collect()
     assert [(x.n_figure, x.recovery) for x in r] == [(3000, 1.0)] and len(calls) < 8
+
+
+def test_quantiles_leave_large_groups_where_they_are(spark):
+    """The bounds of a few groups are sent to the rows; these are not shuffled by their group, which would put a large one into one task."""
+    from sparquill.operators.analysis import exact_quantiles
+
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 777).cast("double").alias("v"))
+    found = exact_quantiles(rows, ["g"], "v", {"p50": 0.5})
+    assert {r.g: r.p50 for r in found.collect()} == {g: float(np.quantile([i % 777 for i in range(g, 20_000, 2)], 0.5)) for g in (0, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_nearest_vectors_hold_few_queries_at_once(spark, monkeypatch):
+    """Slices of a task's queries, and variants that a slice must keep together, change no row."""
+    from sparquill.operators import analysis
+
+    rng = np.random.default_rng(6)
+    own = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (150, 6)))], "vec_id long, embedding array<double>")
+    asked = own.where("vec_id < 40").select((F.col("vec_id") % 17).alias("query"), "embedding")
+    v = {r.vec_id: np.array(r.embedding) for r in own.collect()}
+    want = set()
+    for query in range(17):
+        score = {i: max(v[j] @ x for j in range(40) if j % 17 == query) for i, x in v.items()}
+        want |= {(query, n + 1, i) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5])}
+    for at_once in (64, 3):
+        monkeypatch.setattr(analysis, "AT_ONCE", at_once)
+        assert {(r.query, r.rank, r.id) for r in analysis.nearest_vectors(own, asked, 5).collect()} == want
+
+
+def test_the_stage_trace_suppresses_once(spark, monkeypatch):
+    from sparquill.plans import scoring_plans
+
+    calls, real = [], scoring_plans.suppressed
+    monkeypatch.setattr(scoring_plans, "suppressed", lambda *a: calls.append(a) or real(*a))
+    scoring_plans.c18(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
