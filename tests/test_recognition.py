@@ -459,3 +459,26 @@ def test_anchors_are_made_once(spark, monkeypatch):
         made.clear()
         query(spark, "/root/testdata/sf0.001")
         assert len(made) == candidates
+
+
+def test_a_crowded_pool_costs_some_points_a_place(monkeypatch):
+    """The fits equal those from all pairs within reach, ties and several points of a group included, and few of these pairs are looked at."""
+    rng = np.random.default_rng(11)
+    points = np.concatenate([np.rint(rng.normal(1500, 120, (6000, 2)) * 2) / 2, rng.uniform(0, 3000, (400, 2))])
+    scene = patterns_of.Scene(points, rng.integers(0, 2500, len(points)), rng.uniform(0, 1, len(points)), rng.integers(0, 4, len(points)), points[:12])
+    at = np.concatenate([points[::7] + rng.choice([0.0, 0.25, 30.0], (915, 1)), [[-1e6, 9e9]]])
+    between = ((at[:, None] - scene.points) ** 2).sum(axis=2)
+    for far in (18.0, 24.0):
+        assert (scene.nearest(at, far, 24.0) == np.where(between.min(axis=1) < far * far, between.argmin(axis=1), -1)).all()
+    unit = np.stack([rng.uniform(-0.5, 0.5, (9, 2)) for _ in range(40)])
+    maps = np.array([[[rng.uniform(60, 300), 20.0], [-20.0, rng.uniform(60, 300)], rng.uniform(1300, 1700, 2)] for _ in range(40)])
+    seen, near = [], patterns_of.Scene.near
+    monkeypatch.setattr(patterns_of.Scene, "near", lambda self, at, *rest: seen.append((len(at), len((got := near(self, at, *rest))[0]))) or got)
+    found = dict(patterns_of._settled_by_pattern(unit, np.arange(40), scene, maps.copy(), "affine", patterns_of.Options(refits=0)))
+    placed = patterns_of.mapped(unit, maps)
+    pairs = sum(n for _, n in seen)
+    for i in range(40):
+        d = ((placed[i][:, None] - scene.points) ** 2).sum(axis=2)[None]
+        taken = patterns_of.one_to_one(d, scene.starts, 24.0**2)[0]
+        assert [(p[0], p[1]) for p in found[i]["pairs"]] == [(k, scene.groups[scene.starts[g]]) for k, g in enumerate(taken) if g >= 0]
+    assert pairs < 12 * 40 * 9  # within reach are some forty a place
