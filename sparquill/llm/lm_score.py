@@ -77,19 +77,37 @@ def _words(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(crc32, words), np.uint32, len(words)) & np.uint32(BUCKETS - 1)
 
 
+def hashed(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, deal, words): each row's id, a hash of id and text, and the bucket of every word as 32-bit numbers. Counting, learning and scoring all read these, so texts are cut into words once."""
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in byte_rows(batches):
+            yield pa.record_batch([*part.columns[:2], pa.array([_words(t).astype("<u4").tobytes() for t in texts], pa.binary())], names=["id", "deal", "words"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(give, f"id {docs.schema[id_col].dataType.simpleString()}, deal long, words binary")
+
+
+def _buckets(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, "<u4")
+
+
 def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(bucket, n): occurrences of each word bucket in all documents."""
+    return counted(hashed(docs, text_col, text_col))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """``corpus_counts`` of ``hashed`` rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for _, texts in byte_rows(batches):
-            if own := [w for t in texts if len(w := _words(t))]:
-                total += np.bincount(np.concatenate(own), minlength=BUCKETS)
+        for _, words in byte_rows(batches):
+            total += np.bincount(_buckets(b"".join(words)), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "bucket int, n long")
-    return rows.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return rows.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def tally(counts: DataFrame) -> np.ndarray:
@@ -243,25 +261,24 @@ def _softmax_grad(logits: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return p
 
 
-def shards(docs: DataFrame, kind: np.ndarray, id_col: str, text_col: str, tokens: int, shard: int) -> DataFrame:
-    """(units, shard, slot): each document's units as 16-bit numbers, dealt to shards of about ``shard`` tokens, a partition each where Spark
+def shards(words: DataFrame, kind: np.ndarray, tokens: int, shard: int) -> DataFrame:
+    """(units, shard, slot): the units of each of the ``hashed`` documents as 16-bit numbers, dealt to shards of about ``shard`` tokens, a partition each where Spark
     lets it; a partition may as well hold several whole shards or none.
 
     A hash of id and text says where a document goes and in which order a shard visits it, however the input is partitioned. Rows
     that agree in both are one: the first of a partition is sent, and where they meet in their shard the first is kept.
     """
-    place = docs.sparkSession.sparkContext.broadcast(kind)
+    place = words.sparkSession.sparkContext.broadcast(kind)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for part, texts in byte_rows(batches):
+        for part, own in byte_rows(batches):
             deal = part.column(0).to_pylist()
             new = [i for i, d in enumerate(deal) if d not in met and not met.add(d)]
-            yield pa.record_batch([pa.array([place.value[_words(texts[i])].astype("<i2").tobytes() for i in new], pa.binary()), pa.array([deal[i] for i in new], pa.int64())], names=["units", "deal"])
+            yield pa.record_batch([pa.array([place.value[_buckets(own[i])].astype("<i2").tobytes() for i in new], pa.binary()), pa.array([deal[i] for i in new], pa.int64())], names=["units", "deal"])
 
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"), F.col(text_col).cast("binary").alias("text"))
     n = max(1, -(-tokens // shard))
-    rows = rows.mapInArrow(encode, "units binary, deal long").where("length(units) > 0")
+    rows = words.select("deal", "words").mapInArrow(encode, "units binary, deal long").where("length(units) > 0")
     rows = checkpointed(rows.select("units", "deal", F.pmod("deal", F.lit(n)).alias("shard")))
     dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "deal").mapInArrow(once, "units binary, deal long, shard long")
     return checkpointed(dealt.select("units", "shard", F.pmod(F.shiftright("deal", 33), F.lit(ROUNDS)).alias("slot")))
@@ -292,18 +309,19 @@ def of_shards(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tu
         yield now, held, True
 
 
-def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int = PASSES, id_col: str = "doc_id") -> np.ndarray:
-    """The weights after ``passes`` over all documents, averaged over the shards after each round. ``n``: the buckets' counts.
+def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str = "text", n: np.ndarray | None = None, shard: int = SHARD, passes: int = PASSES, id_col: str = "doc_id", words: DataFrame | None = None) -> np.ndarray:
+    """The weights after ``passes`` over all documents, averaged over the shards after each round. ``n``: the buckets' counts; ``words``: ``hashed`` documents, if there already.
 
     ``start`` goes through ``from_frequencies`` first. What shards add up are multiples of ``GRAIN`` times numbers of positions, as whole numbers, so that their sums are
     exact and the same in whatever order they are added.
     """
-    n = tally(corpus_counts(docs, text_col)) if n is None else n
+    words = hashed(docs, id_col, text_col) if words is None else words
+    n = tally(counted(words)) if n is None else n
     tokens = int(n.sum())
     if not tokens:
         return start
     start = from_frequencies(start, kind, n)
-    dealt, cut = shards(docs, kind, id_col, text_col, tokens, shard), -(-len(start) // BLOCK) * BLOCK
+    dealt, cut = shards(words, kind, tokens, shard), -(-len(start) // BLOCK) * BLOCK
     flat, squares = start, None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,13 +375,14 @@ def train(docs: DataFrame, kind: np.ndarray, start: np.ndarray, text_col: str =
     return np.round(flat, 5)
 
 
-def score(docs: DataFrame, weights: np.ndarray, kind: np.ndarray, inside: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_tokens, pll (sum of log-probabilities), pll_mean (per token, null without tokens)."""
+def score(docs: DataFrame, weights: np.ndarray, kind: np.ndarray, inside: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """One row a document: id, n_tokens, pll (sum of log-probabilities), pll_mean (per token, null without tokens). ``words``: ``hashed`` documents, if there already."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _Net(weights)
-        for part, texts in byte_rows(batches, rows=256):
-            classes, at, buckets = _stream(texts, kind)
+        for part, own in byte_rows(batches, rows=256):
+            buckets = _buckets(b"".join(own))
+            classes, at = _joined([kind[_buckets(w)] for w in own])
             logs = np.empty(len(at) + 1)
             for i in range(0, len(at), SCORED):
                 logs[i : i + SCORED][: len(at) - i] = net.log_probs(classes, at[i : i + SCORED])
@@ -376,8 +395,8 @@ def score(docs: DataFrame, weights: np.ndarray, kind: np.ndarray, inside: np.nda
             mean = [None if not k else float(s / k) for s, k in zip(sums, n, strict=True)]
             yield pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(sums), pa.array(mean, pa.float64())], names=[id_col, "n_tokens", "pll", "pll_mean"])
 
-    kept = docs.select(id_col, F.col(text_col).cast("binary").alias("text"))
-    return kept.mapInArrow(give, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, pll double, pll_mean double")
+    kept = hashed(docs, id_col, text_col) if words is None else words
+    return kept.select("id", "words").mapInArrow(give, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, pll double, pll_mean double")
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
@@ -387,7 +406,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     scored each; equal texts get equal scores, but for the last digit, which
     may follow the batch that a text is in. Long texts are learnt and scored whole. Over an empty table nothing is learnt and nothing returned. Other columns are not read.
     """
-    n = tally(corpus_counts(docs, text_col))
+    words = checkpointed(hashed(docs, id_col, text_col))
+    n = tally(counted(words))
     kind, inside = vocabulary(n)
-    weights = train(docs, kind, initial_weights(), text_col, n, passes=passes, id_col=id_col)
-    return score(docs, weights, kind, inside, id_col, text_col)
+    weights = train(docs, kind, initial_weights(), text_col, n, passes=passes, id_col=id_col, words=words)
+    return score(docs, weights, kind, inside, id_col, text_col, words)

@@ -824,3 +824,14 @@ def test_shots():
 
 def test_every_query_is_registered():
     assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_lm_score_cuts_a_text_into_words_once(spark, monkeypatch):
+    """Counting, learning and scoring read the same hashed words, null and empty texts included."""
+    made, own = [], lm_score.hashed
+    monkeypatch.setattr(lm_score, "hashed", lambda *args: made.append(args) or own(*args))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", " . ", *["one two three two one"] * 5])], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.lm_score(docs).collect()}
+    assert len(made) == 1 and [got[i].n_tokens for i in range(8)] == [0, 0, 0] + [5] * 5 and got[0].pll_mean is None
+    words = {r.id: np.frombuffer(r.words, "<u4") for r in own(docs, "doc_id", "text").collect()}
+    assert all(np.array_equal(words[r.doc_id], lm_score._words(r.text and r.text.encode())) for r in docs.collect())
