@@ -6,12 +6,14 @@ An image is never gathered: windows go along pixel rows and columns, in tiles of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
-from .rounds import connected
+from .rounds import connected, first_kept
 
 TILE = 512
 
@@ -41,22 +43,27 @@ def local_maxima(pixels: DataFrame, reach: int, threshold: float) -> DataFrame:
 def peaks(pixels: DataFrame, reach: int, most: int, keys: tuple[str, ...] = ("image",)) -> DataFrame:
     """(keys, x, y, v, rank): the first ``most`` pixels that are left when going from the greatest on, ties by y and x, and taking out the square about each taken one.
 
-    A pixel that is the greatest undecided one of its square is taken, whatever happens elsewhere; so a round takes all of these and takes out their squares,
-    by sliding maxima over the whole raster, until nothing is undecided or every image has its peaks. Null and NaN pixels are never taken.
+    A pixel that is the greatest of its square is taken, whatever happens elsewhere. Where an image has ``most`` of these, no pixel after the last of them in order can be among the first ``most``, nor
+    take out one that is; so the raster is looked at once, and what goes on are the few pixels as great, with those of them that lie in each other's squares as pairs, settled in rounds. An image with fewer greatest
+    pixels keeps all of its pixels, each with its square's. Null and NaN pixels are never taken.
     """
     first = F.when(F.col("v").isNotNull() & ~F.isnan("v"), F.struct(F.col("v").alias("v"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
-    left = checkpointed(pixels.select(*keys, "x", "y", first.alias("__first")))
-    taken = None
-    while True:
-        best = checkpointed(sliding_max(left, reach, "__first", "__most", keys).withColumn("__new", F.col("__first") == F.col("__most")))
-        new = best.where("__new").select(*keys, "x", "y", F.col("__first.v").alias("v"))
-        if new.isEmpty():
-            break
-        taken = new if taken is None else taken.unionByName(new)
-        near = sliding_max(best.withColumn("__hit", F.coalesce(F.col("__new"), F.lit(False))), reach, "__hit", "__near", keys)
-        left = checkpointed(near.select(*keys, "x", "y", F.when(~F.col("__near"), F.col("__first")).alias("__first")))
-    if taken is None:
-        taken = pixels.where("false").select(*keys, "x", "y", "v")
+    best = sliding_max(pixels.select(*keys, "x", "y", first.alias("__first")), reach, "__first", "__most", keys).where("__first IS NOT NULL")
+    best = checkpointed(best.select(*keys, "x", "y", "__first", (F.col("__first") == F.col("__most")).alias("__new")))
+    order = Window.partitionBy(*keys).orderBy(F.desc("__first"))
+    last = best.where("__new").withColumn("k", F.row_number().over(order)).where(F.col("k") == most)
+    last = last.select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.col("__first").alias("__last"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))
+    id_of = F.struct((-F.col("__first.v")).alias("v"), "y", "x").alias("id")  # ascends as pixels are gone through
+    live = checkpointed(best.join(last, same, "left").where("__last IS NULL OR __first >= __last").select(F.struct(*keys).alias("__key"), id_of, "x", "y"))  # a struct is never null, though a key in it may be
+    cell = lambda c: F.floor(F.col(c) / (reach + 1))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    other = live.select("__key", F.col("id").alias("second"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.explode(steps).alias("s"), cell("x").alias("cx"), cell("y").alias("cy"))
+    other = other.withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).drop("s")
+    met = live.withColumns({"cx": cell("x"), "cy": cell("y")}).join(other, ["__key", "cx", "cy"])
+    met = met.where((F.abs(F.col("x") - F.col("__x")) <= reach) & (F.abs(F.col("y") - F.col("__y")) <= reach) & (F.col("id") < F.col("second")))
+    kept = first_kept(live, ["__key"], met.select("__key", F.col("id").alias("first"), "second"))
+    taken = kept.select(*(F.col(f"__key.{k}").alias(k) for k in keys), F.col("id.x").alias("x"), F.col("id.y").alias("y"), (-F.col("id.v")).alias("v"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"), "y", "x"))
     return taken.withColumn("rank", rank).where(F.col("rank") <= most)
 
@@ -101,11 +108,11 @@ def corners(samples: DataFrame, side: int) -> DataFrame:
     return samples.withColumn("__c", F.explode(F.array(*parts))).select(*(c for c in samples.columns if c not in ("x", "y")), "__c.px", "__c.weight").where("weight > 0")
 
 
-def sampled(pictures: DataFrame, samples: DataFrame, side: int) -> DataFrame:
-    """(picture, the samples' own columns, v): bilinear values of every picture at every sample. ``pictures``: (picture, px, v)."""
+def sampled(pictures: DataFrame, samples: DataFrame, side: int, own: tuple[str, ...] = ("picture",)) -> DataFrame:
+    """(own, the samples' own columns, v): bilinear values of every picture at every sample. ``pictures``: (own, px, v), ``own`` being picture and what goes with it."""
     weights = corners(samples, side)
     keys = [c for c in weights.columns if c not in ("px", "weight")]
-    return pictures.join(weights, "px").groupBy("picture", *keys).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    return pictures.join(F.broadcast(weights), "px").groupBy(*own, *keys).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
 
 
 def best_pose(values: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,11 @@ REACH = 2
 
 def pictures(spark, sf):
     """(picture, label, px, v)"""
-    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("picture"), "label", F.posexplode("embedding").alias("px", "p")).select("picture", "label", "px", F.col("p").cast("double").alias("v"))
+    return as_pixels(load(spark, sf, "embeddings"))
+
+
+def as_pixels(e):
+    return e.select(F.col("vec_id").alias("picture"), "label", F.posexplode("embedding").alias("px", "p")).select("picture", "label", "px", F.col("p").cast("double").alias("v"))
 
 
 def mosaic(spark, sf):
@@ -124,12 +128,14 @@ def poses(spark, sf):
 
 def k10(spark, sf):
     """The pose under which each picture looks most like its label's first one, read without turn or scale, of 120."""
-    p = pictures(spark, sf)
+    # dealt by picture once, so that the samples of a picture, 24 times its pixels, are made, summed and compared where they are; the templates are thirteen rows a label
+    e = load(spark, sf, "embeddings").select("vec_id", "label", "embedding").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    p = as_pixels(e)
     at = poses(spark, sf)
-    values = sampled(p.select("picture", "px", "v"), at, SIDE).join(p.select("picture", "label").distinct(), "picture")
-    first = p.groupBy("label").agg(F.min("picture").alias("picture"))
-    plain = sampled(p.select("picture", "px", "v"), at.where("pose = 0").select("n", F.col("x"), F.col("y")), SIDE)
-    template = plain.join(first, "picture").select("label", "n", F.col("v").alias("t"))
+    values = sampled(p, at, SIDE, ("picture", "label"))
+    first = load(spark, sf, "embeddings").groupBy("label").agg(F.min("vec_id").alias("picture"))
+    plain = sampled(pictures(spark, sf).join(F.broadcast(first.select("picture")), "picture", "left_semi"), at.where("pose = 0").select("n", "x", "y"), SIDE)
+    template = F.broadcast(plain.join(first, "picture").select("label", "n", F.col("v").alias("t")))
     return best_pose(values, template, ["label"]).select("picture", F.col("pose").cast("long").alias("pose"), R(F.col("score")).alias("score"))
 
 

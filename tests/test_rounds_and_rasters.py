@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from sparquill.functions import grids
 from sparquill.operators import analysis, geometry, raster, rounds, scoring, slopes
 from sparquill.operators.nearest import nearest_rows
+from sparquill.plans import raster_plans
 from sparquill.sources import records
 
 
@@ -313,3 +315,35 @@ def test_the_stage_trace_suppresses_once(spark, monkeypatch):
     monkeypatch.setattr(scoring_plans, "suppressed", lambda *a: calls.append(a) or real(*a))
     scoring_plans.c18(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_peaks_look_at_the_raster_once(spark, monkeypatch):
+    """Equal values, ramps, whose greatest pixels are few, flat, null and NaN pixels, keys that are null: the peaks of going one by one, from one pass over the raster."""
+    rng = np.random.default_rng(31)
+    images = {1: rng.integers(0, 4, (9, 11)).astype(float), 2: np.add.outer(np.arange(9.0), np.arange(11.0)), 3: np.zeros((9, 11)), None: rng.random((9, 11))}
+    images[1][2, 3] = images[None][4, 4] = np.nan
+    rows = [(k, x, y, None if (x, y) == (5, 5) else float(v[y, x])) for k, v in images.items() for y in range(9) for x in range(11)]
+    passes, own = [], raster.sliding_max
+    monkeypatch.setattr(raster, "sliding_max", lambda *args, **more: passes.append(1) or own(*args, **more))
+    got = sorted((str(r.image), r["rank"], r.x, r.y, r.v) for r in raster.peaks(spark.createDataFrame(rows, "image long, x long, y long, v double"), 2, 4).collect())
+    want = []
+    for k in images:
+        left = sorted((-v, y, x) for i, x, y, v in rows if i == k and v is not None and v == v)
+        for rank in range(1, 5):
+            if left:
+                v, y, x = left[0]
+                want.append((str(k), rank, x, y, -v))
+                left = [p for p in left if abs(p[1] - y) > 2 or abs(p[2] - x) > 2]
+    assert got == sorted(want) and len(passes) == 1
+
+
+def test_samples_of_a_picture_stay_where_they_are(spark, tmp_path):
+    """No shuffle is by pose: a picture's samples, many times its pixels, are summed and compared in the task that has its pixels."""
+    rng = np.random.default_rng(32)
+    vectors = [(i, i % 3, [float(v) for v in rng.random(64)]) for i in range(12)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = raster_plans.k10(spark, str(tmp_path))
+    assert found.count() == 12
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(vec_id" in plan or "hashpartitioning(picture" in plan
+    assert not re.search(r"hashpartitioning\(picture#\d+L?, (label#\d+, )?pose", plan)
