@@ -33,6 +33,8 @@ TABLES = 10  # samples; a pair of similarity 0.8 agrees in one with probability
 SKETCH = 64  # bytes of a text's sketch
 LEEWAY = 0.18  # what a sketch may fall short of the similarity: over three standard errors
 SMALL = 128  # nodes of a bucket that is compared at once
+COUNTED = 20  # bits of the hashes by which shingles are counted, to have the rare ones first
+WIDE = 8  # times ``SMALL``: nodes of a pair of blocks of a rare shingle, which are held against each other by their sketches
 #: Odd multipliers that give each sample and each byte of a sketch its order.
 MIXERS = np.random.default_rng(4).integers(0, 1 << 63, TABLES + 1 + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -204,25 +206,34 @@ def measured(links: DataFrame, shingled: DataFrame) -> DataFrame:
     return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(count, "u long, v long, j double")
 
 
-def likely_members(buckets: DataFrame, least: float) -> DataFrame:
-    """(key, node): of small buckets (key, node, root, sketch) the nodes that have another of a different component there whose sketch agrees in a share of ``least``."""
+def likely_members(buckets: DataFrame, least: float, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, node): of small buckets (key, node, root, sketch) the nodes that have another of a different component there whose sketch agrees in a share of ``least``. Where the key is a shingle
+    and ``size`` and ``rest`` are there, as from ``rare_shingles``, also enough shingles must be left from it on: at the first shingle that two texts of that similarity share there are."""
+    known = ["node", "root", "sketch", *(c for c in ("size", "rest") if c in buckets.columns)]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 64):
+        for part in slices(batches, 8):
             keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for key, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 node, root = (np.array([m[c] for m in rows], np.int64) for c in ("node", "root"))
                 sketch = np.frombuffer(b"".join(m["sketch"] for m in rows), np.uint8).reshape(len(rows), -1)
+                size, rest = (np.array([m[c] for m in rows], np.int64) for c in ("size", "rest")) if sized else (None, None)
                 met = np.zeros(len(rows), bool)
                 for i in range(1, len(rows)):
-                    fits = (root[:i] != root[i]) & ((sketch[:i] == sketch[i]).mean(axis=1) >= least)
+                    fits = root[:i] != root[i]
+                    if sized:
+                        fits &= np.minimum(rest[:i], rest[i]) >= similarity / (1 + similarity) * (size[:i] + size[i]) - 1e-9
+                    if fits.any():
+                        at = np.flatnonzero(fits)
+                        fits[at] = (sketch[at] == sketch[i]).mean(axis=1) >= least
                     met[:i] |= fits
                     met[i] |= fits.any()
                 nodes.append(node[met])
                 keys.append(np.full(len(nodes[-1]), key, np.int64))
             yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    gathered = buckets.groupBy("key").agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members"))
+    sized = "rest" in known
+    gathered = buckets.groupBy("key").agg(F.collect_list(F.struct(*known)).alias("members"))
     return gathered.mapInArrow(members, "key long, node long")
 
 
@@ -255,40 +266,96 @@ def likely_links(buckets: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(join, "u long, v long").distinct()
 
 
+def rare_shingles(shingled: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size, rest): the shingles by which similar texts are sure to meet. In any order common to all texts, two of that similarity share one of the first
+    n - ceil(similarity * n) + 1 of each one's n shingles; here the rarest come first, by counts of 2^``COUNTED`` buckets that shingles are hashed to, to which a task adds what it has met twice, ties by their hash. The counts only say which order it is. ``rest``: how many
+    shingles a text has from this one on. ``shingled``: (node, shingles)."""
+    bucket = lambda own: (own.view(np.uint64) >> np.uint64(64 - COUNTED)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTED, np.int64)
+        for part in slices(batches, 256):
+            total += np.bincount(bucket(np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64)), minlength=1 << COUNTED)
+        at = np.flatnonzero(total > 1)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    counts = shingled.select("shingles").coalesce(max(8, shingled.sparkSession.sparkContext.defaultParallelism)).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    texts = np.zeros(1 << COUNTED, np.int64)
+    texts[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    given = shingled.sparkSession.sparkContext.broadcast(texts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            rows = [np.empty((4, 0), np.int64)]
+            for node, shingles in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(shingles, np.int64)
+                n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                order = np.lexsort((own, given.value[bucket(own)]))[:n]
+                rows.append(np.stack([own[order], np.full(n, node), np.full(n, len(own)), len(own) - np.arange(n)]))
+            yield pa.record_batch([pa.array(c) for c in np.concatenate(rows, axis=1)], names=["key", "node", "size", "rest"])
+
+    return shingled.select("node", "shingles").mapInArrow(first, "key long, node long, size long, rest long")
+
+
+def mixed_buckets(buckets: DataFrame) -> DataFrame:
+    """(key, n, most, others): of the buckets (key, root) that have several components the number of nodes, the component of most nodes, and the number of nodes of others."""
+    each = buckets.groupBy("key", "root").agg(F.count("*").alias("n"))
+    whole = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    return whole.select("key", "n", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n")).alias("others"))
+
+
+def cut_to_blocks(buckets: DataFrame, small: int) -> DataFrame:
+    """Buckets (key, node, root, ..., n, most, others) in which all pairs of different components of larger ones meet: one of more than ``small`` nodes is cut, by a hash, into blocks of half of that, about,
+    and any two of its blocks make a bucket, but for two of the component of most nodes. So nodes are copied as often as there are blocks of the other components, not of the bucket."""
+    apart = F.col("root") == F.col("most")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * 2 / small)).cast("int")
+    of_most, of_others = blocks(F.col("n") - F.col("others")), blocks(F.col("others"))
+    own = F.pmod(F.xxhash64("node"), F.when(apart, of_most).otherwise(of_others)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    name = lambda kind, i, j: F.xxhash64("key", F.lit(kind), i, j)
+    among = F.concat(F.transform(upto(of_most), lambda j: name(0, F.col("own"), j)), F.transform(upto(of_others), lambda j: name(1, F.least("own", j), F.greatest("own", j))))
+    keys = F.when(F.col("n") <= small, F.array("key")).when(apart, F.transform(upto(of_others), lambda i: name(0, i, F.col("own")))).otherwise(among)
+    return buckets.withColumn("own", own).withColumn("key", F.explode(keys)).drop("own", "n", "most", "others")
+
+
 def bucket_links(nodes: DataFrame, links: DataFrame, shingled: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """(node, root): the components of all pairs of that similarity that share a bucket or are linked by their fingerprints. ``nodes``: (node, samples, sketch); ``links``: those of
     the fingerprints; a bucket has the nodes
     that agree in one of their samples.
 
     At first the links of the fingerprints' balls are counted, and every node is held against the smallest of its buckets, which joins most copies. What is left are buckets with several components. In those of up to
-    ``small`` nodes every pair of different components whose sketches allow it is counted, unless others have joined it, and only the links that join leave a bucket. A larger one is cut by each further sample: nodes that agree in that too make a
-    bucket of their own, which is taken up in the same way, until none has several components. So no pairs of a large group are made, and a pair that shares only large
-    mixed buckets must agree in as many samples as make one small: at a similarity of 0.8 in two of ten with probability 0.99, in three with 0.96.
+    ``small`` nodes every pair of different components whose sketches allow it is counted, unless others have joined it, and only the links that join leave a bucket. The nodes of larger ones, whose samples come from
+    passages that many texts have, meet again by their rarest shingles, of which two similar texts share one for sure; so no pair of a large bucket is lost. A node has a fifth of its shingles there and one row for each, however
+    many buckets it was in. Where even a rare shingle has many nodes of several components, its bucket is taken in pairs of blocks.
     """
     spark = nodes.sparkSession
     folder = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
-    cut = lambda rows: rows.select("key", "node", "sketch", "samples", "last", F.posexplode("samples").alias("t", "value")).where("t > last").select(F.xxhash64("key", "t", "value").alias("key"), "node", "sketch", "samples", F.col("t").alias("last"))
-    buckets = cut(nodes.select(F.lit(0).cast("long").alias("key"), "node", "sketch", "samples", F.lit(-1).alias("last")))
+    buckets = nodes.select("node", "sketch", F.posexplode("samples").alias("t", "value")).select(F.xxhash64("t", "value").alias("key"), "node", "sketch")
     alike = F.col("j") >= similarity - 1e-9
     first = sample_links(buckets).union(links).distinct()
     roots = components(measured(stored(first, f"{folder}/star"), shingled).where(alike).select("u", "v"))
-    for turn in range(TABLES):  # a bucket cannot be cut more often than there are samples
+
+    def live(rows: DataFrame, name: str) -> DataFrame:
+        """The rows of the buckets that have several components by now."""
         of = roots.select(F.col("node").alias("of"), "root")
-        placed = buckets.join(of, F.col("node") == F.col("of"), "left").select(*buckets.columns, F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
-        live = stored(placed.join(mixed, "key"), f"{folder}/live-{turn}")
-        n_small, n_large = live.agg(F.count_if(F.col("n") <= small), F.count_if(F.col("n") > small)).first()
-        if n_small:
-            few = live.where(F.col("n") <= small).select("key", "node", "root", "sketch")
-            likely = stored(few.join(likely_members(few, similarity - LEEWAY), ["key", "node"]), f"{folder}/likely-{turn}")
-            found = stored(likely_links(likely.join(shingled, "node"), similarity), f"{folder}/found-{turn}")
-            if not found.isEmpty():
-                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
-        if turn:
-            delete(spark, f"{folder}/live-{turn - 1}")
-        if not n_large:
-            break
-        buckets = cut(live.where(F.col("n") > small))
+        placed = rows.join(of, F.col("node") == F.col("of"), "left").select(*rows.columns, F.coalesce("root", "node").alias("root"))
+        return stored(placed.join(mixed_buckets(placed), "key"), f"{folder}/{name}")
+
+    def joined(few: DataFrame, name: str) -> DataFrame:
+        """The components with what the small buckets (key, node, root, sketch) join."""
+        likely = stored(few.join(likely_members(few, similarity - LEEWAY, similarity), ["key", "node"]), f"{folder}/likely-{name}")
+        found = stored(likely_links(likely.join(shingled, "node"), similarity), f"{folder}/found-{name}")
+        return roots if found.isEmpty() else components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
+
+    of_samples = live(buckets, "samples")
+    n_small, n_large = of_samples.agg(F.count_if(F.col("n") <= small), F.count_if(F.col("n") > small)).first()
+    if n_small:
+        roots = joined(of_samples.where(F.col("n") <= small).select("key", "node", "root", "sketch"), "samples")
+    if n_large:
+        crowd = stored(of_samples.where(F.col("n") > small).select("node", "sketch").dropDuplicates(["node"]), f"{folder}/crowd")
+        met = checkpointed(rare_shingles(shingled.join(crowd.select("node"), "node", "left_semi"), similarity)).join(crowd, "node")
+        of_shingles = stored(cut_to_blocks(live(met, "shingles"), WIDE * small), f"{folder}/blocks")
+        roots = joined(of_shingles, "shingles")
     return roots
 
 

@@ -202,6 +202,29 @@ def test_crowded_buckets_lose_no_link(spark, most):
     assert 3 < len(want) < len(rows) and kept >= want and len(kept) <= len(want) + 1
 
 
+@pytest.mark.parametrize("most", [2, 8])
+def test_pairs_of_large_buckets_are_all_found(spark, monkeypatch, most):
+    """Texts that share a passage, so that they meet in large buckets only, are all below the similarity but for some pairs, which are a little above it: all are found, and the nodes of large buckets are not cut by
+    each set of samples. Blocks of a rare shingle meet as well."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(160)]
+    rows = []
+    for i in range(60):
+        own = [*passage, *(word() for _ in range(44))]  # 156 shingles of 244 are shared
+        near = list(own)
+        for k in range(4):  # 180 of 220, one change in each quarter
+            near[4 + 50 * k + rng.randrange(40)] = word()
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(near))]
+    blocks = simhash.cut_to_blocks
+    rounds = []
+    monkeypatch.setattr(simhash, "cut_to_blocks", lambda rows, n: rounds.append(n) or blocks(rows, most))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small=most).collect()}
+    assert kept == brute_near(rows) == set(range(0, 120, 2)) and len(rounds) == 1
+
+
 def test_near_duplicate_recall_on_whole_table(spark):
     """All pairs of different texts at 0.8 and more on a table of 10,000 rows, found by their shingles: 19 in 20 lose a text at least."""
     from collections import defaultdict
