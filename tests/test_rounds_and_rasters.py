@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import grids
-from sparquill.operators import analysis, geometry, raster, rounds, scoring, slopes
+from sparquill.operators import analysis, geometry, nearest, raster, rounds, scoring, slopes
 from sparquill.operators.nearest import nearest_rows
 from sparquill.plans import raster_plans
 from sparquill.sources import records
@@ -151,6 +151,22 @@ def test_nearest_rows_equal_brute_force(spark, dims, k):
     assert nearest_rows(found.select(F.col("a_id").alias("id"), F.col("d").alias("q")), found.where("false").select(F.col("b_id").alias("id"), F.col("d").alias("q")), ["q"], 2).collect() == []
 
 
+def test_nearest_rows_take_more_tasks_as_rows_grow(spark, monkeypatch):
+    """What a task holds does not grow with the rows: twice as many are dealt to as many tasks more, also where most look at the same few wide cubes."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(nearest, "ROWS", 100, raising=False)
+    tasks = []
+    for n in (150, 600):
+        b = np.concatenate([rng.random((n - 3, 2)) * 0.01, [[9.0, 9.0], [-9.0, 9.0], [9.0, -9.0]]])
+        a = np.concatenate([rng.random((n // 2, 2)) * 0.01, rng.random((n // 2, 2)) * 18 - 9])
+        frame = lambda m: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "id long, u double, v double")
+        found = nearest_rows(frame(a), frame(b), ["u", "v"], 4)
+        d = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)), 9)
+        assert sorted((r.a_id, r.k, r.b_id) for r in found.collect()) == [(i, n + 1, int(j)) for i in range(len(a)) for n, j in enumerate(np.lexsort((np.arange(len(b)), d[i]))[:4])]
+        tasks.append(found.rdd.getNumPartitions())
+    assert tasks[0] > 4 and tasks[1] >= 3 * tasks[0]
+
+
 def test_running_sums_shares_and_lines(spark):
     rng = random.Random(8)
     rows = [(rng.choice("ab"), i, float(rng.randrange(50)), i % 3 == 0) for i in range(500)] + [(None, 900, 1.0, True), (None, 901, 0.5, False)]
