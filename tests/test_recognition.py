@@ -482,3 +482,12 @@ def test_a_crowded_pool_costs_some_points_a_place(monkeypatch):
         taken = patterns_of.one_to_one(d, scene.starts, 24.0**2)[0]
         assert [(p[0], p[1]) for p in found[i]["pairs"]] == [(k, scene.groups[scene.starts[g]]) for k, g in enumerate(taken) if g >= 0]
     assert pairs < 12 * 40 * 9  # within reach are some forty a place
+
+
+def test_seeds_without_a_usable_map_give_no_fit():
+    """Of seeds whose maps are all unusable nothing is left to assign, which is no error."""
+    rng = np.random.default_rng(5)
+    scene = patterns_of.Scene(rng.uniform(0, 3000, (20, 2)), np.arange(20), np.ones(20), np.zeros(20, int), rng.uniform(0, 10, (8, 2)))
+    for quad_share in (0.0, 0.5):
+        got = patterns_of.best_fit(rng.uniform(0, 100, (6, 2)), scene, 50, patterns_of.Options(quad_share=quad_share))
+        assert got["attempted"] == 50 and got["accepted"] == 0 and got["reason"] == "no verified fit"
