@@ -491,3 +491,42 @@ def test_seeds_without_a_usable_map_give_no_fit():
     for quad_share in (0.0, 0.5):
         got = patterns_of.best_fit(rng.uniform(0, 100, (6, 2)), scene, 50, patterns_of.Options(quad_share=quad_share))
         assert got["attempted"] == 50 and got["accepted"] == 0 and got["reason"] == "no verified fit"
+
+
+@pytest.mark.parametrize("corners, k", [(3, 20), (4, 4)])
+def test_nearest_shapes_are_those_of_all(corners, k, monkeypatch):
+    """Shapes made in steps, by one task or several, bring the nearest of all shapes of all points, ties included."""
+    from sparquill.functions import shapes
+
+    monkeypatch.setattr(shapes, "START", {3: 12, 4: 8})
+    rng = np.random.default_rng(31)
+    make = patterns_of.affine_quads if corners == 4 else patterns_of.ordered_triangles
+    for points in (rng.uniform(0, 3000, (60, 2)), np.round(rng.uniform(0, 9, (40, 2))) * 300, np.column_stack([np.arange(30.0), np.zeros(30)]), rng.uniform(0, 3000, (corners, 2))):
+        wanted = np.concatenate([make(rng.uniform(0, 1, (9, 2)))[1], make(np.round(rng.uniform(0, 4, (9, 2))))[1]])
+        ids, form = make(points)
+        which, row, d = patterns_of.nearest_rows(wanted, patterns_of.Table(form), k)
+        order = np.lexsort((row, d, which))
+        want = which[order], ids[row[order]], d[order]
+        assert all(np.array_equal(a, b) for a, b in zip(shapes.nearest_shapes(wanted, points, k, corners), want, strict=True))
+        parts = [np.concatenate(c) for c in zip(*(shapes.nearest_shapes(wanted, points, k, corners, i, 3) for i in range(3)), strict=True)]
+        order = np.lexsort((*np.sort(parts[1], axis=1).T[::-1], parts[2], parts[0]))
+        order = order[np.arange(len(order)) - np.searchsorted(parts[0][order], parts[0][order]) < k]
+        assert all(np.array_equal(a[order], b) for a, b in zip(parts, want, strict=True))
+
+
+def test_all_points_make_seeds_and_all_seeds_are_tried(spark):
+    """A scene of more than 56 points and a catalog of whose seeds a cap of 50 leaves few: the fits are those of all seeds of all points."""
+    rng = np.random.default_rng(32)
+    own = {f"p{i}": rng.uniform(0, 200, (n, 2)) for i, n in enumerate((6, 5, 7, 2))}
+    there = synthetic.place(own["p0"], rng) + rng.normal(0, 1, own["p0"].shape)
+    points = np.concatenate([rng.uniform(0, 3000, (58, 2)), there])  # the pattern's points score least
+    rows = [(0, i, 0, float(x), float(y), 0.9 - 0.001 * i) for i, (x, y) in enumerate(points)]
+    cand = spark.createDataFrame(rows, "scene int, query int, pos int, x double, y double, score double")
+    found = {r.name: r for r in recognition.hypotheses(cand, as_catalog(spark, own), cap=50).collect()}
+    groups = np.array([r.grp for r in recognition.anchors_of(cand).orderBy("id").collect()])
+    scene = patterns_of.Scene(points, groups, np.array([r[5] for r in rows]), np.zeros(len(points), int), points)
+    want = dict(zip(own, patterns_of.best_fits(list(own.values()), scene, 10**7, patterns_of.Options()), strict=True))
+    for name, w in want.items():
+        got = found[name]
+        assert (got.score, got.support, got.attempted, got.accepted, got.reason) == (pytest.approx(w["score"], abs=1e-9), w["support"], w["attempted"], w["accepted"], w.get("reason")), name
+    assert found["p0"].support == 6 and found["p0"].attempted > 50
