@@ -530,3 +530,26 @@ def test_all_points_make_seeds_and_all_seeds_are_tried(spark):
         got = found[name]
         assert (got.score, got.support, got.attempted, got.accepted, got.reason) == (pytest.approx(w["score"], abs=1e-9), w["support"], w["attempted"], w["accepted"], w.get("reason")), name
     assert found["p0"].support == 6 and found["p0"].attempted > 50
+
+
+def test_neighbours_of_shapes_take_all_points_and_store_no_shapes(spark, tmp_path, monkeypatch):
+    """Scenes of more than 56 points, in one task a block and in several: as SQL over all triangles, and over the quads of the 56 best; no shape is a row before it is a neighbour."""
+    import duckdb
+
+    from sparquill.operators import shapes
+    from sparquill.plans import geometry_plans
+
+    rng = np.random.default_rng(33)
+    rows = [(i, i % 2 * 10, [float(v) for v in np.round(rng.uniform(-0.5, 0.5, 3), 2)]) for i in range(126)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for chunk in (shapes.CHUNK, 4000):
+        monkeypatch.setattr(shapes, "CHUNK", chunk)
+        for query, sql in ((geometry_plans.j5, geometry_plans.J5_SQL), (geometry_plans.j6, geometry_plans.J6_SQL)):
+            df = query(spark, str(tmp_path))
+            assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+            found, columns = df.toArrow(), ", ".join(df.columns)
+            con.sql(f"CREATE OR REPLACE TEMP TABLE want AS SELECT {columns} FROM ({sql})")
+            con.sql(f"CREATE OR REPLACE TEMP TABLE got AS SELECT {columns} FROM found")
+            assert con.sql("SELECT (SELECT count(*) FROM got) - (SELECT count(*) FROM want), (SELECT count(*) FROM (FROM got EXCEPT ALL FROM want)), (SELECT count(*) FROM (SELECT a_order, k, d FROM got EXCEPT ALL SELECT a_order, k, d FROM want))").fetchall() == [(0, 0, 0)], (chunk, query)
